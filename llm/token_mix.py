@@ -134,9 +134,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     whole = F.col("words") >= F.col("block_words")
     used = schedule(targets, block_words).groupBy("source", "block").agg(F.sum(F.when(whole, 1).otherwise(0)).alias("uses"), F.coalesce(F.max(F.when(~whole, F.col("words"))), F.lit(0)).alias("part"))
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))))
-    lo = F.greatest(F.col("start"), F.col("block") * block_words)
-    hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    part_end = F.col("block") * block_words + F.col("part")
+    lo = F.greatest(F.col("start"), F.col("p.block") * block_words)
+    hi = F.least(F.col("start") + F.col("size"), (F.col("p.block") + 1) * block_words)
+    part_end = F.col("p.block") * block_words + F.col("part")
     took = pieces.alias("p").join(used.alias("u"), same("p", "u", "block")).select("p.doc_id", "p.source", "p.digest", "start", ((hi - lo) * F.col("uses") + F.greatest(F.lit(0), F.least(hi, part_end) - lo)).alias("took"))
     took = took.groupBy("doc_id", "source", "digest", "start").agg(F.sum("took").alias("taken"))
     key = F.expr("p.doc_id <=> k.doc_id and p.source <=> k.source and p.digest = k.digest and p.start = k.start and p.size > 0")
