@@ -5,16 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_mix
+from . import chat_format, decontaminate, pii, token_counts, token_mix
 from .common import table
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_token_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+#: The conversation that the contract adds: texts that look like control strings.
+ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string"))
+    return chat_format.digest(chat_format.format_conversations(rows))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op7_decontamination": op7_decontamination,
     "op8_token_mix": op8_token_mix,
+    "op9_chat_format": op9_chat_format,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
