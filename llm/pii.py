@@ -81,6 +81,7 @@ def _found(pattern: str, kind: str, base: bool) -> Column:
 
 
 _SPAN = "struct<start:int,k:int,end:int,text:string,left:string,right:string,strict:boolean>"
+_WITH_OK = "named_struct('start', x.start, 'k', x.k, 'end', x.end, 'text', x.text, 'left', x.left, 'right', x.right, 'strict', x.strict, 'ok', "
 _DIGITS = "regexp_replace(x.text, '[^0-9]', '')"
 _LUHN = (
     f"aggregate(transform(split(reverse({_DIGITS}), ''), (c, i) -> case when i % 2 = 0 then coalesce(cast(c as int), 0) when cast(c as int) > 4 then cast(c as int) * 2 - 9 else coalesce(cast(c as int), 0) * 2 end), 0, (a, c) -> a + c) % 10 = 0"
@@ -96,8 +97,8 @@ def _candidates(docs: DataFrame, *keep: str) -> DataFrame:
     d = d.withColumns({f"_b{i}": _found(_SCAN[k], k, True) for i, k in enumerate(KINDS)} | {f"_w{i}": _found(_WIDE[k], k, False) for i, k in enumerate(KINDS) if k in _WIDE})
     strict = "concat(" + ",".join(f"_b{i}" for i in range(len(KINDS))) + ")"
     wide = "concat(" + ",".join(f"_w{i}" for i, k in enumerate(KINDS) if k in _WIDE) + ")"
-    d = d.withColumn("_s", F.expr(f"transform({strict}, x -> struct(x.*, {_CHECKED} as ok))"))
-    d = d.withColumn("_x", F.expr(f"transform({wide}, x -> struct(x.*, false as ok))"))
+    d = d.withColumn("_s", F.expr(f"transform({strict}, x -> {_WITH_OK}{_CHECKED}))"))
+    d = d.withColumn("_x", F.expr(f"transform({wide}, x -> {_WITH_OK}false))"))
     votes = {
         "v_regex": "case when x.strict then 1 else 0 end",
         "v_check": f"case when x.k = 0 then case when x.text rlike '[.)\\\\]] ?[A-Za-z]{{2,}}$' then 1 else -1 end when {_CHECKED} then 1 else -1 end",
@@ -119,7 +120,7 @@ def _candidates(docs: DataFrame, *keep: str) -> DataFrame:
         "f_first": "case when x.text rlike '^[0-9]' then 0 when x.text rlike '^[A-Za-z]' then 1 else 2 end",
     }
     pattern = "concat_ws(' ', x.k, x.ok, " + ", ".join([*votes.values(), *features.values()]) + ")"
-    all_ = f"transform(concat(_s, _x), x -> struct(x.start, x.k, x.end, x.ok, {pattern} as pattern))"
+    all_ = f"transform(concat(_s, _x), x -> named_struct('start', x.start, 'k', x.k, 'end', x.end, 'ok', x.ok, 'pattern', {pattern}))"
     return d.select(*keep, F.expr(f"case when size(_s) + size(_x) = 0 then cast(array() as array<struct<start:int,k:int,end:int,ok:boolean,pattern:string>>) else {all_} end").alias("_c"))
 
 
