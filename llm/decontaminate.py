@@ -17,7 +17,6 @@ empty results (no items: nothing is hit).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,5 +225,40 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs in which no window of any item occurs, with all their columns; blocks of items filter one after the other."""
+    schema = docs.schema
+    for ids, texts in item_blocks(items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))):
+        docs = docs.mapInArrow(_keeper(docs.sparkSession.sparkContext.broadcast((ids, texts)), window), schema)
+    return docs
+
+
+def _keeper(held, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = None
+        for rows, buf, offsets, _ in T.slices(batches):
+            phrases = phrases or Phrases(*held.value, window=window)
+            words = T.Words(buf, offsets, T.ALNUM_CLASS)
+            _, start = Shard(words, phrases.vocabulary).search(phrases)
+            clean = np.ones(rows.num_rows, bool)
+            clean[words.doc[start]] = False
+            yield rows.filter(pa.array(clean))
+
+    return run
+
+
+def index_postings(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The positional index as a table for callers who keep it: term (fingerprint), doc_id, positions of every test term."""
+    _, texts = next(item_blocks(items.select(F.col("item_id").cast("string"), F.col("text").cast("string")), 1 << 62))
+    held = docs.sparkSession.sparkContext.broadcast(Phrases([None] * len(texts), texts).vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, offsets, _ in T.slices(batches):
+            words = T.Words(buf, offsets, T.ALNUM_CLASS)
+            s = Shard(words, held.value)
+            term, doc = s.term[s.positions], words.doc[s.positions]
+            step = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])) if len(term) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(step, len(term)), pa.int32()), pa.array(s.into[s.positions], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(held.value[term[step] - 1].view(np.int64)), rows.column(0).cast(pa.int64()).take(pa.array(doc[step])), lists], ["term", "doc_id", "positions"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "term long, doc_id long, positions array<int>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, decontaminate, ngram_join, pii, substring_dedup, token_counts, token_mix, toxicity
+from . import ann, chat_format, decontaminate, ngram_join, pii, quality, substring_dedup, token_counts, token_mix, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ann": op4_ann,
     "op5_ngram_join": op5_ngram_join,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_token_mix": op8_token_mix,
     "op9_chat_format": op9_chat_format,

@@ -43,7 +43,7 @@ DISCOUNT = 0.75
 SHARED = 1.0
 GATE = 20.0
 CUTOFF = 0.7
-SLICE = 4 << 20
+SLICE = (4 << 20) - 64
 
 
 def expressions(words: T.Words) -> list[np.ndarray]:
@@ -234,3 +234,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF)
     d = docs.select("doc_id", "text")
     out = score(d, train(d, known), "doc_id")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs whose score is under the cutoff, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, offsets, _ in T.slices(batches, size=SLICE):
+            m = held.value
+            yield rows if m is None else rows.filter(pa.array(m.score(T.Words(buf, offsets, T.ALNUM_CLASS)) < cutoff))
+
+    return docs.mapInArrow(run, docs.schema)
