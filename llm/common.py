@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 #: Input bytes (as Spark's statistics give them) that one bucket of a blob exchange is to hold.
 BUCKET_BYTES = 12 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
 #: Stands for a null id inside the exchanges; a null id sorts first and comes back as null.
 NULL_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches are kept small, for texts are long and executors' Python workers share one limit."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange
 from . import textkit as T
 from .common import NULL_ID, bucket_count
 from .ngram_join import pack48, unpack48
@@ -37,13 +38,11 @@ from .ngram_join import pack48, unpack48
 HALF = 10
 #: Occurrences of an anchor in one slice from which on the slice answers for itself.
 LOCAL_HOT = 8
-SLICE = 4 << 20
+SLICE = (2 << 20) - 64
 
 _FIELDS = [("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary()), ("places", pa.binary())]
 _BLOCK = "kind int, bucket int, doc long, key long, docs binary, counts binary, prints binary, places binary"
-_ANSWER = "doc long, key long, answer binary"
 _SCHEMA = pa.schema(_FIELDS)
-_ANSWER_SCHEMA = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("answer", pa.binary())])
 
 
 class Windows:
@@ -145,32 +144,56 @@ def _level_1(buckets: int, half: int):
     return run
 
 
-def _answers(sets: np.ndarray, of: np.ndarray, values: np.ndarray, width: int) -> pa.Table:
-    """One row per document (doc, key) of packed answers; of: sorted index into sets."""
-    step = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    ends = (np.append(step, len(of)) * width).astype(np.int32)
-    packed = pack48(values) if width == 6 else values.astype("<i4").tobytes()
-    blobs = pa.Array.from_buffers(pa.binary(), len(step), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed)])
-    return pa.table([pa.array(sets[of[step], 0]), pa.array(sets[of[step], 1]), blobs], schema=_ANSWER_SCHEMA)
+def _places(x: np.ndarray) -> bytes:
+    return x.astype("<i4").tobytes()
+
+
+def _read_places(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<i4")
+
+
+def _own(group: pa.Table, kind: np.ndarray, column: str, width: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Owners, owner of each value, and packed values of the rows that a slice decided itself."""
+    rows = group.filter(pa.array(kind == 2))
+    blobs = rows[column].to_pylist()
+    owners = np.stack([np.asarray(rows["doc"]), np.asarray(rows["key"]), np.zeros(len(blobs), np.int64)], 1).astype(np.int64)
+    return owners, np.repeat(np.arange(len(blobs)), [len(b) // width for b in blobs]).astype(np.int64), b"".join(blobs)
+
+
+def _by_owner(width: int):
+    """One row per document: all that the buckets say about it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        owners, first, values = exchange.unpack(group, unpack48 if width == 6 else _read_places)
+        packed = pack48(values) if width == 6 else _places(values)
+        blobs = pa.Array.from_buffers(pa.large_binary(), len(owners), [None, pa.py_buffer((first * width).astype(np.int64).tobytes()), pa.py_buffer(packed)])
+        return pa.table([pa.array(owners[:, 0]), pa.array(owners[:, 1]), blobs.cast(pa.binary())], names=["doc", "key", "answers"])
+
+    return run
 
 
 def _gather(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     sets = np.frombuffer(b"".join(blocks["docs"].to_pylist()), "<i8").reshape(-1, 2)
+    sets = np.column_stack([sets, np.zeros(len(sets), np.int64)])
     return sets, np.repeat(np.arange(len(sets)), np.frombuffer(b"".join(blocks["counts"].to_pylist()), "<i4"))
 
 
-def _repeated_anchors(group: pa.Table) -> pa.Table:
-    kind = np.asarray(group["kind"])
-    own = group.filter(pa.array(kind == 2)).select(["doc", "key", "prints"]).rename_columns(["doc", "key", "answer"]).cast(_ANSWER_SCHEMA)
-    hot = unpack48(b"".join(group.filter(pa.array(kind == 1))["prints"].to_pylist()))
-    blocks = group.filter(pa.array(kind == 0))
-    prints = unpack48(b"".join(blocks["prints"].to_pylist()))
-    if not len(prints):
-        return own
-    sets, of = _gather(blocks)
-    _, inverse, counts = np.unique(np.concatenate([prints, np.unique(hot)]), return_inverse=True, return_counts=True)
-    keep = counts[inverse[: len(prints)]] > 1
-    return pa.concat_tables([own, _answers(sets, of[keep], prints[keep], 6)])
+def _repeated_anchors(groups: int):
+    def run(group: pa.Table) -> pa.Table:
+        kind = np.asarray(group["kind"])
+        owners, of, own = _own(group, kind, "prints", 6)
+        parts = [exchange.pack(owners, of, unpack48(own), groups, pack48)]
+        hot = unpack48(b"".join(group.filter(pa.array(kind == 1))["prints"].to_pylist()))
+        blocks = group.filter(pa.array(kind == 0))
+        prints = unpack48(b"".join(blocks["prints"].to_pylist()))
+        if len(prints):
+            sets, of = _gather(blocks)
+            _, inverse, counts = np.unique(np.concatenate([prints, np.unique(hot)]), return_inverse=True, return_counts=True)
+            keep = counts[inverse[: len(prints)]] > 1
+            parts.append(exchange.pack(sets, of[keep], prints[keep], groups, pack48))
+        return pa.concat_tables(parts)
+
+    return run
 
 
 def _level_2(buckets: int, half: int):
@@ -179,7 +202,7 @@ def _level_2(buckets: int, half: int):
             ids, keys = _rows(rows)
             w = Windows(buf, offsets, half)
             answers = rows.column(rows.schema.get_field_index("answers")).to_pylist()
-            known = [unpack48(b"".join(a)) for a in answers]
+            known = [unpack48(a) for a in answers]
             owner = np.repeat(np.arange(len(known)), [len(k) for k in known])
             known_prints = np.concatenate(known) if known else np.zeros(0, np.uint64)
             starts = []
@@ -223,23 +246,27 @@ def _level_2(buckets: int, half: int):
     return run
 
 
-def _later_windows(group: pa.Table) -> pa.Table:
-    kind = np.asarray(group["kind"])
-    own = group.filter(pa.array(kind == 2)).select(["doc", "key", "places"]).rename_columns(["doc", "key", "answer"]).cast(_ANSWER_SCHEMA)
-    blocks = group.filter(pa.array(kind == 0))
-    prints = np.frombuffer(b"".join(blocks["prints"].to_pylist()), np.dtype([("a", "<u8"), ("b", "<u4")]))
-    if not len(prints):
-        return own
-    sets, of = _gather(blocks)
-    place = np.frombuffer(b"".join(blocks["places"].to_pylist()), "<i4")
-    one, two, doc = prints["a"], prints["b"], sets[of, 0]
-    order = np.lexsort((place, doc, two, one))
-    a1, a2 = one[order], two[order]
-    head = np.concatenate([[True], (a1[1:] != a1[:-1]) | (a2[1:] != a2[:-1])])
-    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    late = np.zeros(len(order), bool)
-    late[order] = (doc[order] != doc[lead]) | (place[order] != place[lead])
-    return pa.concat_tables([own, _answers(sets, of[late], place[late], 4)])
+def _later_windows(groups: int):
+    def run(group: pa.Table) -> pa.Table:
+        kind = np.asarray(group["kind"])
+        owners, of, own = _own(group, kind, "places", 4)
+        parts = [exchange.pack(owners, of, _read_places(own), groups, _places)]
+        blocks = group.filter(pa.array(kind == 0))
+        prints = np.frombuffer(b"".join(blocks["prints"].to_pylist()), np.dtype([("a", "<u8"), ("b", "<u4")]))
+        if len(prints):
+            sets, of = _gather(blocks)
+            place = _read_places(b"".join(blocks["places"].to_pylist()))
+            one, two, doc = prints["a"], prints["b"], sets[of, 0]
+            order = np.lexsort((place, doc, two, one))
+            a1, a2 = one[order], two[order]
+            head = np.concatenate([[True], (a1[1:] != a1[:-1]) | (a2[1:] != a2[:-1])])
+            lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+            late = np.zeros(len(order), bool)
+            late[order] = (doc[order] != doc[lead]) | (place[order] != place[lead])
+            parts.append(exchange.pack(sets, of[late], place[late], groups, _places))
+        return pa.concat_tables(parts)
+
+    return run
 
 
 def _kept(half: int):
@@ -252,7 +279,7 @@ def _kept(half: int):
             edge = np.zeros(len(words) + 2 * half + 1, np.int32)
             for d, answers in enumerate(rows.column(rows.schema.get_field_index("answers")).to_pylist()):
                 if answers:
-                    at = words.first[d] + np.unique(np.frombuffer(b"".join(answers), "<i4"))
+                    at = words.first[d] + np.unique(_read_places(answers))
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + 2 * half, -1)
             removed = np.cumsum(edge)[: len(words)] > 0
@@ -285,9 +312,10 @@ def remove_repeats(docs: DataFrame, half: int = HALF) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 after removing every word of a 2 * half word window that also starts earlier."""
     buckets = bucket_count(docs)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text")
-    first = d.mapInArrow(_level_1(buckets, half), _BLOCK).groupBy("bucket").applyInArrow(_repeated_anchors, _ANSWER)
-    first = first.groupBy("doc", "key").agg(F.collect_list("answer").alias("answers"))
+    by_document = "doc long, key long, answers binary"
+    first = d.mapInArrow(_level_1(buckets, half), _BLOCK).groupBy("bucket").applyInArrow(_repeated_anchors(buckets), exchange.FIELDS)
+    first = first.groupBy("g").applyInArrow(_by_owner(6), by_document)
     extended = d.join(first.hint("merge"), ["doc", "key"]).select("doc", "key", "text", "answers")
-    second = extended.mapInArrow(_level_2(buckets, half), _BLOCK).groupBy("bucket").applyInArrow(_later_windows, _ANSWER)
-    second = second.groupBy("doc", "key").agg(F.collect_list("answer").alias("answers"))
+    second = extended.mapInArrow(_level_2(buckets, half), _BLOCK).groupBy("bucket").applyInArrow(_later_windows(buckets), exchange.FIELDS)
+    second = second.groupBy("g").applyInArrow(_by_owner(4), by_document)
     return d.join(second.hint("merge"), ["doc", "key"], "left").select("doc", "key", "text", "answers").mapInArrow(_kept(half), "doc_id long, n_words long, n_removed long, kept_sha256 string")

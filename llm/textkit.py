@@ -18,7 +18,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text a kernel handles at once; bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (2 << 20) - 64
 
 SPACE_CLASS = np.ones(256, bool)
 SPACE_CLASS[[0x20, *range(0x09, 0x0E)]] = False
