@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusloom.functions import scalars as S
 
@@ -263,7 +264,7 @@ def read_contents(spark: SparkSession, files: DataFrame) -> DataFrame:
         for b in batches:
             yield b.assign(content=[Path(p).read_bytes() for p in b["path"]])
 
-    return files.mapInPandas(run, files.schema.add("content", "binary"))
+    return files.mapInPandas(run, StructType([*files.schema.fields, StructField("content", BinaryType())]))
 
 
 def folder_preview(files: DataFrame, most: int = 50_000) -> DataFrame:
