@@ -205,7 +205,7 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with every span of its text replaced by its kind in angle brackets; n_chars follows. Null texts stay null.
+    """docs with every span of its text replaced by its kind in angle brackets; n_chars follows. Rows without spans stay as they are.
 
     Overlapping spans are replaced from the left; one that begins inside a replaced span goes with it.
     """
@@ -220,5 +220,5 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     out = found.withColumn("text", text)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in columns])

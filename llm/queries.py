@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat_format, decontaminate, ngram_join, pii, quality, substring_dedup, token_counts, token_mix, toxicity
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401  the driver reads it here
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
