@@ -11,12 +11,13 @@ fragment is treated apart:
    (a list of bounded size) by frequency. Two sets that link share an n-gram of
    their prefixes in that order, n-grams of step 1 counted first.
 3. Candidate pairs are counted per fragment, and the partial overlaps summed per pair.
-   Pairs are first drawn from each prefix n-gram's leader to its other sets, so a
+   First each set meets one leader (the set of a prefix n-gram that has fewest n-grams of its own), so a
    large group of near copies costs one pair a set; then only sets of still
-   different components that share a prefix n-gram are compared.
+   different components that share a prefix n-gram are compared, where the n-grams that they share
+   with any other set, and parity maps of these n-grams, allow the similarity at all.
 
 Blocks, not rows, go through the exchange of step 1: a slice of documents sends each
-fragment one row of packed 48-bit fingerprints. N-grams that many documents of a slice
+fragment one row of packed 48-bit fingerprints, by places within the slice. N-grams that many documents of a slice
 share are sent once with a count. A false match of two fingerprints within one pair of sets has
 probability under 1e-8 for sets of a thousand n-grams.
 
@@ -32,9 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import exchange
 from . import textkit as T
 from .common import NULL_ID, bucket_count, cut
 
@@ -46,10 +48,18 @@ LOCAL_HOT = 12
 HEAVY, HEAVY_DF = 1 << 17, 32
 #: Fragments in which the overlaps of a pair are counted.
 FRAGMENTS = 4
-SLICE = 4 << 20
-
-_BLOCK = "kind int, bucket int, doc long, n int, a long, b long, sets binary, sizes binary, counts binary, tokens binary, hot binary, hot_counts binary"
-_PIECE = "kind int, doc long, n int, a long, b long, tokens binary"
+SLICE = (4 << 20) - 64
+#: Bits of a set's parity map: the least number of n-grams in which two sets differ is the number of bits in which their maps do.
+MAP_BITS = 512
+#: Parts in which a fragment is worked off, one after the other; bounds a worker's memory.
+PARTS = 8
+
+#: kind 0: n-grams of one fragment in one slice; 1: the slice's sets (ids, a and b of the sets, sizes); 2: its hot n-grams by set.
+_BLOCK_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "sets", "sizes", "which", "counts", "tokens", "hot", "hot_counts")]])
+_BLOCK = "kind int, bucket int, slice long, ids binary, sets binary, sizes binary, which binary, counts binary, tokens binary, hot binary, hot_counts binary"
+#: kind 0: packed answers; 1: as above; 3: a frequent n-gram (slice: the n-gram, times: its sets).
+_PIECE_SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("times", pa.int64()), ("ids", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary()), *exchange.SCHEMA])
+_PIECE = "kind int, slice long, times long, ids binary, sets binary, sizes binary, " + exchange.FIELDS
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -93,7 +103,6 @@ def _small_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
 
 def _fragments(buckets: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), *[(c, pa.binary()) for c in ("sets", "sizes", "counts", "tokens", "hot", "hot_counts")]])
         for rows, buf, offsets in _small_slices(batches):
             doc, token = shingle_sets(buf, offsets, n)
             size = np.bincount(doc, minlength=rows.num_rows)
@@ -101,16 +110,16 @@ def _fragments(buckets: int, n: int):
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(token ^ np.uint64(s)))]) for s in (0x51AB3C5D9E7F1021, 0x1F83D9ABFB41BD6B)]
             a, b = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
             ids = np.asarray(rows.column(0).cast(pa.int64()).fill_null(NULL_ID))
-            out: dict[str, list] = {c: [] for c in schema.names}
+            places = np.arange(len(ids), dtype=np.uint64)
+            name = int((T.mix(a.view(np.uint64) + places) ^ T.mix(b.view(np.uint64) + ids.view(np.uint64) * np.uint64(3))).sum(dtype=np.uint64).view(np.int64))
+            home = name % buckets
+            out: dict[str, list] = {c: [] for c in _BLOCK_SCHEMA.names}
 
             def row(**values):
-                for c in schema.names:
+                for c in _BLOCK_SCHEMA.names:
                     out[c].append(values.get(c))
 
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), 1, np.int32)), pa.array((a.view(np.uint64) % np.uint64(buckets)).astype(np.int32)), pa.array(ids), pa.array(size.astype(np.int32)), pa.array(a), pa.array(b), *[pa.nulls(len(ids), pa.binary())] * 6],
-                schema=schema,
-            )
+            row(kind=1, bucket=home, slice=name, ids=ids.astype("<i8").tobytes(), sets=np.stack([a, b], 1).astype("<i8").tobytes(), sizes=size.astype("<i4").tobytes())
             # One of the slice's equal sets speaks for all.
             _, one = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
             speaks = np.zeros(len(ids), bool)
@@ -120,125 +129,132 @@ def _fragments(buckets: int, n: int):
             ordered = np.sort(token)
             edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
             runs = np.diff(edge)
-            often = ordered[edge[:-1][runs >= LOCAL_HOT]]
-            often_n = runs[runs >= LOCAL_HOT]
+            often, often_n = ordered[edge[:-1][runs >= LOCAL_HOT]], runs[runs >= LOCAL_HOT]
+            del ordered
             is_hot = np.zeros(len(token), bool)
             if len(often):
-                at = np.minimum(np.searchsorted(often, token), len(often) - 1)
-                is_hot = often[at] == token
-                hot_docs, hot_first = np.unique(doc[is_hot], return_index=True)
-                hot_tokens = token[is_hot]
-                hot_ends = np.append(hot_first[1:], len(hot_tokens))
-                for d, lo, hi in zip(hot_docs.tolist(), hot_first.tolist(), hot_ends.tolist(), strict=True):
-                    row(kind=2, bucket=int(a[d].view(np.uint64) % np.uint64(buckets)), n=int(size[d]), a=int(a[d]), b=int(b[d]), tokens=pack48(hot_tokens[lo:hi]))
+                is_hot = often[np.minimum(np.searchsorted(often, token), len(often) - 1)] == token
+                which, counts = np.unique(doc[is_hot], return_counts=True)
+                row(kind=2, bucket=home, slice=name, which=which.astype("<u2").tobytes(), counts=counts.astype("<u4").tobytes(), tokens=pack48(token[is_hot]))
             doc, token = doc[~is_hot], token[~is_hot]
-            bucket = ((token >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            bucket = _fragment_of(token, buckets)
             order = np.argsort(bucket, kind="stable")
-            doc, token, bucket = doc[order], token[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(buckets + 1))
-            often_bucket = ((often >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            often_ends = np.searchsorted(often_bucket, np.arange(buckets + 1))
+            doc, token = doc[order], token[order]
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            often_ends = np.searchsorted(_fragment_of(often, buckets), np.arange(buckets + 1))
             for f in np.flatnonzero((np.diff(ends) > 0) | (np.diff(often_ends) > 0)).tolist():
                 lo, hi = ends[f], ends[f + 1]
-                ds, cs = np.unique(doc[lo:hi], return_counts=True)
+                step = np.flatnonzero(np.concatenate([[True], doc[lo + 1 : hi] != doc[lo : hi - 1]])) if hi > lo else np.zeros(0, np.int64)
                 x, y = often_ends[f], often_ends[f + 1]
-                row(kind=0, bucket=f, sets=np.stack([a[ds], b[ds]], 1).astype("<i8").tobytes(), sizes=size[ds].astype("<i4").tobytes(), counts=cs.astype("<i4").tobytes(), tokens=pack48(token[lo:hi]), hot=pack48(often[x:y]), hot_counts=often_n[x:y].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+                row(kind=0, bucket=f, slice=name, which=doc[lo:hi][step].astype("<u2").tobytes(), counts=np.diff(np.append(step, hi - lo)).astype("<u4").tobytes(), tokens=pack48(token[lo:hi]), hot=pack48(often[x:y]), hot_counts=often_n[x:y].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_pydict(out, schema=_BLOCK_SCHEMA)
 
     return run
 
 
-def _in_fragment(group: pa.Table) -> pa.Table:
-    """N-grams of one fragment that at least two distinct sets hold; the rows of kinds 1 and 2 pass through, kind 2 once per set."""
-    schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("tokens", pa.binary())])
-    kind = np.asarray(group["kind"])
-    parts = [group.filter(pa.array(kind == 1)).select(schema.names).cast(schema)]
-    hot_rows = group.filter(pa.array(kind == 2)).select(["n", "a", "b", "tokens"]).to_pylist()
-    held: dict[tuple[int, int, int], list[np.ndarray]] = {}
-    for r in hot_rows:
-        held.setdefault((r["n"], r["a"], r["b"]), []).append(unpack48(r["tokens"]))
-    if held:
-        parts.append(pa.table([pa.array([0] * len(held), pa.int32()), pa.nulls(len(held), pa.int64()), pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], pa.int64()), pa.array([k[2] for k in held], pa.int64()), pa.array([pack48(np.unique(np.concatenate(v))) for v in held.values()], pa.binary())], schema=schema))
-    blocks = group.filter(pa.array(kind == 0))
-    join = lambda c: b"".join(x for x in blocks[c].to_pylist() if x)
-    token = unpack48(join("tokens"))
-    hot = unpack48(join("hot"))
-    hot_n = np.frombuffer(join("hot_counts"), "<i4").astype(np.int64)
-    sets = np.frombuffer(join("sets"), "<i8").reshape(-1, 2)
-    sizes = np.frombuffer(join("sizes"), "<i4")
-    of = np.repeat(np.arange(len(sets)), np.frombuffer(join("counts"), "<i4"))
-    del blocks
-    heavy_t, heavy_n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    hot_u, hot_inv = np.unique(hot, return_inverse=True)
-    hot_df = np.bincount(hot_inv, weights=hot_n, minlength=len(hot_u)).astype(np.int64) if len(hot_u) else np.zeros(0, np.int64)
-    if len(token):
-        order = np.argsort(token, kind="stable")
-        t, s = token[order], sets[of[order], 0]
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        run = np.diff(np.append(start, len(t)))
-        shared = np.minimum.reduceat(s, start) != np.maximum.reduceat(s, start)
-        value = t[start]
-        df = run.copy()
-        if len(hot_u):
-            at = np.minimum(np.searchsorted(hot_u, value), len(hot_u) - 1)
-            same = hot_u[at] == value
-            shared |= same
-            df[same] += hot_df[at[same]]
-        keep = np.zeros(len(token), bool)
-        keep[order] = np.repeat(shared, run)
-        big = df >= HEAVY_DF
-        heavy_t.append(value[big])
-        heavy_n.append(df[big])
-        # One row per (set, n-gram), however many slices hold the set.
-        k_tok, k_of = token[keep], of[keep]
-        a, b = sets[k_of, 0], sets[k_of, 1]
-        o = np.lexsort((k_tok, b, a))
-        a, b, k_tok, k_n = a[o], b[o], k_tok[o], sizes[k_of][o]
-        if len(o):
-            fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (k_tok[1:] != k_tok[:-1])])
-            a, b, k_tok, k_n = a[fresh], b[fresh], k_tok[fresh], k_n[fresh]
-            begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            packed = pack48(k_tok)
-            stops = np.append(begin, len(a)).astype(np.int32) * 6
-            blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(packed)])
-            parts.append(pa.table([pa.array(np.zeros(len(begin), np.int32)), pa.nulls(len(begin), pa.int64()), pa.array(k_n[begin].astype(np.int32)), pa.array(a[begin]), pa.array(b[begin]), blobs], schema=schema))
-        if len(hot_u):
-            rest = ~np.isin(hot_u, value)
-            heavy_t.append(hot_u[rest])
-            heavy_n.append(hot_df[rest])
-    else:
-        heavy_t.append(hot_u)
-        heavy_n.append(hot_df)
-    ht, hn = np.concatenate(heavy_t), np.concatenate(heavy_n)
-    parts.append(pa.table([pa.array(np.full(len(ht), 3, np.int32)), pa.nulls(len(ht), pa.int64()), pa.array(np.minimum(hn, 2**31 - 1).astype(np.int32)), pa.array(ht.astype(np.int64)), pa.nulls(len(ht), pa.int64()), pa.nulls(len(ht), pa.binary())], schema=schema))
-    return pa.concat_tables(parts)
+def _fragment_of(token: np.ndarray, buckets: int) -> np.ndarray:
+    return ((token >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _piece(kind: int, rows: int, **columns) -> pa.Table:
+    """rows of one kind; columns that are not given are null."""
+    columns["kind"] = pa.array(np.full(rows, kind, np.int32))
+    return pa.table([columns.get(f.name, pa.nulls(rows, f.type)) for f in _PIECE_SCHEMA], schema=_PIECE_SCHEMA)
+
+
+def _in_fragment(groups: int):
+    """N-grams of one fragment that at least two sets hold, packed for the sets' slices; slices' own rows go through; frequent n-grams."""
+
+    def answers(rows: pa.Table, keep: np.ndarray | None, token: np.ndarray) -> pa.Table:
+        """Packed entries of rows with slice, which and counts; keep: of the tokens."""
+        which = [np.frombuffer(x, "<u2") for x in rows["which"].to_pylist()]
+        slice_ = np.repeat(np.asarray(rows["slice"]), [len(x) for x in which])
+        of = np.repeat(np.arange(len(slice_)), np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4"))
+        if keep is not None:
+            of, token = of[keep], token[keep]
+        owners = np.stack([slice_, np.concatenate(which).astype(np.int64) if which else np.zeros(0, np.int64), np.zeros(len(slice_), np.int64)], 1)
+        t = exchange.pack(owners, of, token, groups, pack48, by_first=True)
+        return _piece(0, len(t), **{c: t[c] for c in t.column_names})
+
+    def run(group: pa.Table) -> pa.Table:
+        kind = np.asarray(group["kind"])
+        own = group.filter(pa.array(kind == 1))
+        g = exchange.group_of(np.stack([np.asarray(own["slice"]), np.zeros(len(own), np.int64)], 1), groups)
+        parts = [_piece(1, len(own), slice=own["slice"], ids=own["ids"], sets=own["sets"], sizes=own["sizes"], g=pa.array(g.astype(np.int32)))]
+        hot_rows = group.filter(pa.array(kind == 2))
+        parts.append(answers(hot_rows, None, unpack48(b"".join(hot_rows["tokens"].to_pylist()))))
+        blocks = group.filter(pa.array(kind == 0))
+        del group
+        token, hot = unpack48(b"".join(blocks["tokens"].to_pylist())), unpack48(b"".join(blocks["hot"].to_pylist()))
+        hot_n = np.frombuffer(b"".join(blocks["hot_counts"].to_pylist()), "<i4").astype(np.int64)
+        hot_u, at = np.unique(hot, return_inverse=True)
+        hot_df = np.bincount(at, weights=hot_n, minlength=len(hot_u)).astype(np.int64)
+        shared = np.zeros(len(token), bool)
+        part = (token & np.uint64(PARTS - 1)).astype(np.uint8)
+        frequent, times = [hot_u], [hot_df]
+        for k in range(PARTS):
+            at = np.flatnonzero(part == k)
+            value, inverse, df = np.unique(token[at], return_inverse=True, return_counts=True)
+            if not len(value):
+                continue
+            many = df > 1
+            if len(hot_u):
+                near = np.minimum(np.searchsorted(hot_u, value), len(hot_u) - 1)
+                many |= hot_u[near] == value
+            shared[at] = many[inverse]
+            frequent.append(value[df >= HEAVY_DF])
+            times.append(df[df >= HEAVY_DF])
+        parts.append(answers(blocks, shared, token))
+        value, inverse = np.unique(np.concatenate(frequent), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(value)).astype(np.int64)
+        parts.append(_piece(3, len(value), slice=pa.array(value.astype(np.int64)), times=pa.array(total)))
+        return pa.concat_tables(parts)
 
+    return run
 
-def _assemble(heavy, similar: int, of: int):
-    """Whole sets from their fragments: order, prefix; sets that cannot link are left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = heavy.value
-        for batch in batches:
-            out: dict[str, list] = {"a": [], "b": [], "n": [], "tokens": [], "prefix": []}
-            for a, b, n, blobs in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "blobs")), strict=True):
-                t = np.unique(unpack48(b"".join(blobs)))
-                need = -(-similar * n // of)
-                if len(t) < need:
-                    continue
-                if len(h[0]):
-                    at = np.minimum(np.searchsorted(h[0], t), len(h[0]) - 1)
-                    t = t[np.argsort(np.where(h[0][at] == t, h[1][at], 0), kind="stable")]
-                out["a"].append(a)
-                out["b"].append(b)
-                out["n"].append(n)
-                out["tokens"].append(t.astype(np.int64))
-                out["prefix"].append(t[: n - need + 1 - (n - len(t))].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["tokens"], pa.list_(pa.int64())), pa.array(out["prefix"], pa.list_(pa.int64()))], ["a", "b", "n", "tokens", "prefix"])
+def _assemble(heavy, similar: int, of: int):
+    """Whole sets of a group of slices from their fragments: order, prefix; sets that cannot link are left out."""
+
+    def run(group: pa.Table) -> pa.Table:
+        h_token, h_df = heavy.value
+        kind = np.asarray(group["kind"])
+        own = group.filter(pa.array(kind == 1))
+        sets = {s: (np.frombuffer(x, "<i8").reshape(-1, 2), np.frombuffer(y, "<i4")) for s, x, y in zip(own["slice"].to_pylist(), own["sets"].to_pylist(), own["sizes"].to_pylist(), strict=True)}
+        owners, first, values = exchange.unpack(group.filter(pa.array(kind == 0)), unpack48)
+        out: dict[str, list] = {"a": [], "b": [], "n": [], "tokens": [], "prefix": [], "bits": []}
+        for (name, k, _), lo, hi in zip(owners.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            (a, b), n = sets[name][0][k].tolist(), int(sets[name][1][k])
+            need = -(-similar * n // of)
+            if hi - lo < need:
+                continue
+            t = np.unique(values[lo:hi])
+            if len(t) < need:
+                continue
+            if len(h_token):
+                at = np.minimum(np.searchsorted(h_token, t), len(h_token) - 1)
+                t = t[np.argsort(np.where(h_token[at] == t, h_df[at], 0), kind="stable")]
+            out["a"].append(a)
+            out["b"].append(b)
+            out["n"].append(n)
+            out["tokens"].append(t.astype(np.int64))
+            out["prefix"].append(t[: n - need + 1 - (n - len(t))].astype(np.int64))
+            parity = np.bincount((t & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
+            out["bits"].append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+        longs = pa.list_(pa.int64())
+        return pa.table([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["n"], pa.int32()), *[pa.array(out[c], longs) for c in ("tokens", "prefix", "bits")]], names=list(out))
 
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A slice's documents: id, size and set."""
+    for batch in batches:
+        for ids, sets, sizes in zip(*(batch.column(c).to_pylist() for c in ("ids", "sets", "sizes")), strict=True):
+            s = np.frombuffer(sets, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(sizes, "<i4")), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc", "n", "a", "b"])
+
+
 def _links(pairs: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
     """Of the pairs (u, nu, v, nv), those whose overlaps, counted per fragment and summed, reach the similarity."""
     fragment = F.expr(f"transform(sequence(0, {FRAGMENTS - 1}), f -> struct(f, filter(tokens, x -> x % {FRAGMENTS} = f) as part))")
@@ -264,44 +280,56 @@ def components(links: DataFrame, what: str = "labels", most_rounds: int = 200) -
     raise RuntimeError("components did not settle")
 
 
-def _fits(similar: int, of: int) -> Column:
-    return F.expr(f"{of} * least(nu, nv) >= {similar} * greatest(nu, nv)")
+def _fits(similar: int, of: int, u: str = "u", v: str = "v") -> Column:
+    """Whether sets of sizes nu and nv can link: they share at most the n-grams that mu and mv of them share with any other set."""
+    shared = f"least(m{u}, m{v})"
+    return F.expr(f"{of} * {shared} >= {similar} * (n{u} + n{v} - {shared})")
+
+
+def _may_link(similar: int, of: int) -> Column:
+    """As _fits, with the parity maps: n-grams that differ at least leave fewer to share."""
+    apart = "aggregate(zip_with(bitsu, bitsv, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    shared = f"least(mu, mv, (mu + mv - {apart}) div 2)"
+    return F.expr(f"{of} * {shared} >= {similar} * (nu + nv - {shared})")
 
 
-def similar_sets(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int = OF) -> tuple[DataFrame, DataFrame | None]:
+def similar_sets(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int = OF) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has doc (NULL_ID for null), n and u, the set's identity; links has pairs of linked sets
     that span all components (every component of the link graph is connected by them)."""
     spark = docs.sparkSession
     buckets = bucket_count(docs)
     blocks = docs.select("doc_id", "text").mapInArrow(_fragments(buckets, n), _BLOCK)
-    pieces = cut(blocks.groupBy("bucket").applyInArrow(_in_fragment, _PIECE), "join-pieces")
-    members = pieces.where("kind = 1").select("doc", "n", F.struct("a", "b").alias("u"))
-    heavy = pieces.where("kind = 3").select(F.col("a").alias("token"), F.col("n").alias("df")).orderBy(F.col("df").desc(), "token").limit(HEAVY).collect()
-    t = np.array([r["token"] for r in heavy], np.uint64)
+    pieces = cut(blocks.groupBy("bucket").applyInArrow(_in_fragment(buckets), _PIECE), "join-pieces")
+    members = pieces.where("kind = 1").select("ids", "sets", "sizes").mapInArrow(_members, "doc long, n int, a long, b long").select("doc", "n", F.struct("a", "b").alias("u"))
+    heavy = pieces.where("kind = 3").select(F.col("slice").alias("token"), F.col("times").alias("df")).orderBy(F.col("df").desc(), "token").limit(HEAVY).toArrow()
+    t = np.asarray(heavy["token"]).astype(np.uint64)
     order = np.argsort(t)
-    held = spark.sparkContext.broadcast((t[order], np.array([r["df"] for r in heavy], np.int64)[order]))
-    whole = pieces.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("n"), F.collect_list("tokens").alias("blobs"), F.sum(F.length("tokens")).alias("bytes"))
-    whole = whole.where(f"{of} * bytes >= {similar} * 6 * n").select("a", "b", "n", "blobs")
-    sets = cut(whole.mapInArrow(_assemble(held, similar, of), "a long, b long, n int, tokens array<long>, prefix array<long>").withColumn("u", F.struct("a", "b")), "join-sets")
-    prefix = sets.select(F.explode("prefix").alias("token"), "u", "n")
-    leaders = prefix.groupBy("token").agg(F.min(F.struct("u", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", F.col("l.u").alias("u"), F.col("l.n").alias("nu"))
-    pairs = prefix.select("token", F.col("u").alias("v"), F.col("n").alias("nv")).join(leaders, "token").where("u < v").where(_fits(similar, of)).select("u", "nu", "v", "nv").distinct()
+    held = spark.sparkContext.broadcast((t[order], np.asarray(heavy["df"])[order]))
+    whole = pieces.where("kind in (0, 1)").groupBy("g").applyInArrow(_assemble(held, similar, of), "a long, b long, n int, tokens array<long>, prefix array<long>, bits array<long>")
+    # Equal sets of several slices are one set.
+    whole = whole.groupBy(F.struct("a", "b").alias("u")).agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("tokens", "prefix", "bits")])
+    sets = cut(whole, "join-sets")
+    # Of two sets, the smaller needs only its first n-grams, up to `short`, to meet the larger one's prefix (sizes in n, then identity).
+    short = F.expr(f"n - cast(ceil(2 * {similar} * n / ({similar} + {of})) as int) + 1 - (n - size(tokens))")
+    prefix = sets.select(F.posexplode("prefix").alias("at", "token"), "u", "n", F.size("tokens").alias("m"), short.alias("short")).select("token", "u", "n", "m", (F.col("at") < F.col("short")).alias("early"))
+    # A token's leader: the set with fewest n-grams of its own, as an original has among its copies. Each set is held against the leader it meets most often.
+    leaders = prefix.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "u", "n", "m")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", F.col("l.u").alias("u"), F.col("l.n").alias("nu"), F.col("l.m").alias("mu"))
+    met = prefix.select("token", F.col("u").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv")).join(leaders, "token").where("u <> v").where(_fits(similar, of))
+    met = met.groupBy("u", "nu", "v", "nv").count()
+    pairs = met.groupBy("v").agg(F.max(F.struct("count", "u", "nu", "nv")).alias("x")).select(F.col("x.u").alias("u"), F.col("x.nu").alias("nu"), "v", F.col("x.nv").alias("nv"))
     pairs = cut(pairs, "join-pairs")
     links = cut(_links(pairs, sets, similar, of), "join-links")
-    if links.limit(1).count() == 0 and pairs.limit(1).count() == 0:
-        return members, None
     roots = components(links, "join-roots")
-    # Sets of different components that share a prefix n-gram, by pairs of components within each n-gram.
-    placed = cut(prefix.join(roots, "u", "left").select("token", "u", "n", F.coalesce("root", "u").alias("root")), "join-placed")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    of_token = placed.join(mixed, "token").select("token", "root").distinct()
-    meets = of_token.withColumnRenamed("root", "r1").join(of_token.withColumnRenamed("root", "r2"), "token").where("r1 < r2")
-    left = placed.select("token", F.col("u").alias("x"), F.col("n").alias("nx"), F.col("root").alias("r1"))
-    right = placed.select("token", F.col("u").alias("y"), F.col("n").alias("ny"), F.col("root").alias("r2"))
-    more = meets.join(left, ["token", "r1"]).join(right, ["token", "r2"])
-    low = F.col("x") < F.col("y")
-    more = more.select(F.when(low, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("nu"), F.when(low, F.col("y")).otherwise(F.col("x")).alias("v"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nv"))
-    more = cut(more.where(_fits(similar, of)).distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti"), "join-more")
+    # Sets of different components that share a prefix n-gram.
+    placed = cut(prefix.join(roots, "u", "left").select("token", "u", "n", "m", "early", F.coalesce("root", "u").alias("root")), "join-placed")
+    # Each n-gram's most frequent component is left; its other sets are held against all.
+    sizes = placed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("token", "most")
+    here = cut(placed.join(sizes, "token").join(sets.select("u", "bits"), "u").select("token", "u", "n", "m", "early", "root", "bits", (F.col("root") != F.col("most")).alias("apart")), "join-mixed")
+    side = lambda x: [F.col("token"), *[F.col(c).alias(f"{c}{x}" if c != "u" else x) for c in ("root", "early", "apart", "u", "n", "m", "bits")]]
+    more = here.where("apart").select(*side("u")).join(here.select(*side("v")), "token").where("rootu <> rootv and (not apartv or u < v)")
+    more = more.where("case when nu < nv or (nu = nv and u < v) then earlyu else earlyv end").where(_fits(similar, of)).where(_may_link(similar, of))
+    tried = pairs.select("u", "v").union(pairs.select("v", "u"))
+    more = cut(more.select("u", "nu", "v", "nv").distinct().join(tried, ["u", "v"], "left_anti"), "join-more")
     late = cut(_links(more, sets, similar, of), "join-late")
     return members, links.unionByName(late)
 
@@ -311,14 +339,26 @@ def join_components(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int
     members, links = similar_sets(docs, n, similar, of)
     back = lambda c: F.when(F.col(c) != F.lit(NULL_ID), F.col(c))
     per_set = members.where("n > 0").groupBy("u").agg(F.min("doc").alias("least"))
-    if links is not None:
-        roots = components(links, "join-final")
-        placed = per_set.join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
-        least = placed.groupBy("root").agg(F.min("least").alias("component"))
-        per_set = placed.join(least, "root").select("u", F.col("component").alias("least"))
+    placed = per_set.join(components(links, "join-final"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component"))
+    per_set = placed.join(least, "root").select("u", F.col("component").alias("least"))
     out = members.join(per_set, "u", "left")
     return out.select(back("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, back("doc")).otherwise(back("least")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int = OF) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id; rows of one doc_id count as one document (least text fingerprint stays).
+
+    Rows without words and rows without doc_id stay as they are.
+    """
+    named = docs.where("doc_id is not null")
+    found = join_components(named.select("doc_id", "text"), n, similar, of)
+    gone = cut(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
+    left = named.join(gone.hint("merge"), named["doc_id"] == gone["_gone"], "left_anti")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    left = left.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
+    return left.unionByName(docs.where("doc_id is null"))
+
+
 def prefix_length(size: int, similar: int = SIMILAR, of: int = OF) -> int:
     return size - math.ceil(similar * size / of) + 1
