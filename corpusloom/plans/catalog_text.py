@@ -139,32 +139,34 @@ def _(s, d):
 # -- scalar functions ---------------------------------------------------------------------------
 
 
-def scalar(name, sql, *columns):
+def scalar(name, sql, columns):
+    """columns: a function, since column expressions need a running session."""
+
     def run(s, d):
-        return files(s, d).select("file_id", *columns)
+        return files(s, d).select("file_id", *columns())
 
     query(name, sql)(run)
 
 
-scalar("basename", r"SELECT file_id, regexp_extract(path, '[^/]*$') AS name FROM files", S.basename("path").alias("name"))
-scalar("folder_path", "SELECT file_id, source || '/' || lang AS folder FROM files", S.folder_path("relative_path").alias("folder"))
-scalar("safe_folder", "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN '' ELSE source || '/' || lang END AS folder FROM files", S.safe_folder(F.when(F.col("file_id") % 3 == 0, F.col("path")).otherwise(F.replace("relative_path", F.lit("/"), F.lit("\\")))).alias("folder"))
-scalar("portable_path", "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN relative_path ELSE regexp_extract(path, '[^/]*$') END AS portable FROM files", S.portable_path("path", F.when(F.col("file_id") % 2 == 0, F.col("relative_path"))).alias("portable"))
-scalar("content_hash", "SELECT file_id, content_hash FROM files", F.col("content_hash"))
-scalar("model_key", "SELECT file_id, substring(sha256(source || ':' || lang || ':64:' || content_hash), 1, 32) AS model_key FROM files", S.model_key("source", "lang", F.lit(64), "content_hash").alias("model_key"))
-scalar("sidecar_name", "SELECT file_id, regexp_extract(path, '[^/]*$') || '.corpusloom.md' AS sidecar, false AS is_one FROM files", S.sidecar_name("path").alias("sidecar"), S.is_sidecar("path").alias("is_one"))
-scalar("excerpt80", rf"SELECT file_id, CASE WHEN length(t) > 80 THEN substring(t, 1, 77) || '...' ELSE t END AS excerpt FROM (SELECT file_id, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS t FROM files)", S.excerpt("text").alias("excerpt"))
-scalar("text_metrics", rf"SELECT file_id, CAST(length({STRIP.format('text')}) AS INTEGER) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words, CAST(length(regexp_replace(text, '\s', '', 'g')) AS INTEGER) AS solid FROM files", S.char_count("text").alias("chars"), S.word_count("text").alias("words"), S.non_space_count("text").alias("solid"))
-scalar("garbled_ratio", r"SELECT file_id, round(CASE WHEN length(text) > 0 THEN CAST(length(regexp_replace(text || repeat(chr(65533), CAST(file_id % 4 AS INTEGER)), '[^\x{FFFD}\x00-\x08\x0B\x0E-\x1F]', '', 'g')) AS DOUBLE) / length(text || repeat(chr(65533), CAST(file_id % 4 AS INTEGER))) ELSE 0 END, 8) AS ratio FROM files", F.round(S.garbled_ratio(F.concat("text", F.repeat(F.lit("�"), (F.col("file_id") % 4).cast("int")))), 8).alias("ratio"))
-scalar("embedding_text", "SELECT file_id, sha256('Recipe: 1' || chr(10) || 'File: ' || regexp_extract(path, '[^/]*$') || chr(10) || 'Folder: ' || source || '/' || lang || chr(10) || 'Type: text/plain' || chr(10) || 'Page: 1' || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || text) AS digest FROM files", F.sha2(S.embedding_text("text", S.basename("path"), S.folder_path("relative_path"), F.lit("text/plain"), F.lit(1), None, "lang"), 256).alias("digest"))
-scalar("query_instruction", "SELECT file_id, 'Instruct: find passages' || chr(10) || 'Query: ' || source AS q FROM files", S.with_instruction("source", "find passages").alias("q"))
-scalar("safe_component", "SELECT file_id, trim(regexp_replace(relative_path || '?!', '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe FROM files", S.safe_component(F.concat("relative_path", F.lit("?!"))).alias("safe"))
-scalar("path_flags", "SELECT file_id, file_id % 3 = 0 AS cloud, file_id % 3 = 1 AS network FROM files", S.is_cloud_synced(F.concat(F.when(F.col("file_id") % 3 == 0, "/Users/x/Dropbox").when(F.col("file_id") % 3 == 1, "/Volumes/x").otherwise(""), F.col("path"))).alias("cloud"), S.is_network_volume(F.concat(F.when(F.col("file_id") % 3 == 1, "/Volumes/x").otherwise(""), F.col("path"))).alias("network"))
-scalar("under_root", "SELECT file_id, path = '/corpus/src1' OR starts_with(path, '/corpus/src1/') AS inside FROM files", S.under_root("path", "/corpus/src1").alias("inside"))
-scalar("path_inside", "SELECT file_id, path = '/corpus' OR starts_with(path, '/corpus/') AS inside, starts_with(path, '/cor/') AS beside FROM files", S.under_root("path", "/corpus").alias("inside"), S.under_root("path", "/cor").alias("beside"))
-scalar("page_mode", "SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'native' WHEN 1 THEN 'ocr' WHEN 2 THEN 'merged' WHEN 3 THEN 'failed' ELSE 'skipped' END AS mode FROM files", S.page_mode(F.element_at(F.array(*map(F.lit, ["native", "ocr", "merged", "none", "none"])), (F.col("file_id") % 5 + 1).cast("int")), F.when(F.col("file_id") % 5 == 3, "broken")).alias("mode"))
-scalar("combine_blocks", f"SELECT file_id, sha256('{X.NATIVE_OPEN}' || chr(10) || source || chr(10) || '{X.NATIVE_CLOSE}' || chr(10) || chr(10) || '{X.PAGE_OPEN}' || chr(10) || text || chr(10) || '{X.PAGE_CLOSE}') AS digest FROM files", F.sha2(X.combine_blocks("source", "text"), 256).alias("digest"))
-scalar("transient_error", "SELECT file_id, file_id % 4 < 2 AS transient FROM files", S.is_transient(F.element_at(F.array(*map(F.lit, ["Request Timed Out", "ConnectError: refused", "bad page", "no text"])), (F.col("file_id") % 4 + 1).cast("int"))).alias("transient"))
+scalar("basename", r"SELECT file_id, regexp_extract(path, '[^/]*$') AS name FROM files", lambda: [S.basename("path").alias("name")])
+scalar("folder_path", "SELECT file_id, source || '/' || lang AS folder FROM files", lambda: [S.folder_path("relative_path").alias("folder")])
+scalar("safe_folder", "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN '' ELSE source || '/' || lang END AS folder FROM files", lambda: [S.safe_folder(F.when(F.col("file_id") % 3 == 0, F.col("path")).otherwise(F.replace("relative_path", F.lit("/"), F.lit("\\")))).alias("folder")])
+scalar("portable_path", "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN relative_path ELSE regexp_extract(path, '[^/]*$') END AS portable FROM files", lambda: [S.portable_path("path", F.when(F.col("file_id") % 2 == 0, F.col("relative_path"))).alias("portable")])
+scalar("content_hash", "SELECT file_id, content_hash FROM files", lambda: [F.col("content_hash")])
+scalar("model_key", "SELECT file_id, substring(sha256(source || ':' || lang || ':64:' || content_hash), 1, 32) AS model_key FROM files", lambda: [S.model_key("source", "lang", F.lit(64), "content_hash").alias("model_key")])
+scalar("sidecar_name", "SELECT file_id, regexp_extract(path, '[^/]*$') || '.corpusloom.md' AS sidecar, false AS is_one FROM files", lambda: [S.sidecar_name("path").alias("sidecar"), S.is_sidecar("path").alias("is_one")])
+scalar("excerpt80", rf"SELECT file_id, CASE WHEN length(t) > 80 THEN substring(t, 1, 77) || '...' ELSE t END AS excerpt FROM (SELECT file_id, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS t FROM files)", lambda: [S.excerpt("text").alias("excerpt")])
+scalar("text_metrics", rf"SELECT file_id, CAST(length({STRIP.format('text')}) AS INTEGER) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS words, CAST(length(regexp_replace(text, '\s', '', 'g')) AS INTEGER) AS solid FROM files", lambda: [S.char_count("text").alias("chars"), S.word_count("text").alias("words"), S.non_space_count("text").alias("solid")])
+scalar("garbled_ratio", r"SELECT file_id, round(CASE WHEN length(text) > 0 THEN CAST(length(regexp_replace(text || repeat(chr(65533), CAST(file_id % 4 AS INTEGER)), '[^\x{FFFD}\x00-\x08\x0B\x0E-\x1F]', '', 'g')) AS DOUBLE) / length(text || repeat(chr(65533), CAST(file_id % 4 AS INTEGER))) ELSE 0 END, 8) AS ratio FROM files", lambda: [F.round(S.garbled_ratio(F.concat("text", F.repeat(F.lit("�"), (F.col("file_id") % 4).cast("int")))), 8).alias("ratio")])
+scalar("embedding_text", "SELECT file_id, sha256('Recipe: 1' || chr(10) || 'File: ' || regexp_extract(path, '[^/]*$') || chr(10) || 'Folder: ' || source || '/' || lang || chr(10) || 'Type: text/plain' || chr(10) || 'Page: 1' || chr(10) || 'Section: ' || lang || chr(10) || chr(10) || text) AS digest FROM files", lambda: [F.sha2(S.embedding_text("text", S.basename("path"), S.folder_path("relative_path"), F.lit("text/plain"), F.lit(1), None, "lang"), 256).alias("digest")])
+scalar("query_instruction", "SELECT file_id, 'Instruct: find passages' || chr(10) || 'Query: ' || source AS q FROM files", lambda: [S.with_instruction("source", "find passages").alias("q")])
+scalar("safe_component", "SELECT file_id, trim(regexp_replace(relative_path || '?!', '[^A-Za-z0-9_.-]+', '_', 'g'), '_') AS safe FROM files", lambda: [S.safe_component(F.concat("relative_path", F.lit("?!"))).alias("safe")])
+scalar("path_flags", "SELECT file_id, file_id % 3 = 0 AS cloud, file_id % 3 = 1 AS network FROM files", lambda: [S.is_cloud_synced(F.concat(F.when(F.col("file_id") % 3 == 0, "/Users/x/Dropbox").when(F.col("file_id") % 3 == 1, "/Volumes/x").otherwise(""), F.col("path"))).alias("cloud"), S.is_network_volume(F.concat(F.when(F.col("file_id") % 3 == 1, "/Volumes/x").otherwise(""), F.col("path"))).alias("network")])
+scalar("under_root", "SELECT file_id, path = '/corpus/src1' OR starts_with(path, '/corpus/src1/') AS inside FROM files", lambda: [S.under_root("path", "/corpus/src1").alias("inside")])
+scalar("path_inside", "SELECT file_id, path = '/corpus' OR starts_with(path, '/corpus/') AS inside, starts_with(path, '/cor/') AS beside FROM files", lambda: [S.under_root("path", "/corpus").alias("inside"), S.under_root("path", "/cor").alias("beside")])
+scalar("page_mode", "SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'native' WHEN 1 THEN 'ocr' WHEN 2 THEN 'merged' WHEN 3 THEN 'failed' ELSE 'skipped' END AS mode FROM files", lambda: [S.page_mode(F.element_at(F.array(*map(F.lit, ["native", "ocr", "merged", "none", "none"])), (F.col("file_id") % 5 + 1).cast("int")), F.when(F.col("file_id") % 5 == 3, "broken")).alias("mode")])
+scalar("combine_blocks", f"SELECT file_id, sha256('{X.NATIVE_OPEN}' || chr(10) || source || chr(10) || '{X.NATIVE_CLOSE}' || chr(10) || chr(10) || '{X.PAGE_OPEN}' || chr(10) || text || chr(10) || '{X.PAGE_CLOSE}') AS digest FROM files", lambda: [F.sha2(X.combine_blocks("source", "text"), 256).alias("digest")])
+scalar("transient_error", "SELECT file_id, file_id % 4 < 2 AS transient FROM files", lambda: [S.is_transient(F.element_at(F.array(*map(F.lit, ["Request Timed Out", "ConnectError: refused", "bad page", "no text"])), (F.col("file_id") % 4 + 1).cast("int"))).alias("transient")])
 
 
 @query("tokenize", rf"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORDS}')) AS token FROM documents) GROUP BY token")
