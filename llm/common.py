@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Input bytes (as Spark's statistics give them) that one bucket of a blob exchange is to hold.
 BUCKET_BYTES = 12 << 20
@@ -48,9 +47,20 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone; so extra or clashing columns of a caller never reach an exchange."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+#: Folders that cut() has written in this process.
+_WRITTEN: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Remove the intermediate folders that cut() wrote in this process, once the results made of them are written; their number."""
+    jvm = spark._jvm
+    for path in _WRITTEN:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
+    return n

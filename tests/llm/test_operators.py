@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, ties, repeats, long texts and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -540,4 +541,8 @@ def test_em_finds_reliable_labelers():
 
 
 def test_checkpoint_folder_is_the_sessions(spark):
-    assert common.checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert common.checkpoint_root(spark) == root
+    kept = common.cut(spark.range(5), "probe")
+    assert kept.count() == 5 and os.path.isdir(root.removeprefix("file://"))
+    assert common.forget(spark) >= 1 and not [x for x in os.listdir(root.removeprefix("file://")) if x.startswith("probe-")]
