@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import unicodedata
 from typing import Any
 
 from pyspark.sql import Column
@@ -213,9 +214,27 @@ def page_mode(text_source: Column | str, error: Column | str) -> Column:
     return F.when(s.isin("native", "ocr", "merged"), s).when(e.isNotNull() & (e != ""), "failed").otherwise("skipped")
 
 
-def tokenize(text: Column | str) -> Column:
-    """Lower-cased runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with one accent and the letters without it, from the character database."""
+    pairs = []
+    for code in [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]:
+        c, parts = chr(code), unicodedata.normalize("NFD", chr(code))
+        if c == c.lower() and len(parts) > 1 and parts[0].isascii() and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
+            pairs.append((c, parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, BARE = _accents()
+
+
+def fold_accents(text: Column | str) -> Column:
+    """Lower case, accents of Latin letters dropped."""
+    return F.translate(F.lower(_c(text)), ACCENTED, BARE)
+
+
+def tokenize(text: Column | str, fold: bool = False) -> Column:
+    """Lower-cased runs of letters and digits, in order; fold: without accents, as a full-text index holds them."""
+    return F.regexp_extract_all(fold_accents(text) if fold else F.lower(_c(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def union_area(rectangles: list[tuple[float, float, float, float]], most: int = 512) -> float | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,8 +16,11 @@ BASENAME_WEIGHT, FOLDER_WEIGHT, TOKEN_CAP, RRF_K = 3.0, 1.0, 500, 60
 
 
 def query_tokens(query: str, unicode: bool = False) -> list[str]:
-    """Words of a query as typed: ASCII letters and digits, or (unicode) all letters and digits. Repeats stay."""
-    return [t.lower() for t in re.findall(r"[^\W_]+" if unicode else r"[A-Za-z0-9]+", query)]
+    """Words of a query as typed: ASCII letters and digits, or (unicode) all letters and digits without accents. Repeats stay."""
+    if not unicode:
+        return [t.lower() for t in re.findall(r"[A-Za-z0-9]+", query)]
+    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if unicodedata.category(c) != "Mn")
+    return re.findall(r"[^\W_]+", plain)
 
 
 def checked_query(query: str, mode: str = "hybrid", top_k: int = 10) -> str:
@@ -44,7 +48,7 @@ def search_fts(chunks: DataFrame, query: str, k: int = POOL, key: str = "chunk_i
     spark = chunks.sparkSession
     if not wanted:
         return spark.createDataFrame([], chunks.select(key).schema.add("score", "double"))
-    tokens = S.tokenize(text)
+    tokens = S.tokenize(text, fold=True)
     distinct = list(dict.fromkeys(wanted))
     counted = chunks.select(key, F.size(tokens).alias("dl"), *[_times(tokens, t).alias(f"tf{i}") for i, t in enumerate(distinct)]).where("dl > 0")
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
@@ -62,7 +66,7 @@ def search_filenames(files: DataFrame, query: str, k: int = POOL, cap: int = TOK
     wanted = sorted(set(query_tokens(query)))
     if not wanted:
         return files.sparkSession.createDataFrame([], "file_id long, score double")
-    in_ = lambda c, t: F.array_contains(S.tokenize(c), F.lit(t))
+    in_ = lambda c, t: F.array_contains(S.tokenize(c, fold=True), F.lit(t))
     flags = [F.array(F.lit(t), F.lit(c), F.when(in_(c, t), "1")) for t in wanted for c in ("basename", "folder_path")]
     rows = files.select("file_id", F.explode(F.filter(F.array(*flags), lambda x: x[2].isNotNull())).alias("x")).select("file_id", F.col("x")[0].alias("token"), F.col("x")[1].alias("place"))
     total = files.agg(F.count("*").alias("n"))

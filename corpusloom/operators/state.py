@@ -120,6 +120,14 @@ def claim_next(items: DataFrame) -> DataFrame:
     return items.where(F.col("status").isin("paused", "queued")).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
+def next_action() -> Column:
+    """The first of these that applies, over columns service_down, store_ok, folders, has_run, failed; null where nothing is to do."""
+    c = F.col
+    return (
+        F.when(c("service_down"), "start_embedding_service").when(~c("store_ok"), "repair_store").when(c("folders") == 0, "add_folder").when(~c("has_run"), "index_now").when(c("failed") > 0, "review_failures")
+    )
+
+
 def schema_fingerprint(schema: StructType) -> str:
     return S.config_hash(json.loads(schema.json()))
 

@@ -262,7 +262,8 @@ def markdown_chunks(pages: DataFrame, config: MarkdownConfig = MarkdownConfig())
 
 # -- Layout blocks ------------------------------------------------------------------------------
 
-_SKIPPED, _HEADS = ("header", "footer"), ("title", "section_header", "doc_title", "paragraph_title")
+#: Layout block types that are left out, and those that are headings.
+_SKIPPED, _HEADS = ("header", "footer"), ("title", "paragraph_title", "doc_title")
 
 
 def flat_windows(text: str, size: int, overlap: int) -> list[str]:

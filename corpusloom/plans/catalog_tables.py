@@ -372,10 +372,11 @@ def _(s, d):
     return table(s, d, "events").where("event_type = 'error'").select("event_id", F.explode(errors).alias("e")).select("event_id", "e.k")
 
 
-@query("next_action", "SELECT run_id, CASE WHEN status = 'paused' THEN 'resume' WHEN status = 'queued' THEN 'start' WHEN run_id % 10 = 0 THEN 'review' ELSE 'search' END AS action FROM runs")
+@query("next_action", "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'start_embedding_service' WHEN c_custkey % 7 = 0 THEN 'repair_store' WHEN c_custkey % 5 = 0 THEN 'add_folder' WHEN c_acctbal <= 0 THEN 'index_now' WHEN c_custkey % 3 > 0 THEN 'review_failures' END AS action FROM customer")
 def _(s, d):
-    c = C("status")
-    return runs(s, d).select("run_id", F.when(c == "paused", "resume").when(c == "queued", "start").when(C("run_id") % 10 == 0, "review").otherwise("search").alias("action"))
+    k = C("c_custkey")
+    x = table(s, d, "customer").select("c_custkey", (k % 11 == 0).alias("service_down"), (k % 7 != 0).alias("store_ok"), (k % 5).alias("folders"), (C("c_acctbal") > 0).alias("has_run"), (k % 3).alias("failed"))
+    return x.select("c_custkey", M.next_action().alias("action"))
 
 
 @query("index_run")

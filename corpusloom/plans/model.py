@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import scalars as S
 from corpusloom.operators import text as X
 
 PAGE_CHARS = 4000
