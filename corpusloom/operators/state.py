@@ -120,6 +120,17 @@ def claim_next(items: DataFrame) -> DataFrame:
     return items.where(F.col("status").isin("paused", "queued")).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
+def corpus_fingerprint(rows: DataFrame, key: str, digest: str, digits: int = 2) -> DataFrame:
+    """One row: a digest of all `key:digest` lines in order. Lines are folded in groups by the key's hash, then the groups' digests, so that no task holds all lines."""
+
+    def fold(frame: DataFrame, by: list[str], order: str, value: Column) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
+        return frame.groupBy(*by).agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("fingerprint"))
+
+    groups = fold(rows.withColumn("_g", F.substring(F.sha2(key, 256), 1, digits)), ["_g"], key, F.concat_ws(":", key, digest))
+    return fold(groups, [], "_g", F.col("fingerprint"))
+
+
 def next_action() -> Column:
     """The first of these that applies, over columns service_down, store_ok, folders, has_run, failed; null where nothing is to do."""
     c = F.col

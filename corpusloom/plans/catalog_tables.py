@@ -152,11 +152,9 @@ def _(s, d):
     return files(s, d).select(S.folder_path("relative_path").alias("folder")).distinct()
 
 
-@query("corpus_fingerprint", "SELECT sha256(string_agg(relative_path || ':' || content_hash, chr(10) ORDER BY relative_path)) AS fingerprint FROM files")
+@query("corpus_fingerprint", "SELECT sha256(string_agg(part, chr(10) ORDER BY k)) AS fingerprint FROM (SELECT substring(sha256(relative_path), 1, 2) AS k, sha256(string_agg(relative_path || ':' || content_hash, chr(10) ORDER BY relative_path)) AS part FROM files GROUP BY 1)")
 def _(s, d):
-    # Hashes of prefix groups first, so that no task holds all lines; with one group this is the plain fold.
-    line = F.concat_ws(":", "relative_path", "content_hash")
-    return files(s, d).select("relative_path", line.alias("line")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relative_path", "line"))), lambda x: x["line"]), "\n"), 256).alias("fingerprint"))
+    return M.corpus_fingerprint(files(s, d), "relative_path", "content_hash")
 
 
 @query("mean_confidence", "SELECT l_orderkey, round(avg(l_discount), 8) AS confidence FROM lineitem GROUP BY l_orderkey")
