@@ -122,7 +122,7 @@ def hydrate(ranked: DataFrame, chunks: DataFrame, files: DataFrame, support: dic
     d = ranked
     for name, hits in support.items():
         d = d.join(hits.select("file_id", F.col("chunk_id").alias(f"chunk_{name}")), "file_id", "left")
-    first = chunks.join(F.broadcast(ranked.select("file_id")), "file_id", "left_semi").groupBy("file_id").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_first"))
+    first = chunks.join(ranked.select("file_id"), "file_id", "left_semi").groupBy("file_id").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_first"))
     d = d.join(first, "file_id", "left").withColumn("chunk_id", F.coalesce(*[F.col(f"chunk_{n}") for n in support], F.col("chunk_first")))
     c = chunks.select("chunk_id", "page_number", "chunk_index", "source_type", F.col("text").alias("chunk_text"))
     d = d.join(c, "chunk_id", "left").join(files.select("file_id", "path"), "file_id")
