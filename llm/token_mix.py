@@ -141,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     took = took.groupBy("doc_id", "source", "digest", "start").agg(F.sum("took").alias("taken"))
     key = F.expr("p.doc_id <=> k.doc_id and p.source <=> k.source and p.digest = k.digest and p.start = k.start and p.size > 0")
     out = placed.alias("p").join(took.alias("k"), key, "left").select("p.*", F.coalesce("k.taken", F.lit(0)).alias("taken"))
-    return out.alias("o").join(F.broadcast(targets).alias("t"), same("o", "t")).select("o.doc_id", "o.size", "t.source_size", "t.target", F.col("o.taken").cast("long").alias("taken"), "o.source", "o.digest", "o.start")
+    return out.alias("o").join(targets.alias("t"), same("o", "t")).select("o.doc_id", "o.size", "t.source_size", "t.target", F.col("o.taken").cast("long").alias("taken"), "o.source", "o.digest", "o.start")
 
 
 def order_slots(docs: DataFrame) -> DataFrame:
