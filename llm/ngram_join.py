@@ -48,7 +48,7 @@ LOCAL_HOT = 12
 HEAVY, HEAVY_DF = 1 << 17, 32
 #: Fragments in which the overlaps of a pair are counted.
 FRAGMENTS = 4
-SLICE = (4 << 20) - 64
+SLICE = (2 << 20) - 64
 #: Bits of a set's parity map: the least number of n-grams in which two sets differ is the number of bits in which their maps do.
 MAP_BITS = 512
 #: Parts in which a fragment is worked off, one after the other; bounds a worker's memory.
@@ -210,7 +210,7 @@ def _in_fragment(groups: int):
         parts.append(_piece(3, len(value), slice=pa.array(value.astype(np.int64)), times=pa.array(total)))
         return pa.concat_tables(parts)
 
-    return run
+    return T.releasing(run)
 
 
 def _assemble(heavy, similar: int, of: int):
@@ -244,7 +244,7 @@ def _assemble(heavy, similar: int, of: int):
         longs = pa.list_(pa.int64())
         return pa.table([pa.array(out["a"], pa.int64()), pa.array(out["b"], pa.int64()), pa.array(out["n"], pa.int32()), *[pa.array(out[c], longs) for c in ("tokens", "prefix", "bits")]], names=list(out))
 
-    return run
+    return T.releasing(run)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,7 +169,7 @@ def _by_owner(width: int):
         blobs = pa.Array.from_buffers(pa.large_binary(), len(owners), [None, pa.py_buffer((first * width).astype(np.int64).tobytes()), pa.py_buffer(packed)])
         return pa.table([pa.array(owners[:, 0]), pa.array(owners[:, 1]), blobs.cast(pa.binary())], names=["doc", "key", "answers"])
 
-    return run
+    return T.releasing(run)
 
 
 def _gather(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def _repeated_anchors(groups: int):
             parts.append(exchange.pack(sets, of[keep], prints[keep], groups, pack48))
         return pa.concat_tables(parts)
 
-    return run
+    return T.releasing(run)
 
 
 def _level_2(buckets: int, half: int):
@@ -266,7 +266,7 @@ def _later_windows(groups: int):
             parts.append(exchange.pack(sets, of[late], place[late], groups, _places))
         return pa.concat_tables(parts)
 
-    return run
+    return T.releasing(run)
 
 
 def _kept(half: int):

@@ -43,7 +43,7 @@ DISCOUNT = 0.75
 SHARED = 1.0
 GATE = 20.0
 CUTOFF = 0.7
-SLICE = (4 << 20) - 64
+SLICE = (2 << 20) - 64
 
 
 def expressions(words: T.Words) -> list[np.ndarray]:
@@ -129,7 +129,7 @@ def _telling(total: np.ndarray):
             out.append(pa.array(np.where(gl >= GATE, sl, np.nan)))
         return pa.table(out, names=["item", "g", "llr", "llr0", "llr1"])
 
-    return run
+    return T.releasing(run)
 
 
 def _sums(words: T.Words, item: np.ndarray, llr: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
