@@ -353,10 +353,11 @@ def keep_one(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int = OF)
     """
     named = docs.where("doc_id is not null")
     found = join_components(named.select("doc_id", "text"), n, similar, of)
-    gone = cut(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    left = named.join(gone.hint("merge"), named["doc_id"] == gone["_gone"], "left_anti")
+    gone = cut(found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    left = named.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    nth = next(n for n in (f"nth{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    left = left.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth")
+    left = left.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return left.unionByName(docs.where("doc_id is null"))
 
 

@@ -209,16 +209,17 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Overlapping spans are replaced from the left; one that begins inside a replaced span goes with it.
     """
-    columns = docs.columns
-    found = find_spans(docs, tuple(f"`{c}`" for c in columns), threshold)
+    # The row travels as one struct, so no column of the caller can clash with those of the search.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    found = find_spans(whole, ("_row",), threshold)
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
     text = F.expr(
-        "case when size(spans) = 0 then text else aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), "
+        "case when size(spans) = 0 then _row.text else aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), "
         f"(s, x) -> case when x.start < s.at then named_struct('at', greatest(s.at, x.end), 'out', s.out) else "
-        f"named_struct('at', x.end, 'out', concat(s.out, array(substring(text, s.at + 1, x.start - s.at), {names}[x.k]))) end, "
-        "s -> concat(array_join(s.out, ''), substring(text, s.at + 1, length(text)))) end"
+        f"named_struct('at', x.end, 'out', concat(s.out, array(substring(_row.text, s.at + 1, x.start - s.at), {names}[x.k]))) end, "
+        "s -> concat(array_join(s.out, ''), substring(_row.text, s.at + 1, length(_row.text)))) end"
     )
-    out = found.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("_text", text).select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
