@@ -229,7 +229,8 @@ ACCENTED, BARE = _accents()
 
 def fold_accents(text: Column | str) -> Column:
     """Lower case, accents of Latin letters dropped."""
-    return F.translate(F.lower(_c(text)), ACCENTED, BARE)
+    t = _c(text)
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(F.lower(t), ACCENTED, BARE))
 
 
 def tokenize(text: Column | str, fold: bool = False) -> Column:

@@ -48,9 +48,9 @@ def search_fts(chunks: DataFrame, query: str, k: int = POOL, key: str = "chunk_i
     spark = chunks.sparkSession
     if not wanted:
         return spark.createDataFrame([], chunks.select(key).schema.add("score", "double"))
-    tokens = S.tokenize(text, fold=True)
+    tokens = F.col("_tokens")  # split once, read once a token
     distinct = list(dict.fromkeys(wanted))
-    counted = chunks.select(key, F.size(tokens).alias("dl"), *[_times(tokens, t).alias(f"tf{i}") for i, t in enumerate(distinct)]).where("dl > 0")
+    counted = chunks.select(key, S.tokenize(text, fold=True).alias("_tokens")).select(key, F.size(tokens).alias("dl"), *[_times(tokens, t).alias(f"tf{i}") for i, t in enumerate(distinct)]).where("dl > 0")
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(distinct)))).join(F.broadcast(totals))
     score = F.lit(0.0)
@@ -132,12 +132,20 @@ def hydrate(ranked: DataFrame, chunks: DataFrame, files: DataFrame, support: dic
     )
 
 
+def held(top: DataFrame) -> DataFrame:
+    """A channel's candidates as a local relation. They are at most a pool (a limit stands before), and several later steps read them, so each channel is scanned once."""
+    return top.sparkSession.createDataFrame(top.collect(), top.schema)
+
+
+def cited(channels: dict[str, DataFrame], names: DataFrame, chunks: DataFrame, files: DataFrame, top_k: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """Channels of files with chunks, and file names, fused; the first top_k with citations."""
+    ranked = held(fuse_scores({**channels, "filename": names}, weights).orderBy(F.col("score").desc(), "file_id").limit(top_k))
+    return hydrate(ranked, chunks, files, channels)
+
+
 def keyword_search(chunks: DataFrame, files: DataFrame, query: str, top_k: int = 10, pool: int = POOL) -> DataFrame:
     """Full text and file names, collapsed to files, fused and cited."""
-    text = collapse_to_file(search_fts(chunks, query, pool), chunks)
-    names = search_filenames(files, query, pool)
-    ranked = fuse_scores({"fts": text, "filename": names}).orderBy(F.col("score").desc(), "file_id").limit(top_k)
-    return hydrate(ranked, chunks, files, {"fts": text})
+    return cited({"fts": held(collapse_to_file(held(search_fts(chunks, query, pool)), chunks))}, search_filenames(files, query, pool), chunks, files, top_k)
 
 
 def vector_search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query: Sequence[float], top_k: int = 10, metric: str = "l2") -> DataFrame:
@@ -149,11 +157,9 @@ def vector_search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query
 
 def hybrid_search(chunks: DataFrame, files: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], top_k: int = 10, pool: int = POOL, metric: str = "l2", weights: dict[str, float] | None = None) -> DataFrame:
     """Full text, vectors and file names fused per file."""
-    text = collapse_to_file(search_fts(chunks, query, pool), chunks)
-    near = collapse_to_file(search_vectors(vectors, vector, pool, metric), chunks)
-    names = search_filenames(files, query, pool)
-    ranked = fuse_scores({"fts": text, "vector": near, "filename": names}, weights).orderBy(F.col("score").desc(), "file_id").limit(top_k)
-    return hydrate(ranked, chunks, files, {"fts": text, "vector": near})
+    text = held(collapse_to_file(held(search_fts(chunks, query, pool)), chunks))
+    near = held(collapse_to_file(held(search_vectors(vectors, vector, pool, metric)), chunks))
+    return cited({"fts": text, "vector": near}, search_filenames(files, query, pool), chunks, files, top_k, weights)
 
 
 def build_vectors(chunks: DataFrame, embeddings: DataFrame, provider: str, model: str, dimensions: int, config: str) -> DataFrame:

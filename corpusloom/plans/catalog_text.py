@@ -10,7 +10,7 @@ from corpusloom.functions import scalars as S
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import text as X
-from corpusloom.plans.model import FTS_QUERY, NAME_QUERY, chunks, files, pages, query, query_vector, table, vectors
+from corpusloom.plans.model import FTS_QUERY, NAME_QUERY, chunks, documents, files, pages, query, query_vector, table, vectors
 from corpusloom.sources import extract, sidecar
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -18,7 +18,7 @@ WORDS = r"[\p{L}\p{N}]+"
 
 
 def docs(s, d):
-    return table(s, d, "documents")
+    return documents(s, d)
 
 
 # -- sources ------------------------------------------------------------------------------------
@@ -292,7 +292,7 @@ def _(s, d):
 @query("chunk_structure")
 def _(s, d):
     def cut(t: str) -> list[str]:
-        blocks = [{"type": "title" if k % 5 == 0 else "text", "text": x, "reading_order": k} for k, x in enumerate(t.split("\n"))]
+        blocks = [{"type": "title" if k % 5 == 0 else "text", "text": x[:60] if k % 5 == 0 else x, "reading_order": k} for k, x in enumerate(t.split("\n"))]
         return [c["chunk"] for c in X.layout_chunks(blocks, 400, 50)]
 
     return docs(s, d).select("doc_id", F.posexplode(_udf(cut, "array<string>")("text")).alias("chunk_index", "chunk"))
@@ -514,9 +514,8 @@ def _cited(ranked: str, support: str) -> str:
 def _(s, d):
     # One query text reaches both channels in use; here each channel has words of its own, so that both are exercised.
     c = chunks(s, d)
-    text, names = R.collapse_to_file(R.search_fts(c, FTS_QUERY), c), R.search_filenames(named_files(s, d), NAME_QUERY)
-    ranked = R.fuse_scores({"fts": text, "filename": names}).orderBy(F.col("score").desc(), "file_id").limit(10)
-    return _rounded(R.hydrate(ranked, c, files(s, d), {"fts": text}))
+    text = R.held(R.collapse_to_file(R.held(R.search_fts(c, FTS_QUERY)), c))
+    return _rounded(R.cited({"fts": text}, R.search_filenames(named_files(s, d), NAME_QUERY), c, files(s, d), 10))
 
 
 @query("vector_search", rf"SELECT c.file_id, c.chunk_id, f.path, c.page_number, c.chunk_index, c.source_type, CASE WHEN length(e) > 80 THEN substring(e, 1, 77) || '...' ELSE e END AS excerpt, round(score, 5) AS score FROM (SELECT *, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS e FROM (SELECT chunk_id, score FROM near ORDER BY score DESC, chunk_id LIMIT 10) JOIN chunks USING (chunk_id)) c JOIN files f USING (file_id)")
@@ -527,9 +526,9 @@ def _(s, d):
 @query("hybrid_search", _cited("hybrid_ranked", "LEFT JOIN fts_files t ON t.file_id = r.file_id LEFT JOIN near_files v ON v.file_id = r.file_id"))
 def hybrid(s, d):
     c = chunks(s, d)
-    text, near = R.collapse_to_file(R.search_fts(c, FTS_QUERY), c), R.collapse_to_file(R.search_vectors(vectors(s, d), query_vector(s, d)), c)
-    ranked = R.fuse_scores({"fts": text, "vector": near, "filename": R.search_filenames(named_files(s, d), NAME_QUERY)}).orderBy(F.col("score").desc(), "file_id").limit(10)
-    return _rounded(R.hydrate(ranked, c, files(s, d), {"fts": text, "vector": near}))
+    text = R.held(R.collapse_to_file(R.held(R.search_fts(c, FTS_QUERY)), c))
+    near = R.held(R.collapse_to_file(R.held(R.search_vectors(vectors(s, d), query_vector(s, d))), c))
+    return _rounded(R.cited({"fts": text, "vector": near}, R.search_filenames(named_files(s, d), NAME_QUERY), c, files(s, d), 10))
 
 
 @query("hydrate", rf"SELECT file_id, chunk_id, {_CITED} AS excerpt FROM (SELECT file_id, chunk_id, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS e FROM chunks WHERE chunk_index = 0 AND file_id % 50 = 1)")

@@ -40,22 +40,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents; a table too small to be read by all cores is dealt out first, since what follows is heavy on text."""
+    d = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return d.repartition(cores) if size < cores * (16 << 20) else d
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     rel = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return table(spark, d, "documents").select(
+    return documents(spark, d).select(
         (F.col("doc_id") + 1).alias("file_id"), F.concat(F.lit("/corpus/"), rel).alias("path"), rel.alias("relative_path"), F.octet_length("text").cast("long").alias("size"),
         (F.col("doc_id") * 1000).alias("mtime_ns"), F.sha2("text", 256).alias("content_hash"), "source", "lang", "text",
     )
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("length(text) > 0")
+    docs = documents(spark, d).where("length(text) > 0")
     last = F.floor((F.length("text") - 1) / PAGE_CHARS).cast("int")
     return docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("k")).select("doc_id", (F.col("k") + 1).alias("page_number"), F.substring("text", F.col("k") * PAGE_CHARS + 1, F.lit(PAGE_CHARS)).alias("text"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    f = X.flat_chunks(table(spark, d, "documents").select((F.col("doc_id") + 1).alias("file_id"), "text"))
+    f = X.flat_chunks(documents(spark, d).select((F.col("doc_id") + 1).alias("file_id"), "text"))
     return f.select((F.col("file_id") * 1_000_000 + F.col("piece_no")).alias("chunk_id"), "file_id", F.col("piece_no").alias("chunk_index"), F.lit(1).alias("page_number"), F.lit("native").alias("source_type"), F.col("piece").alias("text"))
 
 
