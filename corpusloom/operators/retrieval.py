@@ -50,7 +50,9 @@ def search_fts(chunks: DataFrame, query: str, k: int = POOL, key: str = "chunk_i
         return spark.createDataFrame([], chunks.select(key).schema.add("score", "double"))
     tokens = F.col("_tokens")  # split once, read once a token
     distinct = list(dict.fromkeys(wanted))
-    counted = chunks.select(key, S.tokenize(text, fold=True).alias("_tokens")).select(key, F.size(tokens).alias("dl"), *[_times(tokens, t).alias(f"tf{i}") for i, t in enumerate(distinct)]).where("dl > 0")
+    # Through a generator, which filters do not pass: else each filter below would split the text again.
+    counts = F.struct(F.size(tokens).alias("dl"), *[_times(tokens, t).alias(f"tf{i}") for i, t in enumerate(distinct)])
+    counted = chunks.select(key, S.tokenize(text, fold=True).alias("_tokens")).select(key, F.inline(F.array(counts))).where("dl > 0")
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
     hits = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(distinct)))).join(F.broadcast(totals))
     score = F.lit(0.0)
