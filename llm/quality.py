@@ -45,7 +45,7 @@ def codes(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarra
     wide = buf.astype(np.uint64)
     for k in range(order):
         part = np.zeros(len(buf), np.uint64)
-        part[k:] = wide[: len(buf) - k]
+        part[k:] = wide[: max(0, len(buf) - k)]
         part[into < k] = 0
         out |= part << np.uint64(8 * k)
     return out
@@ -169,9 +169,9 @@ def perplexities(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, low, high, keep. Trusted text: the documents labelled of quality 1 (never of 0)."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    good = cut(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS), "kn-trusted").withColumn("trusted", F.lit(True))
+    good = cut(good, "kn-trusted").withColumn("trusted", F.lit(True))
     d = docs.select("doc_id", "lang", "text")
-    mine = d.join(F.broadcast(good), "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    mine = d.join(good, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     model = train(mine.where("trusted"))
     scored = cut(perplexities(mine, model, "doc_id", "lang", "trusted"), "kn-scored")
     known = scored.where("trusted and perplexity is not null")
@@ -182,7 +182,3 @@ def classify(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float]
     limits = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
     limits = limits.withColumns({"low": F.coalesce("low", F.lit(whole["low"]).cast("double")), "high": F.coalesce("high", F.lit(whole["high"]).cast("double"))})
     return limits.select("doc_id", "lang", "n_bytes", "perplexity", "low", "high", F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False)).alias("keep"))
-
-
-#: Labelled rows that may be trusted text: bounds the broadcast of their ids (2 MB).
-TRUSTED_ROWS = 1 << 18

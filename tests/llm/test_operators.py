@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -340,6 +341,44 @@ def test_quality(spark):
     assert none.where("keep or perplexity is not null").count() == 0 and quality.classify(d.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_quality_reads_all_trusted_text(spark, monkeypatch):
+    for bound in ("TRUSTED_ROWS",):  # a bound there once was
+        monkeypatch.setattr(quality, bound, 40, raising=False)
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcdefgh ", k=r.randint(1, 90))) for _ in range(120)]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+
+    def grams(text, k):
+        b = bytes(4) + text.encode()
+        return [b[i - k + 1 : i + 1] for i in range(4, len(b))]
+
+    counts = {5: Counter(g for t in texts[:100] for g in grams(t, 5))}
+    for k in range(4, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    total, mass, cuts = {}, {}, {}
+    for k, c in counts.items():
+        of = Counter(c.values())
+        cuts[k] = quality.discounts([of[i] for i in (1, 2, 3, 4)])
+        total[k], mass[k] = Counter(), Counter()
+        for g, n in c.items():
+            total[k][g[:-1]] += n
+            mass[k][g[:-1]] += cuts[k][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k, h = len(g), g[:-1]
+        if h not in total[k]:
+            return p(g[1:])
+        n = counts[k][g]
+        return (n - cuts[k][min(n, 3) - 1] if n else 0) / total[k][h] + mass[k][h] / total[k][h] * p(g[1:])
+
+    for row in quality.classify(d, labels).collect():
+        own = [p(g) for g in grams(texts[row["doc_id"]], 5)]
+        assert row["perplexity"] == pytest.approx(float(np.exp(-np.mean(np.log(own)))), rel=1e-6)
+
+
 # -- op7 ----------------------------------------------------------------------------------------
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
