@@ -8,9 +8,11 @@ count join on the suffix. Discounts for counts of one, two and three or more com
 counts of counts, per order. Probabilities and back-off weights are
 interpolated by joins from the lowest order up.
 
-The model that goes out to the scorers holds at most MODEL_ROWS n-grams and
-histories an order (most frequent first), some 8 MB an order; what is cut backs
-off like the unseen. Perplexity is per byte. A document is kept if its perplexity
+The model stays in sharded tables, whole, and no part of it is broadcast. The distinct n-grams of all
+texts take their probabilities from it by a join per order. Documents are dealt into slices; a slice
+sends each shard its distinct n-grams in one block, the shard answers with their log-probabilities,
+and the answers meet the slice's texts again. Trusted documents are found by a join on their ids, however many
+there are. Perplexity is per byte. A document is kept if its perplexity
 lies between two quantiles of the trusted documents of its language; languages
 with fewer than LEAST trusted documents use those of all trusted documents.
 
@@ -22,6 +24,7 @@ alike and train as often as they stand; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,11 @@ from . import textkit as T
 from .common import bucket_count, cut
 
 ORDER = 5
-MODEL_ROWS = 1 << 18
 QUANTILES = (0.0005, 0.998)
 LEAST = 30
 SLICE = (1 << 20) - 64
+#: Input bytes whose documents make one slice of the scoring, input bytes a shard of n-grams is for, n-grams a task counts before it hands them on.
+SCORE_BYTES, SHARD_BYTES, HELD = 8 << 20, 24 << 20, 1 << 20
 
 
 def codes(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -51,28 +55,66 @@ def codes(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarra
     return out
 
 
-def _count(buckets: int):
+def _shards(gram: np.ndarray, shards: int) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Order of the n-grams by the shard of their history, shards that have any, and the edges of these in that order."""
+    shard = (T.mix(gram >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    full, begin = np.unique(shard[order], return_index=True)
+    return order, full.tolist(), [*begin.tolist(), len(gram)]
+
+
+def _added(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    gram, at = np.unique(np.concatenate(grams), return_inverse=True)
+    return gram, np.bincount(at, weights=np.concatenate(counts), minlength=len(gram)).astype(np.int64)
+
+
+def _count(shards: int):
+    def blocks(gram: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order, full, edges = _shards(gram, shards)
+        gram, n = gram[order], n[order]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.array(full, np.int32)), pa.array([_pack(gram[a:b]) for a, b in pairwise(edges)], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes() for a, b in pairwise(edges)], pa.binary())],
+            ["shard", "grams", "counts"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for _, buf, offsets, _ in T.slices(batches, size=SLICE):
             gram, n = np.unique(codes(buf, offsets), return_counts=True)
-            shard = (T.mix(gram >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            gram, n = gram[order], n[order]
-            ends = np.searchsorted(shard[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(ends)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(full, np.int32)), pa.array([gram[ends[f] : ends[f + 1]].astype("<u8").tobytes() for f in full], pa.binary()), pa.array([n[ends[f] : ends[f + 1]].astype("<u4").tobytes() for f in full], pa.binary())],
-                ["shard", "grams", "counts"],
-            )
+            grams.append(gram)
+            counts.append(n)
+            if sum(map(len, grams)) > HELD:
+                gram, n = _added(grams, counts)
+                grams, counts = [gram], [n]
+                if len(gram) > HELD // 2:
+                    grams, counts = [], []
+                    yield blocks(gram, n)
+        if grams:
+            yield blocks(*_added(grams, counts))
 
     return run
 
 
+def _pack(gram: np.ndarray) -> bytes:
+    return np.ascontiguousarray(gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ORDER]).tobytes()
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // ORDER, 8), np.uint8)
+    out[:, :ORDER] = np.frombuffer(b, np.uint8).reshape(-1, ORDER)
+    return out.view("<u8").ravel()
+
+
 def _sum_shard(group: pa.Table) -> pa.Table:
-    gram = np.frombuffer(b"".join(group["grams"].to_pylist()), "<u8")
     n = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u4")
-    value, at = np.unique(gram, return_inverse=True)
-    return pa.table([pa.array(value.astype(np.int64)), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["gram", "c"])
+    gram, c = _added([_unpack(b"".join(group["grams"].to_pylist()))], [n])
+    return pa.table([pa.array(np.full(len(gram), group["shard"][0].as_py(), np.int32)), pa.array(gram.astype(np.int64)), pa.array(c)], names=["shard", "gram", "c"])
+
+
+def counted(texts: DataFrame, shards: int) -> DataFrame:
+    """shard, gram, c: the distinct n-grams of the highest order."""
+    return texts.select("text").mapInArrow(_count(shards), "shard int, grams binary, counts binary").groupBy("shard").applyInArrow(T.releasing(_sum_shard), "shard int, gram long, c long")
 
 
 def interpolate(highest: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
@@ -111,69 +153,106 @@ def discounts(n: list[int]) -> list[float]:
 
 
 class Model:
-    """Sorted tables per order: n-grams with probabilities, histories with back-off weights."""
+    """Tables per order: (gram, p) of n-grams and (history, weight) of back-off weights, whole."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, tables: list[tuple[DataFrame, DataFrame]]):
         self.tables = tables
 
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """The rows of grams (gram, distinct) and p. Each order is asked for distinct suffixes, so that a key meets at most 256 rows."""
+        order = len(self.tables)
+        asked = {order: grams}
+        for k in range(order - 1, 0, -1):
+            asked[k] = asked[k + 1].select(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).distinct()
+        below = None
+        for k, (p, h) in enumerate(self.tables, 1):
+            mine = asked[k].withColumn("history", F.shiftright("gram", 8)).join(h.select("history", "weight"), "history", "left").join(p.select("gram", F.col("p").alias("known")), "gram", "left")
+            if below is None:
+                mine = mine.withColumn("below", F.lit(1 / 256))
+            else:
+                mine = mine.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "suffix")
+            p = F.coalesce("known", F.coalesce("weight", F.lit(1.0)) * F.col("below"))
+            below = mine.select(F.col("gram").alias("suffix"), p.alias("below")) if k < order else mine.select(*grams.columns, p.alias("p"))
+        return below
+
     def log_p(self, gram: np.ndarray) -> np.ndarray:
-        p = np.full(len(gram), 1 / 256)
-        for k, (grams, probability, histories, weight) in enumerate(self.tables, 1):
-            mine = gram & np.uint64((1 << 8 * k) - 1)
-            at = np.minimum(np.searchsorted(histories, mine >> np.uint64(8)), len(histories) - 1)
-            p = np.where(histories[at] == mine >> np.uint64(8), weight[at] * p, p)
-            at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
-            p = np.where(grams[at] == mine, probability[at], p)
-        return np.log(np.maximum(p, 1e-12))
+        """Of few n-grams, for a look at the model."""
+        spark = self.tables[0][0].sparkSession
+        got = {r["gram"]: r["p"] for r in self.probabilities(spark.createDataFrame([(g,) for g in np.unique(gram).tolist()], "gram long")).collect()}
+        return np.log(np.maximum([got[g] for g in gram.tolist()], 1e-12))
 
 
-def train(trusted: DataFrame) -> Model | None:
+def train(trusted: DataFrame, shards: int | None = None) -> Model | None:
     """trusted: text."""
-    grams = trusted.select("text").mapInArrow(_count(bucket_count(trusted)), "shard int, grams binary, counts binary").groupBy("shard").applyInArrow(_sum_shard, "gram long, c long")
-    highest = cut(grams, "kn-highest")
+    highest = cut(counted(trusted, shards or bucket_count(trusted, SHARD_BYTES)).select("gram", "c"), "kn-highest")
     if highest.limit(1).count() == 0:
         return None
-    tables = []
-    for p, h in interpolate(highest):
-        a = p.orderBy(F.col("c").desc(), "gram").limit(MODEL_ROWS).select("gram", "p").toArrow()
-        b = h.orderBy(F.col("c").desc(), "history").limit(MODEL_ROWS).select("history", "weight").toArrow()
-        pair = []
-        for t, key, value in ((a, "gram", "p"), (b, "history", "weight")):
-            x = np.asarray(t[key]).astype(np.uint64)
-            order = np.argsort(x)
-            pair += [x[order], np.asarray(t[value])[order]]
-        tables.append(tuple(pair))
-    return Model(tables)
+    return Model(interpolate(highest))
+
+
+def _distinct(group: pa.Table) -> np.ndarray:
+    """Distinct n-grams of a slice's texts."""
+    found = [np.unique(codes(buf, offsets)) for _, buf, offsets, _ in T.slices(group.to_batches(), size=SLICE)]
+    return np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]))
 
 
 def perplexities(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """keep columns, n_bytes, perplexity."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("perplexity", "double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets, _ in T.slices(batches, size=SLICE):
+    names = [*keep, "n_bytes", "perplexity"]
+    if model is None:
+        return docs.select(*keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"))
+    shards = bucket_count(docs, SHARD_BYTES)
+    slices = bucket_count(docs, SCORE_BYTES)
+    known = cut(model.probabilities(cut(counted(docs, shards).select("shard", "gram"), "kn-asked")), "kn-answers")
+    dealt = docs.select(*keep, "text").withColumn("slice", F.pmod(F.xxhash64(*keep, "text"), F.lit(slices)).cast("int"))
+
+    def ask(group: pa.Table) -> pa.Table:
+        gram = _distinct(group)
+        order, full, edges = _shards(gram, shards)
+        gram = gram[order]
+        return pa.table([pa.array(full, pa.int32()), pa.array([group["slice"][0].as_py()] * len(full), pa.int32()), pa.array([_pack(gram[a:b]) for a, b in pairwise(edges)], pa.binary())], names=["shard", "slice", "grams"])
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        gram, p = np.asarray(table["gram"]).astype(np.uint64), np.asarray(table["p"])
+        order = np.argsort(gram)
+        gram, log_p = gram[order], np.log(np.maximum(p[order], 1e-12))
+        values = [log_p[np.searchsorted(gram, _unpack(b))].astype("<f8").tobytes() for b in asked["grams"].to_pylist()]
+        return pa.table([asked["slice"], asked["shard"], pa.array(values, pa.binary())], names=["slice", "shard", "values"])
+
+    def score(group: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = []
+        for rows, buf, offsets, _ in T.slices(group.to_batches(), size=SLICE):
+            own, at = np.unique(codes(buf, offsets), return_inverse=True)
+            parts.append((rows, offsets, own, at.astype(np.int32)))
+        gram = np.unique(np.concatenate([p[2] for p in parts] or [np.zeros(0, np.uint64)]))
+        order, full, _ = _shards(gram, shards)
+        value = dict(zip(answers["shard"].to_pylist(), answers["values"].to_pylist(), strict=True))
+        log_p = np.empty(len(gram))
+        log_p[order] = np.frombuffer(b"".join(value[f] for f in full), "<f8")
+        out = []
+        for rows, offsets, own, at in parts:
             n = np.diff(offsets)
-            if held.value is None:
-                value = pa.nulls(len(n), pa.float64())
-            else:
-                gram, at = np.unique(codes(buf, offsets), return_inverse=True)
-                total = np.concatenate([[0.0], np.cumsum(held.value.log_p(gram)[at])])
-                mean = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
-                value = pa.array(np.exp(-mean), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(len(keep))], pa.array(n), value], [*keep, "n_bytes", "perplexity"])
+            total = np.zeros(len(n))
+            if len(at):
+                total[n > 0] = np.add.reduceat(log_p[np.searchsorted(gram, own)][at], offsets[:-1][n > 0])
+            value = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
+            out.append(pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(len(keep))], pa.array(n), value], names))
+        return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in [*[group.schema.field(k).type for k in keep], pa.int64(), pa.float64()]], names=names)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    asked = dealt.groupBy("slice").applyInArrow(T.releasing(ask), "shard int, slice int, grams binary")
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "slice int, shard int, values binary")
+    return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, low, high, keep. Trusted text: the documents labelled of quality 1 (never of 0)."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    good = cut(good, "kn-trusted").withColumn("trusted", F.lit(True))
+    good = cut(good, "kn-trusted")
     d = docs.select("doc_id", "lang", "text")
-    mine = d.join(good, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    model = train(mine.where("trusted"))
-    scored = cut(perplexities(mine, model, "doc_id", "lang", "trusted"), "kn-scored")
+    model = train(d.join(good, "doc_id", "left_semi"), bucket_count(d, SHARD_BYTES))
+    scored = perplexities(d, model, "doc_id", "lang").join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    scored = cut(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scored")
     known = scored.where("trusted and perplexity is not null")
     pick = lambda: [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]
     low, high = pick()

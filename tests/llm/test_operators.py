@@ -341,8 +341,8 @@ def test_quality(spark):
     assert none.where("keep or perplexity is not null").count() == 0 and quality.classify(d.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
-def test_quality_reads_all_trusted_text(spark, monkeypatch):
-    for bound in ("TRUSTED_ROWS",):  # a bound there once was
+def test_quality_keeps_the_whole_model(spark, monkeypatch):
+    for bound in ("TRUSTED_ROWS", "MODEL_ROWS"):  # bounds there once were
         monkeypatch.setattr(quality, bound, 40, raising=False)
     r = random.Random(9)
     texts = ["".join(r.choices("abcdefgh ", k=r.randint(1, 90))) for _ in range(120)]
