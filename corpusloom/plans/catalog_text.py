@@ -308,31 +308,43 @@ def _(s, d):
     return docs(s, d).select("doc_id", F.posexplode(_udf(cut, "array<string>")("text")).alias("chunk_index", "chunk"))
 
 
+def _every_page(s, d):
+    """All pages of all documents; a document without text is one page."""
+    none = docs(s, d).where("coalesce(length(text), 0) = 0").select("doc_id", F.lit(1).alias("page_number"), "text")
+    return pages(s, d).unionByName(none)
+
+
+def _share(low: int, high: int, of: int):
+    """The text from low to high parts of its length."""
+    at = lambda k: F.floor(F.length("text") * k / of).cast("int")
+    return F.substring("text", at(low) + 1, at(high) - at(low))
+
+
 @query("containment")
 def _(s, d):
     def share(t: str) -> float:
-        w = X.normal_tokens(t)[:400]
+        w = X.normal_tokens(t)
         return X.containment(w[: len(w) // 2], w[len(w) // 4 :])
 
-    return docs(s, d).select("doc_id", F.round(_udf(share, "double")("text"), 6).alias("ratio"))
+    return _every_page(s, d).select("doc_id", "page_number", F.round(_udf(share, "double")("text"), 6).alias("ratio"))
 
 
 @query("merge_text")
 def _(s, d):
-    x = docs(s, d).select("doc_id", F.substring("text", 1, 600).alias("native"), F.concat(F.substring("text", 300, 400), F.lit("\n---\nsigned 2024")).alias("ocr"))
-    return X.merge_pages(x).select("doc_id", "merged.*")
+    x = _every_page(s, d).select("doc_id", "page_number", _share(0, 6, 7).alias("native"), F.concat(_share(3, 7, 7), F.lit("\n---\nsigned 2024")).alias("ocr"))
+    return X.merge_pages(x).select("doc_id", "page_number", "merged.*")
 
 
 @query("merge_structured")
 def _(s, d):
     f = F.pandas_udf(lambda a, b: pd.Series([X.merge_structured(x, y) for x, y in zip(a, b, strict=True)]), "string")
-    return docs(s, d).select("doc_id", F.length(f(F.substring("text", 1, 300), F.substring("text", 150, 600))).alias("chars"))
+    return _every_page(s, d).select("doc_id", "page_number", F.length(f(_share(0, 2, 5), _share(1, 5, 5))).alias("chars"))
 
 
 @query("text_line_match")
 def _(s, d):
-    x = docs(s, d).select("doc_id", F.substring("text", 1, 500).alias("text"), F.substring("text", 50, 500).alias("lines"))
-    return Q.text_line_match(x).select("doc_id", F.round("correspondence", 6).alias("correspondence"))
+    x = _every_page(s, d).select("doc_id", "page_number", _share(0, 10, 11).alias("text"), _share(1, 11, 11).alias("lines"))
+    return Q.text_line_match(x).select("doc_id", "page_number", F.round("correspondence", 6).alias("correspondence"))
 
 
 @query("table_to_gfm")
