@@ -32,12 +32,23 @@ def bucket_count(df: DataFrame, per: int = BUCKET_BYTES) -> int:
     return max(8, min(1 << 20, math.ceil(input_bytes(df) / per)))
 
 
+#: Folders made where the setting is missing, by application.
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary folder only where the setting is missing (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it names none: a temporary folder if all runs in one process (tests), else a folder in the warehouse, which executors share.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="llm-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        app = context.applicationId
+        if app not in _OWN:
+            alone = context.master == "local" or context.master.startswith("local[")
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="llm-checkpoint-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint-{app}"
+        root = _OWN[app]
     return root.rstrip("/")
 
 
@@ -55,12 +66,20 @@ def cut(df: DataFrame, what: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def forget(spark: SparkSession) -> int:
-    """Remove the intermediate folders that cut() wrote in this process, once the results made of them are written; their number."""
-    jvm = spark._jvm
-    for path in _WRITTEN:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    n = len(_WRITTEN)
-    _WRITTEN.clear()
-    return n
+def written() -> int:
+    """A mark for forget(): how many folders cut() has written and nobody has removed."""
+    return len(_WRITTEN)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(spark: SparkSession, since: int = 0) -> int:
+    """Remove the intermediate folders that cut() wrote after a mark, once the results made of them are written; their number."""
+    gone = _WRITTEN[since:]
+    del _WRITTEN[since:]
+    for path in gone:
+        remove(spark, path)
+    return len(gone)

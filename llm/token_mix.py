@@ -41,17 +41,20 @@ RANGE_CELLS = 1 << 12
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text; null: 0) and digest, a fingerprint of the text that tells repeated ids apart."""
+    """doc_id, source, size (words of the text; null: 0) and digest, a fingerprint of the row that tells repeated ids apart."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets, _ in T.slices(batches):
             words = T.Words(buf, offsets, T.SPACE_CLASS)
-            h = words.hashes()
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h + np.arange(len(h), dtype=np.uint64) - np.repeat(words.first[:-1], np.diff(words.first)).astype(np.uint64)))])
-            digest = (total[words.first[1:]] - total[words.first[:-1]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1).cast(pa.string()), pa.array(np.diff(words.first)), pa.array(digest)], ["doc_id", "source", "size", "digest"])
+            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(3)], pa.array(np.diff(words.first))], ["doc_id", "source", "digest", "size"])
 
-    return docs.select("doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, size long, digest long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), digest().alias("digest"), "text")
+    return d.mapInArrow(count, "doc_id long, source string, digest long, size long")
+
+
+def digest():
+    """Fingerprint of a row of documents; rows of equal id, source and text have the same."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -144,6 +147,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return out.alias("o").join(targets.alias("t"), same("o", "t")).select("o.doc_id", "o.size", "t.source_size", "t.target", F.col("o.taken").cast("long").alias("taken"), "o.source", "o.digest", "o.start")
 
 
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: int = 42) -> DataFrame:
+    """docs with all their columns and size, source_size, target, taken; columns of these names give way.
+
+    What the mix takes of a row finds it again by the row's fingerprint; rows that repeat are counted off against each other.
+    """
+    added = ["size", "source_size", "target", "taken"]
+    out = mix(docs, weights, share, cap, block_words, seed)
+    took = out.withColumn("_nth", F.row_number().over(Window.partitionBy("digest").orderBy("start", "doc_id", "source", "taken")))
+    took = took.select("digest", F.col("_nth").alias("_of"), *[F.col(c).alias(f"_new_{c}") for c in added])
+    # The row travels as one struct, so no column of the caller can clash with those of the join.
+    rows = docs.select(digest().alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("digest").orderBy(F.xxhash64("_row"))))
+    found = rows.join(took, (rows["digest"] == took["digest"]) & (F.col("_nth") == F.col("_of")))
+    return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in added], *[F.col(f"_new_{c}").alias(c) for c in added])
+
+
 def order_slots(docs: DataFrame) -> DataFrame:
     """The schedule alone for a caller who streams blocks: slot, source, rank, words."""
     return schedule(source_targets(word_counts(docs)))

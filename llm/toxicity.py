@@ -204,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
             yield pa.RecordBatch.from_arrays([pa.array(_sums(words, *held.value, which=label + 1)), pa.array(np.diff(words.first)), pa.array(label)], ["s", "n", "toxic"])
 
     fit = mine.mapInArrow(leave_out, "s double, n long, toxic long").toArrow()
+    held.destroy()
     s, n, label = (np.asarray(fit[c]) for c in ("s", "n", "toxic"))
     order = np.lexsort((label, n, s))  # sums in one order whatever the order of the rows
     return Model(item, llr, fit_curve(_features(s[order], n[order]), label[order].astype(float)))
@@ -237,12 +238,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF)
 
 
 def reject(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs whose score is under the cutoff, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets, _ in T.slices(batches, size=SLICE):
-            m = held.value
-            yield rows if m is None else rows.filter(pa.array(m.score(T.Words(buf, offsets, T.ALNUM_CLASS)) < cutoff))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of docs whose score is under the cutoff, with all their columns.
+
+    Only texts are sent to the scorer. A score depends on the text alone, so the fingerprints (128 bits) of rejected
+    texts are written and the rows that have one are left out by an anti-join in the planner's choice of form.
+    """
+    a, b = F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])
+    model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    gone = cut(score(docs.select(a.alias("a"), b.alias("b"), "text"), model, "a", "b").where(F.col("score") >= cutoff).select("a", "b").distinct(), "toxic-texts")
+    return docs.join(gone, (a == gone["a"]) & (b == gone["b"]), "left_anti")

@@ -1,10 +1,12 @@
 """The pipeline's stages, each on its own input, against brute force."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from llm import token_mix
 from tests.llm.test_operators import ALNUM, FOLD, base_spans, linked, words
 
 
@@ -75,7 +77,26 @@ def test_run_equals_its_stages(spark, tmp_path):
     d = str(tmp_path)
     corpus(spark, d)
     got = P.run(spark, d)
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "source"] and got.count() > 400
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken"] and got.count() > 400
+    assert got.where("text is null and size > 0 or n_chars <> length(text)").count() == 0
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    d = str(tmp_path / "in")
+    corpus(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    assert P.run(spark, d).count() > 400
+    new = set(os.listdir(root)) - before
+    assert len(new) == 1 and next(iter(new)).startswith("pipeline-4-token_mix")
+
+
+def test_mix_counts_off_rows_that_repeat(spark):
+    rows = [(1, "a b c", "s")] * 3 + [(2, None, None), (None, "x y", "s"), (None, "x y", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("taken", F.lit("mine"))
+    got = token_mix.mix_documents(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), str(r["source"])) for r in got) == sorted((str(i), str(t), str(s)) for i, t, s in rows)
+    assert sum(r["taken"] for r in got) == round(1.5 * 13)
 
 
 def test_stages_take_empty_tables_and_clashing_columns(spark, tmp_path):
