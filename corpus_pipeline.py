@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import decontaminate, ngram_join, pii, token_mix, toxicity
-from llm.common import checkpoint_root, table
+from llm.common import checkpoint_root, forget, remove, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,8 +34,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return token_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    """All documents with their size, their source's size and target, and the words that the mix takes of each."""
+    return token_mix.mix_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -51,12 +51,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    """All stages over documents; what a stage returns is written to the shared folder and read again.
+
+    When a stage's rows are written, what it was made of is removed, so only the last stage's rows stay.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{checkpoint_root(spark)}/pipeline-{k}-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        mark = written()
+        path = f"{checkpoint_root(spark)}/pipeline-{k}-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        forget(spark, mark)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
