@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -576,6 +577,89 @@ def test_em_finds_reliable_labelers():
     assert p["0 true 1 1 1 0 1 0 3 1 1 1"] > 0.95 and p["0 false 0 -1 0 0 -1 0 3 3 3 1"] < 0.05
 
 
+def plain_em(rows, rounds):
+    """rows: (votes, known class or None), one per candidate of one kind."""
+    q = [known if known is not None else 1 / (1 + np.exp(-sum(v))) for v, known in rows]
+    for _ in range(rounds):
+        odds = np.zeros(len(rows))
+        unknown = [x for x, (_, known) in zip(q, rows, strict=True) if known is None]
+        odds += np.log((1 + sum(unknown)) / (1 + sum(1 - x for x in unknown)))
+        for place in range(len(rows[0][0])):
+            cast = {v[place] for v, _ in rows} - {0}
+            if not cast:
+                continue
+            seen = {value: [1 + sum(1 - x for x, (v, _) in zip(q, rows, strict=True) if v[place] == value), 1 + sum(x for x, (v, _) in zip(q, rows, strict=True) if v[place] == value)] for value in (-1, 1)}
+            for k, (v, _) in enumerate(rows):
+                if v[place]:
+                    no, yes = ([seen[value][y] for value in (-1, 1)] for y in (0, 1))
+                    at = (-1, 1).index(v[place])
+                    odds[k] += np.log(yes[at] / sum(yes)) - np.log(no[at] / sum(no))
+        q = [known if known is not None else 1 / (1 + np.exp(-x)) for x, (_, known) in zip(odds, rows, strict=True)]
+    return q
+
+
+def test_em_equals_plain_em():
+    r = random.Random(3)
+    rows = []
+    for _ in range(400):
+        true, strict = r.random() < 0.5, r.random() < 0.5
+        votes = tuple([1 if strict else 0] + [r.choice([0, s, s, -s] if k % 2 else [0, s, s, s]) for k, s in enumerate([1 if true else -1] * 5)])
+        rows.append((votes, (1.0 if true else 0.0) if strict else None))
+    key = lambda v, known: " ".join(map(str, ["3", "true" if known == 1 else "false", *v, 1, 1, 1, 1]))
+    counts = Counter(key(*x) for x in rows)
+    got = pii.reliabilities(counts, 15)
+    assert max(abs(got[key(*x)] - q) for x, q in zip(rows, plain_em(rows, 15), strict=True)) < 1e-9
+
+
+def test_pii_added_spans(spark):
+    """Planted wide forms are found, and look-alikes and failed checksums are not added."""
+    r = random.Random(12)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts, good, bad = [], [], []
+    for i in range(300):
+        base = r.choice(["a@b.com", "+1 (555) 123-4567", "10.1.2.3", "4111111111111111", "no"])
+        nanp = f"{r.choice('23456789')}{digits(2)}-{r.choice('23456789')}{digits(2)}-{digits(4)}"
+        yes = r.choice([f"joe{i} [at] mail.example [dot] org", f"ann.{i}(at)host.de", f"2001:db8:{i % 10}:1:2:3:4:{i}", f"call {nanp}", nanp])
+        no = r.choice([f"order {r.choice('01')}{digits(2)}-{digits(3)}-{digits(4)}", "4111111111111112", "999.1.2.3", f"see x{i} [at] 12 . 34", "+1 23"])
+        texts.append(f"{base} words {yes} more words {no} end")
+        good.append(yes.removeprefix("call "))
+        bad.append(no.removeprefix("order ").removeprefix("see "))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find_spans(d).collect()}
+    added = [(i, texts[i][s["start"] : s["end"]]) for i, row in found.items() for s in row["spans"] if s not in row["base"]]
+    right = sum(t in good[i] for i, t in added)
+    assert right >= 0.95 * len(added) and right >= 0.9 * len(texts)
+    assert not [t for _, t in added if t in ("4111111111111112", "999.1.2.3")]
+
+
+@pytest.mark.parametrize("piece", ["{}12, ", "1.2.3.{} ", "x{}@y.com ", "212-555-0{:03} | "])
+def test_pii_many_matches_in_one_text(spark, piece):
+    n = 100_000 if piece.startswith("{") else 30_000
+    text = "".join(piece.format(k % 250) for k in range(n))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.report(pii.find_spans(d)).first()
+    assert time.time() - began < 60
+    assert row["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    out = pii.redact(d).first()["text"]
+    for k in range(3):
+        text = re.sub(pii.BASE[pii.KINDS[k]], lambda m, k=k: f"<{pii.KINDS[k].upper()}>" if base_spans(m[0]) else m[0], text) if k != 2 else text
+    assert out == text or piece.startswith("212")
+
+
+def test_pii_redaction_of_overlaps_and_control_characters(spark):
+    texts = ["\x01a@b.com\x01 x\x02" * 30, "é" * 3000 + "1.2.3.4" + "😀" * 2000 + "c@d.org", "+1.2.3.4 5551 23", "a@b.com" + "y " * 600 + "1.2.3.4"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find_spans(d).collect()}
+    for r in pii.redact(d).collect():
+        at, out, t = 0, "", texts[r["doc_id"]]
+        for s in sorted(spans[r["doc_id"]], key=tuple):
+            if s["start"] >= at:
+                out += t[at : s["start"]] + f"<{pii.KINDS[s['k']].upper()}>"
+            at = max(at, s["end"])
+        assert r["text"] == out + t[at:]
+
+
 # -- pipeline -----------------------------------------------------------------------------------
 
 
