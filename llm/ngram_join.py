@@ -46,9 +46,11 @@ SIMILAR, OF = 80, 100
 LOCAL_HOT = 12
 #: Frequent n-grams that come last in the order: at most so many (a 2 MB broadcast), each in at least so many sets.
 HEAVY, HEAVY_DF = 1 << 17, 32
-#: Fragments in which the overlaps of a pair are counted.
+#: Ranges of the n-gram order in which the overlaps of a pair are counted apart.
 FRAGMENTS = 4
 SLICE = (2 << 20) - 64
+#: Input bytes of one fragment; its packed n-grams and their sorted copies must fit a worker's memory.
+FRAGMENT_BYTES = 7 << 20
 #: Bits of a set's parity map: the least number of n-grams in which two sets differ is the number of bits in which their maps do.
 MAP_BITS = 512
 #: Parts in which a fragment is worked off, one after the other; bounds a worker's memory.
@@ -257,7 +259,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(pairs: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
     """Of the pairs (u, nu, v, nv), those whose overlaps, counted per fragment and summed, reach the similarity."""
-    fragment = F.expr(f"transform(sequence(0, {FRAGMENTS - 1}), f -> struct(f, filter(tokens, x -> x % {FRAGMENTS} = f) as part))")
+    fragment = F.expr(f"transform(sequence(0, {FRAGMENTS - 1}), f -> struct(f, filter(tokens, x -> shiftright(x * {FRAGMENTS}, 48) = f) as part))")
     parts = sets.select("u", F.explode(fragment).alias("x")).select("u", "x.f", "x.part").where("size(part) > 0")
     mine, other = parts.select("u", "f", F.col("part").alias("pu")), parts.select(F.col("u").alias("v"), "f", F.col("part").alias("pv"))
     partial = pairs.join(mine, "u").join(other, ["v", "f"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("pu", "pv")).alias("common"))
@@ -297,7 +299,7 @@ def similar_sets(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int =
     """(members, links): members has doc (NULL_ID for null), n and u, the set's identity; links has pairs of linked sets
     that span all components (every component of the link graph is connected by them)."""
     spark = docs.sparkSession
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs, FRAGMENT_BYTES)
     blocks = docs.select("doc_id", "text").mapInArrow(_fragments(buckets, n), _BLOCK)
     pieces = cut(blocks.groupBy("bucket").applyInArrow(_in_fragment(buckets), _PIECE), "join-pieces")
     members = pieces.where("kind = 1").select("ids", "sets", "sizes").mapInArrow(_members, "doc long, n int, a long, b long").select("doc", "n", F.struct("a", "b").alias("u"))
