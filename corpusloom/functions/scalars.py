@@ -8,6 +8,7 @@ import math
 import unicodedata
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -238,6 +239,61 @@ def tokenize(text: Column | str, fold: bool = False) -> Column:
     return F.regexp_extract_all(fold_accents(text) if fold else F.lower(_c(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+#: Bits of a chunk's number within its file; the rest of a chunk id is the file's id.
+CHUNK_BITS = 24
+
+
+def chunk_id(file_id: Column | str, index: Column | str) -> Column:
+    """An id that no two chunks share while a file has under 2 ** 24 of them."""
+    return F.shiftleft(_c(file_id).cast("long"), CHUNK_BITS) + _c(index).cast("long")
+
+
+def chunk_file(chunk: Column | str) -> Column:
+    """The file of a chunk id."""
+    return F.shiftright(_c(chunk).cast("long"), CHUNK_BITS)
+
+
+#: Fixed value: the version of what a chunk's context is made of.
+CONTEXT_RECIPE = "1"
+
+
+def canonical_source_hash(base: Column | str, filename: Column | str, relative: Column | str, media: Column | str, title: Column | str) -> Column:
+    """The content's digest with what else a chunk's context is made of, so that a new name or title makes new chunks."""
+
+    @F.pandas_udf("string")
+    def run(b: pd.Series, f: pd.Series, r: pd.Series, m: pd.Series, t: pd.Series) -> pd.Series:
+        plain = lambda v: None if pd.isna(v) else v
+        rows = zip(b, f, r, m, t, strict=True)
+        names = ("filename", "relative_path", "media_type", "title")
+        made = [(x[0], {"context_recipe_version": CONTEXT_RECIPE, **dict(zip(names, map(plain, x[1:]), strict=True))}) for x in rows]
+        return pd.Series([hashlib.sha256(f"{d}\x1d{json.dumps(p, sort_keys=True)}".encode()).hexdigest() for d, p in made])
+
+    return run(*map(_c, (base, filename, relative, media, title)))
+
+
+def image_evidence(boxes: Column | str, page_area: Column | str) -> Column:
+    """struct(max_coverage, summed_coverage, union_coverage, images) of the image boxes (x0, y0, x1, y1) on a page.
+
+    Sums and unions stop at 1; union_coverage is null on pages without area and where there are too many boxes to unite.
+    """
+    b, area = _c(boxes), _c(page_area).cast("double")
+    share = F.transform(b, lambda x: F.abs((x[2] - x[0]) * (x[3] - x[1])).cast("double") / area)
+    none, empty = area.isNull() | (area <= 0), F.size(b) <= 0
+
+    @F.pandas_udf("double")
+    def united(rows: pd.Series) -> pd.Series:
+        return pd.Series([union_area([tuple(map(float, x)) for x in r]) for r in rows], dtype="float64")
+
+    total, union = F.aggregate(share, F.lit(0.0), lambda s, x: s + x), united(b)
+    known = union.isNotNull() & ~F.isnan(union)
+    return F.struct(
+        F.when(none | empty, 0.0).otherwise(F.array_max(share)).alias("max_coverage"),
+        F.when(none | empty, 0.0).otherwise(F.least(total, F.lit(1.0))).alias("summed_coverage"),
+        F.when(none, None).when(empty, 0.0).when(known, F.least(union / area, F.lit(1.0))).alias("union_coverage"),
+        F.greatest(F.size(b), F.lit(0)).alias("images"),
+    )
+
+
 def union_area(rectangles: list[tuple[float, float, float, float]], most: int = 512) -> float | None:
     """Area covered by axis-parallel rectangles (x0, y0, x1, y1); None where more than `most` are given."""
     boxes = [(min(a, c), min(b, d), max(a, c), max(b, d)) for a, b, c, d in rectangles]

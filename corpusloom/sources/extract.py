@@ -6,6 +6,7 @@ import hashlib
 import io
 import os
 import re
+import stat
 import zipfile
 from collections.abc import Callable, Iterator
 from email import policy
@@ -16,15 +17,16 @@ from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpusloom.functions import scalars as S
+from corpusloom.sources import pdf, xls
 
 SNIFF_BYTES, PRINTABLE = 8192, 0.95
-FILES = "path string, relative_path string, size long, mtime_ns long"
+FILES = "path string, relative_path string, size long, mtime_ns long, error string"
 PAGES = "path string, page_number int, text string, needs_ocr boolean, error string"
 
 
@@ -52,18 +54,33 @@ class _FolderReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         with os.scandir(self.root) as entries:
-            return [_Folder(self.root, None), *[_Folder(self.root, e.name) for e in sorted(entries, key=lambda e: e.name) if e.is_dir()]]
+            folders = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False))
+        return [_Folder(self.root, None), *[_Folder(self.root, name) for name in folders]]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
         root = os.path.realpath(self.root)
-        paths = walk(os.path.join(root, partition.part)) if partition.part else (Path(root, n) for n in sorted(os.listdir(root)) if not n.startswith(".") and os.path.isfile(os.path.join(root, n)))
+        bad: list[OSError] = []
+        if partition.part:
+            paths = walk(os.path.join(root, partition.part), bad.append)
+        else:
+            names = sorted(n for n in os.listdir(root) if not n.startswith("."))
+            paths = (Path(root, n) for n in names if not os.path.isdir(os.path.join(root, n)))
         for p in paths:
-            s = p.stat()
-            yield str(p), str(p.relative_to(root)), s.st_size, s.st_mtime_ns
+            try:
+                s = p.stat()
+                if stat.S_ISREG(s.st_mode):  # links are followed to files, never into folders
+                    yield os.path.realpath(p), str(p.relative_to(root)), s.st_size, s.st_mtime_ns, None
+            except OSError as e:  # a broken link or a file that went away is a row, not the end of the scan
+                yield str(p), str(p.relative_to(root)), None, None, f"{type(e).__name__}: {e.strerror}"
+        for e in bad:
+            yield str(e.filename), os.path.relpath(str(e.filename), root), None, None, f"{type(e).__name__}: {e.strerror}"
 
 
 class FolderSource(DataSource):
-    """spark.read.format("corpus_folder").load(path): every file, also those that Spark's own listing hides."""
+    """spark.read.format("corpus_folder").load(path): every file, also those that Spark's own listing hides.
+
+    A file or folder that cannot be read is a row with its error and without size.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -229,9 +246,34 @@ class SheetExtractor:
         return out
 
 
+class PdfExtractor:
+    """Text of each page; pages without enough of it need recognition. A file that cannot be opened or has no page is an error."""
+
+    name, version = "pdf", "1"
+
+    def pages(self, content: bytes) -> list[tuple[str, bool]]:
+        return [(p.text, p.raster >= 0.30 or pdf.garbled(p.text) >= 0.02 or len(p.text.strip()) < 20) for p in pdf.read(content)]
+
+
+class LegacySheetExtractor:
+    """Old binary workbooks, one page a sheet as in SheetExtractor."""
+
+    name, version = "xls", "1"
+
+    def pages(self, content: bytes) -> list[tuple[str, bool]]:
+        return [("\n".join([f"Sheet: {name}", *[" | ".join(r) for r in rows if r]]), False) for name, rows in xls.read(content)]
+
+
 EXTRACTORS: dict[str, Extractor] = {
-    **dict.fromkeys(("txt", "md", "text"), TextExtractor()), "eml": EmailExtractor(), "docx": DocxExtractor(), "xlsx": SheetExtractor(), "pptx": SlideExtractor(), **dict.fromkeys(("jpg", "jpeg", "png"), ImageExtractor()),
-}
+    **dict.fromkeys(("txt", "md", "text"), TextExtractor()),
+    "eml": EmailExtractor(),
+    "docx": DocxExtractor(),
+    "xlsx": SheetExtractor(),
+    "xls": LegacySheetExtractor(),
+    "pptx": SlideExtractor(),
+    "pdf": PdfExtractor(),
+    **dict.fromkeys(("jpg", "jpeg", "png"), ImageExtractor()),
+}
 
 
 def extractor_for(kind: str) -> Extractor:
@@ -240,38 +282,105 @@ def extractor_for(kind: str) -> Extractor:
     return EXTRACTORS[kind]
 
 
+def extractor_version(kind: str | None) -> str | None:
+    """`name:version` of a type's extractor: part of what a stored extraction is keyed by."""
+    return f"{EXTRACTORS[kind].name}:{EXTRACTORS[kind].version}" if kind in EXTRACTORS else None
+
+
+def current_extractor(kind: Column | str) -> Column:
+    """extractor_version as an expression over file types."""
+    table = F.create_map(*[F.lit(x) for k in sorted(EXTRACTORS) for x in (k, extractor_version(k))])
+    return F.try_element_at(table, F.col(kind) if isinstance(kind, str) else kind)
+
+
+def _pages_of(path: str, kind: str | None, content: bytes) -> list[tuple]:
+    """(page_number, text, needs_ocr, image, error) of a file; a file that cannot be read is one row with its error."""
+    try:
+        found = extractor_for(kind).pages(content)
+        if not found:
+            raise ValueError("no pages")
+        image = content if isinstance(EXTRACTORS[kind], ImageExtractor) else None
+        return [(n, t, ocr, image if ocr else None, None) for n, (t, ocr) in enumerate(found, 1)]
+    except Exception as e:  # one bad file must not end the job; the row says why
+        return [(0, None, False, None, f"{type(e).__name__}: {e}")]
+
+
 def extract_pages(files: DataFrame) -> DataFrame:
     """path, file_type, content to PAGES; a file that cannot be read is one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for path, kind, content in zip(b["path"], b["file_type"], b["content"], strict=True):
-                try:
-                    found = extractor_for(kind).pages(bytes(content))
-                    rows.extend((path, n, t, ocr, None) for n, (t, ocr) in enumerate(found, 1))
-                except Exception as e:  # one bad file must not end the job; the row says why
-                    rows.append((path, 0, None, False, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page_number", "text", "needs_ocr", "error"])
+                rows = [(path, n, t, ocr, error) for n, t, ocr, _, error in _pages_of(path, kind, bytes(content))]
+                yield pd.DataFrame(rows, columns=["path", "page_number", "text", "needs_ocr", "error"])
 
     return files.select("path", "file_type", "content").mapInPandas(run, PAGES)
 
 
+#: What read_changed gives: one row a page; a file without pages is one row of page 0.
+READ = (
+    "path string, content_hash string, file_type string, action string, extractor string, page_number int, text string, "
+    "needs_ocr boolean, image binary, error string"
+)
+
+
+def read_changed(candidates: DataFrame) -> DataFrame:
+    """READ rows of files that may have changed, each read once.
+
+    candidates: path, file_type (null: by its first bytes) and what is known of an indexed file: known_hash, known_extractor. A file
+    whose content and extractor are the known ones is `refresh_metadata` and not extracted; others are `new` or `reprocess`.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                action = "reprocess" if row.known else "new"
+                kind, digest, version = row.file_type, None, None
+                try:
+                    content = Path(row.path).read_bytes()
+                    digest = hashlib.sha256(content).hexdigest()
+                    kind = kind or ("text" if looks_like_text(content[:SNIFF_BYTES]) else None)
+                    version = extractor_version(kind)
+                    if row.known_hash == digest and row.known_extractor == version:
+                        action, pages = "refresh_metadata", [(0, None, False, None, None)]
+                    elif kind is None:
+                        pages = [(0, None, False, None, None)]
+                    else:
+                        pages = _pages_of(row.path, kind, content)
+                except OSError as e:
+                    pages = [(0, None, False, None, f"{type(e).__name__}: {e.strerror}")]
+                yield pd.DataFrame([(row.path, digest, kind, action, version, *p) for p in pages], columns=_READ_COLUMNS)
+
+    needed = candidates.select("path", "file_type", "known", "known_hash", "known_extractor")
+    return needed.mapInPandas(run, READ)
+
+
+_READ_COLUMNS = [f.split(" ")[0] for f in READ.split(", ")]
+
+
 def read_contents(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """files with content, read by the executors from a file system that they share."""
+    """files with content, read by the executors from a file system that they share; null where a file cannot be read."""
+
+    def one(path: str) -> bytes | None:
+        try:
+            return Path(path).read_bytes()
+        except OSError:
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(content=[Path(p).read_bytes() for p in b["path"]])
+            for k in range(len(b)):
+                part = b.iloc[k : k + 1]
+                yield part.assign(content=[one(part["path"].iloc[0])])
 
     return files.mapInPandas(run, StructType([*files.schema.fields, StructField("content", BinaryType())]))
 
 
-def folder_preview(files: DataFrame, most: int = 50_000) -> DataFrame:
-    """Counts and bytes by type over at most `most` files, and whether there were more."""
-    some = files.limit(most + 1)
+def folder_preview(files: DataFrame, most: int = 50_000, order: str = "path") -> DataFrame:
+    """Counts and bytes by type over the first `most` files in order, and whether there are more."""
+    some = files.orderBy(order).limit(most)
     numbered = some.groupBy("file_type").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    return numbered.withColumn("sampled", F.lit(some.count() > most))
+    return numbered.withColumn("sampled", F.lit(files.select(order).limit(most + 1).count() > most))
 
 
 class EmbeddingProvider(Protocol):
@@ -279,6 +388,8 @@ class EmbeddingProvider(Protocol):
 
     def embed_documents(self, texts: list[str]) -> list[list[float] | None]: ...
 
+    def embed_query(self, text: str) -> list[float]: ...
+
 
 class HashedEmbedding:
     """Deterministic unit vectors from a hash of the text; stands in where no model is at hand."""
