@@ -1,13 +1,21 @@
-"""Keyword, file name and vector search, score fusion and citations; one lazy plan per query."""
+"""Keyword, file name and vector search, score fusion and citations.
+
+Text is searched through a TextIndex (stored postings and chunks, of which a query reads its tokens' and its hits' folders)
+or, without one, by a scan of the chunks. Each channel of a search is one small job whose result, a pool of at most some
+fifty rows, becomes a local relation; what fuses and cites them is planned over those.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusloom.functions import scalars as S
 
@@ -38,6 +46,125 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     return chunks.select(key, F.explode(S.tokenize(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+class TextIndex:
+    """Stored full-text index: postings by token bucket, chunks by file bucket, and the totals that BM25 asks for.
+
+    A token's postings are salted by chunk, so that no token is one task's when the index is written. A query reads the
+    folders of its tokens' buckets, and citations those of their files' buckets.
+    """
+
+    LAYOUT = {"postings": ["bucket"], "chunks": ["part"]}
+
+    def __init__(self, postings: DataFrame, chunks: DataFrame, totals: DataFrame, buckets: int):
+        self.postings, self.chunks, self.totals, self.buckets = postings, chunks, totals, buckets
+
+    @staticmethod
+    def buckets_for(size: int) -> int:
+        """Folders for so many bytes of text."""
+        return max(8, min(4096, size >> 26))
+
+    @staticmethod
+    def posted(chunks: DataFrame, buckets: int, fold: bool = True) -> DataFrame:
+        """token, chunk_id, tf, dl, bucket of chunks (chunk_id, text)."""
+        words = F.array_sort(S.tokenize("text", fold=fold))
+        t = chunks.select("chunk_id", words.alias("_w")).select("chunk_id", F.size("_w").cast("int").alias("dl"), F.explode("_w").alias("token"))
+        rows = t.groupBy("chunk_id", "dl", "token").agg(F.count("*").cast("int").alias("tf"))
+        return rows.select("token", "chunk_id", "tf", "dl", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"))
+
+    @staticmethod
+    def placed(chunks: DataFrame, buckets: int) -> DataFrame:
+        """chunks with `part`, the bucket of their file, dealt for writing."""
+        d = chunks.withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
+        return d.repartition("part", F.pmod("chunk_id", F.lit(4))).sortWithinPartitions("part", "chunk_id")
+
+    @staticmethod
+    def dealt(postings: DataFrame) -> DataFrame:
+        return postings.repartition("bucket", F.pmod("chunk_id", F.lit(8))).sortWithinPartitions("bucket", "token", "chunk_id")
+
+    @staticmethod
+    def counted(postings: DataFrame) -> DataFrame:
+        """One row: n chunks that have tokens, and their tokens in all."""
+        return postings.agg(F.count_distinct("chunk_id").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+
+    @classmethod
+    def build(cls, spark: SparkSession, chunks: DataFrame, path: str, buckets: int) -> TextIndex:
+        """Write the index of chunks (chunk_id, file_id, text and more) below path, each table once."""
+        cls.placed(chunks, buckets).write.partitionBy("part").parquet(f"{path}/chunks")
+        stored = spark.read.schema(StructType([*chunks.schema.fields, StructField("part", IntegerType())])).parquet(f"{path}/chunks")
+        postings = cls.dealt(cls.posted(stored, buckets))
+        postings.write.partitionBy("bucket").parquet(f"{path}/postings")
+        postings = spark.read.schema(postings.schema).parquet(f"{path}/postings")
+        cls.counted(postings).coalesce(1).write.parquet(f"{path}/totals")
+        return cls(postings, stored, spark.read.parquet(f"{path}/totals"), buckets)
+
+    def search(self, query: str, k: int = POOL, unicode: bool = False) -> DataFrame:
+        """chunk_id, score: BM25 with clipped idf, from the query's postings alone."""
+        wanted = query_tokens(query, unicode)
+        spark = self.postings.sparkSession
+        if not wanted:
+            return spark.createDataFrame([], "chunk_id long, score double")
+        distinct = list(dict.fromkeys(wanted))
+        at = [F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in distinct]
+        mine = self.postings.where(F.col("bucket").isin(*at) & F.col("token").isin(*distinct))
+        total = self.totals.first()
+        n = float(total["n"])
+        df = mine.groupBy("token").agg(F.count("*").alias("df"))
+        of = {r["token"]: r["df"] for r in df.collect()}
+        if not of:
+            return spark.createDataFrame([], "chunk_id long, score double")
+        average = total["tokens"] / n
+        weight = F.lit(0.0)
+        for t in of:
+            idf = max(math.log((n - of[t] + 0.5) / (of[t] + 0.5)), LEAST_IDF)
+            weight = F.when(F.col("token") == t, F.lit(float(wanted.count(t)) * idf)).otherwise(weight)
+        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
+        scored = mine.groupBy("chunk_id").agg(F.sum(part).alias("score"))
+        return scored.orderBy(F.col("score").desc(), "chunk_id").limit(k)
+
+    def rows_of(self, file_ids: list[int]) -> DataFrame:
+        """Chunks of a few files."""
+        at = [F.pmod(F.xxhash64(F.lit(i).cast("long")), F.lit(self.buckets)).cast("int") for i in file_ids]
+        return self.chunks.where((F.col("part").isin(*at) & F.col("file_id").isin(*file_ids)) if file_ids else F.lit(False)).drop("part")
+
+
+class TextScan:
+    """The same without an index: every search reads the chunks."""
+
+    def __init__(self, chunks: DataFrame):
+        self.chunks = chunks
+
+    def search(self, query: str, k: int = POOL, unicode: bool = False) -> DataFrame:
+        return search_fts(self.chunks, query, k, unicode=unicode)
+
+    def rows_of(self, file_ids: list[int]) -> DataFrame:
+        return self.chunks.where(F.col("file_id").isin(*file_ids) if file_ids else F.lit(False))
+
+
+def text_of(chunks: DataFrame | TextIndex | TextScan) -> TextIndex | TextScan:
+    return TextScan(chunks) if isinstance(chunks, DataFrame) else chunks
+
+
+class VectorIndex(Protocol):
+    """Nearest chunks of a query vector."""
+
+    def search(self, query: Sequence[float], k: int) -> DataFrame:
+        """key, score; higher is nearer, ties to the smaller key."""
+
+
+class ExactVectors:
+    """The vector index that reads every vector: exact, one scan and one top-k a query."""
+
+    def __init__(self, vectors: DataFrame, metric: str = "l2", key: str = "chunk_id", vector: str = "embedding"):
+        self.vectors, self.metric, self.key, self.vector = vectors, metric, key, vector
+
+    def search(self, query: Sequence[float], k: int = POOL) -> DataFrame:
+        return search_vectors(self.vectors, query, k, self.metric, self.key, self.vector)
+
+
+def nearest_of(vectors: DataFrame | VectorIndex, metric: str = "l2") -> VectorIndex:
+    return ExactVectors(vectors, metric) if isinstance(vectors, DataFrame) else vectors
+
+
 def _times(tokens: Column, token: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == F.lit(token)))
 
@@ -135,33 +262,59 @@ def hydrate(ranked: DataFrame, chunks: DataFrame, files: DataFrame, support: dic
 
 
 def held(top: DataFrame) -> DataFrame:
-    """A channel's candidates as a local relation. They are at most a pool (a limit stands before), and several later steps read them, so each channel is scanned once."""
+    """A channel's candidates as a local relation. They are at most a pool (a limit stands before), and several later steps
+    read them, so each channel is one job."""
     return top.sparkSession.createDataFrame(top.collect(), top.schema)
 
 
-def cited(channels: dict[str, DataFrame], names: DataFrame, chunks: DataFrame, files: DataFrame, top_k: int, weights: dict[str, float] | None = None) -> DataFrame:
+def by_file(hits: DataFrame, text: TextIndex | TextScan) -> DataFrame:
+    """The best chunk of each file among a channel's pool; chunks that the text does not hold are left out."""
+    pool = hits.withColumn("file_id", S.chunk_file("chunk_id")).collect()
+    spark = hits.sparkSession
+    rows = spark.createDataFrame([(r["chunk_id"], r["score"]) for r in pool], "chunk_id long, score double")
+    there = text.rows_of(sorted({r["file_id"] for r in pool})).select("chunk_id", "file_id")
+    return held(collapse_to_file(rows, there.join(F.broadcast(rows.select("chunk_id")), "chunk_id", "left_semi")))
+
+
+def cited(
+    channels: dict[str, DataFrame], names: DataFrame, chunks: DataFrame | TextIndex | TextScan, files: DataFrame, top_k: int,
+    weights: dict[str, float] | None = None,
+) -> DataFrame:
     """Channels of files with chunks, and file names, fused; the first top_k with citations."""
     ranked = held(fuse_scores({**channels, "filename": names}, weights).orderBy(F.col("score").desc(), "file_id").limit(top_k))
-    return hydrate(ranked, chunks, files, channels)
+    ids = [r["file_id"] for r in ranked.collect()]
+    rows = text_of(chunks).rows_of(ids)
+    return hydrate(ranked, rows, files.where(F.col("file_id").isin(*ids) if ids else F.lit(False)), channels)
 
 
-def keyword_search(chunks: DataFrame, files: DataFrame, query: str, top_k: int = 10, pool: int = POOL) -> DataFrame:
+def keyword_search(chunks: DataFrame | TextIndex, files: DataFrame, query: str, top_k: int = 10, pool: int = POOL) -> DataFrame:
     """Full text and file names, collapsed to files, fused and cited."""
-    return cited({"fts": held(collapse_to_file(held(search_fts(chunks, query, pool)), chunks))}, search_filenames(files, query, pool), chunks, files, top_k)
+    text = text_of(chunks)
+    channels = {"fts": by_file(text.search(query, pool), text)}
+    return cited(channels, held(search_filenames(files, query, pool)), text, files, top_k)
 
 
-def vector_search(vectors: DataFrame, chunks: DataFrame, files: DataFrame, query: Sequence[float], top_k: int = 10, metric: str = "l2") -> DataFrame:
+def vector_search(
+    vectors: DataFrame | VectorIndex, chunks: DataFrame | TextIndex, files: DataFrame, query: Sequence[float], top_k: int = 10,
+    metric: str = "l2",
+) -> DataFrame:
     """Nearest chunks with their citations; not collapsed to files."""
-    hits = search_vectors(vectors, query, top_k, metric)
-    c = chunks.select("chunk_id", "file_id", "page_number", "chunk_index", "source_type", S.excerpt("text").alias("excerpt"))
-    return hits.join(c, "chunk_id").join(files.select("file_id", "path"), "file_id").select("file_id", "chunk_id", "path", "page_number", "chunk_index", "source_type", "excerpt", "score")
-
-
-def hybrid_search(chunks: DataFrame, files: DataFrame, vectors: DataFrame, query: str, vector: Sequence[float], top_k: int = 10, pool: int = POOL, metric: str = "l2", weights: dict[str, float] | None = None) -> DataFrame:
+    text, hits = text_of(chunks), held(nearest_of(vectors, metric).search(query, top_k))
+    ids = sorted({r[0] for r in hits.select(S.chunk_file("chunk_id")).collect()})
+    c = text.rows_of(ids).select("chunk_id", "file_id", "page_number", "chunk_index", "source_type", S.excerpt("text").alias("excerpt"))
+    named = files.where(F.col("file_id").isin(*ids) if ids else F.lit(False)).select("file_id", "path")
+    columns = ["file_id", "chunk_id", "path", "page_number", "chunk_index", "source_type", "excerpt", "score"]
+    return hits.join(c, "chunk_id").join(named, "file_id").select(*columns)
+
+
+def hybrid_search(
+    chunks: DataFrame | TextIndex, files: DataFrame, vectors: DataFrame | VectorIndex, query: str, vector: Sequence[float],
+    top_k: int = 10, pool: int = POOL, metric: str = "l2", weights: dict[str, float] | None = None,
+) -> DataFrame:
     """Full text, vectors and file names fused per file."""
-    text = held(collapse_to_file(held(search_fts(chunks, query, pool)), chunks))
-    near = held(collapse_to_file(held(search_vectors(vectors, vector, pool, metric)), chunks))
-    return cited({"fts": text, "vector": near}, search_filenames(files, query, pool), chunks, files, top_k, weights)
+    text = text_of(chunks)
+    channels = {"fts": by_file(text.search(query, pool), text), "vector": by_file(nearest_of(vectors, metric).search(vector, pool), text)}
+    return cited(channels, held(search_filenames(files, query, pool)), text, files, top_k, weights)
 
 
 def build_vectors(chunks: DataFrame, embeddings: DataFrame, provider: str, model: str, dimensions: int, config: str) -> DataFrame:
@@ -178,7 +331,10 @@ def require_ready(runs: DataFrame) -> None:
         raise RuntimeError(f"the newest index run is {last[0]['status']}")
 
 
-def search(spark: SparkSession, runs: DataFrame, chunks: DataFrame, files: DataFrame, query: str, mode: str = "fts", top_k: int = 10, vectors: DataFrame | None = None, embed=None) -> DataFrame:
+def search(
+    spark: SparkSession, runs: DataFrame, chunks: DataFrame | TextIndex, files: DataFrame, query: str, mode: str = "fts",
+    top_k: int = 10, vectors: DataFrame | VectorIndex | None = None, embed=None,
+) -> DataFrame:
     """The checked entry point: gate, mode, query embedding (only where the mode needs it)."""
     query = checked_query(query, mode, top_k)
     require_ready(runs)

@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import uuid
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,17 +17,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.functions import scalars as S
+from corpusloom.shared import Folder, Lock
 
 
 def incremental_plan(listing: DataFrame, known: DataFrame, verify: bool = False) -> DataFrame:
     """path, action for every listed file: skip_metadata, refresh_metadata, reprocess or new.
 
-    listing: path, size, mtime_ns, content_hash; known: the same with status.
+    listing: path, size, mtime_ns, content_hash (of files that differ in size or time at least); known: the same with status.
     """
-    k = known.select("path", F.col("size").alias("k_size"), F.col("mtime_ns").alias("k_mtime"), F.col("content_hash").alias("k_hash"), F.col("status").alias("k_status"))
+    k = known.select(
+        "path", F.col("size").alias("k_size"), F.col("mtime_ns").alias("k_mtime"), F.col("content_hash").alias("k_hash"),
+        F.col("status").alias("k_status"),
+    )
     indexed = F.col("k_status") == "indexed"
     same = indexed & (F.col("size") == F.col("k_size")) & (F.col("mtime_ns") == F.col("k_mtime")) & F.lit(not verify)
-    action = F.when(F.col("k_status").isNull(), "new").when(same, "skip_metadata").when(indexed & (F.col("content_hash") == F.col("k_hash")), "refresh_metadata").otherwise("reprocess")
+    action = (
+        F.when(F.col("k_status").isNull(), "new")
+        .when(same, "skip_metadata")
+        .when(indexed & (F.col("content_hash") == F.col("k_hash")), "refresh_metadata")
+        .otherwise("reprocess")
+    )
     return listing.join(k, "path", "left").select("path", action.alias("action"))
 
 
@@ -58,12 +65,24 @@ def cascade_delete(gone: DataFrame, tables: dict[str, tuple[DataFrame, str]], ke
     return {name: t.join(g, t[c] == g["_gone"], "left_anti") for name, (t, c) in tables.items()}
 
 
-def deleted_files(known: DataFrame, listed: DataFrame, root: str, other_roots: list[str]) -> DataFrame:
-    """Known files under the root that were not listed and that no other root covers."""
+def deleted_files(
+    known: DataFrame, listed: DataFrame, root: str, other_roots: list[str], unread: DataFrame | None = None
+) -> DataFrame:
+    """Known files under the root that were not listed and that no other root covers.
+
+    unread: paths of files and folders that could not be looked into; what is known at or below them is not deleted.
+    """
     mine = known.where(S.under_root("path", root))
     for r in other_roots:
         mine = mine.where(~S.under_root("path", r))
-    return mine.join(listed.select("path"), "path", "left_anti")
+    gone = mine.join(listed.select("path"), "path", "left_anti")
+    if unread is None:
+        return gone
+    # Each missing path with its ancestors: few rows a path, joined on equality.
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    hidden = gone.select("path", F.explode(above).alias("_above")).join(unread.select(F.col("path").alias("_above")), "_above", "left_semi")
+    return gone.join(hidden.select("path").distinct(), "path", "left_anti")
 
 
 def new_owners(files: DataFrame, gone: DataFrame) -> DataFrame:
@@ -149,67 +168,65 @@ def schema_diff(old: StructType, new: StructType) -> dict[str, list[str]]:
 
 
 class SnapshotStore:
-    """Tables as snapshot folders under a root; `current.json` names the published ones. Readers never see a half-written snapshot."""
+    """Tables as snapshot folders under a root on any Hadoop file system.
+
+    `current.json` names the published ones, so readers never see a half-written snapshot.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.folder = spark, Folder(spark, root)
+        self.folder.make()
 
     def _pointer(self) -> dict[str, dict]:
-        p = self.root / "current.json"
-        return json.loads(p.read_text()) if p.exists() else {}
+        return json.loads(self.folder.read("current.json") or b"{}")
+
+    def _publish(self, pointer: dict[str, dict]) -> None:
+        self.folder.write("current.json", json.dumps(pointer, sort_keys=True).encode())
 
-    def write(self, tables: dict[str, DataFrame]) -> None:
-        """Write all tables, then publish them together."""
+    def write(self, tables: dict[str, DataFrame], layout: dict[str, list[str]] | None = None) -> None:
+        """Write all tables, then publish them together. layout: columns whose values name a table's subfolders."""
         with self.lock():
             pointer = self._pointer()
             for name, df in tables.items():
                 place = f"{name}/{uuid.uuid4().hex}"
-                df.write.parquet(str(self.root / place))
-                pointer[name] = {"place": place, "schema": schema_fingerprint(df.schema)}
-            atomic_write(self.root / "current.json", json.dumps(pointer, sort_keys=True).encode())
+                by = (layout or {}).get(name)
+                (df.write.partitionBy(*by) if by else df.write).parquet(self.folder.path(place))
+                pointer[name] = {"place": place, "schema": schema_fingerprint(df.schema), "fields": df.schema.json()}
+            self._publish(pointer)
 
     def read(self, name: str) -> DataFrame:
         entry = self._pointer().get(name)
         if entry is None:
-            raise FileNotFoundError(f"no published table {name!r} under {self.root}")
-        df = self.spark.read.parquet(str(self.root / entry["place"]))
-        return df
-
-    def backup(self, keep: int = 10) -> Path:
-        to = self.root.parent / f"{self.root.name}-backup-{time.time_ns()}"
-        shutil.copytree(self.root, to)
-        for old in sorted(self.root.parent.glob(f"{self.root.name}-backup-*"))[:-keep]:
-            shutil.rmtree(old)
+            raise FileNotFoundError(f"no published table {name!r} under {self.folder.root}")
+        known = StructType.fromJson(json.loads(entry["fields"]))
+        return self.spark.read.schema(known).parquet(self.folder.path(entry["place"])).select(*known.names)
+
+    def backup(self, keep: int = 10) -> str:
+        home, _, name = self.folder.root.rpartition("/")
+        to = f"{home}/{name}-backup-{time.time_ns()}"
+        self.folder.copy_to(to)
+        around = Folder(self.spark, home)
+        for old in [n for n in around.names() if n.startswith(f"{name}-backup-")][:-keep]:
+            around.delete(old)
         return to
 
     def reset(self, names: list[str]) -> None:
         """Unpublish tables; their folders stay until compact()."""
         with self.lock():
-            pointer = {k: v for k, v in self._pointer().items() if k not in names}
-            atomic_write(self.root / "current.json", json.dumps(pointer, sort_keys=True).encode())
+            self._publish({k: v for k, v in self._pointer().items() if k not in names})
 
     def compact(self) -> int:
         """Remove snapshots that are not published; their number."""
         live = {e["place"] for e in self._pointer().values()}
-        dead = [p for p in self.root.glob("*/*") if p.is_dir() and str(p.relative_to(self.root)) not in live]
+        places = [f"{t}/{n}" for t in self.folder.names() if self.folder.is_folder(t) for n in self.folder.names(t)]
+        dead = [p for p in places if p not in live and self.folder.is_folder(p)]
         for p in dead:
-            shutil.rmtree(p)
+            self.folder.delete(p)
         return len(dead)
 
-    @contextmanager
-    def lock(self):
+    def lock(self) -> Lock:
         """One writer at a time, without waiting."""
-        path = self.root / ".lock"
-        try:
-            fd = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError as e:
-            raise RuntimeError(f"another writer holds {path}") from e
-        try:
-            os.close(fd)
-            yield
-        finally:
-            path.unlink()
+        return Lock(self.folder)
 
 
 def atomic_write(path: Path, data: bytes) -> None:

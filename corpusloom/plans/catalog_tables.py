@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
 from corpusloom.operators import state as M
 from corpusloom.operators import text as X
-from corpusloom.plans.model import chunks, files, items, query, runs, table
+from corpusloom.plans.model import TABLES, chunks, documents, files, items, query, runs, table
+from corpusloom.session import Corpus
+from corpusloom.settings import Settings
+from corpusloom.shared import Folder, shared_root
+from corpusloom.sources import extract
 from corpusloom.streaming import events as T
 
 C = F.col
@@ -241,7 +249,12 @@ def _known(s, d):
     return status_files(s, d).where("file_id % 9 <> 0").select("file_id", "path", "size", "mtime_ns", "content_hash", "status", "root_id", "relative_path")
 
 
-@query("incremental_plan", f"SELECT path, CASE WHEN file_id % 9 = 0 THEN 'new' WHEN status = 'indexed' AND file_id % 5 <> 0 AND file_id % 3 <> 0 THEN 'skip_metadata' WHEN status = 'indexed' AND file_id % 5 <> 0 THEN 'refresh_metadata' ELSE 'reprocess' END AS action FROM ({STATUS}) WHERE file_id % 13 <> 0")
+PLAN_SQL = (
+    f"SELECT path, CASE WHEN file_id % 9 = 0 THEN 'new' WHEN status = 'indexed' AND file_id % 5 <> 0 AND file_id % 3 <> 0 THEN 'skip_metadata' WHEN status = 'indexed' AND file_id % 5 <> 0 THEN 'refresh_metadata' ELSE 'reprocess' END AS action FROM ({STATUS}) WHERE file_id % 13 <> 0"
+)
+
+
+@query("incremental_plan", PLAN_SQL)
 def _(s, d):
     return M.incremental_plan(_listing(s, d), _known(s, d))
 
@@ -377,11 +390,52 @@ def _(s, d):
     return x.select("c_custkey", M.next_action().alias("action"))
 
 
-@query("index_run")
+_COUNTED = "SELECT count(*) FILTER (text IS NOT NULL) AS n FROM documents"
+
+
+@query(
+    "index_run",
+    f"SELECT run, CASE run WHEN 1 THEN n ELSE 0 END AS indexed, CASE run WHEN 2 THEN n ELSE 0 END AS skipped, 0 AS failed, n AS files, n AS pages "
+    f"FROM ({_COUNTED}), (VALUES (1), (2)) AS r(run)",
+)
+def _(s, d):
+    """Every document as a file, indexed twice by the engine's own run: all are new, then none is read."""
+    home = f"{shared_root(s)}/index-run-{uuid.uuid4().hex}"
+    place = home.removeprefix("file://")
+
+    def put(batches):
+        for b in batches:
+            for source, lang, doc, text in zip(b["source"], b["lang"], b["doc_id"], b["text"], strict=True):
+                path = Path(place, "in", str(source), str(lang), f"doc_{doc}.txt")
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes(text.encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    written = documents(s, d).where("text is not null").select("source", "lang", "doc_id", "text").mapInPandas(put, "n long")
+    written.agg(F.sum("n")).collect()
+    corpus = Corpus(s, f"{home}/store", Settings(dimensions=16))
+    rows = []
+    for run in (1, 2):
+        done = corpus.index(f"{place}/in")
+        at = corpus.status().first()
+        rows.append((run, done["indexed"], done["skipped"], done["failed"], at["files"], corpus.table("pages").count()))
+    Folder(s, home).delete("in")
+    return s.createDataFrame(rows, "run int, indexed long, skipped long, failed long, files long, pages long")
+
+
+@query("scan_files", f"SELECT unnest({[f'{t}.parquet' for t in TABLES]}) AS relative_path")
+def _(s, d):
+    return extract.scan_files(s, d.removeprefix("file://")).where("error is null").select("relative_path")
+
+
+@query("stream_index", PLAN_SQL)
 def _(s, d):
-    plan = M.incremental_plan(_listing(s, d), _known(s, d)).where(C("action").isin("new", "reprocess"))
-    work = files(s, d).join(plan, "path").select(C("file_id").alias("doc_id"), F.lit(1).alias("page_number"), "text", "action")
-    return X.chunk_documents(work.select("doc_id", "page_number", "text")).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    """The incremental plan from a stream of arriving file rows."""
+    home = f"{shared_root(s)}/stream-index-{uuid.uuid4().hex}"
+    _listing(s, d).write.parquet(f"{home}/in")
+    plan = lambda plan, n: plan.write.mode("overwrite").parquet(f"{home}/out/batch={n}")
+    T.stream_index(s, f"{home}/in", f"{home}/checkpoint", _known(s, d), plan).awaitTermination()
+    return s.read.schema("path string, action string").parquet(f"{home}/out/batch=*")
 
 
 # -- events -------------------------------------------------------------------------------------

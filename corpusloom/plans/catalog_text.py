@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
+from corpusloom.operators import chat as C
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import text as X
-from corpusloom.plans.model import FTS_QUERY, NAME_QUERY, chunks, documents, files, pages, query, query_vector, table, vectors
+from corpusloom.plans.model import (
+    BOTH_QUERY, FTS_QUERY, NAME_QUERY, chunks, documents, files, pages, query, query_vector, table, text_index, vectors,
+)
+from corpusloom.shared import Folder, shared_root
 from corpusloom.sources import extract, sidecar
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -64,9 +70,9 @@ def _(s, d):
     return docs(s, d).select("doc_id", sniff(F.substring(F.encode("text", "UTF-8"), 1, extract.SNIFF_BYTES)).alias("is_text"))
 
 
-@query("folder_preview", "SELECT lang AS file_type, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, false AS sampled FROM files GROUP BY lang")
+@query("folder_preview", "SELECT lang AS file_type, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, (SELECT count(*) > 50000 FROM files) AS sampled FROM (SELECT * FROM files ORDER BY path LIMIT 50000) GROUP BY lang")
 def _(s, d):
-    return extract.folder_preview(files(s, d).select(F.col("lang").alias("file_type"), "size"))
+    return extract.folder_preview(files(s, d).select("path", F.col("lang").alias("file_type"), "size"))
 
 
 @query("rows_to_text", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_name || ' | ' || c_mktsegment WHEN c_acctbal > 0 THEN c_name || ' |  | ' || c_mktsegment ELSE c_name END AS line FROM customer")
@@ -435,11 +441,28 @@ def _(s, d):
     return x.select("doc_id", "page_number", F.when(c("ok").isNull(), c("text")).when(c("ok"), c("ocr_text")).alias("resolved"), F.when(~c("ok"), "engine failed").alias("error"))
 
 
-@query("chat_prompt")
+_SOURCE = (
+    "'{\"excerpt\": ' || to_json(substring(c.text, 1, 2000)) || ', \"filename\": ' || to_json('doc_' || (c.file_id - 1) || '.txt') "
+    "|| ', \"page_number\": 1, \"section\": null, \"source_id\": \"S' || nth || '\"}'"
+)
+
+
+@query(
+    "chat_prompt",
+    "SELECT conv_id, 'BEGIN UNTRUSTED INDEXED-DOCUMENT CONTEXT (JSON)' || chr(10) || '[' || coalesce(s, '') || ']' || chr(10) || "
+    "'END UNTRUSTED INDEXED-DOCUMENT CONTEXT' || chr(10) || chr(10) || 'User question:' || chr(10) || coalesce(q, '') AS prompt "
+    "FROM (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id) LEFT JOIN "
+    f"(SELECT cls, string_agg({_SOURCE}, ', ' ORDER BY nth) AS s FROM (SELECT *, file_id % 50 AS cls, row_number() OVER (PARTITION BY file_id % 50 ORDER BY file_id) AS nth "
+    "FROM chunks WHERE chunk_index = 0) c WHERE nth <= 4 GROUP BY cls) ON cls = conv_id % 50",
+)
 def _(s, d):
-    first = table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
-    context = F.to_json(F.struct(S.excerpt("question", 200).alias("question")))
-    return first.select("conv_id", F.concat(F.lit("<<<CONTEXT\n"), context, F.lit("\nCONTEXT>>>\n"), F.coalesce("question", F.lit(""))).alias("prompt"))
+    """The first question of every conversation over the first chunks of the files that share its number modulo 50."""
+    said = table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    first = chunks(s, d).where("chunk_index = 0").join(files(s, d).select("file_id", "path"), "file_id")
+    hits = first.withColumns({"cls": F.col("file_id") % 50, "rank": F.col("file_id"), "section": F.lit(None).cast("string")})
+    sources = C.numbered_sources(hits, "cls")
+    mine = said.select("conv_id", (F.col("conv_id") % 50).alias("cls")).join(sources, "cls").drop("cls")
+    return C.grounded_prompts(said, mine, "conv_id").select("conv_id", "prompt")
 
 
 # -- retrieval ----------------------------------------------------------------------------------
@@ -465,7 +488,7 @@ def _rounded(df, digits=5):
 
 @query("fts_search", "SELECT chunk_id, round(score, 5) AS score FROM fts")
 def _(s, d):
-    return _rounded(R.search_fts(chunks(s, d), FTS_QUERY))
+    return _rounded(text_index(s, d).search(FTS_QUERY))
 
 
 @query("filename_search", "SELECT file_id, round(score, 5) AS score FROM names")
@@ -485,8 +508,8 @@ def _(s, d):
 
 @query("collapse_to_file", "SELECT file_id, chunk_id, round(score, 5) AS score FROM fts_files")
 def _(s, d):
-    c = chunks(s, d)
-    return _rounded(R.collapse_to_file(R.search_fts(c, FTS_QUERY), c))
+    index = text_index(s, d)
+    return _rounded(R.by_file(index.search(FTS_QUERY), index))
 
 
 def _two(s, d):
@@ -522,25 +545,19 @@ def _cited(ranked: str, support: str) -> str:
     return f"SELECT file_id, chunk_id, path, page_number, chunk_index, source_type, {_CITED} AS excerpt, round(score, 5) AS score FROM ({inner})"
 
 
-@query("keyword_search", _cited("keyword_ranked", "LEFT JOIN fts_files t ON t.file_id = r.file_id"))
+@query("keyword_search", _cited("keyword_ranked", "LEFT JOIN both_files t ON t.file_id = r.file_id"))
 def _(s, d):
-    # One query text reaches both channels in use; here each channel has words of its own, so that both are exercised.
-    c = chunks(s, d)
-    text = R.held(R.collapse_to_file(R.held(R.search_fts(c, FTS_QUERY)), c))
-    return _rounded(R.cited({"fts": text}, R.search_filenames(named_files(s, d), NAME_QUERY), c, files(s, d), 10))
+    return _rounded(R.keyword_search(text_index(s, d), named_files(s, d), BOTH_QUERY))
 
 
 @query("vector_search", rf"SELECT c.file_id, c.chunk_id, f.path, c.page_number, c.chunk_index, c.source_type, CASE WHEN length(e) > 80 THEN substring(e, 1, 77) || '...' ELSE e END AS excerpt, round(score, 5) AS score FROM (SELECT *, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS e FROM (SELECT chunk_id, score FROM near ORDER BY score DESC, chunk_id LIMIT 10) JOIN chunks USING (chunk_id)) c JOIN files f USING (file_id)")
 def _(s, d):
-    return _rounded(R.vector_search(vectors(s, d), chunks(s, d), files(s, d), query_vector(s, d)))
+    return _rounded(R.vector_search(vectors(s, d), text_index(s, d), files(s, d), query_vector(s, d)))
 
 
-@query("hybrid_search", _cited("hybrid_ranked", "LEFT JOIN fts_files t ON t.file_id = r.file_id LEFT JOIN near_files v ON v.file_id = r.file_id"))
+@query("hybrid_search", _cited("hybrid_ranked", "LEFT JOIN both_files t ON t.file_id = r.file_id LEFT JOIN near_files v ON v.file_id = r.file_id"))
 def hybrid(s, d):
-    c = chunks(s, d)
-    text = R.held(R.collapse_to_file(R.held(R.search_fts(c, FTS_QUERY)), c))
-    near = R.held(R.collapse_to_file(R.held(R.search_vectors(vectors(s, d), query_vector(s, d))), c))
-    return _rounded(R.cited({"fts": text, "vector": near}, R.search_filenames(named_files(s, d), NAME_QUERY), c, files(s, d), 10))
+    return _rounded(R.hybrid_search(text_index(s, d), named_files(s, d), vectors(s, d), BOTH_QUERY, query_vector(s, d)))
 
 
 @query("hydrate", rf"SELECT file_id, chunk_id, {_CITED} AS excerpt FROM (SELECT file_id, chunk_id, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS e FROM chunks WHERE chunk_index = 0 AND file_id % 50 = 1)")
@@ -553,8 +570,8 @@ def _(s, d):
 
 @query("post_filter", "SELECT chunk_id FROM fts JOIN chunks USING (chunk_id) JOIN files USING (file_id) WHERE starts_with(path, '/corpus/src1') AND path LIKE '%.txt'")
 def _(s, d):
-    c = chunks(s, d)
-    hits = R.search_fts(c, FTS_QUERY).join(c.select("chunk_id", "file_id"), "chunk_id").join(files(s, d).select("file_id", "path"), "file_id")
+    hits = R.held(text_index(s, d).search(FTS_QUERY)).withColumn("file_id", S.chunk_file("chunk_id"))
+    hits = files(s, d).select("file_id", "path").join(F.broadcast(hits), "file_id")
     return hits.where(F.col("path").startswith("/corpus/src1") & F.col("path").endswith(".txt")).select("chunk_id")
 
 
@@ -571,8 +588,15 @@ def _(s, d):
     return R.build_vectors(c, e, "p", "m", 64, "h").select("chunk_id", "model_key")
 
 
-@query("search")
+@query("search", _cited("search_ranked", "LEFT JOIN fts_files t ON t.file_id = r.file_id"))
 def _(s, d):
-    c = chunks(s, d)
     ready = s.createDataFrame([(1, "index", "completed")], "run_id long, phase string, status string")
-    return R.search(s, ready, c, named_files(s, d), "license token", "fts", 10)
+    return _rounded(R.search(s, ready, text_index(s, d), named_files(s, d), FTS_QUERY, "fts", 10))
+
+
+@query("text_index_build", "SELECT count(DISTINCT chunk_id) AS n, CAST(sum(tf) AS BIGINT) AS tokens, count(*) AS postings FROM (SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS token FROM chunks) GROUP BY chunk_id, token)")
+def _(s, d):
+    """Builds the index anew and counts it."""
+    path = f"{shared_root(s)}/text-index-{uuid.uuid4().hex}"
+    made = R.TextIndex.build(s, chunks(s, d), path, R.TextIndex.buckets_for(Folder(s, d).fingerprint("documents.parquet")[0]))
+    return R.TextIndex.counted(made.postings).join(made.postings.agg(F.count("*").alias("postings")))

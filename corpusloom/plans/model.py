@@ -6,15 +6,23 @@ SQL holds the same relations as common table expressions, for checking in anothe
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import scalars as S
+from corpusloom.operators import retrieval as R
 from corpusloom.operators import text as X
+from corpusloom.shared import Folder, shared_root
 
 PAGE_CHARS = 4000
+TABLES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages",
+    "part", "region", "supplier",
+)
 
 
 @dataclass(frozen=True)
@@ -64,12 +72,25 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     f = X.flat_chunks(documents(spark, d).select((F.col("doc_id") + 1).alias("file_id"), "text"))
-    return f.select((F.col("file_id") * 1_000_000 + F.col("piece_no")).alias("chunk_id"), "file_id", F.col("piece_no").alias("chunk_index"), F.lit(1).alias("page_number"), F.lit("native").alias("source_type"), F.col("piece").alias("text"))
+    return f.select(S.chunk_id("file_id", "piece_no").alias("chunk_id"), "file_id", F.col("piece_no").alias("chunk_index"), F.lit(1).alias("page_number"), F.lit("native").alias("source_type"), F.col("piece").alias("text"))
+
+
+_INDEXES: dict[tuple, R.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, d: str) -> R.TextIndex:
+    """The stored full-text index of the documents: built at the first search of a session over this table, then read."""
+    made_of = Folder(spark, d).fingerprint("documents.parquet")
+    key = (spark.sparkContext.applicationId, d, made_of)
+    if key not in _INDEXES:
+        path = f"{shared_root(spark)}/text-index-{uuid.uuid4().hex}"
+        _INDEXES[key] = R.TextIndex.build(spark, chunks(spark, d), path, R.TextIndex.buckets_for(made_of[0]))
+    return _INDEXES[key]
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """A vector for the first chunk of the file of the same number."""
-    return table(spark, d, "embeddings").select(((F.col("vec_id") + 1) * 1_000_000).alias("chunk_id"), "embedding", "vec_id")
+    return table(spark, d, "embeddings").select(S.chunk_id(F.col("vec_id") + 1, F.lit(0)).alias("chunk_id"), "embedding", "vec_id")
 
 
 def query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
@@ -87,23 +108,69 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), ordinal.alias("ordinal"), F.col("l_partkey").alias("item_key"), status.alias("status"), F.col("l_quantity").alias("size"))
 
 
+FTS_QUERY, NAME_QUERY = "license token", "src3 de"
+#: Words for both channels of a search.
+BOTH_QUERY = f"{FTS_QUERY} {NAME_QUERY}"
+
+
+def _bm25(words: str) -> str:
+    """SQL of the best 50 chunks for the words."""
+    at = dict(enumerate(words.split()))
+    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{w}')) AS t{i}" for i, w in at.items())
+    df = ", ".join(f"count(*) FILTER (t{i} > 0) OVER () AS d{i}" for i in at)
+    parts = " + ".join(
+        f"2.2 * greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * t{i} / (t{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in at
+    )
+    every = ", ".join(f"t{i}" for i in at)
+    return (
+        f"SELECT chunk_id, score FROM (SELECT chunk_id, {parts} AS score FROM (SELECT chunk_id, {every}, dl, count(*) OVER () AS n, "
+        f"avg(dl) OVER () AS avgdl, {df} FROM (SELECT chunk_id, len(w) AS dl, {counts} FROM (SELECT chunk_id, "
+        r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM chunks)) WHERE dl > 0) "
+        f"WHERE {' + '.join(f't{i}' for i in at)} > 0) ORDER BY score DESC, chunk_id LIMIT 50"
+    )
+
+
+def _fused(text: str, vectors: bool, names: bool = True) -> str:
+    named = "UNION ALL SELECT 'n', file_id, score FROM names" if names else ""
+    near = "UNION ALL SELECT 'v', file_id, score FROM near_files " if vectors else ""
+    return (
+        "SELECT file_id, sum(x) AS score FROM (SELECT file_id, CASE WHEN max(score) OVER (PARTITION BY c) = min(score) OVER (PARTITION BY c) THEN 1.0 "
+        "ELSE (score - min(score) OVER (PARTITION BY c)) / (max(score) OVER (PARTITION BY c) - min(score) OVER (PARTITION BY c)) END AS x "
+        f"FROM (SELECT 'f' AS c, file_id, score FROM {text} {near}{named})) GROUP BY file_id ORDER BY score DESC, file_id LIMIT 10"
+    )
+
+
+def _best(hits: str) -> str:
+    """SQL of the best chunk of each file."""
+    return (
+        "SELECT file_id, chunk_id, score FROM (SELECT file_id, chunk_id, score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, chunk_id) AS nth "
+        f"FROM {hits} JOIN chunks USING (chunk_id)) WHERE nth = 1"
+    )
+
+
 CTES = {
     "files": "SELECT doc_id + 1 AS file_id, '/corpus/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, source || '/' || lang || '/doc_' || doc_id || '.txt' AS relative_path, CAST(strlen(text) AS BIGINT) AS size, doc_id * 1000 AS mtime_ns, sha256(text) AS content_hash, source, lang, text FROM documents",
     "doc_pages": f"SELECT doc_id, CAST(k + 1 AS INTEGER) AS page_number, substring(text, k * {PAGE_CHARS} + 1, {PAGE_CHARS}) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // {PAGE_CHARS})) AS k FROM documents WHERE length(text) > 0)",
-    "chunks": r"SELECT file_id * 1000000 + k AS chunk_id, file_id, CAST(k AS INTEGER) AS chunk_index, 1 AS page_number, 'native' AS source_type, p AS text FROM (SELECT file_id, k, regexp_replace(substring(t, k * 850 + 1, 1000), '^\s+|\s+$', '', 'g') AS p FROM (SELECT file_id, t, unnest(generate_series(0, greatest(0, CAST(ceil((length(t) - 1000) / 850.0) AS BIGINT)))) AS k FROM (SELECT doc_id + 1 AS file_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE length(t) > 0)) WHERE length(p) > 0",
-    "vectors": "SELECT (vec_id + 1) * 1000000 AS chunk_id, embedding, vec_id FROM embeddings",
+    "chunks": r"SELECT file_id * 16777216 + k AS chunk_id, file_id, CAST(k AS INTEGER) AS chunk_index, 1 AS page_number, 'native' AS source_type, p AS text FROM (SELECT file_id, k, regexp_replace(substring(t, k * 850 + 1, 1000), '^\s+|\s+$', '', 'g') AS p FROM (SELECT file_id, t, unnest(generate_series(0, greatest(0, CAST(ceil((length(t) - 1000) / 850.0) AS BIGINT)))) AS k FROM (SELECT doc_id + 1 AS file_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE length(t) > 0)) WHERE length(p) > 0",
+    "vectors": "SELECT (vec_id + 1) * 16777216 AS chunk_id, embedding, vec_id FROM embeddings",
     "runs": "SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 2 = 0 THEN 'index' ELSE 'markdown' END AS phase, '/root/' || o_custkey AS root_path, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'paused' ELSE 'completed' END AS status, o_orderdate AS ts FROM orders",
     "items": "SELECT l_orderkey AS run_id, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS ordinal, l_partkey AS item_key, CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'R' THEN 'paused' ELSE 'queued' END AS status, l_quantity AS size FROM lineitem",
-    "fts": r"SELECT chunk_id, score FROM (SELECT chunk_id, 2.2 * greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + 2.2 * greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * t2 / (t2 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM (SELECT chunk_id, t1, t2, dl, count(*) OVER () AS n, avg(dl) OVER () AS avgdl, count(*) FILTER (t1 > 0) OVER () AS d1, count(*) FILTER (t2 > 0) OVER () AS d2 FROM (SELECT chunk_id, len(w) AS dl, len(list_filter(w, lambda x: x = 'license')) AS t1, len(list_filter(w, lambda x: x = 'token')) AS t2 FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks)) WHERE dl > 0) WHERE t1 + t2 > 0) ORDER BY score DESC, chunk_id LIMIT 50",
+    "fts": _bm25(FTS_QUERY),
+    "fts_both": _bm25(BOTH_QUERY),
     "names": r"SELECT file_id, sum(w * ln(1 + n / df)) AS score FROM (SELECT file_id, tok, w, count(*) OVER (PARTITION BY tok) AS df, (SELECT CAST(count(*) AS DOUBLE) FROM documents) AS n, nth FROM (SELECT file_id, tok, 1.0 AS w, row_number() OVER (PARTITION BY tok ORDER BY file_id) AS nth FROM (SELECT file_id, unnest(['de', 'src3']) AS tok, source, lang FROM files) WHERE tok = lower(source) OR tok = lower(lang))) WHERE nth <= 500 GROUP BY file_id ORDER BY score DESC, file_id LIMIT 50",
     "near": "SELECT chunk_id, 0.0 - sqrt(list_sum(list_transform(generate_series(1, 64), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(q[i] AS DOUBLE))))) AS score FROM vectors, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY score DESC, chunk_id LIMIT 50",
-    "fts_files": "SELECT file_id, chunk_id, score FROM (SELECT file_id, chunk_id, score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, chunk_id) AS nth FROM fts JOIN chunks USING (chunk_id)) WHERE nth = 1",
-    "near_files": "SELECT file_id, chunk_id, score FROM (SELECT file_id, chunk_id, score, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, chunk_id) AS nth FROM near JOIN chunks USING (chunk_id)) WHERE nth = 1",
-    "keyword_ranked": "SELECT file_id, sum(x) AS score FROM (SELECT file_id, CASE WHEN max(score) OVER (PARTITION BY c) = min(score) OVER (PARTITION BY c) THEN 1.0 ELSE (score - min(score) OVER (PARTITION BY c)) / (max(score) OVER (PARTITION BY c) - min(score) OVER (PARTITION BY c)) END AS x FROM (SELECT 'f' AS c, file_id, score FROM fts_files UNION ALL SELECT 'n', file_id, score FROM names)) GROUP BY file_id ORDER BY score DESC, file_id LIMIT 10",
-    "hybrid_ranked": "SELECT file_id, sum(x) AS score FROM (SELECT file_id, CASE WHEN max(score) OVER (PARTITION BY c) = min(score) OVER (PARTITION BY c) THEN 1.0 ELSE (score - min(score) OVER (PARTITION BY c)) / (max(score) OVER (PARTITION BY c) - min(score) OVER (PARTITION BY c)) END AS x FROM (SELECT 'f' AS c, file_id, score FROM fts_files UNION ALL SELECT 'v', file_id, score FROM near_files UNION ALL SELECT 'n', file_id, score FROM names)) GROUP BY file_id ORDER BY score DESC, file_id LIMIT 10",
+    "fts_files": _best("fts"),
+    "both_files": _best("fts_both"),
+    "near_files": _best("near"),
+    "keyword_ranked": _fused("both_files", False),
+    "hybrid_ranked": _fused("both_files", True),
+    "search_ranked": _fused("fts_files", False, False),
 }
-_NEEDS = {"fts": ["chunks"], "names": ["files"], "near": ["vectors"], "fts_files": ["fts", "chunks"], "near_files": ["near", "chunks"], "keyword_ranked": ["fts_files", "names"], "hybrid_ranked": ["fts_files", "near_files", "names"]}
-FTS_QUERY, NAME_QUERY = "license token", "src3 de"
+_NEEDS = {
+    "fts": ["chunks"], "fts_both": ["chunks"], "names": ["files"], "near": ["vectors"], "fts_files": ["fts", "chunks"],
+    "both_files": ["fts_both", "chunks"], "near_files": ["near", "chunks"], "keyword_ranked": ["both_files", "names"],
+    "hybrid_ranked": ["both_files", "near_files", "names"], "search_ranked": ["fts_files"],
+}
 
 
 def with_relations(sql: str) -> str:

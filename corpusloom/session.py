@@ -1,12 +1,16 @@
 """The corpus as one object: folders are indexed into snapshots, and the published snapshot is searched.
 
-An index run is a chain of frames: listing, plan against the known files, extraction of what changed, quality, chunks,
-vectors of chunk texts without one. All tables of a run are published together, so a reader sees either the state before or after it.
+An index run is a chain of frames: listing, plan by size and time, reading of what may have changed (each file once),
+recognition of pages without text, quality, chunks, postings, and vectors of chunk texts without one. All tables of a run are
+published together, so a reader sees either the state before or after it.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,90 +21,304 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import state as M
 from corpusloom.operators import text as X
 from corpusloom.settings import Settings
-from corpusloom.sources import extract
+from corpusloom.shared import Folder
+from corpusloom.sources import engines as E
+from corpusloom.sources import extract, markdown
 
-FILES = "file_id long, path string, relative_path string, size long, mtime_ns long, content_hash string, file_type string, status string, error string"
-PAGES = "file_id long, page_number int, text string, decision string, reason_codes array<string>"
-CHUNKS = "chunk_id long, file_id long, chunk_index int, page_number int, source_type string, section string, block_type string, text string, chunk_hash string, input_hash string, input_text string"
-VECTORS = "input_hash string, vector array<float>, success boolean, error_message string"
-RUNS = "run_id long, phase string, root_path string, status string, indexed long, skipped long, removed long, failed long, seconds double"
+SCHEMAS = {
+    "files": "file_id long, path string, relative_path string, size long, mtime_ns long, content_hash string, file_type string, "
+    "extractor string, status string, error string, warning string, indexed_at timestamp",
+    "pages": "file_id long, page_number int, text string, text_source string, decision string, reason_codes array<string>",
+    "chunks": "chunk_id long, file_id long, chunk_index int, page_number int, source_type string, section string, "
+    "block_type string, text string, chunk_hash string, input_hash string, input_text string, part int",
+    "postings": "token string, chunk_id long, tf int, dl int, bucket int",
+    "totals": "n long, tokens long",
+    "vectors": "input_hash string, vector array<float>, success boolean, error_message string",
+    "ocr": E.RESULT,
+    "exclusions": "path string, excluded_at timestamp",
+    "items": "run_id long, item_key string, content_hash string, config_hash string, status string, outcome string, error string",
+    "runs": "run_id long, phase string, root_path string, status string, indexed long, skipped long, removed long, failed long, "
+    "walk_errors long, started_at timestamp, seconds double",
+}
+LAYOUT = R.TextIndex.LAYOUT
+#: Folders of postings and chunks.
+BUCKETS = 64
 
 
-def numbered(rows: DataFrame, key: str, name: str, after: int = 0, bits: int = 12) -> DataFrame:
-    """rows with running numbers after `after`, the same for the same keys: counted in 2 ** bits hash buckets, so that no task orders all rows."""
-    d = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(1 << bits)))
-    offsets = d.groupBy("_b").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return d.withColumn("_in", inside).join(F.broadcast(offsets), "_b").withColumn(name, (F.col("_before") + F.col("_in") + after).cast("long")).drop("_b", "_in", "_before")
+class Stopped(RuntimeError):
+    """The caller asked to stop; nothing was published."""
+
+
+def numbered(rows: DataFrame, order: str, name: str, after: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """rows with running numbers after `after` in the order of a column, whatever their folder or file system.
+
+    Rows are dealt by ranges and numbered within each; counts of the ranges give where each begins. keep(frame, name) writes
+    a frame once, so that the ranges are the same for both.
+    """
+    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
+    placed = keep(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # A row a range: their number is that of the shuffle's partitions.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.col("_at") - F.col("_first") + F.col("_before") + F.lit(after + 1)
+    starts = ranges.withColumn("_before", before).drop("_n")
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, number.cast("long")).drop("_range", "_at", "_first", "_before")
 
 
 class Corpus:
-    def __init__(self, spark: SparkSession, home: str, settings: Settings | None = None, provider: extract.EmbeddingProvider | None = None):
+    """Tables under `home`, on any file system that Spark writes to; the folders that are indexed must be mounted on the executors."""
+
+    def __init__(
+        self, spark: SparkSession, home: str, settings: Settings | None = None, provider: extract.EmbeddingProvider | None = None,
+        engines: list[E.OcrEngine] | None = None, stop: Callable[[], bool] = lambda: False,
+    ):
         self.spark, self.settings = spark, settings or Settings()
         self.provider = provider or extract.HashedEmbedding(self.settings.dimensions)
+        self.engines = list(engines or [])
         self.store = M.SnapshotStore(spark, home)
+        self._stop = stop
+        self._staging: Folder | None = None
 
     def table(self, name: str) -> DataFrame:
         try:
             return self.store.read(name)
         except FileNotFoundError:
-            return self.spark.createDataFrame([], {"files": FILES, "pages": PAGES, "chunks": CHUNKS, "vectors": VECTORS, "runs": RUNS}[name])
+            return self.spark.createDataFrame([], SCHEMAS[name])
+
+    # -- index runs ---------------------------------------------------------------------------------
 
     def index(self, root: str, verify: bool = False) -> dict[str, int]:
-        """Bring the files under root up to date and publish; counts of what was done."""
-        began = time.time()
+        """Bring the files under root up to date and publish; counts of what was done.
+
+        Files whose size and time of change are known are not read; verify reads all. What could not be listed is counted in
+        walk_errors, and nothing that is known at or below it is forgotten.
+        """
         root = root.rstrip("/")
-        known, excluded = self.table("files"), self.settings.excluded
-        listing = extract.scan_files(self.spark, root).where(~F.col("relative_path").isin(*excluded) if excluded else F.lit(True))
-        contents = extract.read_contents(self.spark, listing)
-        listed = extract.classify(contents, head="content").withColumn("content_hash", F.sha2("content", 256)).drop("content").cache()
-        plan = M.incremental_plan(listed, known, verify)
-        todo = listed.join(plan.where(F.col("action").isin("new", "reprocess")), "path").drop("action")
-        pages = extract.extract_pages(extract.read_contents(self.spark, todo.where("file_type is not null")))
-        failed = pages.where("error is not null").select("path", "error")
-        gone = M.deleted_files(known, listed, root, []).select("path")
-        # New paths are numbered after the highest id in use; known paths keep theirs.
+        return self._run("index", root, lambda: self._listing(root), verify)
+
+    def retry_failed(self, root: str) -> dict[str, int]:
+        """Read again only the files under root that failed, without a walk."""
+        root = root.rstrip("/")
+        known = self.table("files").where(S.under_root("path", root) & (F.col("status") == "failed"))
+        return self._run("index", root, lambda: known.select("path", "relative_path", "size", "mtime_ns", F.lit(None).cast("string").alias("error")), partial=True)
+
+    def _listing(self, root: str) -> DataFrame:
+        """Files under root without sidecars and excluded ones; one row a real path."""
+        found = extract.scan_files(self.spark, root).where(~S.is_sidecar("path"))
+        if self.settings.excluded:
+            found = found.where(~F.col("relative_path").isin(*self.settings.excluded))
+        found = found.groupBy("path").agg(F.min_by(F.struct("relative_path", "size", "mtime_ns", "error"), "relative_path").alias("x"))
+        return found.select("path", "x.*").join(self.table("exclusions").select("path"), "path", "left_anti")
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a frame that several steps read into the run's own folder; asked between steps whether to stop."""
+        if self._stop():
+            raise Stopped("stopped by the caller")
+        path = self._staging.path(f"{name}-{uuid.uuid4().hex}")
+        schema = df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _run(self, phase: str, root: str, listing: Callable[[], DataFrame], verify: bool = False, partial: bool = False) -> dict[str, int]:
+        began = datetime.now(UTC)
+        self._staging = Folder(self.spark, f"{self.store.folder.root}/_staging-{uuid.uuid4().hex}")
+        try:
+            tables, counts = self._update(root, listing(), verify, partial)
+            return self._publish(phase, root, began, tables, counts)
+        finally:
+            self._staging.delete("")
+
+    def _publish(self, phase: str, root: str, began: datetime, tables: dict[str, DataFrame], counts: dict[str, int], status: str = "completed") -> dict[str, int]:
+        run_id = self.table("runs").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1
+        seconds = (datetime.now(UTC) - began).total_seconds()
+        row = (run_id, phase, root, status, *[counts.get(c, 0) for c in ("indexed", "skipped", "removed", "failed", "walk_errors")], began, seconds)
+        runs = self.table("runs").unionByName(self.spark.createDataFrame([row], SCHEMAS["runs"]))
+        self.store.write({**tables, "runs": runs}, LAYOUT)
+        return counts
+
+    def _update(self, root: str, listing: DataFrame, verify: bool, partial: bool) -> tuple[dict[str, DataFrame], dict[str, int]]:
+        known = self.table("files")
+        scanned = self._keep(listing, "listing")
+        listed, unread = scanned.where("error is null").drop("error"), scanned.where("error is not null")
+        typed = listed.withColumn("file_type", S.file_type("path"))
+        k = known.select(
+            "path", "file_id", (F.col("status") == "indexed").alias("k_indexed"), F.col("size").alias("k_size"),
+            F.col("mtime_ns").alias("k_mtime"), F.col("content_hash").alias("known_hash"), F.col("extractor").alias("known_extractor"),
+            F.col("file_type").alias("k_type"), F.lit(True).alias("known"),
+        )
+        d = typed.join(k, "path", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        current = extract.current_extractor(F.coalesce("file_type", "k_type"))
+        same = F.col("k_indexed") & (F.col("size") == F.col("k_size")) & (F.col("mtime_ns") == F.col("k_mtime")) & (F.col("known_extractor") == current)
+        d = d.withColumn("same", F.coalesce(same & F.lit(not verify), F.lit(False)))
+        of_indexed = lambda c: F.when(F.col("k_indexed"), F.col(c)).alias(c)
+        candidates = d.where(~F.col("same")).select("path", "file_type", "known", of_indexed("known_hash"), of_indexed("known_extractor"))
+        read = self._keep(extract.read_changed(candidates), "read")
+        action = read.groupBy("path").agg(*[F.first(c).alias(c) for c in ("content_hash", "file_type", "action", "extractor")], F.max("error").alias("error"))
+        action = self._keep(action, "actions")
+        todo = action.where("action <> 'refresh_metadata'")
+        gone = known.where(F.lit(False)) if partial else M.deleted_files(known, listed, root, [], unread)
+        gone = self._keep(gone.select("path", "file_id"), "gone")
+
+        # New paths are numbered after the highest id in use, in the order of their relative paths; known paths keep theirs.
         top = known.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
-        ids = listed.join(known.select("path", "file_id"), "path", "left")
-        fresh = numbered(ids.where("file_id is null").select("path"), "path", "new_id", top)
-        ids = ids.select("path", "file_id").join(fresh, "path", "left").select("path", F.coalesce("file_id", "new_id").alias("file_id"))
-        new_files = todo.join(ids, "path").join(failed, "path", "left").withColumn("status", F.when(F.col("file_type").isNull(), "unsupported").when(F.col("error").isNotNull(), "failed").otherwise("indexed"))
-        columns = self.table("files").columns
-        refreshed = listed.join(plan.where("action = 'refresh_metadata'"), "path").select("path", F.col("mtime_ns").alias("new_mtime"))
-        files = M.upsert(known, new_files.select(*columns), ["path"]).join(gone, "path", "left_anti").join(refreshed, "path", "left").withColumn("mtime_ns", F.coalesce("new_mtime", "mtime_ns")).select(*columns).cache()
-        counts = {"indexed": todo.count(), "skipped": plan.where(F.col("action").isin("skip_metadata", "refresh_metadata")).count(), "removed": gone.count(), "failed": failed.count()}
-        good = pages.where("error is null").join(ids, "path")
-        assessed = Q.assess_pages(
-            good.select("path", "file_id", "page_number", "text", F.when(F.col("needs_ocr"), "skipped").otherwise("native").alias("mode"), *[F.lit(None).cast(t).alias(c) for c, t in (("ocr_success", "boolean"), ("mean_confidence", "double"), ("line_count", "int"), ("orientation_verified", "boolean"), ("orientation_risk", "boolean"), ("correspondence", "double"))])
-        )
-        stale = new_files.select("file_id")
-        keep = lambda t: t.join(files.select("file_id"), "file_id", "left_semi").join(stale, "file_id", "left_anti")
-        all_pages = keep(self.table("pages")).unionByName(assessed.select("file_id", "page_number", "text", "decision", "reason_codes"))
-        cut = X.markdown_chunks(good.select(F.col("file_id").alias("doc_id"), "page_number", "text"), X.MarkdownConfig(self.settings.chunk_size, self.settings.chunk_overlap))
-        named = cut.withColumnRenamed("doc_id", "file_id").join(new_files.select("file_id", "path", "relative_path", "file_type"), "file_id")
+        fresh = numbered(d.where(~F.col("known")).select("path", "relative_path"), "relative_path", "file_id", top, self._keep)
+        ids = fresh.select("path", "file_id").unionByName(d.where("known").select("path", "file_id"))
+        todo = self._keep(todo.join(ids, "path").join(listed.select("path", "relative_path", "size", "mtime_ns"), "path"), "todo")
+
+        pages, warnings, ocr = self._recognised(read.where("error is null and page_number > 0").join(todo.select("path", "file_id", "content_hash"), "path").drop(read["content_hash"]))
+        status = F.when(F.col("error").isNotNull(), "failed").when(F.col("file_type").isNull(), "unsupported").otherwise("indexed")
+        now = F.lit(datetime.now(UTC))
+        new_files = todo.join(warnings, "file_id", "left").withColumns({"status": status, "indexed_at": now})
+        columns = known.columns
+        refreshed = action.where("action = 'refresh_metadata'").join(listed.select("path", F.col("mtime_ns").alias("new_mtime"), F.col("size").alias("new_size")), "path").select("path", "new_mtime", "new_size")
+        files = M.upsert(known, new_files.select(*columns), ["path"]).join(gone.select("path"), "path", "left_anti").join(refreshed, "path", "left")
+        files = files.withColumns({"mtime_ns": F.coalesce("new_mtime", "mtime_ns"), "size": F.coalesce("new_size", "size")}).select(*columns)
+        files = self._keep(files, "files")
+        counts = todo.agg(F.count("*").alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
+        counts |= {"skipped": d.where("same").count() + action.where("action = 'refresh_metadata'").count(), "removed": gone.count(), "walk_errors": unread.count()}
+        return {"files": files, "ocr": ocr, **self._derived(files, todo.select("file_id"), pages)}, counts
+
+    def _recognised(self, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pages with what recognition adds, a warning of each file whose pages it could not read, and all stored results.
+
+        pages: file_id, content_hash, page_number, text, needs_ocr, image.
+        """
+        p = pages.withColumn("page_key", F.concat_ws(":", "content_hash", "page_number"))
+        action = F.when(~F.col("needs_ocr"), "native").when(S.non_space_count("text") == 0, "page").otherwise("merge")
+        p = self._keep(p.withColumn("action", action), "pages")
+        cache = self.table("ocr")
+        wanted = p.where("needs_ocr and image is not null").select("page_key", "image").dropDuplicates(["page_key"])
+        results, asked = E.recognise_pages(wanted, self.engines, cache, self._keep, self.settings.tier_confidence)
+        stored = M.upsert(cache, asked, ["page_key", "engine"]) if self.engines else cache
+        best = results.dropDuplicates(["page_key"])
+        resolved = E.resolve_pages(p.select("page_key", "file_id", "page_number", "text", "action"), best)
+        resolved = resolved.join(best.select("page_key", F.col("confidence").alias("mean_confidence"), F.col("success").alias("ocr_success")), "page_key", "left")
+        resolved = self._keep(resolved, "resolved")
+        failed = resolved.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("ocr_error").isNotNull()).alias("bad")).where("bad > 0")
+        warnings = failed.select("file_id", F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" pages could not be recognised")).alias("warning"))
+        return resolved, warnings, stored
+
+    def _derived(self, files: DataFrame, stale: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+        """Pages, chunks, postings, totals and vectors: what stays of the published ones, and new ones of resolved pages."""
+        live = files.select("file_id")
+        keep = lambda t: t.join(live, "file_id", "left_semi").join(stale, "file_id", "left_anti")
+        nothing = {c: F.lit(None).cast(t) for c, t in (("line_count", "int"), ("orientation_verified", "boolean"), ("orientation_risk", "boolean"), ("correspondence", "double"))}
+        mode = F.when(F.col("action") == "native", "native").when(F.col("text_source") == "none", "skipped").otherwise(F.col("text_source"))
+        good = pages.select("file_id", "page_number", F.coalesce("resolved_text", F.lit("")).alias("text"), "text_source", mode.alias("mode"), "ocr_success", "mean_confidence", "page_key")
+        assessed = Q.assess_pages(good.withColumns(nothing))
+        all_pages = keep(self.table("pages")).unionByName(assessed.select("file_id", "page_number", "text", "text_source", "decision", "reason_codes"))
+        config = X.MarkdownConfig(self.settings.chunk_size, self.settings.chunk_overlap)
+        pieces = X.markdown_chunks(good.select(F.col("file_id").alias("doc_id"), "page_number", "text"), config).withColumnRenamed("doc_id", "file_id")
+        named = pieces.join(files.select("file_id", "path", "relative_path", "file_type"), "file_id")
+        named = named.join(good.select("file_id", "page_number", F.col("text_source").alias("source_type")), ["file_id", "page_number"], "left")
         context = S.embedding_text("chunk", S.basename("path"), S.folder_path("relative_path"), S.media_type("file_type"), "page_number", None, "section")
         new_chunks = named.select(
-            (F.col("file_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "file_id", "chunk_index", "page_number", F.lit("native").alias("source_type"), "section", "block_type", F.col("chunk").alias("text"), "chunk_hash",
-            F.sha2(context, 256).alias("input_hash"), context.alias("input_text"),
+            S.chunk_id("file_id", "chunk_index").alias("chunk_id"), "file_id", "chunk_index", "page_number",
+            F.coalesce("source_type", F.lit("native")).alias("source_type"), "section", "block_type", F.col("chunk").alias("text"),
+            "chunk_hash", F.sha2(context, 256).alias("input_hash"), context.alias("input_text"),
         )
-        chunks = keep(self.table("chunks")).unionByName(new_chunks).cache()
+        new_chunks = self._keep(R.TextIndex.placed(new_chunks, BUCKETS), "chunks")
+        chunks = self._keep(keep(self.table("chunks")).unionByName(new_chunks), "all-chunks")
+        kept = keep(self.table("postings").withColumn("file_id", S.chunk_file("chunk_id"))).drop("file_id")
+        postings = self._keep(kept.unionByName(R.TextIndex.posted(new_chunks, BUCKETS)), "postings")
         have = self.table("vectors").where("success")
         wanted = chunks.select("input_hash", F.col("input_text").alias("text")).dropDuplicates(["input_hash"])
-        vectors = have.join(chunks.select("input_hash"), "input_hash", "left_semi").unionByName(extract.embed(wanted.join(have, "input_hash", "left_anti"), self.provider))
+        made = extract.embed(wanted.join(have, "input_hash", "left_anti"), self.provider)
+        vectors = have.join(chunks.select("input_hash"), "input_hash", "left_semi").unionByName(made)
+        dealt = chunks.repartition("part", F.pmod("chunk_id", F.lit(4))).sortWithinPartitions("part", "chunk_id")
+        return {"pages": all_pages, "chunks": dealt, "postings": R.TextIndex.dealt(postings), "totals": R.TextIndex.counted(postings), "vectors": vectors}
+
+    # -- the two-phase route: sources to Markdown, Markdown to index --------------------------------
+
+    def generate_markdown(self, root: str) -> dict[str, int]:
+        """Write a Markdown sidecar beside every source under root; outcomes are counted and kept per file in `items`."""
+        root = root.rstrip("/")
+        began = datetime.now(UTC)
+        self._staging = Folder(self.spark, f"{self.store.folder.root}/_staging-{uuid.uuid4().hex}")
+        try:
+            listing = self._keep(self._listing(root), "listing").where("error is null")
+            done = self._keep(markdown.write_sidecars(listing.withColumn("file_type", S.file_type("path"))), "outcomes")
+            counts = {r["outcome"]: r["count"] for r in done.groupBy("outcome").count().collect()}
+            bad = counts.get("failed", 0)
+            self._publish("markdown", root, began, self._items(done), {"indexed": sum(counts.get(c, 0) for c in ("create", "update")), "failed": bad})
+            return counts
+        finally:
+            self._staging.delete("")
+
+    def _items(self, done: DataFrame) -> dict[str, DataFrame]:
         run_id = self.table("runs").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1
-        row = (run_id, "index", root, "completed", counts["indexed"], counts["skipped"], counts["removed"], counts["failed"], time.time() - began)
-        runs = self.table("runs").unionByName(self.spark.createDataFrame([row], RUNS))
-        self.store.write({"files": files, "pages": all_pages, "chunks": chunks, "vectors": vectors, "runs": runs})
-        for t in (listed, files, chunks):
-            t.unpersist()
-        return counts
+        status = F.when(F.col("outcome") == "failed", "failed").otherwise("completed")
+        rows = done.select(F.lit(run_id).cast("long").alias("run_id"), F.col("path").alias("item_key"), "content_hash", F.lit(markdown.VERSION).alias("config_hash"), status.alias("status"), "outcome", "error")
+        return {"items": self.table("items").unionByName(rows)}
+
+    def index_sidecars(self, root: str) -> dict[str, int]:
+        """Index the sidecars under root. Published only if every one of them is whole and bound to its source; else the
+        run is recorded as failed with its items, and what was published before stays.
+
+        Sidecars whose text is that of a completed item of an earlier run are not indexed again.
+        """
+        root = root.rstrip("/")
+        began = datetime.now(UTC)
+        self._staging = Folder(self.spark, f"{self.store.folder.root}/_staging-{uuid.uuid4().hex}")
+        try:
+            found = extract.scan_files(self.spark, root).where(S.is_sidecar("path") & F.col("error").isNull())
+            read = self._keep(markdown.read_sidecars(found), "sidecars")
+            bound = self._keep(markdown.bound(read.where("page_number = 0 or page_number is null")), "bound")
+            bad = bound.where("reason is not null")
+            known = self.table("files")
+            before = self.table("items").where("outcome = 'indexed' and status = 'completed'").groupBy("item_key").agg(F.max_by("content_hash", "run_id").alias("content_hash"))
+            states = M.inherit_checkpoint(
+                bound.select(F.col("source_path").alias("item_key"), F.col("sidecar_hash").alias("content_hash"), F.lit(markdown.VERSION).alias("config_hash")),
+                before.join(known.where("status = 'indexed'").select(F.col("path").alias("item_key")), "item_key", "left_semi").withColumns({"config_hash": F.lit(markdown.VERSION), "status": F.lit("completed")}),
+            )
+            open_ = self._keep(states.where("status = 'queued'").select(F.col("item_key").alias("path"), F.col("content_hash")), "open")
+            items = bound.select(F.col("source_path").alias("path"), F.col("sidecar_hash").alias("content_hash"), F.when(F.col("reason").isNull(), "indexed").otherwise("failed").alias("outcome"), F.col("reason").alias("error"))
+            failed = bad.count()
+            counts = {"indexed": 0, "skipped": 0, "removed": 0, "failed": failed}
+            if failed:
+                self._publish("index", root, began, self._items(items), counts, "failed")
+                return counts
+            ok = bound.join(open_.select(F.col("path").alias("source_path")), "source_path", "left_semi")
+            d = ok.select(F.col("source_path").alias("path"), "relative_path", F.col("actual_size").alias("size"), "mtime_ns", F.col("actual_hash").alias("content_hash")).withColumn("file_type", S.file_type("path"))
+            top = known.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+            have = d.join(known.select("path", "file_id"), "path", "left")
+            fresh = numbered(have.where("file_id is null").drop("file_id"), "relative_path", "file_id", top, self._keep)
+            rows = have.where("file_id is not null").unionByName(fresh.select(*have.columns))
+            extra = {"extractor": extract.current_extractor("file_type"), "status": F.lit("indexed"), "error": F.lit(None).cast("string"), "warning": F.lit(None).cast("string"), "indexed_at": F.lit(began)}
+            new_files = self._keep(rows.withColumns(extra).select(*known.columns), "new-files")
+            files = self._keep(M.upsert(known, new_files, ["path"]), "files")
+            pages = read.where("page_number > 0").join(new_files.select(F.col("path").alias("source_path"), "file_id"), "source_path")
+            none = {"ocr_success": "boolean", "mean_confidence": "double"}
+            pages = pages.select("file_id", "page_number", F.col("text").alias("resolved_text"), F.lit("native").alias("text_source"), F.lit("native").alias("action"), F.concat_ws(":", "sidecar_hash", "page_number").alias("page_key"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+            counts |= {"indexed": new_files.count(), "skipped": states.where("status = 'completed'").count()}
+            tables = {"files": files, **self._derived(files, new_files.select("file_id"), pages), **self._items(items)}
+            self._publish("index", root, began, tables, counts)
+            return counts
+        finally:
+            self._staging.delete("")
+
+    # -- reading ------------------------------------------------------------------------------------
+
+    def text_index(self) -> R.TextIndex:
+        return R.TextIndex(self.table("postings"), self.table("chunks"), self.table("totals"), BUCKETS)
 
     def search(self, query: str, mode: str = "hybrid", top_k: int | None = None) -> DataFrame:
         files = self.table("files").select("file_id", "path", S.basename("path").alias("basename"), S.folder_path("relative_path").alias("folder_path"))
-        chunks = self.table("chunks")
-        vectors = chunks.select("chunk_id", "input_hash").join(self.table("vectors").where("success").select("input_hash", F.col("vector").alias("embedding")), "input_hash")
+        live = self.table("vectors").where("success").select("input_hash", F.col("vector").alias("embedding"))
+        vectors = self.table("chunks").select("chunk_id", "input_hash").join(live, "input_hash")
         embed = lambda q: self.provider.embed_query(q)
-        return R.search(self.spark, self.table("runs"), chunks, files, query, mode, top_k or self.settings.top_k, vectors, embed)
+        return R.search(self.spark, self.table("runs"), self.text_index(), files, query, mode, top_k or self.settings.top_k, vectors, embed)
+
+    def retriever(self, top_k: int = 4, mode: str = "hybrid") -> Callable[[str], list[dict]]:
+        """A function from a question to its cited chunks with their whole text, as a chat asks for."""
+
+        def find(question: str) -> list[dict]:
+            hits = self.search(question, mode, top_k)
+            texts = self.table("chunks").select("chunk_id", "text")
+            rows = hits.join(texts, "chunk_id", "left").orderBy(F.col("score").desc(), "file_id", "chunk_id")
+            return [r.asDict() for r in rows.collect()]
+
+        return find
 
     def read_document(self, path: str, most: int = 4000) -> DataFrame:
         """page_number, text of a file's pages until `most` characters are shown."""
@@ -109,19 +327,47 @@ class Corpus:
         p = self.table("pages").join(F.broadcast(f), "file_id", "left_semi").withColumn("before", before).where(F.col("before") < most)
         return p.select("page_number", F.substring("text", F.lit(1), (most - F.col("before")).cast("int")).alias("text")).orderBy("page_number")
 
+    # -- removal ------------------------------------------------------------------------------------
+
+    def _forget(self, gone: DataFrame) -> dict[str, DataFrame]:
+        """Tables without some files (file_id, path)."""
+        files = self.table("files").join(gone.select("path"), "path", "left_anti")
+        owned = {"pages": (self.table("pages"), "file_id"), "chunks": (self.table("chunks"), "file_id")}
+        rest = M.cascade_delete(gone, owned)
+        post = self.table("postings").withColumn("file_id", S.chunk_file("chunk_id"))
+        postings = M.cascade_delete(gone, {"postings": (post, "file_id")})["postings"].drop("file_id")
+        return {"files": files, **rest, "postings": postings, "totals": R.TextIndex.counted(postings)}
+
     def remove(self, root: str) -> int:
         """Forget all files under root; the number of files."""
-        files = self.table("files")
-        left = files.where(~S.under_root("path", root.rstrip("/")))
-        n = files.count() - left.count()
-        rest = M.cascade_delete(files.where(S.under_root("path", root.rstrip("/"))), {"pages": (self.table("pages"), "file_id"), "chunks": (self.table("chunks"), "file_id")})
-        self.store.write({"files": left, **rest})
+        gone = self.table("files").where(S.under_root("path", root.rstrip("/"))).select("file_id", "path")
+        n = gone.count()
+        self.store.write(self._forget(gone), LAYOUT)
         return n
 
+    def remove_file(self, path: str, sidecar: bool = True) -> bool:
+        """Exclude one file from now on, forget it, and remove its generated sidecar; whether it was known.
+
+        The exclusion and the removal are published together; the source itself is left alone.
+        """
+        gone = self.table("files").where(F.col("path") == path).select("file_id", "path")
+        known = gone.count() > 0
+        row = self.spark.createDataFrame([(path, datetime.now(UTC))], SCHEMAS["exclusions"])
+        tables = self._forget(gone) if known else {}
+        self.store.write({**tables, "exclusions": M.insert_absent(self.table("exclusions"), row, ["path"])}, LAYOUT)
+        if sidecar:
+            markdown.remove_generated(path)
+        return known
+
+    def include_file(self, path: str) -> None:
+        """Take back an exclusion; the next index run finds the file again."""
+        self.store.write({"exclusions": self.table("exclusions").where(F.col("path") != path)})
+
     def status(self) -> DataFrame:
         """One row: files by state, chunks, vectors in use, the latest run."""
         f, c = self.table("files"), self.table("chunks")
         live = c.join(self.table("vectors").where("success").select("input_hash"), "input_hash", "left_semi").agg(F.count("*").alias("embedded"))
-        last = self.table("runs").agg(F.max("run_id").alias("run_id"), F.max_by("status", "run_id").alias("run_status"))
+        last = self.table("runs").agg(F.max("run_id").alias("run_id"), F.max_by("status", "run_id").alias("run_status"), F.max_by("started_at", "run_id").alias("run_started_at"))
         of = lambda s: F.count_if(F.col("status") == s).alias(s)
-        return f.agg(F.count("*").alias("files"), of("indexed"), of("failed"), of("unsupported")).join(c.agg(F.count("*").alias("chunks"))).join(live).join(last)
+        files = f.agg(F.count("*").alias("files"), of("indexed"), of("failed"), of("unsupported"), F.count("warning").alias("warnings"))
+        return files.join(c.agg(F.count("*").alias("chunks"))).join(live).join(last)

@@ -1,3 +1,5 @@
+import json
+import time
 import zipfile
 
 import pytest
@@ -77,7 +79,7 @@ def test_office_files(tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", '<w xmlns="w"><row><c r="A1"><v>1</v></c><c r="C1" t="s"><v>0</v></c></row><row/></w>')
     assert extract.SheetExtractor().pages(xlsx.read_bytes()) == [("Sheet: S\n1 |  | x", False)]
     with pytest.raises(KeyError):
-        extract.extractor_for("pdf")
+        extract.extractor_for("odt")
 
 
 def test_embedding_failures_are_rows(spark):
@@ -116,7 +118,11 @@ def test_snapshots(spark, tmp_path):
     with store.lock(), pytest.raises(RuntimeError):
         store.write({"t": spark.range(1)})
     assert store.compact() == 1 and store.read("t").count() == 5
-    assert store.backup().exists()
+    backup = store.backup()
+    assert M.SnapshotStore(spark, backup).read("t").count() == 5
+    with open(tmp_path / "store" / ".lock", "w") as f:  # a writer that stopped long ago
+        json.dump({"owner": "gone", "at": time.time() - 7 * 3600}, f)
+    store.write({"t": spark.range(5)})
     store.reset(["t"])
     with pytest.raises(FileNotFoundError):
         store.read("t")
