@@ -43,10 +43,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers kept for the life of a worker; those of a longer text go with it.
+KEPT_POWERS = 1 << 22
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the process."""
+    """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = 1 << max(16, int(n - 1).bit_length())
@@ -57,7 +59,8 @@ def powers(base: int, n: int) -> np.ndarray:
             step = U64(pow(base, done, 1 << 64))
             have[done : 2 * done] = have[:done] * step
             done *= 2
-        _POWERS[base] = have
+        if size <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -91,17 +94,55 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, lower: bool = False, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
-        """64-bit fingerprints of the words."""
+    def sums(self, lower: bool = False, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+        """Running polynomial sums, of which the fingerprint of any span is a difference."""
         table = codes[LOWER] if lower else codes
         terms = table[self.buf]
         terms *= powers(BASE, len(terms))
         total = np.empty(len(terms) + 1, U64)
         total[0] = 0
         np.cumsum(terms, out=total[1:])
-        h = total[self.end] - total[self.start]
-        h *= powers(BASE_INV, len(terms) + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return total
+
+    def hashes(self, lower: bool = False, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
+        """64-bit fingerprints of the words."""
+        return span_hashes(self.sums(lower, codes), self.start, self.end)
+
+
+def span_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of the bytes from start to end, from running sums."""
+    h = total[end] - total[start]
+    h *= powers(BASE_INV, len(total))[start]
+    return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def pieces(buf: np.ndarray, offsets: np.ndarray, word_class: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Parts of a slice of at most `size` bytes (or one word): first text, texts, bytes, offsets.
+
+    A text of more bytes is cut where no word is, so that what is summed over words can be summed over its parts.
+    """
+    n = len(offsets) - 1
+    if len(buf) <= size:
+        yield 0, n, buf, offsets
+        return
+    for k in range(n):
+        lo, stop = int(offsets[k]), int(offsets[k + 1])
+        while True:
+            hi = min(stop, lo + size)
+            if hi < stop:  # the last byte outside a word that fits, else the first behind the word
+                gaps = np.flatnonzero(~word_class[buf[lo:hi]])
+                if len(gaps):
+                    hi = lo + int(gaps[-1]) + 1
+                else:
+                    at = hi
+                    while at < stop and word_class[buf[at]]:
+                        step = np.flatnonzero(~word_class[buf[at : min(stop, at + size)]])
+                        at = at + int(step[0]) if len(step) else min(stop, at + size)
+                    hi = at
+            yield k, 1, buf[lo:hi], np.array([0, hi - lo])
+            lo = hi
+            if lo >= stop:
+                break
 
 
 def ngram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

@@ -127,6 +127,100 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0 and toxicity.score_documents(docs, labels.limit(0)).count() == 900
 
 
+def plain_model(rows, leave=None):
+    """A word's difference of log-likelihoods by plain loops; rows: (text, class); leave: class of which one document is left out."""
+    count, history = Counter(), {}
+    for text, y in rows:
+        seen = set()
+        for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (text or "").translate(FOLD)):
+            b, h = w.encode(), b""
+            for k in (4, 5, 6, 7, None):
+                if k is None or len(b) > k:
+                    x = (k, b[:k])
+                    seen.add((h, x))
+                    h = x
+        count.update((s, y) for s in seen)
+        history.update({s: s[0] for s in seen})
+    by = {}
+    for (h, x), y in count:
+        by.setdefault(h, []).append((x, y))
+
+    def ratio(h, x):
+        n = [count[(h, x), c] for c in (0, 1)]
+        H = [sum(count[(h, z), c] for z, y in by[h] if y == c) for c in (0, 1)]
+        t = [sum(y == c for _, y in by[h]) for c in (0, 1)]
+        if leave is not None and n[leave]:
+            t[leave] -= n[leave] == 1
+            n[leave], H[leave] = n[leave] - 1, H[leave] - 1
+        if not sum(n):
+            return 0.0
+        shared, g = sum(n) / sum(H), 0.0
+        if min(H):
+            for c in (0, 1):
+                e = sum(n) * H[c] / sum(H)
+                g += 2 * (n[c] * np.log(n[c] / e) if n[c] else 0) + 2 * ((H[c] - n[c]) * np.log((H[c] - n[c]) / (H[c] - e)) if H[c] > n[c] else 0)
+        w = 1 / (1 + np.exp((toxicity.PRIOR - g) / 2))
+        if w < toxicity.LEAST_WEIGHT:
+            return 0.0
+        p = [w * (max(n[c] - 0.75, 0) + (0.75 * t[c] + 1) * shared) / (H[c] + 1) + (1 - w) * shared if H[c] else shared for c in (0, 1)]
+        return np.log(p[1] / p[0])
+
+    known = {}
+
+    def word(w):
+        if w not in known:
+            b, h, total = w.encode(), b"", 0.0
+            for k in (4, 5, 6, 7, None):
+                if k is None or len(b) > k:
+                    x = (k, b[:k])
+                    total += ratio(h, x) if (h, x) in history else 0.0
+                    h = x
+            known[w] = total
+        return known[w]
+
+    return lambda text: sum(word(w) for w in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (text or "").translate(FOLD)))
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_toxicity_equals_plain_model(spark, monkeypatch, held):
+    """Counts, log ratios and sums by the operator, broadcast and in shards, against plain loops over the same documents."""
+    monkeypatch.setattr(toxicity, "ASK_BYTES", 1 << 12)
+    r = random.Random(21)
+    stems = ["achlich", "réeux", "bomente", "idio", "moro", "x", "ab", "trashy"]
+    rows = []
+    for i in range(260):
+        bad = i % 6 == 0
+        w = [r.choice(stems) + "".join(r.choice("abcß") for _ in range(r.randint(0, 4))) for _ in range(r.randint(0, 40))]
+        w += r.sample(["idiot", "moronic", "Trash"], r.randint(1, 3)) if bad else []
+        rows.append((i, " ".join(w), int(bad)))
+    rows += [(300, None, 0), (301, "", 1), (302, "idiot " * 9000, 1), (303, "same idiot text", 0)]
+    docs = spark.createDataFrame([*rows, (303, "a second row of one id: moronic", 1)], "doc_id long, text string, toxic int").select("doc_id", "text").withColumn("item", F.lit("x")).withColumn("s", F.lit(1))
+    docs = docs.repartition(6)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, held_rows=held)
+    trained = [(t, y) for _, t, y in rows] + [("a second row of one id: moronic", 0)]
+    plain = plain_model(trained)
+    for row in toxicity.sums(docs, model, "text").collect():
+        assert row["s"] == pytest.approx(plain(row["text"]), abs=1e-8), row["text"]
+    y = docs.join(labels, "doc_id").select("text", "toxic")
+    without = [plain_model(trained, leave) for leave in (0, 1)]
+    for row in toxicity.sums(y, model, "text", "toxic", leave="toxic").collect():
+        assert row["s"] == pytest.approx(without[row["toxic"]](row["text"]), abs=1e-8)
+    assert len(model.weights) == 4
+
+
+def test_long_text_is_read_in_parts(spark, monkeypatch):
+    docs, labels, _ = toxic_corpus(spark)
+    model = toxicity.train(docs, labels)
+    long = " ".join(r["text"] for r in docs.limit(300).collect()) + " " + "y" * 70_000 + " zzidiot"
+    d = spark.createDataFrame([(1, "short zzmoron"), (2, long), (3, None), (4, "z" * 9000)], "doc_id long, text string").coalesce(1)
+    whole = {r["doc_id"]: (round(r["s"], 9), r["n"]) for r in toxicity.sums(d, model, "doc_id").collect()}
+    monkeypatch.setattr(toxicity, "SLICE", 5000)
+    assert whole == {r["doc_id"]: (round(r["s"], 9), r["n"]) for r in toxicity.sums(d, model, "doc_id").collect()}
+    parts = list(textkit.pieces(*textkit.texts_of(pa.array(["ab cd " * 9, "x" * 50, ""]))[:2], textkit.SPACE_CLASS, 16))
+    assert b"".join(bytes(p[2]) for p in parts) == ("ab cd " * 9 + "x" * 50).encode() and max(len(p[2]) for p in parts) == 50
+
+
 # -- op2 ----------------------------------------------------------------------------------------
 
 
