@@ -8,11 +8,12 @@ count join on the suffix. Discounts for counts of one, two and three or more com
 counts of counts, per order. Probabilities and back-off weights are
 interpolated by joins from the lowest order up.
 
-The model stays in sharded tables, whole, and no part of it is broadcast. The distinct n-grams of all
-texts take their probabilities from it by a join per order. Documents are dealt into slices; a slice
+The model stays in sharded tables, whole. The distinct n-grams of all
+texts take their probabilities from it by a join per order. Up to HELD_GRAMS of these answers are broadcast (32 MB), and texts
+are scored where they are read; where there are more, documents are dealt into slices, a slice
 sends each shard its distinct n-grams in one block, the shard answers with their log-probabilities,
 and the answers meet the slice's texts again. Trusted documents are found by a join on their ids, however many
-there are. Perplexity is per byte. A document is kept if its perplexity
+there are; ids are broadcast only up to TRUSTED_IDS. Perplexity is per byte. Texts longer than a slice are read in parts. A document is kept if its perplexity
 lies between two quantiles of the trusted documents of its language; languages
 with fewer than LEAST trusted documents use those of all trusted documents.
 
@@ -40,6 +41,8 @@ LEAST = 30
 SLICE = (1 << 20) - 64
 #: Input bytes whose documents make one slice of the scoring, input bytes a shard of n-grams is for, n-grams a task counts before it hands them on.
 SCORE_BYTES, SHARD_BYTES, HELD = 8 << 20, 24 << 20, 1 << 20
+#: Answers, and ids of trusted documents, of which a broadcast is asked for; with more, tables are joined.
+HELD_GRAMS, TRUSTED_IDS = 1 << 21, 1 << 21
 
 
 def codes(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -55,6 +58,18 @@ def codes(buf: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarra
     return out
 
 
+def _parts(buf: np.ndarray, offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, codes, offsets) of a slice, a text of more than `size` bytes in parts that each begin with the bytes before."""
+    if len(buf) <= size:
+        yield 0, codes(buf, offsets), offsets
+        return
+    for k, (a, b) in enumerate(pairwise(offsets.tolist())):
+        for lo in range(a, b, size):
+            hi, before = min(b, lo + size), min(ORDER - 1, lo - a)
+            own = codes(buf[lo - before : hi], np.array([0, hi - lo + before]))[before:]
+            yield k, own, np.array([0, hi - lo])
+
+
 def _shards(gram: np.ndarray, shards: int) -> tuple[np.ndarray, list[int], np.ndarray]:
     """Order of the n-grams by the shard of their history, shards that have any, and the edges of these in that order."""
     shard = (T.mix(gram >> np.uint64(8)) % np.uint64(shards)).astype(np.int32)
@@ -81,15 +96,16 @@ def _count(shards: int):
         grams: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         for _, buf, offsets, _ in T.slices(batches, size=SLICE):
-            gram, n = np.unique(codes(buf, offsets), return_counts=True)
-            grams.append(gram)
-            counts.append(n)
-            if sum(map(len, grams)) > HELD:
-                gram, n = _added(grams, counts)
-                grams, counts = [gram], [n]
-                if len(gram) > HELD // 2:
-                    grams, counts = [], []
-                    yield blocks(gram, n)
+            for _, own, _ in _parts(buf, offsets):
+                gram, n = np.unique(own, return_counts=True)
+                grams.append(gram)
+                counts.append(n)
+                if sum(map(len, grams)) > HELD:
+                    gram, n = _added(grams, counts)
+                    grams, counts = [gram], [n]
+                    if len(gram) > HELD // 2:
+                        grams, counts = [], []
+                        yield blocks(gram, n)
         if grams:
             yield blocks(*_added(grams, counts))
 
@@ -192,20 +208,44 @@ def train(trusted: DataFrame, shards: int | None = None) -> Model | None:
 
 def _distinct(group: pa.Table) -> np.ndarray:
     """Distinct n-grams of a slice's texts."""
-    found = [np.unique(codes(buf, offsets)) for _, buf, offsets, _ in T.slices(group.to_batches(), size=SLICE)]
+    found = [np.unique(own) for _, buf, offsets, _ in T.slices(group.to_batches(), size=SLICE) for _, own, _ in _parts(buf, offsets)]
     return np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]))
 
 
-def perplexities(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
+def _scored(rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, gram: np.ndarray, log_p: np.ndarray, keep: int) -> list[pa.Array]:
+    """The first `keep` columns of rows, n_bytes, perplexity; gram: sorted, holds every n-gram of the texts."""
+    n, total = np.diff(offsets), np.zeros(rows.num_rows)
+    for at, own, edges in _parts(buf, offsets):
+        value, where = np.unique(own, return_inverse=True)
+        full = np.flatnonzero(np.diff(edges))
+        if len(full):
+            said = log_p[np.searchsorted(gram, value)][where]
+            total[at + full] += np.add.reduceat(said, edges[:-1][full])
+    return [*[rows.column(i) for i in range(keep)], pa.array(n), pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)]
+
+
+def perplexities(docs: DataFrame, model: Model | None, *keep: str, held_grams: int | None = None) -> DataFrame:
     """keep columns, n_bytes, perplexity."""
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("perplexity", "double")
     names = [*keep, "n_bytes", "perplexity"]
     if model is None:
         return docs.select(*keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(None).cast("double").alias("perplexity"))
     shards = bucket_count(docs, SHARD_BYTES)
-    slices = bucket_count(docs, SCORE_BYTES)
     known = cut(model.probabilities(cut(counted(docs, shards).select("shard", "gram"), "kn-asked")), "kn-answers")
-    dealt = docs.select(*keep, "text").withColumn("slice", F.pmod(F.xxhash64(*keep, "text"), F.lit(slices)).cast("int"))
+    inner = docs.select(*keep, "text")
+    if known.count() <= (HELD_GRAMS if held_grams is None else held_grams):
+        table = known.select("gram", "p").toArrow()
+        order = np.argsort(np.asarray(table["gram"]))
+        held = docs.sparkSession.sparkContext.broadcast((np.asarray(table["gram"])[order].astype(np.uint64), np.log(np.maximum(np.asarray(table["p"])[order], 1e-12))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, buf, offsets, _ in T.slices(batches, size=SLICE):
+                yield pa.RecordBatch.from_arrays(_scored(rows, buf, offsets, *held.value, len(keep)), names)
+
+        return inner.mapInArrow(run, schema)
+
+    slices = bucket_count(docs, SCORE_BYTES)
+    dealt = inner.withColumn("slice", F.pmod(F.xxhash64(*keep, "text"), F.lit(slices)).cast("int"))
 
     def ask(group: pa.Table) -> pa.Table:
         gram = _distinct(group)
@@ -218,30 +258,17 @@ def perplexities(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
         order = np.argsort(gram)
         gram, log_p = gram[order], np.log(np.maximum(p[order], 1e-12))
         values = [log_p[np.searchsorted(gram, _unpack(b))].astype("<f8").tobytes() for b in asked["grams"].to_pylist()]
-        return pa.table([asked["slice"], asked["shard"], pa.array(values, pa.binary())], names=["slice", "shard", "values"])
+        return pa.table([asked["slice"], asked["grams"], pa.array(values, pa.binary())], names=["slice", "grams", "values"])
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = []
-        for rows, buf, offsets, _ in T.slices(group.to_batches(), size=SLICE):
-            own, at = np.unique(codes(buf, offsets), return_inverse=True)
-            parts.append((rows, offsets, own, at.astype(np.int32)))
-        gram = np.unique(np.concatenate([p[2] for p in parts] or [np.zeros(0, np.uint64)]))
-        order, full, _ = _shards(gram, shards)
-        value = dict(zip(answers["shard"].to_pylist(), answers["values"].to_pylist(), strict=True))
-        log_p = np.empty(len(gram))
-        log_p[order] = np.frombuffer(b"".join(value[f] for f in full), "<f8")
-        out = []
-        for rows, offsets, own, at in parts:
-            n = np.diff(offsets)
-            total = np.zeros(len(n))
-            if len(at):
-                total[n > 0] = np.add.reduceat(log_p[np.searchsorted(gram, own)][at], offsets[:-1][n > 0])
-            value = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
-            out.append(pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(len(keep))], pa.array(n), value], names))
+        gram, log_p = _unpack(b"".join(answers["grams"].to_pylist())), np.frombuffer(b"".join(answers["values"].to_pylist()), "<f8")
+        order = np.argsort(gram)
+        gram, log_p = gram[order], log_p[order]
+        out = [pa.RecordBatch.from_arrays(_scored(rows, buf, offsets, gram, log_p, len(keep)), names) for rows, buf, offsets, _ in T.slices(group.to_batches(), size=SLICE)]
         return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in [*[group.schema.field(k).type for k in keep], pa.int64(), pa.float64()]], names=names)
 
     asked = dealt.groupBy("slice").applyInArrow(T.releasing(ask), "shard int, slice int, grams binary")
-    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "slice int, shard int, values binary")
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, "slice int, grams binary, values binary")
     return dealt.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)
 
 
@@ -249,9 +276,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float]
     """doc_id, lang, n_bytes, perplexity, low, high, keep. Trusted text: the documents labelled of quality 1 (never of 0)."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     good = cut(good, "kn-trusted")
+    side = F.broadcast(good) if good.count() <= TRUSTED_IDS else good
     d = docs.select("doc_id", "lang", "text")
-    model = train(d.join(good, "doc_id", "left_semi"), bucket_count(d, SHARD_BYTES))
-    scored = perplexities(d, model, "doc_id", "lang").join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    model = train(d.join(side, "doc_id", "left_semi"), bucket_count(d, SHARD_BYTES))
+    scored = perplexities(d, model, "doc_id", "lang").join(side.withColumn("trusted", F.lit(True)), "doc_id", "left")
     scored = cut(scored.withColumn("trusted", F.coalesce("trusted", F.lit(False))), "kn-scored")
     known = scored.where("trusted and perplexity is not null")
     pick = lambda: [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]

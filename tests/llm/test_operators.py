@@ -436,11 +436,14 @@ def test_quality(spark):
     assert none.where("keep or perplexity is not null").count() == 0 and quality.classify(d.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
-def test_quality_keeps_the_whole_model(spark, monkeypatch):
-    for bound in ("TRUSTED_ROWS", "MODEL_ROWS"):  # bounds there once were
-        monkeypatch.setattr(quality, bound, 40, raising=False)
+@pytest.mark.parametrize("held", [1 << 21, 0])
+def test_quality_equals_plain_kneser_ney(spark, monkeypatch, held):
+    """Perplexities and quantiles against plain loops, with answers broadcast and in shards, and with texts read in parts."""
+    for name, value in (("HELD_GRAMS", held), ("TRUSTED_IDS", held), ("SLICE", 300), ("SCORE_BYTES", 1000)):
+        monkeypatch.setattr(quality, name, value)
     r = random.Random(9)
-    texts = ["".join(r.choices("abcdefgh ", k=r.randint(1, 90))) for _ in range(120)]
+    texts = ["".join(r.choices("abcdefgh ", k=r.randint(1, 90))) for _ in range(118)]
+    texts += ["".join(r.choices("abcdefghé ", k=3000)), "x" * 1000]
     d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
 
