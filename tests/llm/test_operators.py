@@ -520,11 +520,50 @@ def test_decontamination(spark):
     assert sorted((tuple(r) for r in decontaminate.report(decontaminate.find_phrases(d, items)).collect()), key=str) == want
     clean = decontaminate.drop_contaminated(d, items)
     assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((r[0] for r in want if not r[5]), key=str) and clean.columns == d.columns
-    postings = decontaminate.index_postings(d, items)
-    assert postings.where("size(positions) = 0").count() == 0 and postings.count() > 20
+    for index in (decontaminate.store_index(d, items), decontaminate.store_index(d)):
+        postings = decontaminate.index_postings(index)
+        assert postings.where("size(positions) = 0").count() == 0 and postings.count() > 20
+        found = decontaminate.report(decontaminate.search_index(index, items))
+        assert sorted((tuple(r) for r in found.collect()), key=str) == want
+
+
+def near_items(rows, items, within):
+    """doc_id to ids of items one of whose windows has all its terms within so many words of a place of its rarest."""
+    texts = {i: ALNUM.findall((t or "").translate(FOLD)) for i, t in rows}
+    df = Counter(x for w in texts.values() for x in w)
+    out = {i: set() for i in texts}
+    for i, t in items:
+        v = ALNUM.findall((t or "").translate(FOLD))
+        for k in range(max(1, len(v) - 9) if v else 0):
+            g = v[k : k + 10]
+            rare = min(g, key=lambda x: df[x])
+            for d, w in texts.items():
+                if any(set(g) <= set(w[max(0, p - within) : p + within + 1]) for p, x in enumerate(w) if x == rare):
+                    out[d].add(str(i))
+    return out
+
+
+def test_proximity(spark):
+    r = random.Random(31)
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for i in range(120):
+        w = base[:]
+        r.shuffle(w)
+        for _ in range(r.randint(0, 14)):
+            w.insert(r.randrange(len(w) + 1), r.choice(["filler", "other", "alpha"]))
+        if r.random() < 0.3:
+            w.remove(r.choice(base[1:]))
+        rows.append((i, " ".join(["pad"] * r.randint(0, 5) + w)))
+    items = [(1, " ".join(base)), (2, "alpha beta beta"), (3, "kappa other")]
+    d, i = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for parts in (1, 7):  # however the rows lie
+        got = {r["doc_id"]: set(r["near"]) for r in decontaminate.find_phrases(d.repartition(parts), i, near=12).collect()}
+        assert got == near_items(rows, items, 12) and sum(len(x) for x in got.values()) > 100
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE", 2000)  # the long text is read in parts
     monkeypatch.setattr(decontaminate, "item_blocks", lambda items, size=0, f=decontaminate.item_blocks: f(items, 5))
     d = spark.createDataFrame(leak_rows(), "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -537,8 +576,9 @@ def test_decontamination_edges(spark):
     assert decontaminate.report(decontaminate.find_phrases(d, items.limit(0))).where("contaminated").count() == 0
     phrases = decontaminate.Phrases(["1"], ["one two"])
     buf, offsets, _ = textkit.texts_of(pa.array(["one x x two x x x one", "two"]))
-    shard = decontaminate.Shard(textkit.Words(buf, offsets, textkit.ALNUM_CLASS), phrases.vocabulary)
-    assert sorted(shard.near([1, 2], 3).tolist()) in ([3], [0]) and len(shard.near([1, 2], 2)) == 0
+    words = textkit.Words(buf, offsets, textkit.ALNUM_CLASS)
+    shard = decontaminate.Shard.of_words(words.hashes(lower=True), np.diff(words.first), phrases.vocabulary)
+    assert sorted(shard.near(phrases, 3)[1].tolist()) in ([3], [0]) and len(shard.near(phrases, 2)[1]) == 0
 
 
 # -- op8 ----------------------------------------------------------------------------------------
