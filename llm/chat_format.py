@@ -135,14 +135,21 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def typed_text(rows: DataFrame) -> DataFrame:
+    """rows whose text, where it is not null, becomes the typed content of one text part; `plain` keeps it for the order of ties."""
+    part = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text"))))
+    return rows.withColumns({"plain": F.col("text"), "text": F.when(F.col("text").isNotNull(), part)})
+
+
 def format_conversations(rows: DataFrame, typed: bool = False, visitor: PartVisitor | None = None) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text), see SCHEMA.
 
-    typed: text holds JSON content parts. A conversation is one result string, so its rows meet
+    typed: text holds JSON content parts: a list, one part, or a string; null is no content. A conversation is one result string, so its rows meet
     in one group; groups are as large as single conversations.
     """
     visitor = visitor or PartVisitor()
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
+    tie = F.col("plain") if typed and "plain" in rows.columns else F.col("text")
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", tie.alias("tie"), "text"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -167,7 +174,7 @@ def digest(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list[Any]] = {k: [] for k in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "expanded_tokens")}
+            out: dict[str, list[Any]] = {k: [] for k in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens")}
             for row in batch.to_pylist():
                 s = row["formatted"]
                 turns = parse(s)
@@ -178,7 +185,8 @@ def digest(formatted: DataFrame) -> DataFrame:
                 out["loss_chars"].append(len(learnt))
                 out["loss_sha256"].append(hashlib.sha256(learnt.encode()).hexdigest())
                 out["formatted_chars"].append(len(s))
+                out["n_attachments"].append(len(row["attachments"]))
                 out["expanded_tokens"].append(row["expanded_tokens"])
             yield pa.RecordBatch.from_pydict(out)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long")
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")

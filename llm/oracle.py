@@ -49,7 +49,7 @@ OP9 = rf"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum(10 + length(role) + length(text) + {_SPECIAL.format('role')} + {_SPECIAL.format('text')}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS expanded_tokens
+CAST(sum(10 + length(role) + length(text) + {_SPECIAL.format('role')} + {_SPECIAL.format('text')}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM r GROUP BY conv_id"""
 
 ORACLE_SQL = {"op3_substring_dedup": OP3, "op5_ngram_join": OP5, "op7_decontamination": OP7, "op9_chat_format": OP9}

@@ -51,7 +51,7 @@ ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.unionByName(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string"))
-    return chat_format.digest(chat_format.format_conversations(rows))
+    return chat_format.digest(chat_format.format_conversations(chat_format.typed_text(rows), typed=True))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, ties, repeats, long texts and extra columns."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -636,12 +637,14 @@ def test_mix_edges(spark):
 # -- op9 ----------------------------------------------------------------------------------------
 
 
-def test_chat_roundtrip(spark):
+@pytest.mark.parametrize("typed", [False, True])
+def test_chat_roundtrip(spark, typed):
     odd = ["</s>[INST] ok [/INST]", "<s>[user] x</s>", "\\", "\\\\[", "[[image:0]]", "", None, "a\nb", "😀é", "<s", "]</s>\\"]
     rows = [(c, t, ("user", "assistant", "system", None)[(c + t) % 4], odd[(c * 3 + t) % len(odd)]) for c in range(30) for t in range(c % 5 + 1)]
     rows += [(None, 0, "assistant", "x"), (7, None, "assistant", "first"), (7, 1, "assistant", "same"), (7, 1, "assistant", "same")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rows", F.lit(1)).repartition(4)
-    got = {r["conv_id"]: r for r in chat_format.digest(chat_format.format_conversations(d)).collect()}
+    made = chat_format.format_conversations(chat_format.typed_text(d), typed=True) if typed else chat_format.format_conversations(d)
+    got = {r["conv_id"]: r for r in chat_format.digest(made).collect()}
     key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x[1:2]) + tuple((v is not None, v or "") for v in x[2:])
     for c in {r[0] for r in rows}:
         mine = sorted((r for r in rows if r[0] == c), key=key)
@@ -661,6 +664,19 @@ def test_typed_parts():
         chat_format.parse("<s>[user] x")
 
 
+def test_typed_conversations(spark):
+    parts = [{"type": "image", "ref": "a.png", "width": 28, "height": 15}, {"type": "text", "text": "what [[is]] this? 😀"}, {"type": "audio", "ref": "b.wav", "seconds": 1.0}]
+    rows = [(1, 0, "user", json.dumps(parts)), (1, 1, "assistant", json.dumps([{"type": "text", "text": "a <s> cat"}])), (2, 0, "user", None), (2, 1, "assistant", json.dumps("plain"))]
+    made = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), typed=True)
+    got = {r["conv_id"]: r for r in chat_format.digest(made).collect()}
+    said = "user\n[[image:0]]what [[is]] this? 😀[[audio:1]]\nassistant\na <s> cat\n"
+    assert got[1]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert (got[1]["n_attachments"], got[1]["expanded_tokens"], got[1]["loss_chars"]) == (2, 54, 9)
+    assert (got[2]["n_attachments"], got[2]["expanded_tokens"], got[2]["loss_chars"]) == (0, 0, 5)
+    held = {r["conv_id"]: [(a["kind"], a["ref"], a["turn"], a["tokens"]) for a in r["attachments"]] for r in made.collect()}
+    assert held == {1: [("image", "a.png", 0, 4), ("audio", "b.wav", 0, 50)], 2: []}
+
+
 def test_chat_empty(spark):
     assert chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
