@@ -10,7 +10,8 @@ to the target. Golden-ratio points have bounded discrepancy, so any prefix of
 the schedule is mixed near the target weights.
 
 No source is ever one task: documents are numbered per (source, hash bucket)
-and slots per run of slots, and only sums of those small groups are ordered.
+and slots per run of slots, and only sums of those small groups are ordered. One task orders the sources themselves, a row each, so
+their number, not their size, is what must stay within a task's reach.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of
 its own and sorts last; an empty table gives an empty result; rows that repeat
@@ -100,19 +101,21 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     total = t.agg(F.coalesce(F.max("hi"), F.lit(0)).alias("n")).first()["n"]
     # A point's source: an equi-join on coarse cells of the cumulative weights, at most RANGE_CELLS + one row per source.
     cell = max(1, -(-total // RANGE_CELLS))
-    ranges = t.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
+    # What later steps need of a source comes along here, so none of them meets a source's slots by its name alone.
+    carried = ["sid", "lo", "hi", "source", "target", "needs", "blocks", "source_size"]
+    ranges = t.select(*carried, F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
     point = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0)) * F.lit(float(total))
     slots = spark.range(total).select(F.col("id").alias("slot")).withColumn("point", point).withColumn("cell", F.floor(F.col("point") / cell))
-    slots = slots.join(ranges, "cell").where("lo <= point and point < hi").select("slot", "sid").withColumn("run", F.floor(F.col("slot") / SLOT_RUN))
+    slots = slots.join(ranges, "cell").where("lo <= point and point < hi").select("slot", *carried).withColumn("run", F.floor(F.col("slot") / SLOT_RUN))
     runs = slots.groupBy("sid", "run").count()
-    runs = runs.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("sid", "run", "before")
-    ranked = slots.withColumn("in_run", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1).join(runs, ["sid", "run"])
-    drawn = ranked.select("slot", "sid", (F.col("before") + F.col("in_run")).alias("rank"))
+    runs = runs.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = slots.withColumn("in_run", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1).join(runs.drop("count"), ["sid", "run"])
+    drawn = ranked.select("slot", *carried, (F.col("before") + F.col("in_run")).alias("rank"))
     # What a source lacks at the end of the schedule (its discrepancy: a few slots) follows as a tail, in source order.
-    have = drawn.groupBy("sid").agg(F.count("*").alias("have"))
+    have = runs.groupBy("sid").agg(F.max(F.col("before") + F.col("count")).alias("have"))
     lacks = t.join(have, "sid", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < needs")
-    tail = lacks.select("sid", F.explode(F.sequence(F.col("have"), F.col("needs") - 1)).alias("rank"), (F.lit(total) + F.col("lo")).alias("base")).select((F.col("base") + F.col("rank")).alias("slot"), "sid", "rank")
-    out = drawn.unionByName(tail).join(t.select("sid", "source", "target", "needs", "blocks", "source_size"), "sid").where("rank < needs")
+    tail = lacks.select(*carried, F.explode(F.sequence(F.col("have"), F.col("needs") - 1)).alias("rank"))
+    out = drawn.unionByName(tail.withColumn("slot", F.lit(total) + F.col("lo") + F.col("rank"))).where("rank < needs")
     block = F.pmod("rank", "blocks")
     whole = F.least(F.lit(block_words), size - block * block_words)
     left = F.floor(target + F.lit(0.5)) - F.floor(F.col("rank") / F.col("blocks")) * size - block * block_words
@@ -127,11 +130,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     shuffled = F.xxhash64("doc_id", "digest", F.lit(seed))
     s = sizes.withColumns({"at": shuffled, "bucket": F.pmod(F.shiftright(shuffled, 20), F.lit(buckets)).cast("int")})
     ends = s.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ends = ends.withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "bucket", "offset")
+    ends = ends.withColumn("offset", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("source", "bucket").orderBy("at", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = s.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = lambda a, b, *more: F.expr(" and ".join([f"{a}.source <=> {b}.source", *[f"{a}.{m} = {b}.{m}" for m in more]]))
-    placed = placed.alias("p").join(ends.alias("e"), same("p", "e", "bucket")).select("p.doc_id", "p.source", "p.size", "p.digest", (F.col("offset") + F.col("inside")).alias("start"))
+    # A source has a row a bucket here; its target goes on with them, so that no join is on the source alone.
+    ends = ends.alias("e").join(targets.alias("t"), same("e", "t")).select("e.source", "bucket", "offset", "source_size", "target")
+    kept = ["p.doc_id", "p.source", "p.size", "p.digest", "e.source_size", "e.target"]
+    placed = placed.alias("p").join(ends.alias("e"), same("p", "e", "bucket")).select(*kept, (F.col("offset") + F.col("inside")).alias("start"))
     placed = cut(placed, "mix-placed")
     # Uses of a block: its whole slots; the slot that is cut to the target takes only the block's first words.
     whole = F.col("words") >= F.col("block_words")
@@ -143,8 +149,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     took = pieces.alias("p").join(used.alias("u"), same("p", "u", "block")).select("p.doc_id", "p.source", "p.digest", "start", ((hi - lo) * F.col("uses") + F.greatest(F.lit(0), F.least(hi, part_end) - lo)).alias("took"))
     took = took.groupBy("doc_id", "source", "digest", "start").agg(F.sum("took").alias("taken"))
     key = F.expr("p.doc_id <=> k.doc_id and p.source <=> k.source and p.digest = k.digest and p.start = k.start and p.size > 0")
-    out = placed.alias("p").join(took.alias("k"), key, "left").select("p.*", F.coalesce("k.taken", F.lit(0)).alias("taken"))
-    return out.alias("o").join(targets.alias("t"), same("o", "t")).select("o.doc_id", "o.size", "t.source_size", "t.target", F.col("o.taken").cast("long").alias("taken"), "o.source", "o.digest", "o.start")
+    out = placed.alias("p").join(took.alias("k"), key, "left").select("p.*", F.coalesce("k.taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "digest", "start")
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: int = 42) -> DataFrame:
