@@ -2,10 +2,11 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample
 (SAMPLE vectors, least hashed ids first); every row is then indexed: its cell and one
-byte per subspace. A query looks into its nearest cells, sums asymmetric distance tables over
+byte per subspace. Residuals are measured in units of their cell's own spread, so vectors that lie close
+around one point are told apart as finely as those that lie far apart. A query looks into its nearest cells, sums asymmetric distance tables over
 the codes there, keeps the DEPTH best, and these are reranked by exact distances on the original vectors.
-How many cells a query needs is measured on the sample: the least number that covers
-COVER of the sample's true neighbours.
+How many cells a query needs is measured on the sample: the least number with which ASKS of its queries have
+the cells of COVER of their true neighbours, so that a dense region is not paid for by others.
 
 Index rows and queries meet in blocks joined on the cell, so a cell with a third
 of all vectors is many blocks; a task keeps at most DEPTH candidates a query and
@@ -31,14 +32,17 @@ from .common import cut
 
 SAMPLE = 20_000
 CELLS = 4096
-SUBSPACES = 16
+SUBSPACES = 32
 CODES = 256
-DEPTH = 128
-COVER = 0.985
+DEPTH = 64
+#: Probes are such that this share of queries finds the cells of this share of its neighbours.
+ASKS, COVER = 0.95, 0.9
 TOP = 10
 QUERY_EVERY = 100
 #: Rows of one index block before it is handed on, queries of one block, queries whose candidates a task holds.
 INDEX_BLOCK, QUERY_BLOCK, HELD = 1 << 18, 64, 4096
+#: Codes that meet a block of queries at once; candidates that a task gathers before it keeps the best of each query.
+CODE_BLOCK, GATHERED = 1 << 13, 1 << 20
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -66,14 +70,20 @@ class Quantiser:
         self.coarse = k_means(sample, max(1, min(CELLS, round(math.sqrt(rows)), n // 8 or 1)))
         self.parts = next(m for m in range(min(SUBSPACES, d), 0, -1) if d % m == 0)
         near = self.nearest(sample, 1)[:, 0]
-        residual = (sample - self.coarse[near]).reshape(n, self.parts, -1)
+        residual = sample - self.coarse[near]
+        counts = np.bincount(near, minlength=len(self.coarse))
+        spread = np.sqrt(np.bincount(near, weights=(residual * residual).sum(1), minlength=len(self.coarse)) / np.maximum(counts, 1))
+        usual = float(np.median(spread[spread > 0])) if (spread > 0).any() else 1.0
+        self.scale = np.where((counts > 1) & (spread > 1e-9 * usual), spread, usual)
+        residual = (residual / self.scale[near][:, None]).reshape(n, self.parts, -1)
         self.books = [k_means(np.ascontiguousarray(residual[:, m]), CODES, 8) for m in range(self.parts)]
         ask = sample[:: max(1, n // 256)]
         d2 = _distances(ask, sample)
         true = np.argsort(d2, axis=1, kind="stable")[:, 1 : TOP + 1]
         place = np.argsort(np.argsort(_distances(ask, self.coarse), axis=1, kind="stable"), axis=1)
-        seen = np.sort(np.take_along_axis(place, near[true], 1).ravel()) if true.size else np.zeros(1, np.int64)
-        self.probes = int(min(len(self.coarse), seen[min(len(seen) - 1, math.ceil(COVER * len(seen)))] + 1))
+        seen = np.sort(np.take_along_axis(place, near[true], 1), axis=1) if true.size else np.zeros((1, 1), np.int64)
+        need = np.sort(seen[:, math.ceil(COVER * seen.shape[1]) - 1])  # cells that a query needs for so many of its neighbours
+        self.probes = int(min(len(self.coarse), need[math.ceil(ASKS * len(need)) - 1] + 1))
 
     def nearest(self, x: np.ndarray, k: int) -> np.ndarray:
         d = _distances(x, self.coarse)
@@ -83,13 +93,13 @@ class Quantiser:
         return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1, kind="stable"), 1)
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        r = (x - self.coarse[cell]).reshape(len(x), self.parts, -1)
+        r = ((x - self.coarse[cell]) / self.scale[cell][:, None]).reshape(len(x), self.parts, -1)
         return np.stack([_distances(r[:, m], b).argmin(1) for m, b in enumerate(self.books)], 1).astype(np.uint8)
 
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """(queries, subspaces, codes): squared distances of the query's residual in that cell to the codewords."""
-        r = (q - self.coarse[cell]).reshape(len(q), self.parts, -1)
-        return np.stack([_distances(r[:, m], b) for m, b in enumerate(self.books)], 1)
+        r = ((q - self.coarse[cell]) / self.scale[cell]).reshape(len(q), self.parts, -1)
+        return np.stack([_distances(r[:, m], b) for m, b in enumerate(self.books)], 1) * self.scale[cell] ** 2
 
 
 def valid_vectors(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -169,13 +179,41 @@ def _runs(sorted_: np.ndarray) -> tuple[list, list, list]:
     return sorted_[step].tolist(), step.tolist(), np.append(step[1:], len(sorted_)).tolist()
 
 
-def _best(distance: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(ids) > 4 * depth:  # all that tie with the last stay in
-        edge = np.partition(distance, depth - 1)[depth - 1]
-        keep = distance <= edge
-        distance, ids = distance[keep], ids[keep]
-    order = np.lexsort((ids, distance))[:depth]
-    return distance[order], ids[order]
+def _best(ask: np.ndarray, distance: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `depth` nearest of each ask, in order; ties go to smaller ids."""
+    order = np.lexsort((ids, distance, ask))
+    ask, distance, ids = ask[order], distance[order], ids[order]
+    _, begin = np.unique(ask, return_index=True)
+    keep = np.arange(len(ask)) - np.repeat(begin, np.diff(np.append(begin, len(ask)))) < depth
+    return ask[keep], distance[keep], ids[keep]
+
+
+class _Gathered:
+    """Candidates of the queries that a task has met, the best `depth` of each."""
+
+    def __init__(self, depth: int):
+        self.depth, self.parts, self.size = depth, [], 0
+        self.edge: dict[int, float] = {}
+
+    def add(self, asks: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
+        """distance: (asks, ids); what is farther than a query's depth-th nearest so far is left out."""
+        edge = np.array([self.edge.get(a, np.inf) for a in asks.tolist()], distance.dtype)
+        if len(ids) > self.depth:
+            edge = np.minimum(edge, np.partition(distance, self.depth - 1, axis=1)[:, self.depth - 1])
+        row, column = np.nonzero((distance <= edge[:, None]) & np.isfinite(distance))
+        found = _best(asks[row], distance[row, column], ids[column], self.depth)
+        self.parts.append(found)
+        self.size += len(found[0])
+        if self.size > GATHERED:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = (np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64))
+        whole = _best(*(np.concatenate(x) for x in zip(none, *self.parts, strict=True)), self.depth)
+        self.parts, self.size = [whole], len(whole[0])
+        value, lo, hi = _runs(whole[0])
+        self.edge = {a: float(whole[1][h - 1]) for a, b, h in zip(value, lo, hi, strict=True) if h - b == self.depth}
+        return whole
 
 
 def _meet(held, depth: int):
@@ -183,28 +221,33 @@ def _meet(held, depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = held.value
-        have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        have = _Gathered(depth)
+        met: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            rows = {"query_id": list(have), "found": [v[1].astype("<i8").tobytes() for v in have.values()], "distances": [v[0].astype("<f8").tobytes() for v in have.values()]}
-            have.clear()
-            return pa.RecordBatch.from_pydict(rows, schema=schema)
+            nonlocal have
+            ask, distance, ids = have.settle()
+            have = _Gathered(depth)
+            met.clear()
+            value, lo, hi = _runs(ask)
+            spans = list(zip(lo, hi, strict=True))
+            blobs = [[x[a:b].tobytes() for a, b in spans] for x in (ids.astype("<i8"), distance.astype("<f4"))]
+            return pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], schema=schema)
 
         for batch in batches:
             for cell, ids, codes, asks, vectors in zip(*(batch.column(c).to_pylist() for c in ("cell", "ids", "codes", "asks", "vectors")), strict=True):
                 i, a = np.frombuffer(ids, "<i8"), np.frombuffer(asks, "<i8")
                 k = np.frombuffer(codes, np.uint8).reshape(len(i), -1)
-                tables = q.tables(np.frombuffer(vectors, "<f8").reshape(len(a), -1), cell)
-                for n, ask in enumerate(a.tolist()):
-                    d = tables[n, 0][k[:, 0]]
+                tables = q.tables(np.frombuffer(vectors, "<f8").reshape(len(a), -1), cell).astype(np.float32)
+                for lo in range(0, len(i), CODE_BLOCK):
+                    part, own = k[lo : lo + CODE_BLOCK], i[lo : lo + CODE_BLOCK]
+                    d = tables[:, 0][:, part[:, 0]]
                     for m in range(1, k.shape[1]):
-                        d = d + tables[n, m][k[:, m]]
-                    own = i != ask
-                    d, x = np.round(d[own], 9), i[own]
-                    if ask in have:
-                        d, x = np.concatenate([have[ask][0], d]), np.concatenate([have[ask][1], x])
-                    have[ask] = _best(d, x, depth)
-                if len(have) >= HELD:
+                        d += tables[:, m][:, part[:, m]]
+                    d[own[None, :] == a[:, None]] = np.inf
+                    have.add(a, d, own)
+                met.update(a.tolist())
+                if len(met) >= HELD:
                     yield flush()
         yield flush()
 
@@ -213,17 +256,11 @@ def _meet(held, depth: int):
 
 def _merge(depth: int):
     def run(group: pa.Table) -> pa.Table:
-        query = np.asarray(group["query_id"])
-        order = np.argsort(query, kind="stable")
-        found = group["found"].to_pylist()
-        distances = group["distances"].to_pylist()
-        out_q, out_v = [], []
-        for ask, lo, hi in zip(*_runs(query[order]), strict=True):
-            rows = order[lo:hi]
-            _, ids = _best(np.frombuffer(b"".join(distances[r] for r in rows), "<f8"), np.frombuffer(b"".join(found[r] for r in rows), "<i8"), depth)
-            out_q.append(np.full(len(ids), ask))
-            out_v.append(ids)
-        return pa.table([pa.array(np.concatenate(out_q).astype(np.int64)), pa.array(np.concatenate(out_v).astype(np.int64))], names=["query_id", "vec_id"])
+        found, distances = group["found"].to_pylist(), group["distances"].to_pylist()
+        many = [len(b) // 8 for b in found]
+        ask = np.repeat(np.asarray(group["query_id"]), many)
+        ask, _, ids = _best(ask, np.frombuffer(b"".join(distances), "<f4"), np.frombuffer(b"".join(found), "<i8"), depth)
+        return pa.table([pa.array(ask), pa.array(ids)], names=["query_id", "vec_id"])
 
     return run
 
