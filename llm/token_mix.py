@@ -36,7 +36,7 @@ SHARE = 1.5
 CAP = 2.0
 GOLDEN = 0.6180339887498949
 #: Slots that one bucket of the schedule numbers in one window.
-SLOT_RUN = 1 << 16
+SLOT_RUN = 1 << 12
 #: Cells into which the cumulative weights are cut to find a point's source.
 RANGE_CELLS = 1 << 12
 
