@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Input bytes (as Spark's statistics give them) that one bucket of a blob exchange is to hold.
 BUCKET_BYTES = 12 << 20
@@ -62,6 +63,15 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a few numbers each up to which a side of a join is broadcast (some 10 MB).
+SMALL_ROWS = 1 << 18
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written frame, to be broadcast if it is counted to have at most `most` rows; else the planner joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 #: Folders that cut() has written in this process.
 _WRITTEN: list[str] = []
 

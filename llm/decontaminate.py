@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .common import cut
+from .common import cut, small
 
 WINDOW = 10
 #: Words around the rarest term within which a proximity match has all terms of a window.
@@ -355,12 +355,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     """The rows of docs in which no window of any item occurs, with all their columns.
 
     Whether a text is hit depends on the text alone: fingerprints (128 bits) of the texts that are hit are written, and the rows
-    that have one are left out by an anti-join in the planner's choice of form.
+    that have one are left out by an anti-join, a broadcast one while they are few.
     """
     found = search_index(store_index(docs.select("doc_id", "text"), items), items, window)
     gone = cut(found.where(F.size("hits") > 0).select("a", "b").distinct(), "contaminated")
     same = (F.xxhash64(docs["text"]) == gone["a"]) & (F.xxhash64(F.lit(1), docs["text"]) == gone["b"])
-    return docs.join(gone, same, "left_anti")
+    return docs.join(small(gone), same, "left_anti")
 
 
 def index_postings(index: DataFrame) -> DataFrame:

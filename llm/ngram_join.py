@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from . import textkit as T
-from .common import NULL_ID, bucket_count, cut
+from .common import NULL_ID, bucket_count, cut, small
 
 N = 5
 SIMILAR, OF = 80, 100
@@ -56,12 +56,12 @@ MAP_BITS = 512
 #: Parts in which a fragment is worked off, one after the other; bounds a worker's memory.
 PARTS = 8
 
-#: kind 0: n-grams of one fragment in one slice; 1: the slice's sets (ids, a and b of the sets, sizes); 2: its hot n-grams by set.
-_BLOCK_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "sets", "sizes", "which", "counts", "tokens", "hot", "hot_counts")]])
-_BLOCK = "kind int, bucket int, slice long, ids binary, sets binary, sizes binary, which binary, counts binary, tokens binary, hot binary, hot_counts binary"
+#: kind 0: n-grams of one fragment in one slice; 1: the slice's sets (ids, two fingerprints of the texts, a and b of the sets, sizes); 2: its hot n-grams by set.
+_BLOCK_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("slice", pa.int64()), *[(c, pa.binary()) for c in ("ids", "prints", "sets", "sizes", "which", "counts", "tokens", "hot", "hot_counts")]])
+_BLOCK = "kind int, bucket int, slice long, ids binary, prints binary, sets binary, sizes binary, which binary, counts binary, tokens binary, hot binary, hot_counts binary"
 #: kind 0: packed answers; 1: as above; 3: a frequent n-gram (slice: the n-gram, times: its sets).
-_PIECE_SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("times", pa.int64()), ("ids", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary()), *exchange.SCHEMA])
-_PIECE = "kind int, slice long, times long, ids binary, sets binary, sizes binary, " + exchange.FIELDS
+_PIECE_SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int64()), ("times", pa.int64()), ("ids", pa.binary()), ("prints", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary()), *exchange.SCHEMA])
+_PIECE = "kind int, slice long, times long, ids binary, prints binary, sets binary, sizes binary, " + exchange.FIELDS
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -121,7 +121,8 @@ def _fragments(buckets: int, n: int):
                 for c in _BLOCK_SCHEMA.names:
                     out[c].append(values.get(c))
 
-            row(kind=1, bucket=home, slice=name, ids=ids.astype("<i8").tobytes(), sets=np.stack([a, b], 1).astype("<i8").tobytes(), sizes=size.astype("<i4").tobytes())
+            prints = np.stack([np.asarray(rows.column(c)) for c in (1, 2)], 1)
+            row(kind=1, bucket=home, slice=name, ids=ids.astype("<i8").tobytes(), prints=prints.astype("<i8").tobytes(), sets=np.stack([a, b], 1).astype("<i8").tobytes(), sizes=size.astype("<i4").tobytes())
             # One of the slice's equal sets speaks for all.
             _, one = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
             speaks = np.zeros(len(ids), bool)
@@ -182,7 +183,7 @@ def _in_fragment(groups: int):
         kind = np.asarray(group["kind"])
         own = group.filter(pa.array(kind == 1))
         g = exchange.group_of(np.stack([np.asarray(own["slice"]), np.zeros(len(own), np.int64)], 1), groups)
-        parts = [_piece(1, len(own), slice=own["slice"], ids=own["ids"], sets=own["sets"], sizes=own["sizes"], g=pa.array(g.astype(np.int32)))]
+        parts = [_piece(1, len(own), slice=own["slice"], ids=own["ids"], prints=own["prints"], sets=own["sets"], sizes=own["sizes"], g=pa.array(g.astype(np.int32)))]
         hot_rows = group.filter(pa.array(kind == 2))
         parts.append(answers(hot_rows, None, unpack48(b"".join(hot_rows["tokens"].to_pylist()))))
         blocks = group.filter(pa.array(kind == 0))
@@ -250,11 +251,12 @@ def _assemble(heavy, similar: int, of: int):
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A slice's documents: id, size and set."""
+    """A slice's documents: id, size, set and fingerprints of the text."""
     for batch in batches:
-        for ids, sets, sizes in zip(*(batch.column(c).to_pylist() for c in ("ids", "sets", "sizes")), strict=True):
-            s = np.frombuffer(sets, "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(sizes, "<i4")), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc", "n", "a", "b"])
+        for ids, prints, sets, sizes in zip(*(batch.column(c).to_pylist() for c in ("ids", "prints", "sets", "sizes")), strict=True):
+            s, p = (np.frombuffer(x, "<i8").reshape(-1, 2) for x in (sets, prints))
+            columns = [np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i4"), s[:, 0], s[:, 1], p[:, 0], p[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "n", "a", "b", "p", "q"])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFrame:
@@ -268,14 +270,19 @@ def _links(pairs: DataFrame, sets: DataFrame, similar: int, of: int) -> DataFram
 
 
 def components(links: DataFrame, what: str = "labels", most_rounds: int = 200) -> DataFrame:
-    """(u, root) for every node of the links: smallest node reachable, by least labels and pointer jumping; each round is cut."""
+    """(u, root) for every node of the links: smallest node reachable, by least labels and pointer jumping; each round is cut.
+
+    Labels, a row a node, are broadcast while they are few, so that a node of very many links is not one task's; beyond that the
+    planner splits what is skewed.
+    """
     edges = cut(links.select("u", "v").union(links.select("v", "u")).distinct(), f"{what}-edges")
     labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), what)
     for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("seen"))
-        step = labels.join(near, "u").select("u", F.least("root", "seen").alias("root"))
-        jump = step.join(step.select(F.col("u").alias("root"), F.col("root").alias("next")), "root").select("u", "next")
-        new = cut(jump.join(labels.withColumnRenamed("root", "old"), "u").select("u", F.col("next").alias("root"), (F.col("next") != F.col("old")).alias("moved")), what)
+        held = small(labels)
+        near = edges.join(held.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("seen"))
+        step = cut(labels.join(near, "u").select("u", F.col("root").alias("old"), F.least("root", "seen").alias("root")), what)
+        jump = small(step).select(F.col("u").alias("root"), F.col("root").alias("next"))
+        new = cut(step.join(jump, "root").select("u", F.col("next").alias("root"), (F.col("next") != F.col("old")).alias("moved")), what)
         labels = new.select("u", "root")
         if new.where("moved").limit(1).count() == 0:
             return labels
@@ -295,14 +302,20 @@ def _may_link(similar: int, of: int) -> Column:
     return F.expr(f"{of} * {shared} >= {similar} * (nu + nv - {shared})")
 
 
+def text_prints() -> list[Column]:
+    """p and q: 128 bits that name a row's text."""
+    return [F.xxhash64("text").alias("p"), F.xxhash64(F.lit(1), "text").alias("q")]
+
+
 def similar_sets(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int = OF) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has doc (NULL_ID for null), n and u, the set's identity; links has pairs of linked sets
+    """(members, links): members has doc (NULL_ID for null), n, u, the set's identity, and p and q, fingerprints of the text; links has pairs of linked sets
     that span all components (every component of the link graph is connected by them)."""
     spark = docs.sparkSession
     buckets = bucket_count(docs, FRAGMENT_BYTES)
-    blocks = docs.select("doc_id", "text").mapInArrow(_fragments(buckets, n), _BLOCK)
+    blocks = docs.select("doc_id", *text_prints(), "text").mapInArrow(_fragments(buckets, n), _BLOCK)
     pieces = cut(blocks.groupBy("bucket").applyInArrow(_in_fragment(buckets), _PIECE), "join-pieces")
-    members = pieces.where("kind = 1").select("ids", "sets", "sizes").mapInArrow(_members, "doc long, n int, a long, b long").select("doc", "n", F.struct("a", "b").alias("u"))
+    members = pieces.where("kind = 1").select("ids", "prints", "sets", "sizes").mapInArrow(_members, "doc long, n int, a long, b long, p long, q long")
+    members = members.select("doc", "n", F.struct("a", "b").alias("u"), "p", "q")
     heavy = pieces.where("kind = 3").select(F.col("slice").alias("token"), F.col("times").alias("df")).orderBy(F.col("df").desc(), "token").limit(HEAVY).toArrow()
     t = np.asarray(heavy["token"]).astype(np.uint64)
     order = np.argsort(t)
@@ -341,26 +354,52 @@ def join_components(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int
     members, links = similar_sets(docs, n, similar, of)
     back = lambda c: F.when(F.col(c) != F.lit(NULL_ID), F.col(c))
     per_set = members.where("n > 0").groupBy("u").agg(F.min("doc").alias("least"))
-    placed = per_set.join(components(links, "join-final"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component"))
-    per_set = placed.join(least, "root").select("u", F.col("component").alias("least"))
+    placed = cut(per_set.join(components(links, "join-final"), "u", "left").withColumn("root", F.coalesce("root", "u")), "join-placed-sets")
+    # Sets of a component of their own need no join; a component's least id is broadcast while components are few.
+    shared = cut(placed.where("u <> root").select("root").distinct(), "join-shared")
+    least = cut(placed.join(small(shared), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component")), "join-least")
+    per_set = placed.join(small(least), "root", "left").select("u", F.coalesce("component", "least").alias("least"))
     out = members.join(per_set, "u", "left")
     return out.select(back("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, back("doc")).otherwise(back("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = N, similar: int = SIMILAR, of: int = OF) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id; rows of one doc_id count as one document (least text fingerprint stays).
+    """docs with one row of each component of linked texts: that of the smallest doc_id, null last, and of the smallest text
+    fingerprint among rows of one doc_id; of rows that repeat it entirely in both, one stays.
 
-    Rows without words and rows without doc_id stay as they are.
+    Rows without words stay as they are. Only ids and fingerprints are joined and counted; the rows themselves meet the list of
+    those to leave out once, by a broadcast while it is short.
     """
-    named = docs.where("doc_id is not null")
-    found = join_components(named.select("doc_id", "text"), n, similar, of)
-    gone = cut(found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "join-gone")
-    left = named.join(gone.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    nth = next(n for n in (f"nth{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    left = left.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
-    return left.unionByName(docs.where("doc_id is null"))
+    members, links = similar_sets(docs, n, similar, of)
+    members = cut(members.where("n > 0").drop("n").withColumn("doc", F.when(F.col("doc") != F.lit(NULL_ID), F.col("doc"))), "join-members")
+    roots = components(links, "join-final")
+    row = F.struct(F.col("doc").isNull().alias("none"), "doc", "p", "q")
+    per_set = members.groupBy("u").agg(F.min(row).alias("first")).join(small(roots), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    per_set = cut(per_set, "join-sets-roots")
+    # Sets whose component's first row is another set's lose all their rows; the others all but the first.
+    linked = per_set.join(small(cut(roots.select("root").distinct(), "join-root")), "root", "left_semi")
+    least = cut(linked.groupBy("root").agg(F.min("first").alias("least")), "join-least")
+    behind = linked.join(small(least), "root").where("first > least").select("u")
+    behind = cut(behind, "join-behind")
+    lost = members.join(small(behind), "u", "left_semi").select("doc", "p", "q")
+    firsts = per_set.join(small(behind), "u", "left_anti").select("u", "first")
+    copies = members.groupBy("u").count().where("count > 1").select("u")
+    others = members.join(small(cut(copies, "join-copies")), "u", "left_semi").join(firsts, "u").where(~row.eqNullSafe(F.col("first"))).select("doc", "p", "q")
+    gone = cut(lost.unionByName(others).distinct(), "join-gone")
+    twice = members.groupBy("doc", "p", "q").count().where("count > 1").select("doc", "p", "q")
+    stays = twice["doc"].eqNullSafe(gone["doc"]) & (twice["p"] == gone["p"]) & (twice["q"] == gone["q"])
+    again = cut(twice.join(small(gone), stays, "left_anti"), "join-again")
+    doc, p, q = F.col("_doc"), F.col("_p"), F.col("_q")
+    same = lambda t: doc.eqNullSafe(t["doc"]) & (p == t["p"]) & (q == t["q"])
+    # The row travels as one struct, so no column of the caller can clash.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), *[c.alias(f"_{x}") for c, x in zip(text_prints(), "pq", strict=True)])
+    left = whole.join(small(gone), same(gone), "left_anti")
+    if again.limit(1).count():
+        copies = left.join(small(again), same(again), "left_semi")
+        nth = F.row_number().over(Window.partitionBy("_doc", "_p", "_q").orderBy(F.xxhash64("_row")))
+        once = copies.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+        left = left.join(small(again), same(again), "left_anti").unionByName(once)
+    return left.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def prefix_length(size: int, similar: int = SIMILAR, of: int = OF) -> int:

@@ -44,7 +44,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _POWERS: dict[int, np.ndarray] = {}
 #: Powers kept for the life of a worker; those of a longer text go with it.
-KEPT_POWERS = 1 << 22
+KEPT_POWERS = 1 << 21
 
 
 def powers(base: int, n: int) -> np.ndarray:

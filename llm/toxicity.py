@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .common import bucket_count, cut
+from .common import bucket_count, cut, small
 from .ngram_join import pack48, unpack48
 
 PREFIXES = (4, 5, 6, 7)
@@ -360,9 +360,9 @@ def reject(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFr
     """The rows of docs whose score is under the cutoff, with all their columns.
 
     Only texts are sent to the scorer. A score depends on the text alone, so the fingerprints (128 bits) of rejected
-    texts are written and the rows that have one are left out by an anti-join in the planner's choice of form.
+    texts are written and the rows that have one are left out by an anti-join, a broadcast one while they are few.
     """
     a, b = F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     gone = cut(score(docs.select(a.alias("a"), b.alias("b"), "text"), model, "a", "b").where(F.col("score") >= cutoff).select("a", "b").distinct(), "toxic-texts")
-    return docs.join(gone, (a == gone["a"]) & (b == gone["b"]), "left_anti")
+    return docs.join(small(gone), (a == gone["a"]) & (b == gone["b"]), "left_anti")
