@@ -308,6 +308,16 @@ def normal_tokens(text: str | None) -> list[str]:
     return (text or "").casefold().split()
 
 
+#: White space as str.split sees it, for patterns.
+_BLANK = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def normal_token_count(text: Column | str) -> Column:
+    """len(normal_tokens(text)) as an expression; null counts as empty."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.size(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(f"[^{_BLANK}]+"), F.lit(0)))
+
+
 def containment(native: Sequence[str], line: Sequence[str]) -> float:
     """Share of the line's tokens that matching runs of the native tokens cover."""
     if not line or not native:

@@ -51,20 +51,32 @@ def _(s, d):
     return extract.extract_pages(f).select("path", "page_number", "text", "needs_ocr")
 
 
-@query("extract_email")
+@query(
+    "extract_email",
+    "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(length('Subject: item ' || doc_id) + 78 + length(coalesce(text, '')) AS INTEGER) AS chars, "
+    "CAST(NULL AS VARCHAR) AS error FROM documents",
+)
 def _(s, d):
     raw = F.concat(F.lit("Subject: item "), F.col("doc_id").cast("string"), F.lit("\nFrom: a@example.com\nTo: b@example.com\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nContent-Type: text/plain; charset=utf-8\n\n"), "text")
     f = docs(s, d).select(F.col("doc_id").cast("string").alias("path"), F.lit("eml").alias("file_type"), F.encode(raw, "UTF-8").alias("content"))
     return extract.extract_pages(f).select("path", F.length("text").alias("chars"), "error")
 
 
-@query("html_to_text")
+@query(
+    "html_to_text",
+    r"SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, "
+    r"'<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<!--.*?-->|<[^>]*>', '', 'gs'), "
+    r"'&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS text FROM pages",
+)
 def _(s, d):
     visible = F.pandas_udf(lambda x: x.map(extract.html_to_text), "string")
     return table(s, d, "pages").select("page_id", visible("html").alias("text"))
 
 
-@query("sniff_text")
+@query(
+    "sniff_text",
+    "SELECT doc_id, strlen(text) <= 8192 OR NOT substr(hex(encode(text)), 16385, 1) IN ('8', '9', 'A', 'B') AS is_text FROM documents",
+)
 def _(s, d):
     sniff = F.pandas_udf(lambda x: x.map(lambda b: extract.looks_like_text(bytes(b))), "boolean")
     return docs(s, d).select("doc_id", sniff(F.substring(F.encode("text", "UTF-8"), 1, extract.SNIFF_BYTES)).alias("is_text"))
@@ -99,13 +111,22 @@ def _(s, d):
     return pages(s, d).select("doc_id", "page_number", F.length("text").cast("long").alias("chars"))
 
 
-@query("sidecar_roundtrip")
+@query(
+    "sidecar_roundtrip",
+    "SELECT doc_id, page_number, true AS same, CAST(NULL AS VARCHAR) AS error FROM doc_pages",
+)
 def _(s, d):
     back = sidecar.parse_documents(sidecar.render_documents(pages(s, d)))
     return pages(s, d).withColumnRenamed("text", "was").join(back, ["doc_id", "page_number"]).select("doc_id", "page_number", (F.col("was") == F.col("text")).alias("same"), "error")
 
 
-@query("sidecar_render")
+@query(
+    "sidecar_render",
+    "SELECT doc_id, sha256('---' || chr(10) || '{\"pages\":' || n || ',\"regenerate\":\"if_source_changed\",\"source\":{\"doc_id\":' || doc_id || '},\"status\":\"generated\"}' "
+    "|| chr(10) || '---' || chr(10) || body || '<!-- corpusloom:digest ' || sha256(body) || ' -->' || chr(10)) AS digest FROM "
+    "(SELECT doc_id, count(*) AS n, string_agg('<!-- corpusloom:page-start {\"chars\":' || length(text) || ',\"meta\":{},\"number\":' || page_number || '} -->' || chr(10) || text "
+    "|| chr(10) || '<!-- corpusloom:page-end {\"number\":' || page_number || '} -->' || chr(10), '' ORDER BY page_number) AS body FROM doc_pages GROUP BY doc_id)",
+)
 def _(s, d):
     return sidecar.render_documents(pages(s, d)).select("doc_id", F.sha2("sidecar", 256).alias("digest"))
 
@@ -180,10 +201,13 @@ def _(s, d):
     return docs(s, d).select(F.explode(S.tokenize("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("norm_tokens")
+@query(
+    "norm_tokens",
+    r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), "
+    r"'[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) AS INTEGER) AS tokens FROM documents",
+)
 def _(s, d):
-    count = F.pandas_udf(lambda x: x.map(lambda t: len(X.normal_tokens(t))), "int")
-    return docs(s, d).select("doc_id", count("text").alias("tokens"))
+    return docs(s, d).select("doc_id", X.normal_token_count("text").alias("tokens"))
 
 
 @query("punct_only", rf"SELECT line, NOT regexp_matches(line, '[\p{{L}}\p{{N}}]') AS punctuation FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS line FROM documents)")
@@ -207,12 +231,15 @@ def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", S.is_chitchat(said).alias("chitchat"))
 
 
-@query("rect_union")
+@query(
+    "rect_union",
+    "SELECT p_partkey, round(p_size * 10.0 + p_size / 2.0 * (p_retailprice - 10), 4) AS area FROM part",
+)
 def _(s, d):
     def area(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([S.union_area([(0, 0, a, 10), (a / 2, 5, a, b)]) for a, b in zip(x, y, strict=True)])
 
-    return table(s, d, "part").select("p_partkey", F.pandas_udf(area, "double")(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("area"))
+    return table(s, d, "part").select("p_partkey", F.round(F.pandas_udf(area, "double")(F.col("p_size").cast("double"), F.col("p_retailprice")), 4).alias("area"))
 
 
 @query("orientation", "SELECT p_partkey, p_size % 7 >= 3 AS verified, p_size % 7 >= 3 AND p_size % 2 = 0 AS risk FROM part")
@@ -283,16 +310,43 @@ def _(s, d):
     return docs(s, d).select("doc_id", F.explode(_udf(lambda t: X.split_prose(t, 500, 60), "array<string>")("text")).alias("piece"))
 
 
-@query("split_table")
+def _lines(s, d):
+    """Lines of each document without control characters: what the splitters of tables and lists are given to do."""
+    plain = F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f\x{7f}-\x{9f}\x{2028}\x{2029}|]", " ")
+    return docs(s, d).where("text is not null").select("doc_id", F.split(plain, "\n").alias("l"))
+
+
+_PLAIN_LINES = (
+    r"SELECT doc_id, list_transform(string_split(regexp_replace(text, '[\x00-\x09\x0b-\x1f\x{7f}-\x{9f}\x{2028}\x{2029}|]', ' ', 'g'), chr(10)), "
+    "lambda x: %s) AS l FROM documents WHERE text IS NOT NULL"
+)
+
+
+@query(
+    "split_table",
+    "WITH RECURSIVE t AS (" + _PLAIN_LINES % "'| ' || x || ' |'" + "), "
+    "w AS (SELECT doc_id, 1 AS k, 1 AS piece, 19 + 1 + length(l[1]) AS now FROM t UNION ALL "
+    "SELECT w.doc_id, k + 1, CASE WHEN now + 1 + length(l[k + 1]) > 400 THEN piece + 1 ELSE piece END, "
+    "CASE WHEN now + 1 + length(l[k + 1]) > 400 THEN 19 + 1 + length(l[k + 1]) ELSE now + 1 + length(l[k + 1]) END FROM w JOIN t USING (doc_id) WHERE k < len(l)) "
+    "SELECT doc_id, '| a |' || chr(10) || '|-----------|' || chr(10) || string_agg(l[k], chr(10) ORDER BY k) AS piece FROM w JOIN t USING (doc_id) GROUP BY doc_id, w.piece",
+)
 def _(s, d):
-    lines = F.concat(F.lit("| a | b |\n|---|---|\n"), F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 40 + 1).cast("int")), lambda i: F.concat(F.lit("| row | "), i.cast("string"), F.lit(" |"))), "\n"))
-    return docs(s, d).select("doc_id", F.explode(_udf(lambda t: X.split_table(t, 100), "array<string>")(lines)).alias("piece"))
+    rows = F.transform("l", lambda x: F.concat(F.lit("| "), x, F.lit(" |")))
+    whole = F.concat(F.lit("| a |\n|-----------|\n"), F.array_join(rows, "\n"))
+    return _lines(s, d).select("doc_id", F.explode(_udf(lambda t: X.split_table(t, 400), "array<string>")(whole)).alias("piece"))
 
 
-@query("split_list")
+@query(
+    "split_list",
+    "WITH RECURSIVE t AS (" + _PLAIN_LINES % "'- ' || x" + "), "
+    "w AS (SELECT doc_id, 1 AS k, 1 AS piece, length(l[1]) AS now FROM t UNION ALL "
+    "SELECT w.doc_id, k + 1, CASE WHEN now + 1 + length(l[k + 1]) <= 300 THEN piece ELSE piece + 1 END, "
+    "CASE WHEN now + 1 + length(l[k + 1]) <= 300 THEN now + 1 ELSE now END + length(l[k + 1]) FROM w JOIN t USING (doc_id) WHERE k < len(l)) "
+    "SELECT doc_id, string_agg(l[k], chr(10) ORDER BY k) AS piece FROM w JOIN t USING (doc_id) GROUP BY doc_id, w.piece",
+)
 def _(s, d):
-    lines = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 40 + 1).cast("int")), lambda i: F.concat(F.lit("- item "), i.cast("string"))), "\n")
-    return docs(s, d).select("doc_id", F.explode(_udf(lambda t: X.split_list(t, 60), "array<string>")(lines)).alias("piece"))
+    whole = F.array_join(F.transform("l", lambda x: F.concat(F.lit("- "), x)), "\n")
+    return _lines(s, d).select("doc_id", F.explode(_udf(lambda t: X.split_list(t, 300), "array<string>")(whole)).alias("piece"))
 
 
 @query("chunk_structure")
@@ -353,10 +407,14 @@ def _(s, d):
     return Q.text_line_match(x).select("doc_id", "page_number", F.round("correspondence", 6).alias("correspondence"))
 
 
-@query("table_to_gfm")
+@query(
+    "table_to_gfm",
+    r"SELECT p_partkey, '| a | b\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_brand || ' |' AS pipes FROM part",
+)
 def _(s, d):
-    html = F.concat(F.lit("<table><tr><th>a</th><th>b|c</th></tr><tr><td>"), F.col("r_name"), F.lit("</td></tr></table>"))
-    return table(s, d, "region").select("r_regionkey", _udf(X.table_to_pipes, "string")(html).alias("pipes"))
+    cells = F.concat(F.lit("<td>"), F.col("p_name"), F.lit("</td><td>"), F.col("p_brand"), F.lit("</td><td>cut</td>"))
+    html = F.concat(F.lit("<table><tr><th>a</th><th>b|c</th></tr><tr>"), cells, F.lit("</tr></table>"))
+    return table(s, d, "part").select("p_partkey", _udf(X.table_to_pipes, "string")(html).alias("pipes"))
 
 
 @query("table_lint")
@@ -575,7 +633,12 @@ def _(s, d):
     return hits.where(F.col("path").startswith("/corpus/src1") & F.col("path").endswith(".txt")).select("chunk_id")
 
 
-@query("embed_stub")
+@query(
+    "embed_stub",
+    "SELECT input_hash, true AS success, round(CAST(CAST(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS FLOAT) AS DOUBLE), 5) AS first FROM "
+    "(SELECT sha256(text) AS input_hash, list_transform(generate_series(0, 15), lambda i: CAST('0x' || substr(h, 4 * i + 1, 4) AS INTEGER) - 32767.5::DOUBLE) AS v "
+    "FROM (SELECT DISTINCT text, sha256('0:' || text) AS h FROM chunks))",
+)
 def _(s, d):
     x = chunks(s, d).select(F.sha2("text", 256).alias("input_hash"), "text").dropDuplicates(["input_hash"])
     return extract.embed(x, extract.HashedEmbedding(16)).select("input_hash", "success", F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
