@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
+from corpusloom.operators import runs as N
 from corpusloom.operators import state as M
 from corpusloom.operators import text as X
 from corpusloom.plans.model import TABLES, chunks, documents, files, items, query, runs, table
@@ -142,7 +143,7 @@ def _(s, d):
 
 @query("run_progress", "SELECT run_id, count(*) AS total, CAST(coalesce(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END), 0) AS BIGINT) AS done FROM items GROUP BY run_id")
 def _(s, d):
-    return items(s, d).groupBy("run_id").agg(F.count("*").alias("total"), F.coalesce(F.sum(F.when(C("status") == "completed", 1).otherwise(0)), F.lit(0)).alias("done"))
+    return N.progress(items(s, d))
 
 
 @query("latest_run", "SELECT phase, root_path, max(run_id) AS run_id, arg_max(status, run_id) AS status FROM runs GROUP BY phase, root_path")
@@ -177,13 +178,12 @@ def _(s, d):
 
 @query("adopt_folders", "SELECT DISTINCT '/corpus/' || source AS folder FROM files")
 def _(s, d):
-    return files(s, d).select(F.regexp_extract("path", "^(/[^/]+/[^/]+)/", 1).alias("folder")).distinct()
+    return N.adopted_folders(files(s, d))
 
 
 @query("run_invariant", "SELECT run_id, count(*) = count(*) FILTER (status = 'completed') + count(*) FILTER (status = 'paused') + count(*) FILTER (status = 'queued') AS holds FROM items GROUP BY run_id")
 def _(s, d):
-    of = lambda x: F.count_if(C("status") == x)
-    return items(s, d).groupBy("run_id").agg((F.count("*") == of("completed") + of("paused") + of("queued")).alias("holds"))
+    return N.invariant(items(s, d))
 
 
 # -- order, limits, sets ------------------------------------------------------------------------
@@ -196,7 +196,7 @@ def _(s, d):
 
 @query("review_queue", "SELECT run_id, root_path FROM runs WHERE status IN ('paused', 'queued') ORDER BY ts DESC, root_path, run_id LIMIT 500")
 def _(s, d):
-    return runs(s, d).where(C("status").isin("paused", "queued")).orderBy(C("ts").desc(), "root_path", "run_id").limit(500).select("run_id", "root_path")
+    return N.review_queue(runs(s, d)).select("run_id", "root_path")
 
 
 @query("claim_next", "SELECT run_id, ordinal, status FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE status WHEN 'paused' THEN 0 ELSE 1 END, ordinal) AS nth FROM items WHERE status IN ('paused', 'queued')) WHERE nth = 1")
@@ -226,10 +226,13 @@ def _(s, d):
     return f.exceptAll(f.where("file_id % 7 <> 0"))
 
 
-@query("schema_diff", "SELECT name FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS name) INTERSECT SELECT unnest(['doc_id', 'quality', 'toxic']) AS name")
+@query(
+    "schema_diff",
+    "SELECT 'removed' AS kind, unnest(['text', 'lang', 'source', 'n_chars']) AS name UNION ALL SELECT 'added', unnest(['quality', 'toxic'])",
+)
 def _(s, d):
-    name = lambda t: s.createDataFrame([(c,) for c in table(s, d, t).columns], "name string")
-    return name("documents").intersect(name("labels"))
+    old, new = table(s, d, "documents").schema, table(s, d, "labels").schema
+    return s.createDataFrame([(kind, name) for kind, names in M.schema_diff(old, new).items() for name in names], "kind string, name string")
 
 
 @query("dedupe_sources", "SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role")
@@ -276,7 +279,7 @@ def _(s, d):
 def _(s, d):
     want = files(s, d).select("file_id", "content_hash", F.lit("flat").alias("chunker"), F.lit("1").alias("version"), F.lit("k").alias("config_hash"))
     have = want.where("file_id % 3 <> 0").withColumn("config_hash", F.when(C("file_id") % 5 == 0, "old").otherwise(C("config_hash")))
-    return want.join(have, ["file_id", "content_hash", "chunker", "version", "config_hash"], "left_anti").select("file_id")
+    return M.misses(want, have, ["file_id", "content_hash", "chunker", "version", "config_hash"]).select("file_id")
 
 
 @query("embed_misses", "SELECT sha256(text) AS input_hash FROM chunks GROUP BY sha256(text) HAVING count(*) FILTER (chunk_index = 0) = 0")
@@ -301,11 +304,8 @@ def _(s, d):
 
 @query("fk_integrity", "SELECT 'labels' AS child, count(*) AS orphans FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def _(s, d):
-    def orphans(child, key, parent, parent_key):
-        c = table(s, d, child).select(C(key).alias("k")).join(table(s, d, parent).select(C(parent_key).alias("k")), "k", "left_anti")
-        return c.agg(F.count("*").alias("orphans")).select(F.lit(child).alias("child"), "orphans")
-
-    return orphans("labels", "doc_id", "documents", "doc_id").union(orphans("lineitem", "l_orderkey", "orders", "o_orderkey"))
+    t = lambda name: table(s, d, name)
+    return N.orphans(t("labels"), "doc_id", t("documents"), "doc_id", "labels").union(N.orphans(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey", "lineitem"))
 
 
 @query("reconcile_deleted", "SELECT file_id FROM files WHERE file_id % 9 <> 0 AND file_id % 13 = 0 AND NOT starts_with(path, '/corpus/src2/')")
@@ -327,10 +327,8 @@ def _(s, d):
 
 @query("backfill_root", "SELECT file_id, source AS root, substring(path, length('/corpus/' || source) + 2) AS relative FROM files WHERE source IN ('src1', 'src2')")
 def _(s, d):
-    roots = s.createDataFrame([("src1",), ("src2",)], "root string").withColumn("base", F.concat(F.lit("/corpus/"), "root"))
-    # The root is a fixed prefix of the path, so this is an equi-join, not a prefix search.
-    f = files(s, d).withColumn("base", F.regexp_extract("path", "^(/[^/]+/[^/]+)/", 1))
-    return f.join(F.broadcast(roots), "base").select("file_id", "root", F.expr("substring(path, length(base) + 2)").alias("relative"))
+    roots = s.createDataFrame([("src1", "/corpus/src1"), ("src2", "/corpus/src2")], "root string, base string")
+    return N.backfill_roots(files(s, d), F.broadcast(roots))
 
 
 @query("run_state", "SELECT user_id AS run_id, list_reduce(list_prepend('queued', list(k ORDER BY event_id)), lambda s, k: CASE s || ' ' || k WHEN 'queued start' THEN 'running' WHEN 'paused resume' THEN 'running' WHEN 'running pause' THEN 'paused' WHEN 'running complete' THEN 'completed' WHEN 'running fail' THEN 'failed' WHEN 'running recover' THEN 'paused' WHEN 'queued cancel' THEN 'cancelled' WHEN 'paused cancel' THEN 'cancelled' WHEN 'running cancel' THEN 'cancelled' ELSE s END) AS state, CAST(count(*) AS INTEGER) AS events FROM (SELECT *, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'pause' WHEN 'purchase' THEN 'resume' WHEN 'signup' THEN 'recover' WHEN 'error' THEN CASE WHEN event_id % 7 = 0 THEN 'fail' ELSE 'start' END END AS k FROM events) GROUP BY user_id")
@@ -341,7 +339,7 @@ def _(s, d):
 
 @query("retry_scope", f"SELECT file_id, CASE WHEN starts_with(path, '/corpus/src1/') AND status = 'failed' THEN 'pending' ELSE status END AS status FROM ({STATUS})")
 def _(s, d):
-    return status_files(s, d).select("file_id", F.when(S.under_root("path", "/corpus/src1") & (C("status") == "failed"), "pending").otherwise(C("status")).alias("status"))
+    return N.retry_scope(status_files(s, d), "/corpus/src1").select("file_id", "status")
 
 
 @query("review_refresh", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS decision FROM labels WHERE doc_id % 5 <> 0")
@@ -354,33 +352,28 @@ def _(s, d):
 
 @query("handoff_manifest", "SELECT root_path, '{' || string_agg(run_id || ':' || status, ',' ORDER BY run_id) || '}' AS manifest FROM runs GROUP BY root_path")
 def _(s, d):
-    entry = F.struct("run_id", F.concat_ws(":", C("run_id").cast("string"), "status").alias("e"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]), ",")
-    return runs(s, d).groupBy("root_path").agg(F.concat(F.lit("{"), listed, F.lit("}")).alias("manifest"))
+    return N.handoff_manifests(runs(s, d))
 
 
 @query("ocr_warning", "SELECT doc_id, CASE WHEN count(*) FILTER (quality = 0) = count(*) THEN 'all pages failed' WHEN count(*) FILTER (quality = 0) > 0 THEN 'some pages failed' END AS warning FROM labels GROUP BY doc_id")
 def _(s, d):
     bad = F.count_if(C("quality") == 0)
-    return table(s, d, "labels").groupBy("doc_id").agg(F.when(bad == F.count("*"), "all pages failed").when(bad > 0, "some pages failed").alias("warning"))
+    return table(s, d, "labels").groupBy("doc_id").agg(N.recognition_warning(bad, F.count("*")).alias("warning"))
 
 
 @query("index_status", "SELECT status, count(*) AS n, (SELECT max(run_id) FROM runs) AS latest FROM runs GROUP BY status")
 def _(s, d):
-    r = runs(s, d)
-    latest = r.agg(F.max("run_id").alias("latest"))
-    return r.groupBy("status").agg(F.count("*").alias("n")).join(F.broadcast(latest)).select("status", "n", "latest")
+    return N.index_status(runs(s, d))
 
 
 @query("index_ready", "SELECT arg_max(status, run_id) = 'completed' AS ready FROM runs WHERE phase = 'index'")
 def _(s, d):
-    return runs(s, d).where("phase = 'index'").agg((F.max_by("status", "run_id") == "completed").alias("ready"))
+    return N.readiness(runs(s, d))
 
 
 @query("run_errors", "SELECT event_id, k FROM (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type = 'error'")
 def _(s, d):
-    errors = F.from_json(F.concat(F.lit("["), "props", F.lit("]")), "array<struct<k:long>>")
-    return table(s, d, "events").where("event_type = 'error'").select("event_id", F.explode(errors).alias("e")).select("event_id", "e.k")
+    return N.errors_of(table(s, d, "events"))
 
 
 @query("next_action", "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'start_embedding_service' WHEN c_custkey % 7 = 0 THEN 'repair_store' WHEN c_custkey % 5 = 0 THEN 'add_folder' WHEN c_acctbal <= 0 THEN 'index_now' WHEN c_custkey % 3 > 0 THEN 'review_failures' END AS action FROM customer")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
 from corpusloom.operators import chat as C
+from corpusloom.operators import documents as D
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import text as X
@@ -17,7 +18,7 @@ from corpusloom.plans.model import (
     BOTH_QUERY, FTS_QUERY, NAME_QUERY, chunks, documents, files, pages, query, query_vector, table, text_index, vectors,
 )
 from corpusloom.shared import Folder, shared_root
-from corpusloom.sources import extract, sidecar
+from corpusloom.sources import engines, extract, sidecar
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 WORDS = r"[\p{L}\p{N}]+"
@@ -103,7 +104,7 @@ def _(s, d):
 
 @query("sidecar_seeds", "SELECT relative_path, sha256(content_hash || ':' || sha256(relative_path)) AS seed FROM files")
 def _(s, d):
-    return files(s, d).select("relative_path", F.sha2(F.concat_ws(":", "content_hash", F.sha2("relative_path", 256)), 256).alias("seed"))
+    return D.sidecar_seeds(files(s, d))
 
 
 @query("doc_pages", "SELECT doc_id, page_number, length(text) AS chars FROM doc_pages")
@@ -460,43 +461,64 @@ def _(s, d):
 
 @query("searchable_text", "SELECT doc_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page_number)) AS digest FROM doc_pages GROUP BY doc_id")
 def _(s, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"])
-    return pages(s, d).groupBy("doc_id").agg(F.sha2(F.array_join(ordered, "\n\n"), 256).alias("digest"))
+    return D.searchable_texts(pages(s, d)).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 @query("content_fingerprint", "SELECT doc_id, sha256(string_agg(page_number || chr(31) || 'native' || chr(31) || text, chr(30) ORDER BY page_number)) AS digest FROM doc_pages GROUP BY doc_id")
 def _(s, d):
-    part = F.concat_ws("\x1f", F.col("page_number").cast("string"), F.lit("native"), "text")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", part.alias("p")))), lambda x: x["p"])
-    return pages(s, d).groupBy("doc_id").agg(F.sha2(F.array_join(ordered, "\x1e"), 256).alias("digest"))
+    return D.content_fingerprints(pages(s, d).withColumn("text_source", F.lit("native")))
 
 
 @query("page_accounting", "SELECT doc_id, count(*) = max(page_number) AND count(DISTINCT page_number) = count(*) AND min(page_number) = 1 AS complete FROM doc_pages WHERE NOT (doc_id % 10 = 3 AND page_number = 1) GROUP BY doc_id")
 def _(s, d):
-    n = F.count("*")
-    x = pages(s, d).where("not (doc_id % 10 = 3 and page_number = 1)")
-    return x.groupBy("doc_id").agg(((n == F.max("page_number")) & (F.countDistinct("page_number") == n) & (F.min("page_number") == 1)).alias("complete"))
+    return D.page_accounting(pages(s, d).where("not (doc_id % 10 = 3 and page_number = 1)"))
 
 
-@query("canonical_doc", "SELECT doc_id, page_number, CASE WHEN (doc_id + page_number) % 4 = 0 THEN 'structure' ELSE 'native' END AS mode, CASE WHEN (doc_id + page_number) % 9 = 0 THEN 'missing_provenance' END AS error FROM doc_pages")
+@query(
+    "canonical_doc",
+    "SELECT doc_id, page_number, CASE WHEN k % 4 < 3 THEN ['native', 'ocr', 'merged'][k % 4 + 1] WHEN k % 3 = 0 THEN 'failed' ELSE 'skipped' END AS mode, "
+    "CASE WHEN k % 4 = 3 THEN '' WHEN good AND page_number % 2 = 1 THEN '# ' || substring(text, 1, 40) ELSE text END AS text, "
+    "CASE WHEN good THEN 'text,title' END AS tags, "
+    "CASE WHEN k % 4 IN (1, 2) AND k % 5 = 0 THEN 'no_recognition' WHEN k % 4 IN (1, 2) AND k % 7 = 0 THEN 'failed_recognition' "
+    "WHEN k % 4 IN (1, 2) AND k % 11 = 0 THEN 'recognition_of_another_page' WHEN good AND doc_id % 10 = 0 THEN 'structure_of_another_page' END AS error "
+    "FROM (SELECT *, doc_id + page_number AS k, doc_id % 2 = 0 AND doc_id % 6 <> 0 AS good FROM doc_pages)",
+)
 def _(s, d):
-    k = F.col("doc_id") + F.col("page_number")
-    return pages(s, d).select("doc_id", "page_number", F.when(k % 4 == 0, "structure").otherwise("native").alias("mode"), F.when(k % 9 == 0, "missing_provenance").alias("error"))
+    """Pages of all documents with made-up links: recognition by the page's number, analysis by the document's."""
+    c, k = F.col, F.col("doc_id") + F.col("page_number")
+    p = pages(s, d).withColumn("page_hash", F.sha2("text", 256))
+    made = {
+        "text_source": F.element_at(F.array(*map(F.lit, ["native", "ocr", "merged", "none"])), (k % 4 + 1).cast("int")),
+        "ocr_error": F.when(k % 3 == 0, "timed out"),
+        "ocr_success": F.when(k % 5 != 0, k % 7 != 0),
+        "ocr_hash": F.when(k % 11 != 0, c("page_hash")),
+        "structure_success": F.when(c("doc_id") % 2 == 0, c("doc_id") % 6 != 0),
+        "structure_hash": F.when(c("doc_id") % 10 == 0, F.lit("other")).otherwise(c("page_hash")),
+        "structure_markdown": F.when(c("page_number") % 2 == 1, F.concat(F.lit("# "), F.substring("text", 1, 40))).otherwise(" "),
+        "structure_blocks": F.lit('[{"type": "title"}, {"type": "text"}, {"type": "title"}, {}]'),
+    }
+    return D.canonical_pages(p.withColumns(made)).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("doc_preview", "SELECT doc_id, page_number, substring(text, 1, CAST(6000 - before AS BIGINT)) AS shown FROM (SELECT doc_id, page_number, text, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM doc_pages) WHERE before < 6000")
 def _(s, d):
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = pages(s, d).withColumn("before", before).where("before < 6000")
-    return x.select("doc_id", "page_number", F.substring("text", F.lit(1), (6000 - F.col("before")).cast("int")).alias("shown"))
+    return D.preview(pages(s, d), 6000)
 
 
-@query("resolve_pages", "SELECT doc_id, page_number, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 5 = 0 THEN NULL ELSE 'ocr ' || page_number END AS resolved, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN 'engine failed' END AS error FROM doc_pages")
+@query(
+    "resolve_pages",
+    "SELECT doc_id, page_number, CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN text ELSE 'ocr ' || page_number END AS resolved, "
+    "CASE WHEN doc_id % 3 = 0 THEN 'native' WHEN doc_id % 5 = 0 THEN 'none' ELSE 'ocr' END AS text_source, "
+    "CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN 'engine failed' END AS error FROM doc_pages",
+)
 def _(s, d):
-    c = F.col
-    ocr = pages(s, d).where("doc_id % 3 <> 0").select("doc_id", "page_number", (c("doc_id") % 5 != 0).alias("ok"), F.concat(F.lit("ocr "), c("page_number").cast("string")).alias("ocr_text"))
-    x = pages(s, d).join(ocr, ["doc_id", "page_number"], "left")
-    return x.select("doc_id", "page_number", F.when(c("ok").isNull(), c("text")).when(c("ok"), c("ocr_text")).alias("resolved"), F.when(~c("ok"), "engine failed").alias("error"))
+    """Pages of every third document are native; of the others, those of every fifth could not be recognised."""
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("page_number").cast("string"))
+    p = pages(s, d).withColumn("page_key", key).withColumn("action", F.when(F.col("doc_id") % 3 == 0, "native").otherwise("page"))
+    read = F.col("doc_id") % 5 != 0
+    results = p.where("action = 'page'").select("page_key", F.when(read, F.concat(F.lit("ocr "), "page_number")).alias("text"), read.alias("success"), F.when(~read, "engine failed").alias("error_message"))
+    done = engines.resolve_pages(p.select("doc_id", "page_number", "page_key", "text", "action"), results)
+    return done.select("doc_id", "page_number", F.col("resolved_text").alias("resolved"), "text_source", F.col("ocr_error").alias("error"))
 
 
 _SOURCE = (

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
+from corpusloom.operators import documents as D
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import state as M
@@ -323,9 +324,8 @@ class Corpus:
     def read_document(self, path: str, most: int = 4000) -> DataFrame:
         """page_number, text of a file's pages until `most` characters are shown."""
         f = self.table("files").where((F.col("path") == path) & (F.col("status") == "indexed")).select("file_id")
-        before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("file_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        p = self.table("pages").join(F.broadcast(f), "file_id", "left_semi").withColumn("before", before).where(F.col("before") < most)
-        return p.select("page_number", F.substring("text", F.lit(1), (most - F.col("before")).cast("int")).alias("text")).orderBy("page_number")
+        p = self.table("pages").join(F.broadcast(f), "file_id", "left_semi").withColumnRenamed("file_id", "doc_id")
+        return D.preview(p, most).select("page_number", F.col("shown").alias("text")).orderBy("page_number")
 
     # -- removal ------------------------------------------------------------------------------------
 

@@ -106,6 +106,10 @@ class Folder:
             return False
         return True
 
+    def rename(self, name: str, to: str) -> None:
+        if not self._fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"cannot rename {self.path(name)} to {to}")
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 

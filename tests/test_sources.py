@@ -7,9 +7,10 @@ import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
-from corpusloom.operators import chat
+from corpusloom.operators import chat, documents, runs
 from corpusloom.sources import engines, extract, pdf, xls
 from corpusloom.streaming.jobs import EventLog, Jobs
 
@@ -202,3 +203,24 @@ def test_image_evidence_and_canonical_hash(spark):
 
     plain = '{"context_recipe_version": "1", "filename": "f.md", "media_type": "text/markdown", "relative_path": "a/f.md", "title": null}'
     assert one == hashlib.sha256(f"h\x1d{plain}".encode()).hexdigest() and one != two
+
+
+def test_handoff_package(spark, tmp_path):
+    pages = spark.createDataFrame([("b", "two", None), ("a", "one", b"\x01"), ("c", None, None)], "page_key string, text string, image binary")
+    place = runs.write_handoff(spark, str(tmp_path), "review-1", "look at these", pages).removeprefix("file://")
+    manifest = json.loads((tmp_path / "review-1" / "manifest.json").read_text())
+    assert [p["page_key"] for p in manifest["pages"]] == ["a", "b", "c"] and (tmp_path / "review-1" / "pages" / "000001.bin").read_bytes() == b"\x01"
+    assert place == str(tmp_path / "review-1") and (tmp_path / "review-1" / "prompt.txt").read_text() == "look at these"
+    with pytest.raises(FileExistsError):
+        runs.write_handoff(spark, str(tmp_path), "review-1", "", pages)
+    broken = pages.withColumn("text", F.raise_error(F.lit("gone")).cast("string"))
+    with pytest.raises(Exception, match="gone"):
+        runs.write_handoff(spark, str(tmp_path), "review-2", "", broken)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["review-1"]
+
+
+def test_canonical_documents(spark):
+    rows = [(1, 1, "native", None), (1, 2, "native", None), (2, 1, "native", None), (2, 3, "native", None), (3, 1, "ocr", "no_recognition")]
+    pages = spark.createDataFrame([(d, n, m, "t", ["x"], e) for d, n, m, e in rows], "doc_id long, page_number int, mode string, text string, tags array<string>, error string")
+    got = {r["doc_id"]: (len(r["pages"]), r["error"]) for r in documents.canonical_documents(pages).collect()}
+    assert got == {1: (2, None), 2: (2, "pages_incomplete"), 3: (1, "no_recognition")}
