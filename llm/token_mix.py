@@ -46,8 +46,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets, _ in T.slices(batches):
-            words = T.Words(buf, offsets, T.SPACE_CLASS)
-            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(3)], pa.array(np.diff(words.first))], ["doc_id", "source", "digest", "size"])
+            size = np.zeros(rows.num_rows, np.int64)
+            for at, many, part, edges in T.pieces(buf, offsets, T.SPACE_CLASS):
+                size[at : at + many] += np.diff(T.Words(part, edges, T.SPACE_CLASS).first)
+            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in range(3)], pa.array(size)], ["doc_id", "source", "digest", "size"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), digest().alias("digest"), "text")
     return d.mapInArrow(count, "doc_id long, source string, digest long, size long")

@@ -236,11 +236,14 @@ def greedy(word, pieces, marker=b""):
     return n
 
 
-def test_longest_match_automaton():
+@pytest.mark.parametrize("table_bytes", [1 << 30, 0])
+def test_longest_match_automaton(monkeypatch, table_bytes):
+    """The closed table and followed links; words of over 8 bytes go alone."""
+    monkeypatch.setattr(token_counts, "LONG", 8)
     r = random.Random(3)
     for _ in range(40):
         pieces = {bytes(r.choices(b"abc", k=r.randint(1, 5))) for _ in range(12)} | ({b"a", b"b", b"c"} if r.random() < 0.7 else set())
-        auto = token_counts.LongestMatch(sorted(pieces), b"")
+        auto = token_counts.LongestMatch(sorted(pieces), b"", table_bytes)
         ws = ["".join(r.choices("abcd" if r.random() < 0.2 else "abc", k=r.randint(1, 14))) for _ in range(60)]
         buf, offsets, _ = textkit.texts_of(pa.array([" ".join(ws)]))
         assert auto.count(textkit.Words(buf, offsets, textkit.SPACE_CLASS)).tolist() == [greedy(w.encode(), pieces) for w in ws]
@@ -254,6 +257,20 @@ def test_token_counts(spark, docs, rows):
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
+def test_tokens_of_a_very_long_word_and_text(spark):
+    """A word of 5 MB and a text of 20 MB: the counts of their repeated parts add up."""
+    pieces = set(token_counts.read_pieces())
+    word, line = "zq9 " .strip() * (5 << 20 >> 2), "some plain words of text 12345\n"
+    d = spark.createDataFrame([(1, word), (2, line * ((20 << 20) // len(line)))], "doc_id long, text string").repartition(2)
+    began = time.time()
+    got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.count_tokens(d).collect()}
+    assert time.time() - began < 90
+    n = (20 << 20) // len(line)
+    assert got[2] == (6 * n, n * sum(greedy(w.encode(), pieces, b" ") for w in words(line)))
+    short = [greedy(("zq9" * k).encode(), pieces, b" ") for k in (20, 21)]
+    assert got[1] == (1, short[0] + (len(word) // 3 - 20) * (short[1] - short[0]))
+
+
 # -- op3 ----------------------------------------------------------------------------------------
 
 
