@@ -173,9 +173,10 @@ class SnapshotStore:
     `current.json` names the published ones, so readers never see a half-written snapshot.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.folder = spark, Folder(spark, root)
-        self.folder.make()
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
+        self.spark, self.folder, self.read_only = spark, Folder(spark, root), read_only
+        if not read_only:
+            self.folder.make()
 
     def _pointer(self) -> dict[str, dict]:
         return json.loads(self.folder.read("current.json") or b"{}")
@@ -220,12 +221,15 @@ class SnapshotStore:
         live = {e["place"] for e in self._pointer().values()}
         places = [f"{t}/{n}" for t in self.folder.names() if self.folder.is_folder(t) for n in self.folder.names(t)]
         dead = [p for p in places if p not in live and self.folder.is_folder(p)]
-        for p in dead:
-            self.folder.delete(p)
+        with self.lock():
+            for p in dead:
+                self.folder.delete(p)
         return len(dead)
 
     def lock(self) -> Lock:
-        """One writer at a time, without waiting."""
+        """One writer at a time, without waiting; none in a store opened for reading."""
+        if self.read_only:
+            raise PermissionError(f"{self.folder.root} is open for reading only")
         return Lock(self.folder)
 
 

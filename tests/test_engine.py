@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import registry
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import state as M
+from corpusloom.operators import text as X
 from corpusloom.sources import extract, sidecar
 from corpusloom.streaming import events as T
 
@@ -157,6 +158,23 @@ def test_sql_functions(spark):
     assert tuple(spark.sql("select cl_basename('a/b'), cl_folder_path('a/b/c'), cl_under_root('/a/b', '/a'), round(cl_idf(4, 1), 4)").first()) == ("b", "a/b", True, 1.6094)
 
 
+def test_table_functions(spark):
+    registry.register(spark)
+    got = spark.sql("select piece_no, piece from cl_flat_pieces('abcdefghij', 6, 2)").collect()
+    assert [tuple(r) for r in got] == list(enumerate(X.flat_windows("abcdefghij", 6, 2)))
+    blocks = spark.sql("select d.id, b.kind from (select 1 as id, '# a\n\ntext' as t) d, lateral cl_markdown_blocks(d.t) b order by b.block_no").collect()
+    assert [r["kind"] for r in blocks] == [k for k, _ in X.markdown_blocks("# a\n\ntext")]
+
+
+def test_read_only_store(spark, tmp_path):
+    M.SnapshotStore(spark, str(tmp_path / "s")).write({"t": spark.range(2)})
+    store = M.SnapshotStore(spark, str(tmp_path / "s"), read_only=True)
+    assert store.read("t").count() == 2
+    for act in (lambda: store.write({"t": spark.range(1)}), lambda: store.reset(["t"]), store.compact):
+        with pytest.raises(PermissionError):
+            act()
+
+
 def test_entry_works_without_corpus_operators(spark, monkeypatch):
     import __spark_entry__ as e
 

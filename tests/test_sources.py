@@ -73,6 +73,14 @@ def test_pdf_that_cannot_be_read():
     assert pdf.garbled("ab�\x00") == 0.5 and pdf.garbled("") == 0
 
 
+def test_page_image():
+    raw = make_pdf([PAGE_1, PAGE_2])
+    assert pdf.page_image(raw, 2, lambda content, index, dpi: f"{index} {dpi}".encode()) == b"1 200"
+    for number in (0, 3):
+        with pytest.raises(IndexError):
+            pdf.page_image(raw, number, lambda *_: b"")
+
+
 def make_xls(small=False):
     record = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
     text = lambda t: struct.pack("<HB", len(t), 0) + t.encode("latin-1")
