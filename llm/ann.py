@@ -176,7 +176,7 @@ def _queries(held):
 
 def _runs(sorted_: np.ndarray) -> tuple[list, list, list]:
     step = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
-    return sorted_[step].tolist(), step.tolist(), np.append(step[1:], len(sorted_)).tolist()
+    return sorted_[step].tolist(), step.tolist(), np.append(step[1:], len(sorted_))[: len(step)].tolist()
 
 
 def _best(ask: np.ndarray, distance: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -343,6 +343,16 @@ def test_ann(spark):
     assert set(got) == set(range(0, 3000, 100)) and found >= 0.9 * 300
 
 
+def test_ann_tasks_without_candidates():
+    """A task that met only a query's own row hands on nothing."""
+    have = ann._Gathered(4)
+    have.add(np.array([7]), np.full((1, 1), np.inf, np.float32), np.array([7]))
+    assert [len(x) for x in have.settle()] == [0, 0, 0]
+    have.add(np.array([7, 9]), np.array([[1, 2, 0, 5, 3, 1]] * 2, np.float32), np.arange(6))
+    ask, distance, ids = have.settle()
+    assert ask.tolist() == [7] * 4 + [9] * 4 and ids.tolist() == [2, 0, 5, 1] * 2 and distance.tolist() == [0, 1, 1, 2] * 2
+
+
 def test_ann_edges(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert ann.search(spark.createDataFrame([], schema)).count() == 0
