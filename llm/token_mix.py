@@ -126,7 +126,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken (long) and source, digest: the words that the mix takes of each document."""
-    buckets = max(8, min(1 << 16, input_bytes(docs) >> 20))
+    buckets = max(64, min(1 << 16, input_bytes(docs) >> 18))
     sizes = cut(word_counts(docs), "mix-sizes")
     targets = cut(source_targets(sizes, weights, share, cap).coalesce(1), "mix-targets")
     shuffled = F.xxhash64("doc_id", "digest", F.lit(seed))
