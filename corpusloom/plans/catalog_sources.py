@@ -22,7 +22,7 @@ from corpusloom.plans.catalog_text import _suffixed
 from corpusloom.plans.model import documents, files, query, table
 from corpusloom.session import Corpus
 from corpusloom.settings import Settings
-from corpusloom.shared import shared_root
+from corpusloom.shared import local_path, shared_root
 from corpusloom.sources import engines, extract, sidecar
 
 #: What XML cannot hold, and what ends a line elsewhere than at a line feed, as one class for patterns of both engines.
@@ -258,7 +258,7 @@ _COUNTED = "SELECT count(*) FILTER (text IS NOT NULL) AS n FROM documents"
 )
 def _(s, d):
     """Every document as a file, through the Markdown route: sidecars twice, then indexed twice."""
-    place = f"{shared_root(s)}/markdown-run-{uuid.uuid4().hex}".removeprefix("file://")
+    place = local_path(f"{shared_root(s)}/markdown-run-{uuid.uuid4().hex}")
 
     def put(batches):
         for b in batches:

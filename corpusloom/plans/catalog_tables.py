@@ -16,7 +16,7 @@ from corpusloom.operators import text as X
 from corpusloom.plans.model import TABLES, chunks, documents, files, items, query, runs, table
 from corpusloom.session import Corpus
 from corpusloom.settings import Settings
-from corpusloom.shared import Folder, shared_root
+from corpusloom.shared import Folder, local_path, shared_root
 from corpusloom.sources import extract
 from corpusloom.streaming import events as T
 
@@ -394,7 +394,7 @@ _COUNTED = "SELECT count(*) FILTER (text IS NOT NULL) AS n FROM documents"
 def _(s, d):
     """Every document as a file, indexed twice by the engine's own run: all are new, then none is read."""
     home = f"{shared_root(s)}/index-run-{uuid.uuid4().hex}"
-    place = home.removeprefix("file://")
+    place = local_path(home)
 
     def put(batches):
         for b in batches:
@@ -418,7 +418,7 @@ def _(s, d):
 
 @query("scan_files", f"SELECT unnest({[f'{t}.parquet' for t in TABLES]}) AS relative_path")
 def _(s, d):
-    return extract.scan_files(s, d.removeprefix("file://")).where("error is null").select("relative_path")
+    return extract.scan_files(s, local_path(d)).where("error is null").select("relative_path")
 
 
 @query("stream_index", PLAN_SQL)

@@ -30,6 +30,15 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def local_path(path: str) -> str:
+    """A path of the mounted file system, as sources with files of their own kind need it; ValueError for other systems."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path} is not on a mounted file system")
+    return path
+
+
 class Folder:
     """A folder of some Hadoop file system: a path without a scheme means the local one."""
 
