@@ -220,8 +220,11 @@ def collapse_to_file(hits: DataFrame, chunk_files: DataFrame) -> DataFrame:
     return hits.join(chunk_files.select("chunk_id", "file_id"), "chunk_id").withColumn("nth", F.row_number().over(best)).where("nth = 1").select("file_id", "chunk_id", "score")
 
 
-def fuse_scores(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, key: str = "file_id") -> DataFrame:
-    """key, score: scores scaled to 0..1 within each channel (1 where all are equal), weighted and summed."""
+def fuse_scores(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, key: str = "file_id", held: bool = False) -> DataFrame:
+    """key, score: scores scaled to 0..1 within each channel (1 where all are equal), weighted and summed.
+
+    held: the channels are local relations of a pool each, so one task fuses them without an exchange.
+    """
     parts = []
     for name, hits in channels.items():
         w = F.lit((weights or {}).get(name, 1.0))
@@ -229,6 +232,7 @@ def fuse_scores(channels: dict[str, DataFrame], weights: dict[str, float] | None
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    rows = rows.coalesce(1) if held else rows
     of = Window.partitionBy("channel")
     low, high = F.min("score").over(of), F.max("score").over(of)
     scaled = rows.withColumn("scaled", F.when(high == low, 1.0).otherwise((F.col("score") - low) / F.when(high != low, high - low)))
@@ -267,13 +271,22 @@ def held(top: DataFrame) -> DataFrame:
     return top.sparkSession.createDataFrame(top.collect(), top.schema)
 
 
-def by_file(hits: DataFrame, text: TextIndex | TextScan) -> DataFrame:
-    """The best chunk of each file among a channel's pool; chunks that the text does not hold are left out."""
-    pool = hits.withColumn("file_id", S.chunk_file("chunk_id")).collect()
+def by_file(hits: DataFrame, text: TextIndex | TextScan, sure: bool = False) -> DataFrame:
+    """The best chunk of each file among a channel's pool, at most some fifty rows; chunks that the text does not hold are left out.
+
+    sure: the pool comes from that text, so its chunks need not be looked up.
+    """
     spark = hits.sparkSession
-    rows = spark.createDataFrame([(r["chunk_id"], r["score"]) for r in pool], "chunk_id long, score double")
-    there = text.rows_of(sorted({r["file_id"] for r in pool})).select("chunk_id", "file_id")
-    return held(collapse_to_file(rows, there.join(F.broadcast(rows.select("chunk_id")), "chunk_id", "left_semi")))
+    pool = hits.withColumn("file_id", S.chunk_file("chunk_id")).select("file_id", "chunk_id", "score").collect()
+    if not sure:
+        ids = [r["chunk_id"] for r in pool]
+        found = text.rows_of(sorted({r["file_id"] for r in pool})).where(F.col("chunk_id").isin(*ids) if ids else F.lit(False))
+        there = {r["chunk_id"] for r in found.select("chunk_id").collect()}
+        pool = [r for r in pool if r["chunk_id"] in there]
+    best: dict[int, tuple] = {}
+    for r in sorted(pool, key=lambda r: (-r["score"], r["chunk_id"])):
+        best.setdefault(r["file_id"], tuple(r))
+    return spark.createDataFrame(list(best.values()), "file_id long, chunk_id long, score double")
 
 
 def cited(
@@ -281,7 +294,7 @@ def cited(
     weights: dict[str, float] | None = None,
 ) -> DataFrame:
     """Channels of files with chunks, and file names, fused; the first top_k with citations."""
-    ranked = held(fuse_scores({**channels, "filename": names}, weights).orderBy(F.col("score").desc(), "file_id").limit(top_k))
+    ranked = held(fuse_scores({**channels, "filename": names}, weights, held=True).orderBy(F.col("score").desc(), "file_id").limit(top_k))
     ids = [r["file_id"] for r in ranked.collect()]
     rows = text_of(chunks).rows_of(ids)
     return hydrate(ranked, rows, files.where(F.col("file_id").isin(*ids) if ids else F.lit(False)), channels)
@@ -290,7 +303,7 @@ def cited(
 def keyword_search(chunks: DataFrame | TextIndex, files: DataFrame, query: str, top_k: int = 10, pool: int = POOL) -> DataFrame:
     """Full text and file names, collapsed to files, fused and cited."""
     text = text_of(chunks)
-    channels = {"fts": by_file(text.search(query, pool), text)}
+    channels = {"fts": by_file(text.search(query, pool), text, sure=True)}
     return cited(channels, held(search_filenames(files, query, pool)), text, files, top_k)
 
 
@@ -313,7 +326,8 @@ def hybrid_search(
 ) -> DataFrame:
     """Full text, vectors and file names fused per file."""
     text = text_of(chunks)
-    channels = {"fts": by_file(text.search(query, pool), text), "vector": by_file(nearest_of(vectors, metric).search(vector, pool), text)}
+    found = by_file(text.search(query, pool), text, sure=True)
+    channels = {"fts": found, "vector": by_file(nearest_of(vectors, metric).search(vector, pool), text)}
     return cited(channels, held(search_filenames(files, query, pool)), text, files, top_k, weights)
 
 

@@ -589,7 +589,7 @@ def _(s, d):
 @query("collapse_to_file", "SELECT file_id, chunk_id, round(score, 5) AS score FROM fts_files")
 def _(s, d):
     index = text_index(s, d)
-    return _rounded(R.by_file(index.search(FTS_QUERY), index))
+    return _rounded(R.by_file(index.search(FTS_QUERY), index, sure=True))
 
 
 def _two(s, d):
