@@ -76,6 +76,11 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def note(path: str) -> None:
+    """A folder that was written otherwise is to be removed with those of cut()."""
+    _WRITTEN.append(path)
+
+
 def written() -> int:
     """A mark for forget(): how many folders cut() has written and nobody has removed."""
     return len(_WRITTEN)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, decontaminate, ngram_join, pii, quality, substring_dedup, token_counts, token_mix, toxicity
+from . import ann, chat_format, decontaminate, merkle, ngram_join, pii, quality, spelling, substring_dedup, token_counts, token_file
+from . import token_mix, toxicity
 from .common import table
 from .oracle import ORACLE_SQL  # noqa: F401  the driver reads it here
 
@@ -58,6 +59,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the vocabularies lie is known to the machine
+
+    return token_file.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -69,4 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_mix": op8_token_mix,
     "op9_chat_format": op9_chat_format,
     "op10_pii": op10_pii,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_files": op12_token_files,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
