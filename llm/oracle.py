@@ -1,6 +1,6 @@
 """SQL of the contract queries that SQL can express, for checking in another engine.
 
-Not here: trained scores (op1, op6), an external vocabulary's greedy pieces (op2), approximate search (op4), the
+Not here: trained scores (op1, op6), an external vocabulary's pieces (op2) and merges (op12), approximate search (op4), the
 hash-ordered schedule (op8) and spans added by a trained classifier (op10); tests hold these against brute force.
 """
 
@@ -52,4 +52,90 @@ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS lo
 CAST(sum(10 + length(role) + length(text) + {_SPECIAL.format('role')} + {_SPECIAL.format('text')}) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM r GROUP BY conv_id"""
 
-ORACLE_SQL = {"op3_substring_dedup": OP3, "op5_ngram_join": OP5, "op7_decontamination": OP7, "op9_chat_format": OP9}
+#: CRC-32 of a string, by bytes, and its table of 256, by the polynomial's rule.
+_CRC = r"""crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, generate_series(1, 8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+  FROM (SELECT unnest(generate_series(CAST(0 AS BIGINT), 255)) AS i)))"""
+
+
+def _crc(value: str) -> str:
+    """SQL of the CRC-32 of a string; crc_table must be in scope."""
+    bytes_ = rf"list_transform(regexp_extract_all(hex(encode({value})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    step = "lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), {step}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    """SQL of a row's leaf."""
+    part = lambda c: (
+        f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    )
+    return f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_RUN_CRC = _crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")
+_ID_CRC = _crc("CAST(doc_id AS VARCHAR)")
+_LEAF, _LOW_LEAF = _leaf("text"), _leaf(_LOWER.replace("coalesce(text, '')", "text"))
+
+
+OP11 = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, r, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS
+  r FROM documents) WHERE length(r) >= 6 GROUP BY doc_id, r),
+summed AS (SELECT r, n, {_RUN_CRC} AS h FROM runs, crc_table),
+words AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substring(r, 1, h % length(r))
+  || substring(r, h % length(r) + 2) ELSE r END AS w, n FROM summed) WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >=
+  5),
+dels AS (SELECT w, n, i, substring(w, 1, i) || substring(w, i + 2) AS s FROM (SELECT w, n, unnest(generate_series(0,
+  length(w) - 1)) AS i FROM words)),
+near AS (
+  SELECT a.w, b.w AS v, b.n AS m FROM dels a JOIN dels b ON a.s = b.s AND a.i = b.i AND a.w <> b.w
+  UNION SELECT a.w, b.w, b.n FROM dels a JOIN words b ON a.s = b.w UNION SELECT b.w, a.w, a.n FROM dels a JOIN words b
+    ON a.s = b.w),
+best AS (SELECT w, count(*) AS k, min(struct_pack(less := -m, v := v)) AS b FROM near GROUP BY w),
+form AS (SELECT w, n, coalesce(k, 0) AS k, CASE WHEN -b.less >= 5 * n THEN b.v END AS form, CASE WHEN -b.less >= 5 * n
+  THEN -b.less END AS form_n FROM words LEFT JOIN best USING (w)),
+up(w, root, d) AS (SELECT w, w, 0 FROM form UNION ALL SELECT u.w, f.form, d + 1 FROM up u JOIN form f ON f.w = u.root
+  WHERE f.form IS NOT NULL),
+roots AS (SELECT w, arg_max(root, d) AS root FROM up GROUP BY w)
+SELECT w AS word, form, root, n, CAST(k AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM form JOIN roots
+  USING (w)"""
+
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC},
+made AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF} AS leaf, {_LOW_LEAF} AS low, {_ID_CRC} % 3 = 0 AS
+  hit FROM documents, crc_table),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, CASE WHEN hit
+  THEN low ELSE leaf END AS given FROM made),
+nodes(tree, lvl, k, d) AS (SELECT tree, 0, k, leaf FROM leaves UNION ALL SELECT tree, lvl + 1, k // 8,
+  sha256(string_agg(d, '' ORDER BY k)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS size FROM nodes) WHERE
+  size > 1 GROUP BY tree, lvl, k // 8),
+subs AS (SELECT tree, d, row_number() OVER (ORDER BY tree) - 1 AS k FROM (SELECT tree, arg_max(d, lvl) AS d FROM nodes
+  GROUP BY tree)),
+tops(lvl, k, d) AS (SELECT 0, k, d FROM subs UNION ALL SELECT lvl + 1, k // 8, sha256(string_agg(d, '' ORDER BY k))
+  FROM (SELECT *, count(*) OVER () AS size FROM tops) WHERE size > 1 GROUP BY lvl, k // 8),
+height AS (SELECT n.tree, max(lvl) AS h, any_value(s.k) AS nth FROM nodes n JOIN subs s USING (tree) GROUP BY n.tree),
+every AS (SELECT n.tree AS t, n.lvl, n.k, n.d, h, nth FROM nodes n JOIN height USING (tree) WHERE n.lvl < h UNION ALL
+  SELECT '/', lvl, k, d, NULL, NULL FROM tops WHERE lvl < (SELECT max(lvl) FROM tops)),
+hop AS (SELECT DISTINCT t, lvl, k // 8 AS g, CASE WHEN lvl + 1 = h THEN '/' ELSE t END AS nt, CASE WHEN lvl + 1 = h
+  THEN 0 ELSE lvl + 1 END AS nl, CASE WHEN lvl + 1 = h THEN nth ELSE k // 8 END AS nk FROM every),
+steps(tree, place, t, lvl, k, cur, path, n) AS (
+  SELECT tree, k, CASE h WHEN 0 THEN '/' ELSE tree END, 0, CASE h WHEN 0 THEN nth ELSE k END, given, '', 0 FROM leaves
+    JOIN height USING (tree)
+  UNION ALL
+  SELECT s.tree, s.place, p.nt, p.nl, p.nk, sha256(string_agg(CASE WHEN e.k = s.k THEN s.cur ELSE e.d END, '' ORDER BY
+    e.k)), s.path || coalesce(string_agg(e.d, '' ORDER BY e.k) FILTER (e.k <> s.k), ''), s.n + 1
+  FROM steps s JOIN every e ON e.t = s.t AND e.lvl = s.lvl AND e.k // 8 = s.k // 8 JOIN hop p ON p.t = s.t AND p.lvl =
+    s.lvl AND p.g = s.k // 8
+  GROUP BY s.tree, s.place, p.nt, p.nl, p.nk, s.cur, s.path, s.n),
+done AS (SELECT tree, place, arg_max(cur, n) AS cur, arg_max(path, n) AS path FROM steps GROUP BY tree, place)
+SELECT l.doc_id, l.leaf, s.d AS subroot, r.d AS root, sha256(g.path) AS proof_sha256, g.cur AS folded_root, g.cur =
+  r.d AS verified
+FROM leaves l JOIN done g ON g.tree = l.tree AND g.place = l.k JOIN subs s ON s.tree = l.tree, (SELECT arg_max(d, lvl)
+  AS d FROM tops) r"""
+
+ORACLE_SQL = {
+    "op3_substring_dedup": OP3, "op5_ngram_join": OP5, "op7_decontamination": OP7, "op9_chat_format": OP9,
+    "op11_spelling_variants": OP11, "op13_merkle_manifest": OP13,
+}
