@@ -24,12 +24,14 @@ segment (a word of one class of characters) longer than that is handed over whol
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
@@ -42,10 +44,10 @@ from .common import NULL_ID, bucket_count, checkpoint_root, cut, input_bytes, no
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 0
 #: Ids of a block, ids of a file (a document of more has a file of its own).
-BLOCK = 512
+BLOCK = 128
 FILE_IDS = 1 << 22
-#: Segments whose ids a worker keeps; segments that the library is asked for at once.
-KEPT, ASKED = 1 << 21, 1 << 14
+#: Segments whose ids a worker keeps; segments that the library is asked for at once, and those of a line.
+KEPT, ASKED, LINE = 1 << 21, 1 << 14, 1 << 10
 
 #: An estimate of so many bytes is Spark's word for not knowing.
 UNKNOWN = 1 << 60
@@ -69,47 +71,51 @@ def blocks_of(sizes: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 
 def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """words, first word of each block, escapes. edges: starts of the blocks and the end of the last; no block is empty.
+    """words, first word of each block, escapes. edges: starts of the blocks (at most BLOCK values each) and the end of the last.
 
-    All blocks are packed side by side: a step settles one word of each that is not at its end.
+    The best selector of every place comes from the widest value of windows, one byte a value: windows of 2, 4, 8, ... values
+    are maxima of two of half the length, others of two that overlap. Then blocks are walked side by side, a word a step.
     """
     values = values.astype(np.uint64)
-    n = len(values)
-    bits = np.frexp(values.astype(np.float64))[1]
-    # For each selector, the next value that is too wide for it.
-    following = []
-    for width in WIDTHS[1:]:
-        wide = np.where(bits > width, np.arange(n), n)
-        following.append(np.minimum.accumulate(wide[::-1])[::-1])
-    at, end = edges[:-1].copy(), edges[1:]
+    n, size = len(values), np.diff(edges)
+    many, longest = len(size), int(size.max(initial=0))
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(many, np.int64), np.zeros(0, np.uint64)
+    bits = np.zeros((many, longest + int(COUNTS.max())), np.uint8)  # what is beyond a block's end fits anywhere
+    at = np.arange(n) - np.repeat(edges[:-1], size)
+    bits[np.repeat(np.arange(many), size), at] = np.frexp(values.astype(np.float64))[1]
+    windows, span = [bits], 1
+    while 2 * span <= COUNTS.max():
+        half = windows[-1]
+        windows.append(np.maximum(half[:, : half.shape[1] - span], half[:, span:]))
+        span *= 2
+    best = np.zeros((many, longest), np.uint8)
+    for s in range(len(WIDTHS) - 1, 0, -1):  # the fewest ids first, so that the most that fit stay
+        power = int(COUNTS[s]).bit_length() - 1
+        half, rest = windows[power], int(COUNTS[s]) - (1 << power)
+        widest = half[:, :longest] if not rest else np.maximum(half[:, :longest], half[:, rest : rest + longest])
+        np.copyto(best, np.uint8(s), where=widest <= WIDTHS[s])
+    flat, row = best.ravel(), np.arange(many)
+    here = np.zeros(many, np.int64)
     starts, selectors = [], []
-    live = np.arange(len(at))
-    while len(live):
-        here, stop = at[live], end[live]
-        chosen = np.zeros(len(live), np.int64)
-        for s in range(len(WIDTHS) - 1, 0, -1):  # the fewest ids first, so that the most that fit stay
-            fits = following[s - 1][here] >= np.minimum(here + COUNTS[s], stop)
-            chosen[fits] = s
-        starts.append(here)
+    while len(row):
+        chosen = flat[row * longest + here]
+        starts.append(edges[row] + here)
         selectors.append(chosen)
-        at[live] = here + COUNTS[chosen]
-        live = live[at[live] < stop]
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    selector = np.concatenate(selectors) if selectors else np.zeros(0, np.int64)
+        here = here + COUNTS[chosen]
+        open_ = here < size[row]
+        row, here = row[open_], here[open_]
+    start, selector = np.concatenate(starts), np.concatenate(selectors)
     order = np.argsort(start, kind="stable")
-    start, selector = start[order], selector[order]
-    block = np.searchsorted(edges, start, side="right") - 1
-    stop = edges[block + 1]
-    words = selector.astype(np.uint64) << np.uint64(60)
-    for s in range(2, len(WIDTHS)):
-        mine = np.flatnonzero(selector == s)
-        for k in range(COUNTS[s] if len(mine) else 0):
-            place = start[mine] + k
-            inside = place < stop[mine]
-            words[mine[inside]] |= values[place[inside]] << np.uint64(k * WIDTHS[s])
+    start, selector = start[order], selector[order].astype(np.int64)
+    # Words follow each other without a gap, so each value's word and its place in it are known.
+    held = np.diff(np.append(start, n))
+    shift = (np.arange(n) - np.repeat(start, held)) * np.repeat(WIDTHS[selector], held)
     lost = np.flatnonzero(selector == 0)
-    words[lost] |= np.arange(len(lost), dtype=np.uint64)
-    return words, np.searchsorted(start, edges[:-1]).astype(np.int64), values[start[lost]]
+    escapes = values[start[lost]]
+    values[start[lost]] = np.arange(len(lost), dtype=np.uint64)
+    words = np.add.reduceat(values << shift.astype(np.uint64), start) + (selector.astype(np.uint64) << np.uint64(60))
+    return words, np.searchsorted(start, edges[:-1]).astype(np.int64), escapes
 
 
 def decode(words: np.ndarray, first: np.ndarray, edges: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -175,6 +181,22 @@ _MARK = np.zeros(256, bool)  # visible ASCII
 _MARK[0x21:0x7F] = True
 
 
+class Answers:
+    """Ids of segments by their fingerprints."""
+
+    def __init__(self, key=(), at=(), many=(), ids=()):
+        self.key, self.ids = np.asarray(key, np.uint64), np.asarray(ids, np.uint32)
+        self.at, self.many = np.asarray(at, np.int64), np.asarray(many, np.int64)
+        self._places = pd.Index(self.key)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        return self._places.get_indexer(key) if len(self.key) else np.full(len(key), -1)
+
+    def with_(self, more: Answers) -> Answers:
+        pairs = ((self.key, more.key), (self.at, more.at + len(self.ids)), (self.many, more.many), (self.ids, more.ids))
+        return Answers(*map(np.concatenate, pairs))
+
+
 class Segments:
     """Ids of texts by the library, which is asked once for each distinct segment."""
 
@@ -185,9 +207,16 @@ class Segments:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.longest = max(map(len, self.special), default=0)
-        self.key = np.zeros(0, np.uint64)
-        self.at, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        made = json.loads(self.tokenizer.to_str())
+        pattern = made.get("pre_tokenizer") or {}
+        known = pattern.get("type") == "ByteLevel" and pattern.get("use_regex") and not pattern.get("add_prefix_space")
+        #: Whether this is the pattern that cuts() knows; texts of other vocabularies are segments as they are.
+        self.by_bytes = bool(known and made["model"]["type"] == "BPE" and not made.get("normalizer"))
+        #: Bytes that each id stands for: one a character of its name.
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for name, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.widths[i] = len(name)
+        self.stored, self.recent = Answers(), Answers()
 
     def cuts(self, buf: np.ndarray) -> np.ndarray:
         """True at bytes before which the library's pattern always ends a token.
@@ -196,7 +225,7 @@ class Segments:
         kind. What precedes a cut is visible ASCII or a letter of U+00C0 to U+00FF, so never white space.
         """
         out = np.zeros(len(buf), bool)
-        if len(buf) < 2:
+        if len(buf) < 2 or not self.by_bytes:
             return out
         a, b = buf[:-1], buf[1:]
         seen = _MARK[a]
@@ -212,14 +241,42 @@ class Segments:
                 at = text.find(token, at + 1)
         return out
 
-    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of each text)."""
-        ids, many = [], []
-        for lo in range(0, len(texts), ASKED):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + ASKED], add_special_tokens=False)]
-            many.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(many[-1].sum())))
-        return np.concatenate(ids), np.concatenate(many)
+    def _ask(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each segment's begin, how many they are).
+
+        Segments that begin with a blank and end visibly are asked for in lines: between them is a cut, so a line's ids are
+        theirs one after the other, told apart by the bytes that each id stands for. Others are asked for alone.
+        """
+        text = buf.tobytes()
+        joint = (buf[starts] == 0x20) & (ends - starts < 256) & (_MARK[buf[ends - 1]] | (buf[np.maximum(ends - 2, 0)] == 0xC3))
+        if not self.by_bytes or any(token in text for token in self.special):
+            joint[:] = False
+        at, many, ids, base = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64), [], 0
+        alone = [np.flatnonzero(~joint)]
+        lined = np.flatnonzero(joint)
+        for lo in range(0, len(lined), LINE):
+            of = lined[lo : lo + LINE]
+            line = b"".join([text[a:b] for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]).decode()
+            found = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.uint32)
+            reached, stop = np.cumsum(self.widths[found]), np.cumsum(ends[of] - starts[of])
+            last = np.searchsorted(reached, stop)
+            if len(last) and (last[-1] != len(found) - 1 or (reached[last] != stop).any()):
+                alone.append(of)  # an id across a cut: this vocabulary is not what it seems
+                continue
+            many[of] = np.diff(last, prepend=-1)
+            at[of] = base + last + 1 - many[of]
+            ids.append(found)
+            base += len(found)
+        rest = np.concatenate(alone)
+        for lo in range(0, len(rest), ASKED):
+            of = rest[lo : lo + ASKED]
+            texts = [text[a:b].decode() for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            many[of] = np.fromiter(map(len, found), np.int64, len(found))
+            at[of] = base + np.cumsum(many[of]) - many[of]
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(many[of].sum())))
+            base += len(ids[-1])
+        return np.concatenate(ids), at, many
 
     def encode(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each segment) of the segments of a buffer that begin at `starts`."""
@@ -227,29 +284,35 @@ class Segments:
         terms = T.BYTE_CODES[buf]
         terms *= T.powers(T.BASE, len(buf))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        key, one, of = np.unique(T.span_hashes(total, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.key, key)
-        known = np.zeros(len(key), bool)
-        inside = place < len(self.key)
-        known[inside] = self.key[place[inside]] == key[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            text = buf.tobytes()
-            spans = zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)
-            ids, many = self._ask([text[a:b].decode() for a, b in spans])
-            at = len(self.ids) + np.cumsum(many) - many
-            where = place[new]
-            pool = np.concatenate([self.ids, ids])
-            keys, ats, sizes = (np.insert(x, where, y) for x, y in ((self.key, key[new]), (self.at, at), (self.many, many)))
-            place = np.searchsorted(keys, key)
-            if len(keys) <= KEPT and len(pool) <= 8 * KEPT:
-                self.key, self.at, self.many, self.ids = keys, ats, sizes, pool
-        else:
-            pool, ats, sizes = self.ids, self.at, self.many
-        many = sizes[place][of]
+        key = T.span_hashes(total, starts, ends)
+        at, many = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        open_, pools, base = np.arange(len(key)), [], 0
+        for held in (self.stored, self.recent):
+            place = held.find(key[open_])
+            hit = place >= 0
+            at[open_[hit]], many[open_[hit]] = base + held.at[place[hit]], held.many[place[hit]]
+            pools.append(held.ids)
+            base += len(held.ids)
+            open_ = open_[~hit]
+        if len(open_):
+            of, new = pd.factorize(key[open_])
+            one = np.empty(len(new), np.int64)
+            one[of[::-1]] = open_[::-1]
+            ids, first, sizes = self._ask(buf, starts[one], ends[one])
+            at[open_], many[open_] = base + first[of], sizes[of]
+            pools.append(ids)
+            self._keep(Answers(new, first, sizes, ids))
         begin = np.cumsum(many) - many
-        index = np.repeat(ats[place][of] - begin, many) + np.arange(many.sum())
-        return pool[index], many
+        index = np.repeat(at - begin, many) + np.arange(many.sum())
+        return np.concatenate(pools)[index], many
+
+    def _keep(self, new: Answers) -> None:
+        """New answers join the recent ones, and those the stored ones when they are many, so that look-up tables are seldom made anew."""
+        if sum(len(a.key) for a in (self.stored, self.recent, new)) > KEPT or len(self.stored.ids) + len(self.recent.ids) + len(new.ids) > 8 * KEPT:
+            return
+        self.recent = self.recent.with_(new)
+        if len(self.recent.key) > len(self.stored.key) // 4:
+            self.stored, self.recent = self.stored.with_(self.recent), Answers()
 
 
 _BUILT: dict[str, Segments] = {}
