@@ -107,6 +107,11 @@ def model_key(provider: Column | str, model: Column | str, dimensions: Column |
     return F.substring(F.sha2(F.concat_ws(":", _c(provider), _c(model), _c(dimensions).cast("string"), _c(config)), 256), 1, 32)
 
 
+def model_key_of(provider: str, model: str, dimensions: int, config: str) -> str:
+    """model_key of plain values."""
+    return hashlib.sha256(":".join([provider, model, str(dimensions), config]).encode()).hexdigest()[:32]
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(_c(text), r"^\s+|\s+$", "")

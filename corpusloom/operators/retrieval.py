@@ -46,6 +46,13 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     return chunks.select(key, F.explode(S.tokenize(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 class TextIndex:
     """Stored full-text index: postings by token bucket, chunks by file bucket, and the totals that BM25 asks for.
 
@@ -53,10 +60,34 @@ class TextIndex:
     folders of its tokens' buckets, and citations those of their files' buckets.
     """
 
-    LAYOUT = {"postings": ["bucket"], "chunks": ["part"]}
-
-    def __init__(self, postings: DataFrame, chunks: DataFrame, totals: DataFrame, buckets: int):
-        self.postings, self.chunks, self.totals, self.buckets = postings, chunks, totals, buckets
+    def __init__(
+        self, postings: DataFrame | list[tuple[DataFrame, int]], chunks: DataFrame | list[tuple[DataFrame, int]],
+        totals: DataFrame | tuple[int, int], buckets: int = 0,
+    ):
+        """Both tables whole, in so many buckets, or as parts that each have their own number of buckets; totals: one row or (n, tokens)."""
+        self._postings = [(postings, buckets)] if isinstance(postings, DataFrame) else postings
+        self._chunks = [(chunks, buckets)] if isinstance(chunks, DataFrame) else chunks
+        self.totals = totals
+
+    @property
+    def postings(self) -> DataFrame:
+        return _union([p for p, _ in self._postings])
+
+    @property
+    def chunks(self) -> DataFrame:
+        return _union([c for c, _ in self._chunks])
+
+    def postings_of(self, tokens: list[str]) -> DataFrame | None:
+        """The postings of some tokens, from their buckets alone; None where nothing is stored."""
+        found = []
+        for rows, buckets in self._postings:
+            at = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in tokens]
+            found.append(rows.where(F.col("bucket").isin(*at) & F.col("token").isin(*tokens)))
+        return _union(found) if found else None
+
+    def total(self) -> tuple[int, int]:
+        """Chunks that have tokens, and their tokens."""
+        return self.totals if isinstance(self.totals, tuple) else tuple(self.totals.select("n", "tokens").first())
 
     @staticmethod
     def buckets_for(size: int) -> int:
@@ -74,9 +105,14 @@ class TextIndex:
     @staticmethod
     def placed(chunks: DataFrame, buckets: int) -> DataFrame:
         """chunks with `part`, the bucket of their file, dealt for writing."""
-        d = chunks.withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
+        d = chunks.drop("part").withColumn("part", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
         return d.repartition("part", F.pmod("chunk_id", F.lit(4))).sortWithinPartitions("part", "chunk_id")
 
+    @staticmethod
+    def bucketed(postings: DataFrame, buckets: int) -> DataFrame:
+        """postings in another number of buckets, dealt for writing."""
+        return TextIndex.dealt(postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")))
+
     @staticmethod
     def dealt(postings: DataFrame) -> DataFrame:
         return postings.repartition("bucket", F.pmod("chunk_id", F.lit(8))).sortWithinPartitions("bucket", "token", "chunk_id")
@@ -100,19 +136,18 @@ class TextIndex:
     def search(self, query: str, k: int = POOL, unicode: bool = False) -> DataFrame:
         """chunk_id, score: BM25 with clipped idf, from the query's postings alone."""
         wanted = query_tokens(query, unicode)
-        spark = self.postings.sparkSession
-        if not wanted:
-            return spark.createDataFrame([], "chunk_id long, score double")
+        spark = SparkSession.active()
         distinct = list(dict.fromkeys(wanted))
-        at = [F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in distinct]
-        mine = self.postings.where(F.col("bucket").isin(*at) & F.col("token").isin(*distinct))
-        total = self.totals.first()
-        n = float(total["n"])
+        mine = self.postings_of(distinct) if distinct else None
+        if mine is None:
+            return spark.createDataFrame([], "chunk_id long, score double")
+        total, tokens = self.total()
+        n = float(total)
         df = mine.groupBy("token").agg(F.count("*").alias("df"))
         of = {r["token"]: r["df"] for r in df.collect()}
         if not of:
             return spark.createDataFrame([], "chunk_id long, score double")
-        average = total["tokens"] / n
+        average = tokens / n
         weight = F.lit(0.0)
         for t in of:
             idf = max(math.log((n - of[t] + 0.5) / (of[t] + 0.5)), LEAST_IDF)
@@ -122,9 +157,13 @@ class TextIndex:
         return scored.orderBy(F.col("score").desc(), "chunk_id").limit(k)
 
     def rows_of(self, file_ids: list[int]) -> DataFrame:
-        """Chunks of a few files."""
-        at = [F.pmod(F.xxhash64(F.lit(i).cast("long")), F.lit(self.buckets)).cast("int") for i in file_ids]
-        return self.chunks.where((F.col("part").isin(*at) & F.col("file_id").isin(*file_ids)) if file_ids else F.lit(False)).drop("part")
+        """Chunks of a few files, from their buckets alone."""
+        found = []
+        for rows, buckets in self._chunks:
+            at = [F.pmod(F.xxhash64(F.lit(i).cast("long")), F.lit(buckets)).cast("int") for i in file_ids]
+            mine = F.col("part").isin(*at) & F.col("file_id").isin(*file_ids) if file_ids else F.lit(False)
+            found.append(rows.where(mine).drop("part"))
+        return _union(found)
 
 
 class TextScan:

@@ -1,23 +1,20 @@
-"""Incremental planning, snapshot mutations and run state.
+"""Incremental planning, mutations of tables and run state.
 
-Tables are immutable snapshots: an update is an anti-join of the old rows and a union with the new
-ones, written beside the old snapshot and published by moving a pointer.
+Tables are immutable: an update is an anti-join of the old rows and a union with the new ones. How the corpus keeps them is in segments.py.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import time
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusloom.functions import scalars as S
-from corpusloom.shared import Folder, Lock
 
 
 def incremental_plan(listing: DataFrame, known: DataFrame, verify: bool = False) -> DataFrame:
@@ -167,72 +164,6 @@ def schema_diff(old: StructType, new: StructType) -> dict[str, list[str]]:
     return {"added": sorted(b.keys() - a.keys()), "removed": sorted(a.keys() - b.keys()), "changed": sorted(k for k in a.keys() & b.keys() if a[k] != b[k])}
 
 
-class SnapshotStore:
-    """Tables as snapshot folders under a root on any Hadoop file system.
-
-    `current.json` names the published ones, so readers never see a half-written snapshot.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
-        self.spark, self.folder, self.read_only = spark, Folder(spark, root), read_only
-        if not read_only:
-            self.folder.make()
-
-    def _pointer(self) -> dict[str, dict]:
-        return json.loads(self.folder.read("current.json") or b"{}")
-
-    def _publish(self, pointer: dict[str, dict]) -> None:
-        self.folder.write("current.json", json.dumps(pointer, sort_keys=True).encode())
-
-    def write(self, tables: dict[str, DataFrame], layout: dict[str, list[str]] | None = None) -> None:
-        """Write all tables, then publish them together. layout: columns whose values name a table's subfolders."""
-        with self.lock():
-            pointer = self._pointer()
-            for name, df in tables.items():
-                place = f"{name}/{uuid.uuid4().hex}"
-                by = (layout or {}).get(name)
-                (df.write.partitionBy(*by) if by else df.write).parquet(self.folder.path(place))
-                pointer[name] = {"place": place, "schema": schema_fingerprint(df.schema), "fields": df.schema.json()}
-            self._publish(pointer)
-
-    def read(self, name: str) -> DataFrame:
-        entry = self._pointer().get(name)
-        if entry is None:
-            raise FileNotFoundError(f"no published table {name!r} under {self.folder.root}")
-        known = StructType.fromJson(json.loads(entry["fields"]))
-        return self.spark.read.schema(known).parquet(self.folder.path(entry["place"])).select(*known.names)
-
-    def backup(self, keep: int = 10) -> str:
-        home, _, name = self.folder.root.rpartition("/")
-        to = f"{home}/{name}-backup-{time.time_ns()}"
-        self.folder.copy_to(to)
-        around = Folder(self.spark, home)
-        for old in [n for n in around.names() if n.startswith(f"{name}-backup-")][:-keep]:
-            around.delete(old)
-        return to
-
-    def reset(self, names: list[str]) -> None:
-        """Unpublish tables; their folders stay until compact()."""
-        with self.lock():
-            self._publish({k: v for k, v in self._pointer().items() if k not in names})
-
-    def compact(self) -> int:
-        """Remove snapshots that are not published; their number."""
-        live = {e["place"] for e in self._pointer().values()}
-        places = [f"{t}/{n}" for t in self.folder.names() if self.folder.is_folder(t) for n in self.folder.names(t)]
-        dead = [p for p in places if p not in live and self.folder.is_folder(p)]
-        with self.lock():
-            for p in dead:
-                self.folder.delete(p)
-        return len(dead)
-
-    def lock(self) -> Lock:
-        """One writer at a time, without waiting; none in a store opened for reading."""
-        if self.read_only:
-            raise PermissionError(f"{self.folder.root} is open for reading only")
-        return Lock(self.folder)
-
-
 def atomic_write(path: Path, data: bytes) -> None:
     part = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
     with open(part, "wb") as f:

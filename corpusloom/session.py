@@ -1,13 +1,15 @@
-"""The corpus as one object: folders are indexed into snapshots, and the published snapshot is searched.
+"""The corpus as one object: folders are indexed run by run, and what is published is searched.
 
-An index run is a chain of frames: listing, plan by size and time, reading of what may have changed (each file once),
-recognition of pages without text, quality, chunks, postings, and vectors of chunk texts without one. All tables of a run are
-published together, so a reader sees either the state before or after it.
+An index run begins with a plan: the folder is listed, files whose size and time of change are known are left alone, and the others are
+dealt into batches by their bytes. A batch reads its files once, recognises pages without text, assesses pages, cuts chunks and
+makes postings and vectors, all for these files alone; it is published at once, as new segments and the keys of what they replace
+(see operators/segments.py). A run that stops goes on with its next batch (see operators/ledger.py), and what did not change is neither
+read nor written.
 """
 
 from __future__ import annotations
 
-import time
+import math
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -17,10 +19,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
 from corpusloom.operators import documents as D
+from corpusloom.operators import ledger as L
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import state as M
 from corpusloom.operators import text as X
+from corpusloom.operators.segments import Change, Layout, SegmentStore
 from corpusloom.settings import Settings
 from corpusloom.shared import Folder
 from corpusloom.sources import engines as E
@@ -33,17 +37,31 @@ SCHEMAS = {
     "chunks": "chunk_id long, file_id long, chunk_index int, page_number int, source_type string, section string, "
     "block_type string, text string, chunk_hash string, input_hash string, input_text string, part int",
     "postings": "token string, chunk_id long, tf int, dl int, bucket int",
-    "totals": "n long, tokens long",
-    "vectors": "input_hash string, vector array<float>, success boolean, error_message string",
+    "totals": "file_id long, chunks long, n long, tokens long",
+    "vectors": "model_key string, file_id long, chunk_id long, input_hash string, vector array<float>",
+    "embedding_errors": "chunk_id long, input_hash string, error_message string",
     "ocr": E.RESULT,
     "exclusions": "path string, excluded_at timestamp",
     "items": "run_id long, item_key string, content_hash string, config_hash string, status string, outcome string, error string",
     "runs": "run_id long, phase string, root_path string, status string, indexed long, skipped long, removed long, failed long, "
     "walk_errors long, started_at timestamp, seconds double",
 }
-LAYOUT = R.TextIndex.LAYOUT
-#: Folders of postings and chunks.
-BUCKETS = 64
+#: What a file's rows go by, in each table that has some.
+KEYS = {
+    **dict.fromkeys(("files", "pages", "chunks", "totals", "vectors"), "file_id"), "postings": f"shiftright(chunk_id, {S.CHUNK_BITS})",
+    "exclusions": "path", "ocr": "page_key",
+}
+LAYOUTS = {
+    "chunks": Layout(R.TextIndex.placed, ["part"]),
+    "postings": Layout(R.TextIndex.bucketed, ["bucket"]),
+}
+#: Tables whose rows are made of a file's pages.
+DERIVED = ("pages", "chunks", "postings", "totals", "vectors")
+COUNTS = ("indexed", "skipped", "removed", "failed", "walk_errors")
+PLAN = (
+    "path string, relative_path string, size long, mtime_ns long, file_type string, known boolean, known_hash string, known_extractor string, "
+    "file_id long, batch int"
+)
 
 
 class Stopped(RuntimeError):
@@ -66,42 +84,96 @@ def numbered(rows: DataFrame, order: str, name: str, after: int, keep: Callable[
     return placed.join(F.broadcast(starts), "_range").withColumn(name, number.cast("long")).drop("_range", "_at", "_first", "_before")
 
 
+def summed(counts: dict[str, int], batches: dict[str, dict[str, int]]) -> dict[str, int]:
+    """A run's counts: those of its plan and of its published batches."""
+    out = {c: counts.get(c, 0) for c in COUNTS}
+    for done in batches.values():
+        for c in COUNTS:
+            out[c] += done.get(c, 0)
+    return out
+
+
 class Corpus:
-    """Tables under `home`, on any file system that Spark writes to; the folders that are indexed must be mounted on the executors."""
+    """Tables under `home`, on any file system that Spark writes to; the folders that are indexed must be mounted on the executors.
+
+    batch_bytes: bytes of files that are published together. Another embedding provider is told from the last one by its name,
+    model, dimensions and config; the next index run makes its vectors and drops those of others.
+    """
 
     def __init__(
         self, spark: SparkSession, home: str, settings: Settings | None = None, provider: extract.EmbeddingProvider | None = None,
-        engines: list[E.OcrEngine] | None = None, stop: Callable[[], bool] = lambda: False,
+        engines: list[E.OcrEngine] | None = None, stop: Callable[[], bool] = lambda: False, batch_bytes: int = 256 << 30,
     ):
         self.spark, self.settings = spark, settings or Settings()
         self.provider = provider or extract.HashedEmbedding(self.settings.dimensions)
         self.engines = list(engines or [])
-        self.store = M.SnapshotStore(spark, home)
+        self.store = SegmentStore(spark, home, keys=KEYS, layouts=LAYOUTS)
+        self.ledger = L.Ledger(self.store.folder)
+        self.batch_bytes = batch_bytes
         self._stop = stop
         self._staging: Folder | None = None
+        self._run: L.Run | None = None
+
+    @property
+    def model_key(self) -> str:
+        """The identity of the embedding provider's vectors."""
+        of = lambda name, default: str(getattr(self.provider, name, default))
+        return S.model_key_of(of("name", type(self.provider).__name__), of("model", ""), self.provider.dimensions, of("config", ""))
 
     def table(self, name: str) -> DataFrame:
+        if name == "runs":
+            return self._runs()
         try:
             return self.store.read(name)
         except FileNotFoundError:
             return self.spark.createDataFrame([], SCHEMAS[name])
 
+    def _runs(self) -> DataFrame:
+        """A row a run, from the ledger."""
+        done = self.store.manifest()["batches"]
+        rows = []
+        for r in self.ledger.all():
+            counts = summed(r.get("counts", {}), done.get(str(r["run_id"]), {}))
+            began = datetime.fromtimestamp(r["started_at"], UTC)
+            seconds = max(0.0, r.get("ended_at", r.get("beat", r["started_at"])) - r["started_at"])
+            rows.append((r["run_id"], r["phase"], r["root"], r["status"], *[counts[c] for c in COUNTS], began, seconds))
+        return self.spark.createDataFrame(rows, SCHEMAS["runs"])
+
     # -- index runs ---------------------------------------------------------------------------------
 
     def index(self, root: str, verify: bool = False) -> dict[str, int]:
-        """Bring the files under root up to date and publish; counts of what was done.
+        """Bring the files under root up to date, batch by batch; counts of what was done.
 
         Files whose size and time of change are known are not read; verify reads all. What could not be listed is counted in
-        walk_errors, and nothing that is known at or below it is forgotten.
+        walk_errors, and nothing that is known at or below it is forgotten. Refused (ledger.Busy) while another run works on
+        files of this root.
         """
         root = root.rstrip("/")
-        return self._run("index", root, lambda: self._listing(root), verify)
+        return self._go(self.ledger.start("index", root, {"verify": verify}), lambda: self._listing(root))
 
     def retry_failed(self, root: str) -> dict[str, int]:
         """Read again only the files under root that failed, without a walk."""
         root = root.rstrip("/")
+        return self._go(self.ledger.start("index", root, {"partial": True}), lambda: self._failed(root))
+
+    def resume(self, run_id: int) -> dict[str, int]:
+        """Go on with a run that was paused or whose holder is gone: batches that are published are left out."""
+        run = self.ledger.resume(run_id)
+        record = run.record
+        if record["phase"] != "index" or record["options"].get("sidecars"):
+            run.move("cancel")
+            raise ValueError(f"run {run_id} of phase {record['phase']} begins anew")
+        root = record["root"]
+        return self._go(run, lambda: self._failed(root) if record["options"].get("partial") else self._listing(root))
+
+    def resumable(self) -> list[dict]:
+        """Queued and paused runs with their batches and how many of them are published."""
+        done = self.store.manifest()["batches"]
+        return [{**r, "done": len(done.get(str(r["run_id"]), {}))} for r in self.ledger.resumable()]
+
+    def _failed(self, root: str) -> DataFrame:
         known = self.table("files").where(S.under_root("path", root) & (F.col("status") == "failed"))
-        return self._run("index", root, lambda: known.select("path", "relative_path", "size", "mtime_ns", F.lit(None).cast("string").alias("error")), partial=True)
+        return known.select("path", "relative_path", "size", "mtime_ns", F.lit(None).cast("string").alias("error"))
 
     def _listing(self, root: str) -> DataFrame:
         """Files under root without sidecars and excluded ones; one row a real path."""
@@ -113,74 +185,130 @@ class Corpus:
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a frame that several steps read into the run's own folder; asked between steps whether to stop."""
-        if self._stop():
-            raise Stopped("stopped by the caller")
+        self._asked()
         path = self._staging.path(f"{name}-{uuid.uuid4().hex}")
         schema = df.schema
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _run(self, phase: str, root: str, listing: Callable[[], DataFrame], verify: bool = False, partial: bool = False) -> dict[str, int]:
-        began = datetime.now(UTC)
+    def _asked(self) -> None:
+        if self._stop():
+            raise Stopped("stopped by the caller")
+        wish = self._run.wish() if self._run else None
+        if wish:
+            raise Stopped(wish)
+
+    def _held(self, run: L.Run, work: Callable[[], dict[str, int]]) -> dict[str, int]:
+        """work() with a heartbeat and a folder of its own; its end is the run's."""
         self._staging = Folder(self.spark, f"{self.store.folder.root}/_staging-{uuid.uuid4().hex}")
+        self._run = run
         try:
-            tables, counts = self._update(root, listing(), verify, partial)
-            return self._publish(phase, root, began, tables, counts)
+            with run.beating():
+                counts = work()
+                run.move("fail" if counts.pop("refused", False) else "complete")
+                return counts
+        except Stopped as e:
+            run.move("cancel" if str(e) == "cancel" else "pause")
+            raise
+        except L.Lost:
+            raise
+        except Exception as e:
+            run.move("fail", error=f"{type(e).__name__}: {e}"[:1000])
+            raise
         finally:
             self._staging.delete("")
-
-    def _publish(self, phase: str, root: str, began: datetime, tables: dict[str, DataFrame], counts: dict[str, int], status: str = "completed") -> dict[str, int]:
-        run_id = self.table("runs").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1
-        seconds = (datetime.now(UTC) - began).total_seconds()
-        row = (run_id, phase, root, status, *[counts.get(c, 0) for c in ("indexed", "skipped", "removed", "failed", "walk_errors")], began, seconds)
-        runs = self.table("runs").unionByName(self.spark.createDataFrame([row], SCHEMAS["runs"]))
-        self.store.write({**tables, "runs": runs}, LAYOUT)
-        return counts
-
-    def _update(self, root: str, listing: DataFrame, verify: bool, partial: bool) -> tuple[dict[str, DataFrame], dict[str, int]]:
-        known = self.table("files")
+            self._run = None
+
+    def _go(self, run: L.Run, listing: Callable[[], DataFrame]) -> dict[str, int]:
+        """Plan a run if it has no plan yet, and do the batches of it that are not published."""
+
+        def work() -> dict[str, int]:
+            options = run.record["options"]
+            if not run.state.get("planned"):
+                run.update(**self._planned(run.run_id, run.record["root"], listing(), options))
+            done = self.store.manifest()["batches"].get(str(run.run_id), {})
+            for batch in range(run.state["batches"]):
+                if str(batch) not in done:
+                    self._batch(run, batch)
+            self._embed_missing(run)
+            self.store.merge()
+            if run.state["batches"]:
+                self.store.folder.delete(f"ledger/plan-{run.run_id:08d}")
+            done = self.store.manifest()["batches"].get(str(run.run_id), {})
+            return summed(run.state["counts"], done)
+
+        return self._held(run, work)
+
+    def _plan(self, run_id: int, name: str) -> str:
+        return self.store.folder.path(f"ledger/plan-{run_id:08d}/{name}")
+
+    def _planned(self, run_id: int, root: str, listing: DataFrame, options: dict) -> dict:
+        """Write what a run has to do (files by batch, and files that are gone); the run's state from then on."""
+        base, known = self.store.version, self.table("files")
         scanned = self._keep(listing, "listing")
         listed, unread = scanned.where("error is null").drop("error"), scanned.where("error is not null")
-        typed = listed.withColumn("file_type", S.file_type("path"))
         k = known.select(
             "path", "file_id", (F.col("status") == "indexed").alias("k_indexed"), F.col("size").alias("k_size"),
             F.col("mtime_ns").alias("k_mtime"), F.col("content_hash").alias("known_hash"), F.col("extractor").alias("known_extractor"),
             F.col("file_type").alias("k_type"), F.lit(True).alias("known"),
         )
-        d = typed.join(k, "path", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        d = listed.withColumn("file_type", S.file_type("path")).join(k, "path", "left").withColumn("known", F.coalesce("known", F.lit(False)))
         current = extract.current_extractor(F.coalesce("file_type", "k_type"))
         same = F.col("k_indexed") & (F.col("size") == F.col("k_size")) & (F.col("mtime_ns") == F.col("k_mtime")) & (F.col("known_extractor") == current)
-        d = d.withColumn("same", F.coalesce(same & F.lit(not verify), F.lit(False)))
+        d = d.withColumn("same", F.coalesce(same & F.lit(not options.get("verify")), F.lit(False)))
         of_indexed = lambda c: F.when(F.col("k_indexed"), F.col(c)).alias(c)
-        candidates = d.where(~F.col("same")).select("path", "file_type", "known", of_indexed("known_hash"), of_indexed("known_extractor"))
-        read = self._keep(extract.read_changed(candidates), "read")
-        action = read.groupBy("path").agg(*[F.first(c).alias(c) for c in ("content_hash", "file_type", "action", "extractor")], F.max("error").alias("error"))
-        action = self._keep(action, "actions")
-        todo = action.where("action <> 'refresh_metadata'")
-        gone = known.where(F.lit(False)) if partial else M.deleted_files(known, listed, root, [], unread)
+        listed_columns = ["path", "relative_path", "size", "mtime_ns", "file_type", "known"]
+        todo = self._keep(d.where(~F.col("same")).select(*listed_columns, of_indexed("known_hash"), of_indexed("known_extractor"), "file_id"), "todo")
+        sums = todo.agg(F.count("*").alias("n"), F.count_if("known").alias("known"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+        # New paths are numbered in the order of their relative paths, after numbers that nobody else gets; known ones keep theirs.
+        top = self.store.reserve("file_id", sums["n"] - sums["known"])
+        gone = known.where(F.lit(False)) if options.get("partial") else M.deleted_files(known, listed, root, [], unread)
         gone = self._keep(gone.select("path", "file_id"), "gone")
-
-        # New paths are numbered after the highest id in use, in the order of their relative paths; known paths keep theirs.
-        top = known.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
-        fresh = numbered(d.where(~F.col("known")).select("path", "relative_path"), "relative_path", "file_id", top, self._keep)
-        ids = fresh.select("path", "file_id").unionByName(d.where("known").select("path", "file_id"))
-        todo = self._keep(todo.join(ids, "path").join(listed.select("path", "relative_path", "size", "mtime_ns"), "path"), "todo")
-
-        pages, warnings, ocr = self._recognised(read.where("error is null and page_number > 0").join(todo.select("path", "file_id", "content_hash"), "path").drop(read["content_hash"]))
+        counts = {"skipped": d.where("same").count(), "removed": gone.count(), "walk_errors": unread.count()}
+        batches = max(math.ceil(sums["bytes"] / self.batch_bytes), 1) if sums["n"] or counts["removed"] else 0
+        if batches:
+            batch = F.pmod(F.xxhash64("path"), F.lit(batches)).cast("int").alias("batch")
+            fresh = todo.where(~F.col("known")).drop("file_id")
+            fresh = numbered(fresh, "relative_path", "file_id", top, self._keep) if sums["n"] > sums["known"] else todo.where(F.lit(False))
+            every = todo.where("known").unionByName(fresh.select(*todo.columns))
+            every.select("*", batch).write.mode("overwrite").parquet(self._plan(run_id, "files"))
+            gone.write.mode("overwrite").parquet(self._plan(run_id, "gone"))
+        return {"planned": True, "batches": batches, "base": base, "counts": counts}
+
+    def _batch(self, run: L.Run, batch: int) -> None:
+        """Read a batch's files, and publish all that is made of them."""
+        self._asked()
+        plan = self.spark.read.schema(PLAN).parquet(self._plan(run.run_id, "files")).where(F.col("batch") == batch)
+        read = self._keep(extract.read_changed(plan), "read")
+        action = read.groupBy("path").agg(*[F.first(c).alias(c) for c in ("content_hash", "file_type", "action", "extractor")], F.max("error").alias("error"))
+        action = self._keep(action.join(plan.select("path", "relative_path", "size", "mtime_ns", "file_id", "known"), "path"), "actions")
+        todo, same = action.where("action <> 'refresh_metadata'"), action.where("action = 'refresh_metadata'")
+        pages, warnings, ocr = self._recognised(
+            read.where("error is null and page_number > 0").join(todo.select("path", "file_id", "content_hash"), "path").drop(read["content_hash"])
+        )
         status = F.when(F.col("error").isNotNull(), "failed").when(F.col("file_type").isNull(), "unsupported").otherwise("indexed")
-        now = F.lit(datetime.now(UTC))
-        new_files = todo.join(warnings, "file_id", "left").withColumns({"status": status, "indexed_at": now})
-        columns = known.columns
-        refreshed = action.where("action = 'refresh_metadata'").join(listed.select("path", F.col("mtime_ns").alias("new_mtime"), F.col("size").alias("new_size")), "path").select("path", "new_mtime", "new_size")
-        files = M.upsert(known, new_files.select(*columns), ["path"]).join(gone.select("path"), "path", "left_anti").join(refreshed, "path", "left")
-        files = files.withColumns({"mtime_ns": F.coalesce("new_mtime", "mtime_ns"), "size": F.coalesce("new_size", "size")}).select(*columns)
-        files = self._keep(files, "files")
+        columns = self.table("files").columns
+        new_files = todo.join(warnings, "file_id", "left").withColumns({"status": status, "indexed_at": F.lit(datetime.now(UTC))})
+        moved = same.select("file_id", F.col("size").alias("new_size"), F.col("mtime_ns").alias("new_mtime"))
+        moved = self.table("files").join(moved, "file_id").withColumns({"size": F.col("new_size"), "mtime_ns": F.col("new_mtime")})
+        files = self._keep(new_files.select(*columns).unionByName(moved.select(*columns)), "files")
+        gone = todo.where("known").select("file_id")
+        if batch == 0:
+            gone = gone.unionByName(self.spark.read.schema("path string, file_id long").parquet(self._plan(run.run_id, "gone")).select("file_id"))
+        gone = self._keep(gone, "gone-ids")
         counts = todo.agg(F.count("*").alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
-        counts |= {"skipped": d.where("same").count() + action.where("action = 'refresh_metadata'").count(), "removed": gone.count(), "walk_errors": unread.count()}
-        return {"files": files, "ocr": ocr, **self._derived(files, todo.select("file_id"), pages)}, counts
-
-    def _recognised(self, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Pages with what recognition adds, a warning of each file whose pages it could not read, and all stored results.
+        counts["skipped"] = same.count()
+        changes = {"files": Change(files, gone.unionByName(same.where("known").select("file_id")))}
+        derived, counters = self._derived(files, gone, pages)
+        if ocr is not None:
+            changes["ocr"] = ocr
+        self._asked()
+        self.store.commit(
+            {**changes, **derived}, run.record["root"], run.state["base"], run.run_id, batch, counts, counters, run.still_mine
+        )
+
+    def _recognised(self, pages: DataFrame) -> tuple[DataFrame, DataFrame, Change | None]:
+        """Pages with what recognition adds, a warning of each file whose pages it could not read, and what becomes of stored results.
 
         pages: file_id, content_hash, page_number, text, needs_ocr, image.
         """
@@ -190,7 +318,10 @@ class Corpus:
         cache = self.table("ocr")
         wanted = p.where("needs_ocr and image is not null").select("page_key", "image").dropDuplicates(["page_key"])
         results, asked = E.recognise_pages(wanted, self.engines, cache, self._keep, self.settings.tier_confidence)
-        stored = M.upsert(cache, asked, ["page_key", "engine"]) if self.engines else cache
+        stored = None
+        if self.engines:  # all results of a page that was asked for go, and those that are to stay come again
+            again = cache.join(asked.select("page_key").distinct(), "page_key", "left_semi")
+            stored = Change(self._keep(M.upsert(again, asked, ["page_key", "engine"]), "ocr"), asked.select("page_key"))
         best = results.dropDuplicates(["page_key"])
         resolved = E.resolve_pages(p.select("page_key", "file_id", "page_number", "text", "action"), best)
         resolved = resolved.join(best.select("page_key", F.col("confidence").alias("mean_confidence"), F.col("success").alias("ocr_success")), "page_key", "left")
@@ -199,58 +330,102 @@ class Corpus:
         warnings = failed.select("file_id", F.concat(F.col("bad").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" pages could not be recognised")).alias("warning"))
         return resolved, warnings, stored
 
-    def _derived(self, files: DataFrame, stale: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
-        """Pages, chunks, postings, totals and vectors: what stays of the published ones, and new ones of resolved pages."""
-        live = files.select("file_id")
-        keep = lambda t: t.join(live, "file_id", "left_semi").join(stale, "file_id", "left_anti")
+    def _derived(self, files: DataFrame, gone: DataFrame, pages: DataFrame) -> tuple[dict[str, Change], dict[str, int]]:
+        """Changes of the tables that are made of pages, and of the totals: rows of resolved pages come, those of gone files go."""
         nothing = {c: F.lit(None).cast(t) for c, t in (("line_count", "int"), ("orientation_verified", "boolean"), ("orientation_risk", "boolean"), ("correspondence", "double"))}
         mode = F.when(F.col("action") == "native", "native").when(F.col("text_source") == "none", "skipped").otherwise(F.col("text_source"))
         good = pages.select("file_id", "page_number", F.coalesce("resolved_text", F.lit("")).alias("text"), "text_source", mode.alias("mode"), "ocr_success", "mean_confidence", "page_key")
-        assessed = Q.assess_pages(good.withColumns(nothing))
-        all_pages = keep(self.table("pages")).unionByName(assessed.select("file_id", "page_number", "text", "text_source", "decision", "reason_codes"))
+        assessed = Q.assess_pages(good.withColumns(nothing)).select("file_id", "page_number", "text", "text_source", "decision", "reason_codes")
         config = X.MarkdownConfig(self.settings.chunk_size, self.settings.chunk_overlap)
         pieces = X.markdown_chunks(good.select(F.col("file_id").alias("doc_id"), "page_number", "text"), config).withColumnRenamed("doc_id", "file_id")
         named = pieces.join(files.select("file_id", "path", "relative_path", "file_type"), "file_id")
         named = named.join(good.select("file_id", "page_number", F.col("text_source").alias("source_type")), ["file_id", "page_number"], "left")
         context = S.embedding_text("chunk", S.basename("path"), S.folder_path("relative_path"), S.media_type("file_type"), "page_number", None, "section")
-        new_chunks = named.select(
+        chunks = self._keep(named.select(
             S.chunk_id("file_id", "chunk_index").alias("chunk_id"), "file_id", "chunk_index", "page_number",
             F.coalesce("source_type", F.lit("native")).alias("source_type"), "section", "block_type", F.col("chunk").alias("text"),
             "chunk_hash", F.sha2(context, 256).alias("input_hash"), context.alias("input_text"),
-        )
-        new_chunks = self._keep(R.TextIndex.placed(new_chunks, BUCKETS), "chunks")
-        chunks = self._keep(keep(self.table("chunks")).unionByName(new_chunks), "all-chunks")
-        kept = keep(self.table("postings").withColumn("file_id", S.chunk_file("chunk_id"))).drop("file_id")
-        postings = self._keep(kept.unionByName(R.TextIndex.posted(new_chunks, BUCKETS)), "postings")
-        have = self.table("vectors").where("success")
+        ), "chunks")
+        postings = self._keep(R.TextIndex.posted(chunks, 1), "postings")
+        words = postings.groupBy("chunk_id").agg(F.sum("tf").alias("tokens"))
+        per = chunks.select("chunk_id", "file_id").join(words, "chunk_id", "left").groupBy("file_id")
+        totals = self._keep(per.agg(F.count("*").alias("chunks"), F.count("tokens").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")), "totals")
+        key = self.model_key
+        made, failed = self._embedded(chunks, gone)
+        came, went = self._totals(totals), self._totals(self.table("totals").join(F.broadcast(gone.distinct()), "file_id", "left_semi"))
+        kept = self.table("vectors").where(F.col("model_key") == key).join(F.broadcast(gone.distinct()), "file_id", "left_semi").count()
+        counters = {f"text_{c}": came[c] - went[c] for c in ("chunks", "n", "tokens")}
+        counters[f"vectors:{key}"] = made.count() - kept
+        size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        out = {
+            "pages": Change(assessed, gone), "chunks": Change(chunks, gone, size=size(chunks)), "totals": Change(totals, gone),
+            "postings": Change(postings, gone, size=size(postings)), "vectors": Change(made, gone, mark=key),
+        }
+        return out | ({"embedding_errors": Change(failed, replace=True)} if failed is not None else {}), counters
+
+    def _totals(self, totals: DataFrame) -> dict[str, int]:
+        of = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+        return totals.agg(of("chunks"), of("n"), of("tokens")).first().asDict()
+
+    def _embedded(self, chunks: DataFrame, stale: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """Vectors of chunks, and failures if there are any. stale: files whose vectors of the same inputs are taken over."""
+        key = F.lit(self.model_key).alias("model_key")
         wanted = chunks.select("input_hash", F.col("input_text").alias("text")).dropDuplicates(["input_hash"])
-        made = extract.embed(wanted.join(have, "input_hash", "left_anti"), self.provider)
-        vectors = have.join(chunks.select("input_hash"), "input_hash", "left_semi").unionByName(made)
-        dealt = chunks.repartition("part", F.pmod("chunk_id", F.lit(4))).sortWithinPartitions("part", "chunk_id")
-        return {"pages": all_pages, "chunks": dealt, "postings": R.TextIndex.dealt(postings), "totals": R.TextIndex.counted(postings), "vectors": vectors}
+        have = None
+        if stale is not None:
+            have = self.table("vectors").where(F.col("model_key") == self.model_key).join(F.broadcast(stale.distinct()), "file_id", "left_semi")
+            have = self._keep(have.select("input_hash", "vector").dropDuplicates(["input_hash"]), "have")
+            wanted = wanted.join(have, "input_hash", "left_anti")
+        asked = self._keep(extract.embed(wanted, self.provider), "embedded")
+        vectors = asked.where("success").select("input_hash", "vector")
+        vectors = vectors.unionByName(have) if have is not None else vectors
+        made = chunks.select("file_id", "chunk_id", "input_hash").join(vectors, "input_hash")
+        made = self._keep(made.select(key, "file_id", "chunk_id", "input_hash", "vector"), "vectors")
+        failed = asked.where("not success")
+        if failed.isEmpty():
+            return made, None
+        return made, chunks.select("chunk_id", "input_hash").join(failed, "input_hash").select("chunk_id", "input_hash", "error_message")
+
+    def _embed_missing(self, run: L.Run) -> None:
+        """Vectors of this provider for chunks without one (after a change of provider, or where embedding failed); those of others go."""
+        head, key = self.store.manifest(), self.model_key
+        others = {s["mark"] for s in head["tables"].get("vectors", {}).get("segments", [])} - {key}
+        if not others and head["counters"].get("text_chunks", 0) == head["counters"].get(f"vectors:{key}", 0):
+            return
+        base = head["version"]
+        self._asked()
+        mine = self.table("vectors").where(F.col("model_key") == key).select("chunk_id")
+        chunks = self._keep(self.table("chunks").join(mine, "chunk_id", "left_anti"), "without-vector")
+        made, failed = self._embedded(chunks)
+        changes = {"vectors": Change(made, mark=key, only_mark=key)}
+        if failed is not None:
+            changes["embedding_errors"] = Change(failed, replace=True)
+        counters = {f"vectors:{key}": made.count()} | {f"vectors:{k}": -head["counters"].get(f"vectors:{k}", 0) for k in others if k}
+        self.store.commit(changes, "", base, None, None, None, counters, run.still_mine, neutral=True)
 
     # -- the two-phase route: sources to Markdown, Markdown to index --------------------------------
 
     def generate_markdown(self, root: str) -> dict[str, int]:
         """Write a Markdown sidecar beside every source under root; outcomes are counted and kept per file in `items`."""
         root = root.rstrip("/")
-        began = datetime.now(UTC)
-        self._staging = Folder(self.spark, f"{self.store.folder.root}/_staging-{uuid.uuid4().hex}")
-        try:
+        run = self.ledger.start("markdown", root)
+
+        def work() -> dict[str, int]:
             listing = self._keep(self._listing(root), "listing").where("error is null")
             done = self._keep(markdown.write_sidecars(listing.withColumn("file_type", S.file_type("path"))), "outcomes")
             counts = {r["outcome"]: r["count"] for r in done.groupBy("outcome").count().collect()}
-            bad = counts.get("failed", 0)
-            self._publish("markdown", root, began, self._items(done), {"indexed": sum(counts.get(c, 0) for c in ("create", "update")), "failed": bad})
+            made = {"indexed": sum(counts.get(c, 0) for c in ("create", "update")), "failed": counts.get("failed", 0)}
+            self.store.commit({"items": Change(self._items(run, done))}, root, None, run.run_id, 0, made, None, run.still_mine)
             return counts
-        finally:
-            self._staging.delete("")
 
-    def _items(self, done: DataFrame) -> dict[str, DataFrame]:
-        run_id = self.table("runs").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0] + 1
+        return self._held(run, work)
+
+    def _items(self, run: L.Run, done: DataFrame) -> DataFrame:
         status = F.when(F.col("outcome") == "failed", "failed").otherwise("completed")
-        rows = done.select(F.lit(run_id).cast("long").alias("run_id"), F.col("path").alias("item_key"), "content_hash", F.lit(markdown.VERSION).alias("config_hash"), status.alias("status"), "outcome", "error")
-        return {"items": self.table("items").unionByName(rows)}
+        return done.select(
+            F.lit(run.run_id).cast("long").alias("run_id"), F.col("path").alias("item_key"), "content_hash", F.lit(markdown.VERSION).alias("config_hash"),
+            status.alias("status"), "outcome", "error",
+        )
 
     def index_sidecars(self, root: str) -> dict[str, int]:
         """Index the sidecars under root. Published only if every one of them is whole and bound to its source; else the
@@ -259,65 +434,92 @@ class Corpus:
         Sidecars whose text is that of a completed item of an earlier run are not indexed again.
         """
         root = root.rstrip("/")
-        began = datetime.now(UTC)
-        self._staging = Folder(self.spark, f"{self.store.folder.root}/_staging-{uuid.uuid4().hex}")
-        try:
-            found = extract.scan_files(self.spark, root).where(S.is_sidecar("path") & F.col("error").isNull())
-            read = self._keep(markdown.read_sidecars(found), "sidecars")
-            bound = self._keep(markdown.bound(read.where("page_number = 0 or page_number is null")), "bound")
-            bad = bound.where("reason is not null")
-            known = self.table("files")
-            before = self.table("items").where("outcome = 'indexed' and status = 'completed'").groupBy("item_key").agg(F.max_by("content_hash", "run_id").alias("content_hash"))
-            states = M.inherit_checkpoint(
-                bound.select(F.col("source_path").alias("item_key"), F.col("sidecar_hash").alias("content_hash"), F.lit(markdown.VERSION).alias("config_hash")),
-                before.join(known.where("status = 'indexed'").select(F.col("path").alias("item_key")), "item_key", "left_semi").withColumns({"config_hash": F.lit(markdown.VERSION), "status": F.lit("completed")}),
-            )
-            open_ = self._keep(states.where("status = 'queued'").select(F.col("item_key").alias("path"), F.col("content_hash")), "open")
-            items = bound.select(F.col("source_path").alias("path"), F.col("sidecar_hash").alias("content_hash"), F.when(F.col("reason").isNull(), "indexed").otherwise("failed").alias("outcome"), F.col("reason").alias("error"))
-            failed = bad.count()
-            counts = {"indexed": 0, "skipped": 0, "removed": 0, "failed": failed}
-            if failed:
-                self._publish("index", root, began, self._items(items), counts, "failed")
-                return counts
-            ok = bound.join(open_.select(F.col("path").alias("source_path")), "source_path", "left_semi")
-            d = ok.select(F.col("source_path").alias("path"), "relative_path", F.col("actual_size").alias("size"), "mtime_ns", F.col("actual_hash").alias("content_hash")).withColumn("file_type", S.file_type("path"))
-            top = known.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
-            have = d.join(known.select("path", "file_id"), "path", "left")
-            fresh = numbered(have.where("file_id is null").drop("file_id"), "relative_path", "file_id", top, self._keep)
-            rows = have.where("file_id is not null").unionByName(fresh.select(*have.columns))
-            extra = {"extractor": extract.current_extractor("file_type"), "status": F.lit("indexed"), "error": F.lit(None).cast("string"), "warning": F.lit(None).cast("string"), "indexed_at": F.lit(began)}
-            new_files = self._keep(rows.withColumns(extra).select(*known.columns), "new-files")
-            files = self._keep(M.upsert(known, new_files, ["path"]), "files")
-            pages = read.where("page_number > 0").join(new_files.select(F.col("path").alias("source_path"), "file_id"), "source_path")
-            none = {"ocr_success": "boolean", "mean_confidence": "double"}
-            pages = pages.select("file_id", "page_number", F.col("text").alias("resolved_text"), F.lit("native").alias("text_source"), F.lit("native").alias("action"), F.concat_ws(":", "sidecar_hash", "page_number").alias("page_key"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-            counts |= {"indexed": new_files.count(), "skipped": states.where("status = 'completed'").count()}
-            tables = {"files": files, **self._derived(files, new_files.select("file_id"), pages), **self._items(items)}
-            self._publish("index", root, began, tables, counts)
-            return counts
-        finally:
-            self._staging.delete("")
+        run = self.ledger.start("index", root, {"sidecars": True})
+        return self._held(run, lambda: self._sidecars(run, root))
+
+    def _sidecars(self, run: L.Run, root: str) -> dict[str, int]:
+        base, began = self.store.version, datetime.now(UTC)
+        found = extract.scan_files(self.spark, root).where(S.is_sidecar("path") & F.col("error").isNull())
+        read = self._keep(markdown.read_sidecars(found), "sidecars")
+        bound = self._keep(markdown.bound(read.where("page_number = 0 or page_number is null")), "bound")
+        failed = bound.where("reason is not null").count()
+        known = self.table("files")
+        before = self.table("items").where("outcome = 'indexed' and status = 'completed'")
+        before = before.groupBy("item_key").agg(F.max_by("content_hash", "run_id").alias("content_hash"))
+        before = before.join(known.where("status = 'indexed'").select(F.col("path").alias("item_key")), "item_key", "left_semi")
+        states = M.inherit_checkpoint(
+            bound.select(F.col("source_path").alias("item_key"), F.col("sidecar_hash").alias("content_hash"), F.lit(markdown.VERSION).alias("config_hash")),
+            before.withColumns({"config_hash": F.lit(markdown.VERSION), "status": F.lit("completed")}),
+        )
+        outcome = F.when(F.col("reason").isNull(), "indexed").otherwise("failed").alias("outcome")
+        items = bound.select(F.col("source_path").alias("path"), F.col("sidecar_hash").alias("content_hash"), outcome, F.col("reason").alias("error"))
+        items = self._items(run, items)
+        counts = {"indexed": 0, "skipped": 0, "removed": 0, "failed": failed}
+        if failed:
+            self.store.commit({"items": Change(items)}, root, None, run.run_id, 0, counts, None, run.still_mine)
+            return {**counts, "refused": True}
+        open_ = self._keep(states.where("status = 'queued'").select(F.col("item_key").alias("source_path")), "open")
+        ok = bound.join(open_, "source_path", "left_semi")
+        d = ok.select(F.col("source_path").alias("path"), "relative_path", F.col("actual_size").alias("size"), "mtime_ns", F.col("actual_hash").alias("content_hash"))
+        have = self._keep(d.withColumn("file_type", S.file_type("path")).join(known.select("path", "file_id"), "path", "left"), "have")
+        new = have.where("file_id is null").drop("file_id")
+        n = new.count()
+        fresh = numbered(new, "relative_path", "file_id", self.store.reserve("file_id", n), self._keep).select(*have.columns) if n else have.where("false")
+        rows = have.where("file_id is not null").unionByName(fresh)
+        none = F.lit(None).cast("string")
+        extra = {"extractor": extract.current_extractor("file_type"), "status": F.lit("indexed"), "error": none, "warning": none, "indexed_at": F.lit(began)}
+        files = self._keep(rows.withColumns(extra).select(*known.columns), "new-files")
+        pages = read.where("page_number > 0").join(files.select(F.col("path").alias("source_path"), "file_id"), "source_path")
+        pages = pages.select(
+            "file_id", "page_number", F.col("text").alias("resolved_text"), F.lit("native").alias("text_source"), F.lit("native").alias("action"),
+            F.concat_ws(":", "sidecar_hash", "page_number").alias("page_key"), F.lit(None).cast("boolean").alias("ocr_success"),
+            F.lit(None).cast("double").alias("mean_confidence"),
+        )
+        counts |= {"indexed": files.count(), "skipped": states.where("status = 'completed'").count()}
+        gone = self._keep(have.where("file_id is not null").select("file_id"), "gone-ids")
+        derived, counters = self._derived(files, gone, self._keep(pages, "resolved"))
+        changes = {"files": Change(files, gone), "items": Change(items), **derived}
+        self.store.commit(changes, root, base, run.run_id, 0, counts, counters, run.still_mine)
+        self.store.merge()
+        return counts
 
     # -- reading ------------------------------------------------------------------------------------
 
     def text_index(self) -> R.TextIndex:
-        return R.TextIndex(self.table("postings"), self.table("chunks"), self.table("totals"), BUCKETS)
+        """The stored postings and chunks, segment by segment."""
+        counters = self.store.manifest()["counters"]
+        parts = {}
+        for name in ("postings", "chunks"):
+            try:
+                parts[name] = [(df, s["parts"]) for df, s in self.store.segments(name)]
+            except FileNotFoundError:
+                parts[name] = []
+            parts[name] = parts[name] or [(self.spark.createDataFrame([], SCHEMAS[name]), 1)]
+        return R.TextIndex(parts["postings"], parts["chunks"], (counters.get("text_n", 0), counters.get("text_tokens", 0)))
+
+    def vectors(self) -> DataFrame:
+        """chunk_id, embedding of the present provider; vectors of other providers are not read."""
+        try:
+            found = self.store.read("vectors", mark=self.model_key)
+        except FileNotFoundError:
+            found = self.table("vectors")
+        return found.select("chunk_id", F.col("vector").alias("embedding"))
 
     def search(self, query: str, mode: str = "hybrid", top_k: int | None = None) -> DataFrame:
         files = self.table("files").select("file_id", "path", S.basename("path").alias("basename"), S.folder_path("relative_path").alias("folder_path"))
-        live = self.table("vectors").where("success").select("input_hash", F.col("vector").alias("embedding"))
-        vectors = self.table("chunks").select("chunk_id", "input_hash").join(live, "input_hash")
         embed = lambda q: self.provider.embed_query(q)
-        return R.search(self.spark, self.table("runs"), self.text_index(), files, query, mode, top_k or self.settings.top_k, vectors, embed)
+        return R.search(self.spark, self.table("runs"), self.text_index(), files, query, mode, top_k or self.settings.top_k, self.vectors(), embed)
 
     def retriever(self, top_k: int = 4, mode: str = "hybrid") -> Callable[[str], list[dict]]:
         """A function from a question to its cited chunks with their whole text, as a chat asks for."""
 
         def find(question: str) -> list[dict]:
-            hits = self.search(question, mode, top_k)
-            texts = self.table("chunks").select("chunk_id", "text")
-            rows = hits.join(texts, "chunk_id", "left").orderBy(F.col("score").desc(), "file_id", "chunk_id")
-            return [r.asDict() for r in rows.collect()]
+            hits = [r.asDict() for r in self.search(question, mode, top_k).collect()]
+            rows = self.text_index().rows_of(sorted({h["file_id"] for h in hits}))
+            ids = [h["chunk_id"] for h in hits]
+            texts = {r["chunk_id"]: r["text"] for r in rows.where(F.col("chunk_id").isin(*ids)).select("chunk_id", "text").collect()} if ids else {}
+            hits.sort(key=lambda h: (-h["score"], h["file_id"], h["chunk_id"]))
+            return [{**h, "text": texts.get(h["chunk_id"])} for h in hits]
 
         return find
 
@@ -329,45 +531,62 @@ class Corpus:
 
     # -- removal ------------------------------------------------------------------------------------
 
-    def _forget(self, gone: DataFrame) -> dict[str, DataFrame]:
-        """Tables without some files (file_id, path)."""
-        files = self.table("files").join(gone.select("path"), "path", "left_anti")
-        owned = {"pages": (self.table("pages"), "file_id"), "chunks": (self.table("chunks"), "file_id")}
-        rest = M.cascade_delete(gone, owned)
-        post = self.table("postings").withColumn("file_id", S.chunk_file("chunk_id"))
-        postings = M.cascade_delete(gone, {"postings": (post, "file_id")})["postings"].drop("file_id")
-        return {"files": files, **rest, "postings": postings, "totals": R.TextIndex.counted(postings)}
+    def _forget(self, gone: DataFrame) -> tuple[dict[str, Change], dict[str, int]]:
+        """Changes of all tables when some files (file_id) go, and of the totals."""
+        gone = self.spark.createDataFrame(gone.select("file_id").collect(), "file_id long") if gone.count() < 1000 else gone.select("file_id")
+        went = self._totals(self.table("totals").join(gone, "file_id", "left_semi"))
+        counters = {f"text_{c}": -went[c] for c in ("chunks", "n", "tokens")}
+        counters[f"vectors:{self.model_key}"] = -self.vectors().join(gone, S.chunk_file("chunk_id") == gone["file_id"], "left_semi").count()
+        return {name: Change(gone=gone) for name in ("files", *DERIVED)}, counters
 
     def remove(self, root: str) -> int:
-        """Forget all files under root; the number of files."""
-        gone = self.table("files").where(S.under_root("path", root.rstrip("/"))).select("file_id", "path")
-        n = gone.count()
-        self.store.write(self._forget(gone), LAYOUT)
-        return n
+        """Forget all files under root; the number of files. Refused (ledger.Busy) while a run works on some of them."""
+        root = root.rstrip("/")
+        run = self.ledger.start("remove", root)
+
+        def work() -> dict[str, int]:
+            base = self.store.version
+            gone = self.table("files").where(S.under_root("path", root)).select("file_id")
+            n = gone.count()
+            if n:
+                changes, counters = self._forget(gone)
+                self.store.commit(changes, root, base, run.run_id, 0, {"removed": n}, counters, run.still_mine)
+            return {"removed": n}
+
+        return self._held(run, work)["removed"]
 
     def remove_file(self, path: str, sidecar: bool = True) -> bool:
         """Exclude one file from now on, forget it, and remove its generated sidecar; whether it was known.
 
         The exclusion and the removal are published together; the source itself is left alone.
         """
-        gone = self.table("files").where(F.col("path") == path).select("file_id", "path")
-        known = gone.count() > 0
-        row = self.spark.createDataFrame([(path, datetime.now(UTC))], SCHEMAS["exclusions"])
-        tables = self._forget(gone) if known else {}
-        self.store.write({**tables, "exclusions": M.insert_absent(self.table("exclusions"), row, ["path"])}, LAYOUT)
+        run = self.ledger.start("remove", path)
+
+        def work() -> dict[str, int]:
+            base = self.store.version
+            gone = self.table("files").where(F.col("path") == path).select("file_id")
+            n = gone.count()
+            changes, counters = self._forget(gone) if n else ({}, {})
+            row = self.spark.createDataFrame([(path, datetime.now(UTC))], SCHEMAS["exclusions"])
+            changes["exclusions"] = Change(row, row.select("path"))
+            self.store.commit(changes, path, base, run.run_id, 0, {"removed": n}, counters, run.still_mine)
+            return {"removed": n}
+
+        known = self._held(run, work)["removed"] > 0
         if sidecar:
             markdown.remove_generated(path)
         return known
 
     def include_file(self, path: str) -> None:
         """Take back an exclusion; the next index run finds the file again."""
-        self.store.write({"exclusions": self.table("exclusions").where(F.col("path") != path)})
+        self.store.commit({"exclusions": Change(gone=self.spark.createDataFrame([(path,)], "path string"))}, path)
 
     def status(self) -> DataFrame:
-        """One row: files by state, chunks, vectors in use, the latest run."""
-        f, c = self.table("files"), self.table("chunks")
-        live = c.join(self.table("vectors").where("success").select("input_hash"), "input_hash", "left_semi").agg(F.count("*").alias("embedded"))
-        last = self.table("runs").agg(F.max("run_id").alias("run_id"), F.max_by("status", "run_id").alias("run_status"), F.max_by("started_at", "run_id").alias("run_started_at"))
+        """One row: files by state, chunks, vectors in use, the latest run of indexing or Markdown."""
+        counters = self.store.manifest()["counters"]
+        last = self.table("runs").where("phase <> 'remove'")
+        last = last.agg(F.max("run_id").alias("run_id"), F.max_by("status", "run_id").alias("run_status"), F.max_by("started_at", "run_id").alias("run_started_at"))
         of = lambda s: F.count_if(F.col("status") == s).alias(s)
-        files = f.agg(F.count("*").alias("files"), of("indexed"), of("failed"), of("unsupported"), F.count("warning").alias("warnings"))
-        return files.join(c.agg(F.count("*").alias("chunks"))).join(live).join(last)
+        files = self.table("files").agg(F.count("*").alias("files"), of("indexed"), of("failed"), of("unsupported"), F.count("warning").alias("warnings"))
+        total = lambda name: F.lit(counters.get(name, 0)).cast("long")
+        return files.withColumns({"chunks": total("text_chunks"), "embedded": total(f"vectors:{self.model_key}")}).join(last)

@@ -115,6 +115,32 @@ class Folder:
             return False
         return True
 
+    def put_absent(self, name: str, data: bytes) -> bool:
+        """Put a whole file where none is; False where there is one. Of two who try, one succeeds, and nobody sees a part of it.
+
+        On the local file system by a hard link, elsewhere by a rename that does not replace (atomic on HDFS).
+        """
+        folder, _, leaf = name.rpartition("/")
+        part = f"{folder}/.{leaf}.{uuid.uuid4().hex}".lstrip("/")
+        self._fs.mkdirs(self._path(folder))
+        self._put(part, data, False)
+        try:
+            if self.root.startswith("file:"):
+                at = local_path(self.root)
+                os.link(f"{at}/{part}", f"{at}/{name}")
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self._conf)
+                context.rename(self._path(part), self._path(name), self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except FileExistsError:
+            return False
+        except Exception as e:  # py4j wraps the file system's FileAlreadyExistsException
+            if "AlreadyExists" not in str(e):
+                raise
+            return False
+        finally:
+            self._fs.delete(self._path(part), False)
+        return True
+
     def rename(self, name: str, to: str) -> None:
         if not self._fs.rename(self._path(name), self._path(to)):
             raise OSError(f"cannot rename {self.path(name)} to {to}")

@@ -110,26 +110,6 @@ def test_sidecar_roundtrip_and_tampering():
             sidecar.strict_json(bad)
 
 
-def test_snapshots(spark, tmp_path):
-    store = M.SnapshotStore(spark, str(tmp_path / "store"))
-    store.write({"t": spark.range(3)})
-    old = store.read("t")
-    store.write({"t": spark.range(5)})
-    assert store.read("t").count() == 5 and old.count() == 3
-    with store.lock(), pytest.raises(RuntimeError):
-        store.write({"t": spark.range(1)})
-    assert store.compact() == 1 and store.read("t").count() == 5
-    backup = store.backup()
-    assert M.SnapshotStore(spark, backup).read("t").count() == 5
-    with open(tmp_path / "store" / ".lock", "w") as f:  # a writer that stopped long ago
-        json.dump({"owner": "gone", "at": time.time() - 7 * 3600}, f)
-    store.write({"t": spark.range(5)})
-    store.reset(["t"])
-    with pytest.raises(FileNotFoundError):
-        store.read("t")
-    assert M.schema_diff(spark.range(1).schema, spark.createDataFrame([(1, 2)], "id int, x int").schema) == {"added": ["x"], "removed": [], "changed": ["id"]}
-
-
 def test_run_states_batch_and_stream(spark, tmp_path):
     rows = [(1, 1, "start"), (1, 2, "pause"), (1, 3, "complete"), (1, 4, "resume"), (2, 5, "start"), (2, 6, "complete"), (2, 7, "fail"), (3, 8, "fail")]
     d = spark.createDataFrame(rows, "run_id long, seq long, kind string")
@@ -166,15 +146,6 @@ def test_table_functions(spark):
     assert [r["kind"] for r in blocks] == [k for k, _ in X.markdown_blocks("# a\n\ntext")]
 
 
-def test_read_only_store(spark, tmp_path):
-    M.SnapshotStore(spark, str(tmp_path / "s")).write({"t": spark.range(2)})
-    store = M.SnapshotStore(spark, str(tmp_path / "s"), read_only=True)
-    assert store.read("t").count() == 2
-    for act in (lambda: store.write({"t": spark.range(1)}), lambda: store.reset(["t"]), store.compact):
-        with pytest.raises(PermissionError):
-            act()
-
-
 def test_entry_works_without_corpus_operators(spark, monkeypatch):
     import __spark_entry__ as e
 
