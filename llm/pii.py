@@ -51,8 +51,16 @@ _SCAN = {
 #: Further candidates.
 _WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+(.-])(?<!\+[0-9] ?)\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "ip": (
+        r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+        r"|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?+)(?![0-9A-Za-z:])"
+    ),
+    # North American; with a trunk zero (German, French, British and others); of three groups of three, as in Spain.
+    "phone": (
+        r"(?<![0-9A-Za-z+(.,/-])(?<!\+[0-9] ?)(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
+        r"|\(?0[1-9][0-9]{0,3}\)?[ /.-][0-9]{2,8}(?:[ .-][0-9]{2,4}){0,4}"
+        r"|[6-9][0-9]{2}[ .-][0-9]{3}[ .-][0-9]{3})(?![0-9A-Za-z]|[.,/-][0-9])"
+    ),
 }
 #: What a text must hold for a pattern to be tried.
 _GUARD = {
@@ -137,11 +145,60 @@ _LUHN = (
 _CHECKED = (
     f"case x.k when 0 then true when 1 then x.text rlike {_q(_VALID_IP)} when 2 then length({_DIGITS}) between 12 and 19 and {_LUHN} else length({_DIGITS}) between 9 and 15 end"
 )
-#: The form of wide candidates: a top-level label of letters; IPv6 that is not all zeros; area and exchange codes that begin with 2 to 9.
+#: The form of wide candidates: a top-level label of letters; IPv6 of two to eight groups with a digit other than 0; phone numbers
+#: whose area and exchange codes begin with 2 to 9, or with a trunk zero and nine to twelve digits, or nine digits from 6 on.
 _WIDE_CHECKED = (
-    "case x.k when 0 then x.text rlike '[.)\\\\]] ?[A-Za-z]{2,}$' when 1 then x.text rlike '[1-9A-Fa-f]' "
-    f"when 3 then {_DIGITS} rlike '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$' else false end"
+    f"case x.k when 0 then x.text rlike {_q(r'[.)\]] ?[A-Za-z]{2,}$')} "
+    f"when 1 then x.text rlike '[0-9]' and x.text rlike '[1-9A-Fa-f]' and size(filter(split(x.text, ':'), g -> g != '')) between 2 and 8 "
+    f"when 3 then case when x.text rlike {_q(r'^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$')} "
+    f"then {_DIGITS} rlike {_q('^[2-9][0-9]{2}[2-9][0-9]{6}$')} else {_DIGITS} rlike {_q('^(?:0[1-9][0-9]{7,10}|[6-9][0-9]{8})$')} end else false end"
 )
+#: Code points that a labeler sees to the left and to the right of a candidate.
+LEFT, RIGHT = 40, 16
+
+
+def votes(lists: Gazetteers) -> dict[str, str]:
+    """What each labeler says of a candidate x, as SQL: 1, -1, or 0 for nothing. Patterns stand in raw literals."""
+    word = lambda words: rf"(?<![\p{{L}}])({words})(?![\p{{L}}])"
+    # Beside it: to the left without a word between, or right behind it in brackets or after a comma.
+    left = lambda words: f"lower(x.left) rlike {_q(word(words) + r'[^\p{L}]*$')}"
+    right = lambda words: f"lower(x.right) rlike {_q(r'^[ ,;]{0,2}[(\[]?' + word(words))}"
+    near = " ".join(f"when {i} then {left(w)} or {right(w)}" for i, w in enumerate(lists.near))
+    top, code = _q(rf"(?:[.]|[)]|[]]) ?({lists.top_domains})$"), _q(rf"^[+]({lists.calling_codes})[^0-9]")
+    issuer, inner = _q(f"^({lists.card_issuers})"), _q(r"^(0|127|255)[.]")
+    return {
+        "v_regex": "case when x.strict then 1 else 0 end",
+        "v_check": f"case when x.ok or (not x.strict and {_WIDE_CHECKED}) then 1 else -1 end",
+        "v_gazetteer": (
+            f"case x.k when 0 then case when lower(x.text) rlike {top} then 1 else -1 end "
+            f"when 1 then case when x.text rlike {inner} then -1 else 0 end "
+            f"when 2 then case when x.text rlike {issuer} then 1 else -1 end "
+            f"else case when x.strict and x.text rlike {code} then 1 else 0 end end"
+        ),
+        "v_context": f"case when case x.k {near} end then 1 when {left(lists.far)} then -1 else 0 end",
+        "v_edges": (
+            f"case when (x.left = '' or x.left rlike {_q(r'[\s(<\[\"|:]$')}) "
+            f"and (x.right = '' or x.right rlike {_q(r'^[\s.,;:)>\]\"!?|]')}) then 1 else -1 end"
+        ),
+        "v_groups": (
+            f"case x.k when 2 then case when x.text rlike {_q('^(?:[0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){3})$')} then 1 else -1 end "
+            f"when 3 then case when x.text rlike {_q('[0-9][ ()./-]+[0-9]')} then 1 else -1 end else 0 end"
+        ),
+    }
+
+
+def features() -> dict[str, str]:
+    """Surface features of a candidate x, as SQL: small numbers."""
+    beside = lambda side, at: (
+        f"case when x.{side} = '' then 0 when x.{side} rlike {_q(at.format(r'\s'))} then 1 "
+        f"when x.{side} rlike {_q(at.format('[0-9]'))} then 2 when x.{side} rlike {_q(at.format('[A-Za-z]'))} then 3 else 4 end"
+    )
+    return {
+        "f_length": "least(7, cast(length(x.text) / 4 as int))",
+        "f_left": beside("left", "{}$"),
+        "f_right": beside("right", "^{}"),
+        "f_first": f"case when x.text rlike {_q('^[0-9]')} then 0 when x.text rlike {_q('^[A-Za-z]')} then 1 else 2 end",
+    }
 
 
 def _found(kind: str, base: bool, name: str) -> Column:
@@ -149,7 +206,7 @@ def _found(kind: str, base: bool, name: str) -> Column:
     return F.expr(
         f"case when {name} is null or size({name}) < 3 then cast(array() as array<{_SPAN}>) else transform(sequence(1, size({name}) - 1, 2), i -> "
         f"named_struct('start', {_prefix(name, 'i')}, 'k', {KINDS.index(kind)}, 'end', {_prefix(name, '(i + 1)')}, "
-        f"'text', {name}[i], 'left', right({name}[i - 1], 24), 'right', left({name}[i + 1], 1), 'strict', {str(base).lower()})) end"
+        f"'text', {name}[i], 'left', right({name}[i - 1], {LEFT}), 'right', left({name}[i + 1], {RIGHT}), 'strict', {str(base).lower()})) end"
     )
 
 
@@ -166,28 +223,7 @@ def _candidates(docs: DataFrame, *keep: str, lists: Gazetteers | None = None) ->
     d = d.withColumns({n.replace("_p", "_b").replace("_q", "_w"): _found(k, base, n) for n, k, base, _ in tried})
     d = d.withColumn("_s", F.expr(f"transform({strict}, x -> {_WITH_OK}{_CHECKED}))"))
     d = d.withColumn("_x", F.expr(f"transform({wide}, x -> {_WITH_OK}false))"))
-    near = " ".join(f"when {i} then lower(x.left) rlike {_q(f'(?<![a-z])({words})(?![a-z])[^a-z]*$')}" for i, words in enumerate(lists.near))
-    votes = {
-        "v_regex": "case when x.strict then 1 else 0 end",
-        "v_check": f"case when x.ok or (not x.strict and {_WIDE_CHECKED}) then 1 else -1 end",
-        "v_gazetteer": (
-            f"case x.k when 0 then case when lower(x.text) rlike {_q(rf'(?:[.]|[)]|[]]) ?({lists.top_domains})$')} then 1 else -1 end when 1 then case when x.text rlike '^(0|127|255)[.]' then -1 else 0 end "
-            f"when 2 then case when x.text rlike '^({lists.card_issuers})' then 1 else -1 end else case when not x.strict then 0 when x.text rlike {_q(rf'^[+]({lists.calling_codes})[^0-9]')} then 1 else 0 end end"
-        ),
-        "v_context": f"case when case x.k {near} end then 1 when lower(x.left) rlike {_q(rf'(?<![a-z])({lists.far})(?![a-z])[^a-z]*$')} then -1 else 0 end",
-        "v_edges": "case when (x.left = '' or x.left rlike '[\\s(<\"|:]$') and (x.right = '' or x.right rlike '[\\s.,;:)>\"!?|]') then 1 else -1 end",
-        "v_groups": (
-            "case x.k when 2 then case when x.text rlike '^[0-9]{13,19}$' or x.text rlike '^[0-9]{4}([ -][0-9]{4}){3}$' then 1 else -1 end "
-            "when 3 then case when x.text rlike '[0-9][ ().-]+[0-9]' then 1 else -1 end else 0 end"
-        ),
-    }
-    features = {
-        "f_length": "least(7, cast(length(x.text) / 4 as int))",
-        "f_left": "case when x.left = '' then 0 when x.left rlike '\\s$' then 1 when x.left rlike '[0-9]$' then 2 when x.left rlike '[A-Za-z]$' then 3 else 4 end",
-        "f_right": "case when x.right = '' then 0 when x.right rlike '\\s' then 1 when x.right rlike '[0-9]' then 2 when x.right rlike '[A-Za-z]' then 3 else 4 end",
-        "f_first": "case when x.text rlike '^[0-9]' then 0 when x.text rlike '^[A-Za-z]' then 1 else 2 end",
-    }
-    pattern = "concat_ws(' ', x.k, x.ok, " + ", ".join([*votes.values(), *features.values()]) + ")"
+    pattern = "concat_ws(' ', x.k, x.ok, " + ", ".join([*votes(lists).values(), *features().values()]) + ")"
     all_ = f"transform(concat(_s, _x), x -> named_struct('start', x.start, 'k', x.k, 'end', x.end, 'ok', x.ok, 'pattern', {pattern}))"
     return d.select(*keep, F.expr(f"case when size(_s) + size(_x) = 0 then cast(array() as array<struct<start:int,k:int,end:int,ok:boolean,pattern:string>>) else {all_} end").alias("_c"))
 

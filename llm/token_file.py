@@ -70,6 +70,14 @@ def blocks_of(sizes: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return np.append(np.repeat(np.cumsum(sizes) - sizes, many) + inside * block, sizes.sum()).astype(np.int64)
 
 
+_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _lengths(values: np.ndarray) -> np.ndarray:
+    """Bits of each value."""
+    return _LENGTHS[values] if values.max() < len(_LENGTHS) else np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
 def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words, first word of each block, escapes. edges: starts of the blocks (at most BLOCK values each) and the end of the last.
 
@@ -83,7 +91,7 @@ def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, np.uint64), np.zeros(many, np.int64), np.zeros(0, np.uint64)
     bits = np.zeros((many, longest + int(COUNTS.max())), np.uint8)  # what is beyond a block's end fits anywhere
     at = np.arange(n) - np.repeat(edges[:-1], size)
-    bits[np.repeat(np.arange(many), size), at] = np.frexp(values.astype(np.float64))[1]
+    bits[np.repeat(np.arange(many), size), at] = _lengths(values)
     windows, span = [bits], 1
     while 2 * span <= COUNTS.max():
         half = windows[-1]
@@ -97,17 +105,21 @@ def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
         np.copyto(best, np.uint8(s), where=widest <= WIDTHS[s])
     flat, row = best.ravel(), np.arange(many)
     here = np.zeros(many, np.int64)
-    starts, selectors = [], []
+    rows, starts, selectors = [], [], []
     while len(row):
         chosen = flat[row * longest + here]
+        rows.append(row)
         starts.append(edges[row] + here)
         selectors.append(chosen)
         here = here + COUNTS[chosen]
         open_ = here < size[row]
         row, here = row[open_], here[open_]
-    start, selector = np.concatenate(starts), np.concatenate(selectors)
-    order = np.argsort(start, kind="stable")
-    start, selector = start[order], selector[order].astype(np.int64)
+    of = np.concatenate(rows)
+    words_of = np.bincount(of, minlength=many)
+    first = np.cumsum(words_of) - words_of
+    place = first[of] + np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    start, selector = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+    start[place], selector[place] = np.concatenate(starts), np.concatenate(selectors)
     # Words follow each other without a gap, so each value's word and its place in it are known.
     held = np.diff(np.append(start, n))
     shift = (np.arange(n) - np.repeat(start, held)) * np.repeat(WIDTHS[selector], held)
@@ -115,7 +127,7 @@ def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     escapes = values[start[lost]]
     values[start[lost]] = np.arange(len(lost), dtype=np.uint64)
     words = np.add.reduceat(values << shift.astype(np.uint64), start) + (selector.astype(np.uint64) << np.uint64(60))
-    return words, np.searchsorted(start, edges[:-1]).astype(np.int64), escapes
+    return words, first, escapes
 
 
 def decode(words: np.ndarray, first: np.ndarray, edges: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -124,17 +136,10 @@ def decode(words: np.ndarray, first: np.ndarray, edges: np.ndarray, escapes: np.
     before = np.concatenate([[0], np.cumsum(COUNTS[selector])])
     block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
     start = edges[block] + before[:-1] - before[first][block]
-    stop = edges[block + 1]
-    out = np.zeros(int(edges[-1]), np.uint64)  # what selector 1 stands for is there already
-    for s in range(2, len(WIDTHS)):
-        mine = np.flatnonzero(selector == s)
-        if not len(mine):
-            continue
-        mask = np.uint64((1 << int(WIDTHS[s])) - 1)
-        for k in range(COUNTS[s]):
-            place = start[mine] + k
-            inside = place < stop[mine]
-            out[place[inside]] = (words[mine[inside]] >> np.uint64(k * WIDTHS[s])) & mask
+    held = np.minimum(COUNTS[selector], edges[block + 1] - start)
+    shift = (np.arange(int(edges[-1])) - np.repeat(start, held)) * np.repeat(WIDTHS[selector], held)
+    mask = (np.uint64(1) << WIDTHS[selector].astype(np.uint64)) - np.uint64(1)
+    out = (np.repeat(words, held) >> shift.astype(np.uint64)) & np.repeat(mask, held)
     lost = selector == 0
     out[start[lost]] = escapes[(words[lost] & PAYLOAD).astype(np.int64)]
     return out
