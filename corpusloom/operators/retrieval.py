@@ -10,9 +10,12 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -253,6 +256,77 @@ def search_vectors(vectors: DataFrame, query: Sequence[float], k: int = POOL, me
     return vectors.where(F.size(vector) == len(query)).select(key, score.alias("score")).orderBy(F.col("score").desc(), key).limit(k)
 
 
+#: Queries that are held against a block of vectors at once.
+QUERY_BLOCK = 1 << 12
+
+
+def search_vectors_batch(
+    vectors: DataFrame, queries: DataFrame, k: int = POOL, metric: str = "l2", key: str = "chunk_id", vector: str = "embedding",
+    query_key: str = "query_id", block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """query_key, nth (from 1), key, score of the k nearest of many queries (query_key, vector), exactly; ties to the smaller key.
+
+    Queries go out in blocks of a counted size, and every block is one scan of the vectors: a task keeps the k best of each query
+    over its vectors, and the tasks' best are merged. Vectors of another length than a query's are not its neighbours; null
+    ones, and with cosine those of length 0, are nobody's.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    rows = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("long").alias("q"), F.col(vector).alias("v"))
+    found = None
+    for b in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        held = part.sparkSession.sparkContext.broadcast([(r["q"], r["v"]) for r in part.collect()])
+        near = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v")).mapInArrow(_nearest(held, k, metric), "q long, key long, score double")
+        found = near if found is None else found.unionByName(near)
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "key"))
+    best = found.withColumn("nth", nth).where(F.col("nth") <= k)
+    return best.select(F.col("q").alias(query_key), "nth", F.col("key").alias(key), "score")
+
+
+def _nearest(held, k: int, metric: str):
+    """The k best of each query over a task's vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in {len(v) for _, v in held.value}:
+            mine = [(q, v) for q, v in held.value if len(v) == size]
+            by_size[size] = np.array([q for q, _ in mine]), np.array([v for _, v in mine], np.float64)
+        best = {size: (np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)) for size, (q, _) in by_size.items()}
+        for batch in batches:
+            column, keys = batch.column(1), np.asarray(batch.column(0))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
+            for size, (_, wanted) in by_size.items():
+                mine = np.flatnonzero(sizes == size)
+                if not len(mine):
+                    continue
+                flat = column.take(pa.array(mine)).flatten()
+                some = np.asarray(flat.cast(pa.float64())).reshape(len(mine), size)
+                scores, at = best[size]
+                score = _scores(wanted, some, metric)
+                every = np.concatenate([scores, score], axis=1)
+                named = np.concatenate([at, np.broadcast_to(keys[mine], score.shape)], axis=1)
+                order = np.lexsort((named, -every), axis=1)[:, :k]
+                best[size] = np.take_along_axis(every, order, 1), np.take_along_axis(named, order, 1)
+        for size, (ids, _) in by_size.items():
+            scores, at = best[size]
+            known = np.isfinite(scores)
+            of = np.broadcast_to(ids[:, None], scores.shape)[known]
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(at[known]), pa.array(scores[known])], ["q", "key", "score"])
+
+    return run
+
+
+def _scores(wanted: np.ndarray, some: np.ndarray, metric: str) -> np.ndarray:
+    """Each query against each vector, summed dimension by dimension in double precision."""
+    total = np.zeros((len(wanted), len(some)))
+    for i in range(wanted.shape[1]):
+        total += (wanted[:, i : i + 1] - some[:, i]) ** 2 if metric == "l2" else wanted[:, i : i + 1] * some[:, i]
+    if metric == "l2":
+        return -np.sqrt(total)
+    size = np.sqrt((wanted**2).sum(1))[:, None] * np.sqrt((some**2).sum(1))
+    return np.where(size > 0, total / np.where(size > 0, size, 1), -np.inf)
+
+
 def collapse_to_file(hits: DataFrame, chunk_files: DataFrame) -> DataFrame:
     """file_id, chunk_id, score: the best chunk of each file."""
     best = Window.partitionBy("file_id").orderBy(F.col("score").desc(), "chunk_id")

@@ -14,6 +14,7 @@ from corpusloom.operators import documents as D
 from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import text as X
+from corpusloom.operators.segments import Change, SegmentStore
 from corpusloom.plans.model import (
     BOTH_QUERY, FTS_QUERY, NAME_QUERY, chunks, documents, files, pages, query, query_vector, table, text_index, vectors,
 )
@@ -353,7 +354,7 @@ def _(s, d):
 @query("chunk_structure")
 def _(s, d):
     def cut(t: str) -> list[str]:
-        blocks = [{"type": "title" if k % 5 == 0 else "text", "text": x[:60] if k % 5 == 0 else x, "reading_order": k} for k, x in enumerate(t.split("\n"))]
+        blocks = [{"type": "title" if k % 5 == 0 else "text", "text": x, "reading_order": k} for k, x in enumerate(t.split("\n"))]
         return [c["chunk"] for c in X.layout_chunks(blocks, 400, 50)]
 
     return docs(s, d).select("doc_id", F.posexplode(_udf(cut, "array<string>")("text")).alias("chunk_index", "chunk"))
@@ -434,7 +435,7 @@ def _assessed(s, d):
     c = F.col
     mode = F.element_at(F.array(*map(F.lit, ["native", "ocr", "merged", "failed", "skipped"])), (c("doc_id") % 5 + 1).cast("int"))
     x = pages(s, d).select(
-        "doc_id", "page_number", F.when(c("page_number") % 3 == 2, F.substring("text", 1, 15)).otherwise(c("text")).alias("text"), mode.alias("mode"), (c("doc_id") % 11 != 1).alias("ocr_success"), F.when(c("doc_id") % 7 != 0, 0.7 + (c("doc_id") % 7) * 0.05).alias("mean_confidence"),
+        "doc_id", "page_number", "text", mode.alias("mode"), (c("doc_id") % 11 != 1).alias("ocr_success"), F.when(c("doc_id") % 7 != 0, 0.7 + (c("doc_id") % 7) * 0.05).alias("mean_confidence"),
         (c("doc_id") % 4).alias("line_count"), (c("doc_id") % 3 != 0).alias("orientation_verified"), (c("doc_id") % 2 == 0).alias("orientation_risk"), (0.8 + (c("doc_id") % 3) * 0.1).alias("correspondence"),
     )
     return Q.assess_pages(x)
@@ -445,7 +446,7 @@ CASE WHEN chars < CASE WHEN o THEN 40 ELSE 20 END THEN 'SPARSE_OUTPUT' END, CASE
 CASE WHEN o AND conf IS NULL THEN 'NO_CONFIDENCE_SIGNAL' END, CASE WHEN o AND conf < 0.8 THEN 'LOW_CONFIDENCE' END, CASE WHEN o AND conf >= 0.8 AND conf < 0.98 THEN 'CONFIDENCE_BELOW_AUTO_ACCEPT_BAR' END, CASE WHEN o AND doc_id % 3 = 0 THEN 'TEXT_LINE_MISMATCH' END,
 CASE WHEN o AND doc_id % 3 = 0 THEN 'ORIENTATION_UNVERIFIED' END, CASE WHEN o AND doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN 'ORIENTATION_RISK' END], lambda x: x IS NOT NULL) END AS codes, bad OR empty AS failed FROM (
 SELECT *, mode = 'failed' OR (o AND doc_id % 11 = 1) AS bad, mode = 'skipped' OR chars = 0 AS empty FROM (SELECT *, mode IN ('ocr', 'merged') AS o, length({STRIP.format('t')}) AS chars, len(regexp_extract_all(t, '\S+')) AS words FROM (
-SELECT doc_id, page_number, CASE WHEN page_number % 3 = 2 THEN substring(text, 1, 15) ELSE text END AS t, ['native', 'ocr', 'merged', 'failed', 'skipped'][doc_id % 5 + 1] AS mode, CASE WHEN doc_id % 7 <> 0 THEN CAST(0.7 AS DOUBLE) + (doc_id % 7) * CAST(0.05 AS DOUBLE) END AS conf FROM doc_pages)))"""
+SELECT doc_id, page_number, text AS t, ['native', 'ocr', 'merged', 'failed', 'skipped'][doc_id % 5 + 1] AS mode, CASE WHEN doc_id % 7 <> 0 THEN CAST(0.7 AS DOUBLE) + (doc_id % 7) * CAST(0.05 AS DOUBLE) END AS conf FROM doc_pages)))"""
 _DECIDED = f"SELECT *, CASE WHEN failed THEN 'extraction_failed' WHEN len(list_filter(codes, lambda x: x NOT IN ('FULL_PAGE_SCAN', 'OCR_DERIVED_MIXED_PAGE'))) > 0 THEN 'manual_review_recommended' ELSE 'auto_accepted' END AS decision FROM ({_ASSESSED})"
 
 
@@ -532,14 +533,14 @@ _SOURCE = (
     "SELECT conv_id, 'BEGIN UNTRUSTED INDEXED-DOCUMENT CONTEXT (JSON)' || chr(10) || '[' || coalesce(s, '') || ']' || chr(10) || "
     "'END UNTRUSTED INDEXED-DOCUMENT CONTEXT' || chr(10) || chr(10) || 'User question:' || chr(10) || coalesce(q, '') AS prompt "
     "FROM (SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id) LEFT JOIN "
-    f"(SELECT cls, string_agg({_SOURCE}, ', ' ORDER BY nth) AS s FROM (SELECT *, file_id % 50 AS cls, row_number() OVER (PARTITION BY file_id % 50 ORDER BY file_id) AS nth "
-    "FROM chunks WHERE chunk_index = 0) c WHERE nth <= 4 GROUP BY cls) ON cls = conv_id % 50",
+    f"(SELECT cls, string_agg({_SOURCE}, ', ' ORDER BY nth) AS s FROM (SELECT *, file_id % 50 AS cls, "
+    "row_number() OVER (PARTITION BY file_id % 50 ORDER BY chunk_id) AS nth FROM chunks) c WHERE nth <= 4 GROUP BY cls) ON cls = conv_id % 50",
 )
 def _(s, d):
-    """The first question of every conversation over the first chunks of the files that share its number modulo 50."""
+    """The first question of every conversation over the chunks of the files that share its number modulo 50."""
     said = table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
-    first = chunks(s, d).where("chunk_index = 0").join(files(s, d).select("file_id", "path"), "file_id")
-    hits = first.withColumns({"cls": F.col("file_id") % 50, "rank": F.col("file_id"), "section": F.lit(None).cast("string")})
+    every = chunks(s, d).join(files(s, d).select("file_id", "path"), "file_id")
+    hits = every.withColumns({"cls": F.col("file_id") % 50, "rank": F.col("chunk_id"), "section": F.lit(None).cast("string")})
     sources = C.numbered_sources(hits, "cls")
     mine = said.select("conv_id", (F.col("conv_id") % 50).alias("cls")).join(sources, "cls").drop("cls")
     return C.grounded_prompts(said, mine, "conv_id").select("conv_id", "prompt")
@@ -553,6 +554,28 @@ def _(s, d):
     return R.postings(docs(s, d), "doc_id")
 
 
+@query(
+    "segment_merge",
+    rf"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS token FROM documents WHERE doc_id % 7 <> 0) GROUP BY doc_id, token",
+)
+def _(s, d):
+    """Postings in segments after inserts, changes and deletes, merged: those of an index made anew of what is left."""
+    home = f"{shared_root(s)}/segments-{uuid.uuid4().hex}"
+    store = SegmentStore(s, home, keys={"postings": "doc_id"})
+    of = lambda rows, text="text": R.postings(rows.select("doc_id", F.expr(text).alias("text")), "doc_id")
+    every, old, late = docs(s, d), "doc_id % 5 = 0 and doc_id % 4 <> 3", "doc_id % 4 = 3"
+    first = every.where(f"not ({late})")
+    store.commit({"postings": Change(of(first, f"case when {old} then concat('old ', text, ' old') else text end"))})
+    changed = every.where(old)
+    store.commit({"postings": Change(of(changed), changed.select("doc_id"))})
+    for k in range(8):  # so many small segments that they are put together
+        store.commit({"postings": Change(of(every.where(f"{late} and pmod(doc_id div 4, 8) = {k}")))})
+    store.commit({"postings": Change(gone=every.where("doc_id % 7 = 0").select("doc_id"))})
+    store.merge()
+    store.compact(grace=0)
+    return store.read("postings")
+
+
 @query("filename_df", "SELECT token, count(DISTINCT file_id) AS df FROM (SELECT file_id, unnest([lower(source), lower(lang)]) AS token FROM files) GROUP BY token")
 def _(s, d):
     return files(s, d).select("file_id", F.explode(S.tokenize(S.folder_path("relative_path"))).alias("token")).groupBy("token").agg(F.countDistinct("file_id").alias("df"))
@@ -581,6 +604,24 @@ def _(s, d):
     return _rounded(R.search_vectors(vectors(s, d), query_vector(s, d)))
 
 
+_KNN_SCORE = (
+    "0.0 - sqrt(list_sum(list_transform(generate_series(1, len(v.embedding)), "
+    "lambda i: (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) ** 2)))"
+)
+
+
+@query(
+    "vector_batch_knn",
+    "SELECT query_id, nth, chunk_id, round(score, 5) AS score FROM (SELECT query_id, chunk_id, score, "
+    "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS nth FROM "
+    f"(SELECT q.vec_id AS query_id, v.chunk_id, {_KNN_SCORE} AS score FROM vectors v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE nth <= 10",
+)
+def _(s, d):
+    """The ten nearest of every hundredth vector among all, exactly."""
+    wanted = table(s, d, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _rounded(R.search_vectors_batch(vectors(s, d), wanted, 10))
+
+
 @query("vector_search_cosine", "SELECT chunk_id, round(score, 5) AS score FROM (SELECT chunk_id, list_sum(list_transform(generate_series(1, 64), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(q, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS score FROM vectors, (SELECT embedding AS q FROM embeddings WHERE vec_id = 3)) ORDER BY score DESC, chunk_id LIMIT 50")
 def _(s, d):
     return _rounded(R.search_vectors(vectors(s, d), query_vector(s, d, 3), metric="cosine"))
