@@ -232,21 +232,90 @@ def search_fts(chunks: DataFrame, query: str, k: int = POOL, key: str = "chunk_i
     return hits.select(key, score.alias("score")).orderBy(F.col("score").desc(), key).limit(k)
 
 
-def search_filenames(files: DataFrame, query: str, k: int = POOL, cap: int = TOKEN_CAP) -> DataFrame:
-    """file_id, score over file_id, basename, folder_path: per distinct query token, idf times the weights of the columns that hold it. At most `cap` files a token and column count."""
+def name_rows(files: DataFrame) -> DataFrame:
+    """token, place (basename or folder_path), file_id: a row for each distinct token of each part of a file's name."""
+    tokens = lambda c: F.transform(F.array_distinct(S.tokenize(c, fold=True)), lambda t: F.struct(t.alias("token"), F.lit(c).alias("place")))
+    return files.select("file_id", F.explode(F.concat(tokens("basename"), tokens("folder_path"))).alias("x")).select("x.token", "x.place", "file_id")
+
+
+def _named(hits: DataFrame, total: Column, k: int) -> DataFrame:
+    """file_id, score of rows (token, place, file_id, df)."""
+    weight = F.when(F.col("place") == "basename", BASENAME_WEIGHT).otherwise(FOLDER_WEIGHT)
+    scored = hits.groupBy("file_id").agg(F.sum(S.idf(total, "df") * weight).alias("score"))
+    return scored.orderBy(F.col("score").desc(), "file_id").limit(k)
+
+
+def _capped(rows: DataFrame, cap: int) -> DataFrame:
+    """The first `cap` files of each token and place, in order of their ids."""
+    first = Window.partitionBy("token", "place").orderBy("file_id")
+    return rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= cap).drop("nth")
+
+
+def search_filenames(files: DataFrame | NameIndex, query: str, k: int = POOL, cap: int = TOKEN_CAP) -> DataFrame:
+    """file_id, score over file_id, basename, folder_path: per distinct query token, idf times the weights of the columns that
+    hold it. At most `cap` files a token and column count. A stored index answers from its rows of the query's tokens."""
+    if not isinstance(files, DataFrame):
+        return files.search(query, k)
     wanted = sorted(set(query_tokens(query)))
     if not wanted:
         return files.sparkSession.createDataFrame([], "file_id long, score double")
     in_ = lambda c, t: F.array_contains(S.tokenize(c, fold=True), F.lit(t))
     flags = [F.array(F.lit(t), F.lit(c), F.when(in_(c, t), "1")) for t in wanted for c in ("basename", "folder_path")]
-    rows = files.select("file_id", F.explode(F.filter(F.array(*flags), lambda x: x[2].isNotNull())).alias("x")).select("file_id", F.col("x")[0].alias("token"), F.col("x")[1].alias("place"))
-    total = files.agg(F.count("*").alias("n"))
+    rows = files.select("file_id", F.explode(F.filter(F.array(*flags), lambda x: x[2].isNotNull())).alias("x"))
+    rows = rows.select("file_id", F.col("x")[0].alias("token"), F.col("x")[1].alias("place"))
     df = rows.groupBy("token").agg(F.countDistinct("file_id").alias("df"))
-    first = Window.partitionBy("token", "place").orderBy("file_id")
-    capped = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= cap)
-    weight = F.when(F.col("place") == "basename", BASENAME_WEIGHT).otherwise(FOLDER_WEIGHT)
-    scored = capped.join(F.broadcast(df), "token").join(F.broadcast(total)).groupBy("file_id").agg(F.sum(S.idf("n", "df") * weight).alias("score"))
-    return scored.orderBy(F.col("score").desc(), "file_id").limit(k)
+    total = files.agg(F.count("*").alias("n"))
+    return _named(_capped(rows, cap).join(F.broadcast(df), "token").join(F.broadcast(total)), F.col("n"), k)
+
+
+class NameIndex:
+    """Stored file name index; a query opens the folders of its tokens' buckets.
+
+    Whole: a row for each token and place, with the token's number of files and the first `cap` of them, so a token that all
+    files have is a row too. In parts that lose files (segments): a row for each file, counted when asked.
+    """
+
+    def __init__(self, parts: list[tuple[DataFrame, int]], total: int, whole: bool, cap: int = TOKEN_CAP):
+        self.parts, self.total, self.whole, self.cap = parts, total, whole, cap
+
+    @staticmethod
+    def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+        """rows with the bucket of their token, dealt for writing."""
+        d = rows.drop("bucket").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+        return d.repartition("bucket", F.pmod(F.xxhash64("token", "place"), F.lit(4))).sortWithinPartitions("bucket", "token")
+
+    @classmethod
+    def build(cls, spark: SparkSession, files: DataFrame, path: str, buckets: int, cap: int = TOKEN_CAP) -> NameIndex:
+        """Write the whole index of files (file_id, basename, folder_path) below path.
+
+        Only the first `cap` of a token and place are gathered, and counted within a task first, so no token is one task's.
+        """
+        rows = name_rows(files)
+        either = F.array_distinct(F.concat(S.tokenize("basename", fold=True), S.tokenize("folder_path", fold=True)))
+        df = files.select(F.explode(either).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        heads = _capped(rows, cap).groupBy("token", "place").agg(F.array_sort(F.collect_list("file_id")).alias("file_ids"))
+        made = cls.bucketed(heads.join(df, "token").select("token", "place", "df", "file_ids"), buckets)
+        made.write.partitionBy("bucket").parquet(path)
+        stored = spark.read.schema(made.schema).parquet(path)
+        return cls([(stored, buckets)], files.count(), True, cap)
+
+    def search(self, query: str, k: int = POOL) -> DataFrame:
+        """file_id, score, as search_filenames."""
+        wanted = sorted(set(query_tokens(query)))
+        spark = SparkSession.active()
+        if not wanted or not self.parts:
+            return spark.createDataFrame([], "file_id long, score double")
+        mine = []
+        for rows, buckets in self.parts:
+            at = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in wanted]
+            mine.append(rows.where(F.col("bucket").isin(*at) & F.col("token").isin(*wanted)).drop("bucket"))
+        rows = _union(mine)
+        if self.whole:
+            hits = rows.select("token", "place", "df", F.explode("file_ids").alias("file_id"))
+        else:
+            df = rows.groupBy("token").agg(F.countDistinct("file_id").alias("df"))
+            hits = _capped(rows, self.cap).join(F.broadcast(df), "token")
+        return _named(hits, F.lit(self.total), k)
 
 
 def search_vectors(vectors: DataFrame, query: Sequence[float], k: int = POOL, metric: str = "l2", key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -413,11 +482,13 @@ def cited(
     return hydrate(ranked, rows, files.where(F.col("file_id").isin(*ids) if ids else F.lit(False)), channels)
 
 
-def keyword_search(chunks: DataFrame | TextIndex, files: DataFrame, query: str, top_k: int = 10, pool: int = POOL) -> DataFrame:
-    """Full text and file names, collapsed to files, fused and cited."""
+def keyword_search(
+    chunks: DataFrame | TextIndex, files: DataFrame, query: str, top_k: int = 10, pool: int = POOL, names: NameIndex | None = None
+) -> DataFrame:
+    """Full text and file names (names: their stored index), collapsed to files, fused and cited."""
     text = text_of(chunks)
     channels = {"fts": by_file(text.search(query, pool), text, sure=True)}
-    return cited(channels, held(search_filenames(files, query, pool)), text, files, top_k)
+    return cited(channels, held(search_filenames(names or files, query, pool)), text, files, top_k)
 
 
 def vector_search(
@@ -435,13 +506,13 @@ def vector_search(
 
 def hybrid_search(
     chunks: DataFrame | TextIndex, files: DataFrame, vectors: DataFrame | VectorIndex, query: str, vector: Sequence[float],
-    top_k: int = 10, pool: int = POOL, metric: str = "l2", weights: dict[str, float] | None = None,
+    top_k: int = 10, pool: int = POOL, metric: str = "l2", weights: dict[str, float] | None = None, names: NameIndex | None = None,
 ) -> DataFrame:
-    """Full text, vectors and file names fused per file."""
+    """Full text, vectors and file names (names: their stored index) fused per file."""
     text = text_of(chunks)
     found = by_file(text.search(query, pool), text, sure=True)
     channels = {"fts": found, "vector": by_file(nearest_of(vectors, metric).search(vector, pool), text)}
-    return cited(channels, held(search_filenames(files, query, pool)), text, files, top_k, weights)
+    return cited(channels, held(search_filenames(names or files, query, pool)), text, files, top_k, weights)
 
 
 def build_vectors(chunks: DataFrame, embeddings: DataFrame, provider: str, model: str, dimensions: int, config: str) -> DataFrame:
@@ -460,14 +531,14 @@ def require_ready(runs: DataFrame) -> None:
 
 def search(
     spark: SparkSession, runs: DataFrame, chunks: DataFrame | TextIndex, files: DataFrame, query: str, mode: str = "fts",
-    top_k: int = 10, vectors: DataFrame | VectorIndex | None = None, embed=None,
+    top_k: int = 10, vectors: DataFrame | VectorIndex | None = None, embed=None, names: NameIndex | None = None,
 ) -> DataFrame:
     """The checked entry point: gate, mode, query embedding (only where the mode needs it)."""
     query = checked_query(query, mode, top_k)
     require_ready(runs)
     if mode == "fts":
-        return keyword_search(chunks, files, query, top_k)
+        return keyword_search(chunks, files, query, top_k, names=names)
     vector = embed(query)
     if mode == "vector":
         return vector_search(vectors, chunks, files, vector, top_k)
-    return hybrid_search(chunks, files, vectors, query, vector, top_k)
+    return hybrid_search(chunks, files, vectors, query, vector, top_k, names=names)

@@ -16,7 +16,7 @@ from corpusloom.operators import retrieval as R
 from corpusloom.operators import text as X
 from corpusloom.operators.segments import Change, SegmentStore
 from corpusloom.plans.model import (
-    BOTH_QUERY, FTS_QUERY, NAME_QUERY, chunks, documents, files, pages, query, query_vector, table, text_index, vectors,
+    BOTH_QUERY, FTS_QUERY, NAME_QUERY, chunks, documents, files, name_index, pages, query, query_vector, table, text_index, vectors,
 )
 from corpusloom.shared import Folder, shared_root
 from corpusloom.sources import engines, extract, sidecar
@@ -596,6 +596,12 @@ def _(s, d):
 
 @query("filename_search", "SELECT file_id, round(score, 5) AS score FROM names")
 def _(s, d):
+    return _rounded(R.search_filenames(name_index(s, d), NAME_QUERY))
+
+
+@query("filename_scan", "SELECT file_id, round(score, 5) AS score FROM names")
+def _(s, d):
+    """The same without a stored index."""
     return _rounded(R.search_filenames(named_files(s, d), NAME_QUERY))
 
 
@@ -668,7 +674,7 @@ def _cited(ranked: str, support: str) -> str:
 
 @query("keyword_search", _cited("keyword_ranked", "LEFT JOIN both_files t ON t.file_id = r.file_id"))
 def _(s, d):
-    return _rounded(R.keyword_search(text_index(s, d), named_files(s, d), BOTH_QUERY))
+    return _rounded(R.keyword_search(text_index(s, d), named_files(s, d), BOTH_QUERY, names=name_index(s, d)))
 
 
 @query("vector_search", rf"SELECT c.file_id, c.chunk_id, f.path, c.page_number, c.chunk_index, c.source_type, CASE WHEN length(e) > 80 THEN substring(e, 1, 77) || '...' ELSE e END AS excerpt, round(score, 5) AS score FROM (SELECT *, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS e FROM (SELECT chunk_id, score FROM near ORDER BY score DESC, chunk_id LIMIT 10) JOIN chunks USING (chunk_id)) c JOIN files f USING (file_id)")
@@ -678,7 +684,7 @@ def _(s, d):
 
 @query("hybrid_search", _cited("hybrid_ranked", "LEFT JOIN both_files t ON t.file_id = r.file_id LEFT JOIN near_files v ON v.file_id = r.file_id"))
 def hybrid(s, d):
-    return _rounded(R.hybrid_search(text_index(s, d), named_files(s, d), vectors(s, d), BOTH_QUERY, query_vector(s, d)))
+    return _rounded(R.hybrid_search(text_index(s, d), named_files(s, d), vectors(s, d), BOTH_QUERY, query_vector(s, d), names=name_index(s, d)))
 
 
 @query("hydrate", rf"SELECT file_id, chunk_id, {_CITED} AS excerpt FROM (SELECT file_id, chunk_id, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS e FROM chunks WHERE chunk_index = 0 AND file_id % 50 = 1)")
@@ -717,7 +723,7 @@ def _(s, d):
 @query("search", _cited("search_ranked", "LEFT JOIN fts_files t ON t.file_id = r.file_id"))
 def _(s, d):
     ready = s.createDataFrame([(1, "index", "completed")], "run_id long, phase string, status string")
-    return _rounded(R.search(s, ready, text_index(s, d), named_files(s, d), FTS_QUERY, "fts", 10))
+    return _rounded(R.search(s, ready, text_index(s, d), named_files(s, d), FTS_QUERY, "fts", 10, names=name_index(s, d)))
 
 
 @query("text_index_build", "SELECT count(DISTINCT chunk_id) AS n, CAST(sum(tf) AS BIGINT) AS tokens, count(*) AS postings FROM (SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS token FROM chunks) GROUP BY chunk_id, token)")

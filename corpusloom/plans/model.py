@@ -88,6 +88,19 @@ def text_index(spark: SparkSession, d: str) -> R.TextIndex:
     return _INDEXES[key]
 
 
+_NAMES: dict[tuple, R.NameIndex] = {}
+
+
+def name_index(spark: SparkSession, d: str) -> R.NameIndex:
+    """The stored index of the files' names, built as text_index is."""
+    made_of = Folder(spark, d).fingerprint("documents.parquet")
+    key = (spark.sparkContext.applicationId, d, made_of)
+    if key not in _NAMES:
+        named = files(spark, d).select("file_id", S.basename("path").alias("basename"), S.folder_path("relative_path").alias("folder_path"))
+        _NAMES[key] = R.NameIndex.build(spark, named, f"{shared_root(spark)}/name-index-{uuid.uuid4().hex}", R.TextIndex.buckets_for(made_of[0]))
+    return _NAMES[key]
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     """A vector for the first chunk of the file of the same number."""
     return table(spark, d, "embeddings").select(S.chunk_id(F.col("vec_id") + 1, F.lit(0)).alias("chunk_id"), "embedding", "vec_id")

@@ -37,6 +37,7 @@ SCHEMAS = {
     "chunks": "chunk_id long, file_id long, chunk_index int, page_number int, source_type string, section string, "
     "block_type string, text string, chunk_hash string, input_hash string, input_text string, part int",
     "postings": "token string, chunk_id long, tf int, dl int, bucket int",
+    "names": "token string, place string, file_id long, bucket int",
     "totals": "file_id long, chunks long, n long, tokens long",
     "vectors": "model_key string, file_id long, chunk_id long, input_hash string, vector array<float>",
     "embedding_errors": "chunk_id long, input_hash string, error_message string",
@@ -48,12 +49,13 @@ SCHEMAS = {
 }
 #: What a file's rows go by, in each table that has some.
 KEYS = {
-    **dict.fromkeys(("files", "pages", "chunks", "totals", "vectors"), "file_id"), "postings": f"shiftright(chunk_id, {S.CHUNK_BITS})",
+    **dict.fromkeys(("files", "names", "pages", "chunks", "totals", "vectors"), "file_id"), "postings": f"shiftright(chunk_id, {S.CHUNK_BITS})",
     "exclusions": "path", "ocr": "page_key",
 }
 LAYOUTS = {
     "chunks": Layout(R.TextIndex.placed, ["part"]),
     "postings": Layout(R.TextIndex.bucketed, ["bucket"]),
+    "names": Layout(R.NameIndex.bucketed, ["bucket"]),
 }
 #: Tables whose rows are made of a file's pages.
 DERIVED = ("pages", "chunks", "postings", "totals", "vectors")
@@ -84,6 +86,12 @@ def numbered(rows: DataFrame, order: str, name: str, after: int, keep: Callable[
     return placed.join(F.broadcast(starts), "_range").withColumn(name, number.cast("long")).drop("_range", "_at", "_first", "_before")
 
 
+def named_rows(files: DataFrame) -> DataFrame:
+    """The name index's rows of files."""
+    named = files.select("file_id", S.basename("path").alias("basename"), S.folder_path("relative_path").alias("folder_path"))
+    return R.name_rows(named)
+
+
 def summed(counts: dict[str, int], batches: dict[str, dict[str, int]]) -> dict[str, int]:
     """A run's counts: those of its plan and of its published batches."""
     out = {c: counts.get(c, 0) for c in COUNTS}
@@ -292,14 +300,15 @@ class Corpus:
         moved = same.select("file_id", F.col("size").alias("new_size"), F.col("mtime_ns").alias("new_mtime"))
         moved = self.table("files").join(moved, "file_id").withColumns({"size": F.col("new_size"), "mtime_ns": F.col("new_mtime")})
         files = self._keep(new_files.select(*columns).unionByName(moved.select(*columns)), "files")
-        gone = todo.where("known").select("file_id")
-        if batch == 0:
-            gone = gone.unionByName(self.spark.read.schema("path string, file_id long").parquet(self._plan(run.run_id, "gone")).select("file_id"))
-        gone = self._keep(gone, "gone-ids")
+        left = self.spark.read.schema("path string, file_id long").parquet(self._plan(run.run_id, "gone")).select("file_id")
+        left = left if batch == 0 else left.where(F.lit(False))
+        gone = self._keep(todo.where("known").select("file_id").unionByName(left), "gone-ids")
         counts = todo.agg(F.count("*").alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
         counts["skipped"] = same.count()
         changes = {"files": Change(files, gone.unionByName(same.where("known").select("file_id")))}
         derived, counters = self._derived(files, gone, pages)
+        fresh = files.join(todo.where("not known").select("file_id"), "file_id", "left_semi")
+        changes["names"], counters["files"] = Change(named_rows(fresh), left), fresh.count() - left.count()
         if ocr is not None:
             changes["ocr"] = ocr
         self._asked()
@@ -478,7 +487,9 @@ class Corpus:
         counts |= {"indexed": files.count(), "skipped": states.where("status = 'completed'").count()}
         gone = self._keep(have.where("file_id is not null").select("file_id"), "gone-ids")
         derived, counters = self._derived(files, gone, self._keep(pages, "resolved"))
-        changes = {"files": Change(files, gone), "items": Change(items), **derived}
+        fresh = files.join(gone, "file_id", "left_anti")
+        changes = {"files": Change(files, gone), "names": Change(named_rows(fresh)), "items": Change(items), **derived}
+        counters["files"] = n
         self.store.commit(changes, root, base, run.run_id, 0, counts, counters, run.still_mine)
         self.store.merge()
         return counts
@@ -505,10 +516,28 @@ class Corpus:
             found = self.table("vectors")
         return found.select("chunk_id", F.col("vector").alias("embedding"))
 
+    def name_index(self) -> R.NameIndex:
+        """The stored index of file names, segment by segment."""
+        total = self.store.manifest()["counters"].get("files", 0)
+        try:
+            parts = [(df, s["parts"]) for df, s in self.store.segments("names")]
+        except FileNotFoundError:
+            parts = []
+        return R.NameIndex(parts, total, False)
+
     def search(self, query: str, mode: str = "hybrid", top_k: int | None = None) -> DataFrame:
-        files = self.table("files").select("file_id", "path", S.basename("path").alias("basename"), S.folder_path("relative_path").alias("folder_path"))
         embed = lambda q: self.provider.embed_query(q)
-        return R.search(self.spark, self.table("runs"), self.text_index(), files, query, mode, top_k or self.settings.top_k, self.vectors(), embed)
+        return R.search(
+            self.spark, self.table("runs"), self.text_index(), self.table("files").select("file_id", "path"), query, mode,
+            top_k or self.settings.top_k, self.vectors(), embed, self.name_index(),
+        )
+
+    def search_many(self, questions: list[str], top_k: int | None = None) -> DataFrame:
+        """question (its number), nth, chunk_id, score: the nearest chunks of many questions, in one scan of the vectors."""
+        R.require_ready(self.table("runs"))
+        asked = [(k, self.provider.embed_query(R.checked_query(q))) for k, q in enumerate(questions)]
+        wanted = self.spark.createDataFrame(asked, "question long, embedding array<float>")
+        return R.search_vectors_batch(self.vectors(), wanted, top_k or self.settings.top_k, query_key="question")
 
     def retriever(self, top_k: int = 4, mode: str = "hybrid") -> Callable[[str], list[dict]]:
         """A function from a question to its cited chunks with their whole text, as a chat asks for."""
@@ -537,7 +566,8 @@ class Corpus:
         went = self._totals(self.table("totals").join(gone, "file_id", "left_semi"))
         counters = {f"text_{c}": -went[c] for c in ("chunks", "n", "tokens")}
         counters[f"vectors:{self.model_key}"] = -self.vectors().join(gone, S.chunk_file("chunk_id") == gone["file_id"], "left_semi").count()
-        return {name: Change(gone=gone) for name in ("files", *DERIVED)}, counters
+        counters["files"] = -self.table("files").join(gone, "file_id", "left_semi").count()
+        return {name: Change(gone=gone) for name in ("files", "names", *DERIVED)}, counters
 
     def remove(self, root: str) -> int:
         """Forget all files under root; the number of files. Refused (ledger.Busy) while a run works on some of them."""

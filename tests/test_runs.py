@@ -35,6 +35,9 @@ def consistent(corpus):
     assert at["text_chunks"] == chunks.count() and at[f"vectors:{corpus.model_key}"] == corpus.vectors().count() == chunks.count()
     assert at["text_n"] == posts.select("chunk_id").distinct().count() and at["text_tokens"] == posts.agg(F.sum("tf")).first()[0]
     assert posts.join(chunks, "chunk_id", "left_anti").count() == 0
+    every = corpus.table("files")
+    named = corpus.table("names").select("file_id").distinct()
+    assert at["files"] == every.count() == named.count() and named.join(every, "file_id", "left_anti").count() == 0
 
 
 def test_what_is_unchanged_is_not_written(spark, tmp_path):
@@ -54,6 +57,8 @@ def test_what_is_unchanged_is_not_written(spark, tmp_path):
     assert after["files"]["segments"][1]["rows"] == after["pages"]["segments"][1]["rows"] == 1
     assert [g["rows"] for g in after["postings"]["gone"]] == [2]
     consistent(corpus)
+    assert [h["path"].rsplit("/", 1)[1] for h in corpus.search("f5", "fts").collect()] == ["f5.txt"] and corpus.search("f4", "fts").count() == 0
+    assert corpus.search_many(["words", "more"], 2).count() == 4
     assert corpus.search("other", "fts").count() == 1 and corpus.search("paper", "fts").count() == 3
     ids = [r["chunk_id"] for r in corpus.search("words", "fts").collect()]
     corpus.store.merge(full=True)

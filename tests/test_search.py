@@ -40,3 +40,19 @@ def test_many_queries_of_nothing(spark):
     v = spark.createDataFrame([], "chunk_id long, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<float>")
     assert R.search_vectors_batch(v, q).count() == 0 and R.search_vectors_batch(q.withColumnRenamed("query_id", "chunk_id"), q.where("false")).count() == 0
+
+
+def test_name_index(spark, tmp_path):
+    r = random.Random(8)
+    words = ["report", "Budget", "café", "x1", "notes", "2024", "a"]
+    rows = [(k, f"{r.choice(words)}_{r.choice(words)}.txt", "/".join(r.choice(words) for _ in range(r.randrange(0, 3)))) for k in range(120)]
+    files = spark.createDataFrame(rows, "file_id long, basename string, folder_path string").repartition(4)
+    for cap in (5, 500):
+        whole = R.NameIndex.build(spark, files, str(tmp_path / f"names{cap}"), 3, cap)
+        assert whole.parts[0][0].agg({"df": "max"}).first()[0] == 120  # "txt", a row for each place
+        parts = [(R.NameIndex.bucketed(R.name_rows(files.where(f"file_id % 2 = {k}")), 2 + k), 2 + k) for k in range(2)]
+        for query in ("budget report", "CAFE", "txt", "nothing", "", "a a x1 2024 txt"):
+            want = [(x["file_id"], round(x["score"], 9)) for x in R.search_filenames(files, query, 20, cap).collect()]
+            for index in (whole, R.NameIndex(parts, 120, False, cap)):
+                assert [(x["file_id"], round(x["score"], 9)) for x in index.search(query, 20).collect()] == want, (query, cap)
+    assert R.NameIndex([], 0, False).search("a").count() == 0
