@@ -56,6 +56,34 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Files of a range of the stored index; ranges that a search reads first, and those that it names one by one.
+SPAN, FIRST_RANGES, LISTED_RANGES = 256, 8, 1024
+
+
+def _share(average: Column) -> Column:
+    """What tf and dl make of a token's weight in BM25."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
+
+
+def _weights(wanted: list[str], df: dict[str, int], total: int) -> dict[str, float]:
+    """Clipped idf of each token that occurs, times its occurrences in the query."""
+    idf = {t: max(math.log((total - n + 0.5) / (n + 0.5)), LEAST_IDF) for t, n in df.items()}
+    return {t: wanted.count(t) * x for t, x in idf.items()}
+
+
+def _weight_of(weights: dict[str, float]) -> Column:
+    out = F.lit(0.0)
+    for t, w in weights.items():
+        out = F.when(F.col("token") == t, F.lit(float(w))).otherwise(out)
+    return out
+
+
+def _scored(postings: DataFrame, weights: dict[str, float], average: Column, k: int) -> DataFrame:
+    """chunk_id, score of the k best chunks by some postings."""
+    scored = postings.groupBy("chunk_id").agg(F.sum(_weight_of(weights) * _share(average)).alias("score"))
+    return scored.orderBy(F.col("score").desc(), "chunk_id").limit(k)
+
+
 class TextIndex:
     """Stored full-text index: postings by token bucket, chunks by file bucket, and the totals that BM25 asks for.
 
@@ -126,38 +154,74 @@ class TextIndex:
         return postings.agg(F.count_distinct("chunk_id").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
 
     @classmethod
-    def build(cls, spark: SparkSession, chunks: DataFrame, path: str, buckets: int) -> TextIndex:
-        """Write the index of chunks (chunk_id, file_id, text and more) below path, each table once."""
+    def build(cls, spark: SparkSession, chunks: DataFrame, path: str, buckets: int, span: int = SPAN) -> TextIndex:
+        """Write the index of chunks (chunk_id, file_id, text and more) below path, each table once.
+
+        span: files of a range. For each token and range, `ranges` holds the number of postings and the largest share of a score
+        that one of them has, so a search reads the ranges that can hold one of its best.
+        """
         cls.placed(chunks, buckets).write.partitionBy("part").parquet(f"{path}/chunks")
         stored = spark.read.schema(StructType([*chunks.schema.fields, StructField("part", IntegerType())])).parquet(f"{path}/chunks")
-        postings = cls.dealt(cls.posted(stored, buckets))
-        postings.write.partitionBy("bucket").parquet(f"{path}/postings")
-        postings = spark.read.schema(postings.schema).parquet(f"{path}/postings")
-        cls.counted(postings).coalesce(1).write.parquet(f"{path}/totals")
-        return cls(postings, stored, spark.read.parquet(f"{path}/totals"), buckets)
-
-    def search(self, query: str, k: int = POOL, unicode: bool = False) -> DataFrame:
-        """chunk_id, score: BM25 with clipped idf, from the query's postings alone."""
+        posted = cls.posted(stored, buckets).withColumn("range", F.expr(f"cast(shiftright(chunk_id, {S.CHUNK_BITS}) div {span} as int)"))
+        dealt = posted.repartition("bucket", F.pmod("range", F.lit(8))).sortWithinPartitions("bucket", "token", "range", "chunk_id")
+        dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+        postings = spark.read.schema(posted.schema).parquet(f"{path}/postings")
+        n, tokens = cls.counted(postings).first()
+        most = F.max(_share(F.lit(tokens / n if n else 1.0))).alias("most")
+        ranges = postings.groupBy("bucket", "token", "range").agg(F.count("*").alias("n"), most)
+        ranges.repartition("bucket").sortWithinPartitions("token", "range").write.partitionBy("bucket").parquet(f"{path}/ranges")
+        made = cls(postings.drop("range"), stored, (n, tokens), buckets)
+        made._ranged, made._ranges = postings, spark.read.schema(ranges.schema).parquet(f"{path}/ranges")
+        return made
+
+    _ranged: DataFrame | None = None
+    _ranges: DataFrame | None = None
+    #: Postings of the ranges that the last search read, and all of its tokens.
+    read: tuple[int, int] = (0, 0)
+
+    def search(self, query: str, k: int = POOL, unicode: bool = False, pruned: bool = True) -> DataFrame:
+        """chunk_id, score: BM25 with clipped idf, from the query's postings alone; where ranges are stored, from those that matter.
+
+        The ranges of the largest possible scores are read first; a range that cannot beat the k-th best chunk of these is left out.
+        """
         wanted = query_tokens(query, unicode)
         spark = SparkSession.active()
+        none = spark.createDataFrame([], "chunk_id long, score double")
         distinct = list(dict.fromkeys(wanted))
-        mine = self.postings_of(distinct) if distinct else None
-        if mine is None:
-            return spark.createDataFrame([], "chunk_id long, score double")
+        if not distinct:
+            return none
         total, tokens = self.total()
-        n = float(total)
-        df = mine.groupBy("token").agg(F.count("*").alias("df"))
-        of = {r["token"]: r["df"] for r in df.collect()}
-        if not of:
-            return spark.createDataFrame([], "chunk_id long, score double")
-        average = tokens / n
-        weight = F.lit(0.0)
-        for t in of:
-            idf = max(math.log((n - of[t] + 0.5) / (of[t] + 0.5)), LEAST_IDF)
-            weight = F.when(F.col("token") == t, F.lit(float(wanted.count(t)) * idf)).otherwise(weight)
-        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
-        scored = mine.groupBy("chunk_id").agg(F.sum(part).alias("score"))
-        return scored.orderBy(F.col("score").desc(), "chunk_id").limit(k)
+        average = F.lit(tokens / total if total else 1.0)
+        if self._ranges is None or not pruned:
+            mine = self.postings_of(distinct)
+            df = {} if mine is None else {r["token"]: r["df"] for r in mine.groupBy("token").agg(F.count("*").alias("df")).collect()}
+            return _scored(mine, _weights(wanted, df, total), average, k) if df else none
+        at = [F.pmod(F.xxhash64(F.lit(t)), F.lit(self._postings[0][1])).cast("int") for t in distinct]
+        of_query = F.col("bucket").isin(*at) & F.col("token").isin(*distinct)
+        ranges = self._ranges.where(of_query)
+        df = {r["token"]: r["df"] for r in ranges.groupBy("token").agg(F.sum("n").alias("df")).collect()}
+        if not df:
+            return none
+        weights = _weights(wanted, df, total)
+        could = ranges.groupBy("range").agg(F.sum(_weight_of(weights) * F.col("most")).alias("could"), F.sum("n").alias("n"))
+        first = could.orderBy(F.col("could").desc(), "range").limit(FIRST_RANGES).collect()
+        mine = self._ranged.where(of_query)
+        early = [r["range"] for r in first]
+        best = _scored(mine.where(F.col("range").isin(*early)), weights, average, k).collect()
+        least = best[-1]["score"] if len(best) == k else 0.0
+        # The largest possible score of a range and the scores within are sums of the same numbers in other orders.
+        open_ = could.where((F.col("could") >= least * (1 - 1e-9)) & ~F.col("range").isin(*early))
+        rest = open_.limit(LISTED_RANGES + 1).collect()
+        self.read = sum(r["n"] for r in [*first, *rest]), sum(df.values())
+        held_best = spark.createDataFrame(best, "chunk_id long, score double")
+        if not rest:
+            return held_best
+        if len(rest) <= LISTED_RANGES:
+            others = mine.where(F.col("range").isin(*[r["range"] for r in rest]))
+        else:
+            others = mine.join(open_.select("range"), "range", "left_semi")
+        found = held_best.unionByName(_scored(others, weights, average, k))
+        return found.orderBy(F.col("score").desc(), "chunk_id").limit(k)
 
     def rows_of(self, file_ids: list[int]) -> DataFrame:
         """Chunks of a few files, from their buckets alone."""

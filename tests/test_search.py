@@ -56,3 +56,23 @@ def test_name_index(spark, tmp_path):
             for index in (whole, R.NameIndex(parts, 120, False, cap)):
                 assert [(x["file_id"], round(x["score"], 9)) for x in index.search(query, 20).collect()] == want, (query, cap)
     assert R.NameIndex([], 0, False).search("a").count() == 0
+
+
+def test_pruned_search_finds_the_same(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    rows = []
+    for f in range(300):
+        body = [w for k, w in enumerate(words) for _ in range(r.choice([0, 0, 1]) * r.randrange(1, 2 + 8 // (k + 1)))]
+        rows.append((f << 24, f, 0, " ".join(["the", *body, *["the"] * (20 if f % 97 == 0 else 0)])))
+    chunks = spark.createDataFrame(rows, "chunk_id long, file_id long, chunk_index int, text string")
+    index = R.TextIndex.build(spark, chunks, str(tmp_path / "index"), 3, span=10)
+    monkeypatch.setattr(R, "FIRST_RANGES", 4)
+    read = {}
+    for query in [*words[::3], "the", "the w1 w11", "w0 w0 w5", "nothing", "w3 nothing", ""]:
+        want = [(x["chunk_id"], round(x["score"], 9)) for x in index.search(query, 4, pruned=False).collect()]
+        assert [(x["chunk_id"], round(x["score"], 9)) for x in index.search(query, 4).collect()] == want, query
+        read[query] = index.read
+    assert read["the"][1] == 300 and read["the"][0] < 100  # the word of all chunks is read in part
+    monkeypatch.setattr(R, "LISTED_RANGES", 0)
+    assert index.search("the w1 w11", 5).collect() == index.search("the w1 w11", 5, pruned=False).collect()
