@@ -46,6 +46,8 @@ END_ID = 0
 #: Ids of a block, ids of a file (a document of more has a file of its own).
 BLOCK = 128
 FILE_IDS = 1 << 22
+#: Blocks that are decoded at once.
+AT_ONCE = 1 << 11
 #: Segments whose ids a worker keeps; segments that the library is asked for at once, and those of a line.
 KEPT, ASKED, LINE = 1 << 21, 1 << 14, 1 << 10
 
@@ -89,20 +91,22 @@ def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     many, longest = len(size), int(size.max(initial=0))
     if not n:
         return np.zeros(0, np.uint64), np.zeros(many, np.int64), np.zeros(0, np.uint64)
-    bits = np.zeros((many, longest + int(COUNTS.max())), np.uint8)  # what is beyond a block's end fits anywhere
-    at = np.arange(n) - np.repeat(edges[:-1], size)
-    bits[np.repeat(np.arange(many), size), at] = _lengths(values)
+    wide = longest + int(COUNTS.max())
+    bits = np.zeros((many, wide), np.uint8)  # what is beyond a block's end fits anywhere
+    bits.ravel()[np.arange(n) + np.repeat(np.arange(many) * wide - edges[:-1], size)] = _lengths(values)
     windows, span = [bits], 1
     while 2 * span <= COUNTS.max():
         half = windows[-1]
         windows.append(np.maximum(half[:, : half.shape[1] - span], half[:, span:]))
         span *= 2
-    best = np.zeros((many, longest), np.uint8)
-    for s in range(len(WIDTHS) - 1, 0, -1):  # the fewest ids first, so that the most that fit stay
+    # Where a selector fits, those of fewer ids do too: the best is told by how many do not.
+    best = np.ones((many, longest), np.uint8)
+    for s in range(1, len(WIDTHS)):
         power = int(COUNTS[s]).bit_length() - 1
         half, rest = windows[power], int(COUNTS[s]) - (1 << power)
         widest = half[:, :longest] if not rest else np.maximum(half[:, :longest], half[:, rest : rest + longest])
-        np.copyto(best, np.uint8(s), where=widest <= WIDTHS[s])
+        best += widest > int(WIDTHS[s])
+    best[best == len(WIDTHS)] = 0
     flat, row = best.ravel(), np.arange(many)
     here = np.zeros(many, np.int64)
     rows, starts, selectors = [], [], []
@@ -122,7 +126,7 @@ def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start[place], selector[place] = np.concatenate(starts), np.concatenate(selectors)
     # Words follow each other without a gap, so each value's word and its place in it are known.
     held = np.diff(np.append(start, n))
-    shift = (np.arange(n) - np.repeat(start, held)) * np.repeat(WIDTHS[selector], held)
+    shift = (np.arange(n, dtype=np.int32) - np.repeat(start.astype(np.int32), held)) * np.repeat(WIDTHS.astype(np.int32)[selector], held)
     lost = np.flatnonzero(selector == 0)
     escapes = values[start[lost]]
     values[start[lost]] = np.arange(len(lost), dtype=np.uint64)
@@ -132,14 +136,25 @@ def encode(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def decode(words: np.ndarray, first: np.ndarray, edges: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     """The values of blocks: first word of each, starts of the blocks and the end of the last."""
+    out = np.empty(int(edges[-1]), np.uint64)
+    bounds = np.append(first, len(words))
+    for lo in range(0, len(first), AT_ONCE):
+        hi = min(lo + AT_ONCE, len(first))
+        some = words[bounds[lo] : bounds[hi]]
+        out[edges[lo] : edges[hi]] = _decoded(some, bounds[lo:hi] - bounds[lo], edges[lo : hi + 1] - edges[lo], escapes)
+    return out
+
+
+def _decoded(words: np.ndarray, first: np.ndarray, edges: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     selector = (words >> np.uint64(60)).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(COUNTS[selector])])
     block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
     start = edges[block] + before[:-1] - before[first][block]
     held = np.minimum(COUNTS[selector], edges[block + 1] - start)
-    shift = (np.arange(int(edges[-1])) - np.repeat(start, held)) * np.repeat(WIDTHS[selector], held)
+    of = np.repeat(np.arange(len(words)), held)
+    shift = (np.arange(int(edges[-1])) - start[of]) * WIDTHS[selector][of]
     mask = (np.uint64(1) << WIDTHS[selector].astype(np.uint64)) - np.uint64(1)
-    out = (np.repeat(words, held) >> shift.astype(np.uint64)) & np.repeat(mask, held)
+    out = (words[of] >> shift.astype(np.uint64)) & mask[of]
     lost = selector == 0
     out[start[lost]] = escapes[(words[lost] & PAYLOAD).astype(np.int64)]
     return out
@@ -452,8 +467,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
                 known = pa.array(doc_ids, mask=doc_ids == NULL_ID)
                 columns = [known, pa.array(start + edges[:-1]), pa.array(sizes), pa.array(sums, pa.int64())]
+                del data, ids
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
-        T.release()
+                T.release()
 
     files = located(manifest).select("file", "start")
     tasks = max(1, min(1 << 14, files.count()))
