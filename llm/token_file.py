@@ -49,7 +49,7 @@ FILE_IDS = 1 << 22
 #: Blocks that are decoded at once.
 AT_ONCE = 1 << 11
 #: Segments whose ids a worker keeps; segments that the library is asked for at once, and those of a line.
-KEPT, ASKED, LINE = 1 << 21, 1 << 14, 1 << 10
+KEPT, ASKED, LINE = 1 << 20, 1 << 14, 1 << 10
 
 #: An estimate of so many bytes is Spark's word for not knowing.
 UNKNOWN = 1 << 60
@@ -338,6 +338,14 @@ class Segments:
 _BUILT: dict[str, Segments] = {}
 
 
+def segments_of(path: str) -> Segments:
+    """The worker's one for a vocabulary. A function of the module, so that it is the module's and outlives a task."""
+    if path not in _BUILT:
+        _BUILT.clear()
+        _BUILT[path] = Segments(path)
+    return _BUILT[path]
+
+
 def _ids(made: Segments, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, how many of each text) of the texts of a slice; a long one is read in parts that end at a cut."""
     n = len(offsets) - 1
@@ -382,10 +390,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str = VOCABULARY, end_id: i
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _BUILT:
-            _BUILT.clear()
-            _BUILT[path] = Segments(path)
-        made, nth = _BUILT[path], 0
+        made, nth = segments_of(path), 0
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
