@@ -14,7 +14,7 @@ from corpusloom.operators import runs as N
 from corpusloom.operators import state as M
 from corpusloom.operators import text as X
 from corpusloom.plans.model import TABLES, chunks, documents, files, items, query, runs, table
-from corpusloom.session import Corpus
+from corpusloom.session import Corpus, Stopped
 from corpusloom.settings import Settings
 from corpusloom.shared import Folder, local_path, shared_root
 from corpusloom.sources import extract
@@ -383,6 +383,22 @@ def _(s, d):
     return x.select("c_custkey", M.next_action().alias("action"))
 
 
+def _as_files(s, d, place):
+    """Every document as a file below source and language; their bytes."""
+
+    def put(batches):
+        for b in batches:
+            n = 0
+            for source, lang, doc, text in zip(b["source"], b["lang"], b["doc_id"], b["text"], strict=True):
+                path = Path(place, str(source), str(lang), f"doc_{doc}.txt")
+                path.parent.mkdir(parents=True, exist_ok=True)
+                n += path.write_bytes(text.encode())
+            yield pd.DataFrame({"n": [n]})
+
+    written = documents(s, d).where("text is not null").select("source", "lang", "doc_id", "text").mapInPandas(put, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
 _COUNTED = "SELECT count(*) FILTER (text IS NOT NULL) AS n FROM documents"
 
 
@@ -395,17 +411,7 @@ def _(s, d):
     """Every document as a file, indexed twice by the engine's own run: all are new, then none is read."""
     home = f"{shared_root(s)}/index-run-{uuid.uuid4().hex}"
     place = local_path(home)
-
-    def put(batches):
-        for b in batches:
-            for source, lang, doc, text in zip(b["source"], b["lang"], b["doc_id"], b["text"], strict=True):
-                path = Path(place, "in", str(source), str(lang), f"doc_{doc}.txt")
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_bytes(text.encode())
-            yield pd.DataFrame({"n": [len(b)]})
-
-    written = documents(s, d).where("text is not null").select("source", "lang", "doc_id", "text").mapInPandas(put, "n long")
-    written.agg(F.sum("n")).collect()
+    _as_files(s, d, f"{place}/in")
     corpus = Corpus(s, f"{home}/store", Settings(dimensions=16))
     rows = []
     for run in (1, 2):
@@ -416,6 +422,40 @@ def _(s, d):
     return s.createDataFrame(rows, "run int, indexed long, skipped long, failed long, files long, pages long")
 
 
+@query(
+    "run_resume",
+    "SELECT step, ['paused', 'completed', 'completed'][step] AS status, CAST([1, 2, 0][step] AS BIGINT) AS batches, "
+    "CASE step WHEN 2 THEN n WHEN 3 THEN others END AS files, CASE step WHEN 2 THEN n ELSE 0 END AS indexed FROM "
+    "(SELECT count(*) AS n, count(*) FILTER (source IS DISTINCT FROM (SELECT min(source) FROM documents)) AS others FROM documents "
+    "WHERE text IS NOT NULL), (SELECT unnest([1, 2, 3]) AS step)",
+)
+def _(s, d):
+    """Every document as a file, in two batches: stopped after one (1), resumed (2), a folder removed (3)."""
+    home = f"{shared_root(s)}/run-resume-{uuid.uuid4().hex}"
+    place = f"{local_path(home)}/in"
+    size = _as_files(s, d, place)
+    done = []
+    corpus = Corpus(s, f"{home}/store", Settings(dimensions=16), stop=lambda: bool(done), batch_bytes=size // 2 + 1)
+    batch = corpus._batch
+    corpus._batch = lambda run, k: (batch(run, k), done.append(k))
+    try:
+        corpus.index(place)
+    except Stopped:
+        pass
+    (left,) = corpus.resumable()
+    rows = [(1, left["status"], left["done"], None, 0)]
+    again = Corpus(s, f"{home}/store", Settings(dimensions=16))
+    counts = again.resume(left["run_id"])
+    files = lambda: again.table("files").count()
+    status = lambda: again.status().first()["run_status"]
+    rows.append((2, status(), left["batches"], files(), counts["indexed"]))
+    first = table(s, d, "documents").agg(F.min("source").alias("s")).first()["s"]
+    again.remove(f"{place}/{first}")
+    rows.append((3, status(), 0, files(), 0))
+    Folder(s, home).delete("")
+    return s.createDataFrame(rows, "step int, status string, batches long, files long, indexed long")
+
+
 @query("scan_files", f"SELECT unnest({[f'{t}.parquet' for t in TABLES]}) AS relative_path")
 def _(s, d):
     return extract.scan_files(s, local_path(d)).where("error is null").select("relative_path")

@@ -24,7 +24,7 @@ from corpusloom.operators import quality as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import state as M
 from corpusloom.operators import text as X
-from corpusloom.operators.segments import Change, Layout, SegmentStore
+from corpusloom.operators.segments import BROADCAST_KEYS, Change, Conflict, Layout, SegmentStore
 from corpusloom.settings import Settings
 from corpusloom.shared import Folder
 from corpusloom.sources import engines as E
@@ -86,6 +86,12 @@ def numbered(rows: DataFrame, order: str, name: str, after: int, keep: Callable[
     return placed.join(F.broadcast(starts), "_range").withColumn(name, number.cast("long")).drop("_range", "_at", "_first", "_before")
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """Distinct ids of a written frame, to be broadcast where they are counted to be few."""
+    ids = ids.distinct()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+
+
 def named_rows(files: DataFrame) -> DataFrame:
     """The name index's rows of files."""
     named = files.select("file_id", S.basename("path").alias("basename"), S.folder_path("relative_path").alias("folder_path"))
@@ -120,6 +126,8 @@ class Corpus:
         self.batch_bytes = batch_bytes
         self._stop = stop
         self._staging: Folder | None = None
+        #: Where kept frames are written.
+        self._places: dict[int, tuple[DataFrame, str]] = {}
         self._run: L.Run | None = None
 
     @property
@@ -197,7 +205,13 @@ class Corpus:
         path = self._staging.path(f"{name}-{uuid.uuid4().hex}")
         schema = df.schema
         df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        kept = self.spark.read.schema(schema).parquet(path)
+        self._places[id(kept)] = kept, path.removeprefix(f"{self.store.folder.root}/")
+        return kept
+
+    def _whole(self, kept: DataFrame, gone: DataFrame | None = None, **more) -> Change:
+        """A change whose rows are those of a kept frame: its folder becomes the segment. Nothing reads the frame after the commit."""
+        return Change(kept, gone, written=self._places[id(kept)][1], **more)
 
     def _asked(self) -> None:
         if self._stop():
@@ -225,6 +239,7 @@ class Corpus:
             raise
         finally:
             self._staging.delete("")
+            self._places.clear()
             self._run = None
 
     def _go(self, run: L.Run, listing: Callable[[], DataFrame]) -> dict[str, int]:
@@ -238,7 +253,13 @@ class Corpus:
             for batch in range(run.state["batches"]):
                 if str(batch) not in done:
                     self._batch(run, batch)
-            self._embed_missing(run)
+            for last in (False, False, True):  # made again where another run published meanwhile
+                try:
+                    self._embed_missing(run)
+                    break
+                except Conflict:
+                    if last:
+                        raise
             self.store.merge()
             if run.state["batches"]:
                 self.store.folder.delete(f"ledger/plan-{run.run_id:08d}")
@@ -305,7 +326,8 @@ class Corpus:
         gone = self._keep(todo.where("known").select("file_id").unionByName(left), "gone-ids")
         counts = todo.agg(F.count("*").alias("indexed"), F.count_if(F.col("error").isNotNull()).alias("failed")).first().asDict()
         counts["skipped"] = same.count()
-        changes = {"files": Change(files, gone.unionByName(same.where("known").select("file_id")))}
+        replaced = gone.unionByName(same.where("known").select("file_id")) if counts["skipped"] else gone
+        changes = {"files": self._whole(files, replaced)}
         derived, counters = self._derived(files, gone, pages)
         fresh = files.join(todo.where("not known").select("file_id"), "file_id", "left_semi")
         changes["names"], counters["files"] = Change(named_rows(fresh), left), fresh.count() - left.count()
@@ -360,15 +382,20 @@ class Corpus:
         per = chunks.select("chunk_id", "file_id").join(words, "chunk_id", "left").groupBy("file_id")
         totals = self._keep(per.agg(F.count("*").alias("chunks"), F.count("tokens").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")), "totals")
         key = self.model_key
-        made, failed = self._embedded(chunks, gone)
-        came, went = self._totals(totals), self._totals(self.table("totals").join(F.broadcast(gone.distinct()), "file_id", "left_semi"))
-        kept = self.table("vectors").where(F.col("model_key") == key).join(F.broadcast(gone.distinct()), "file_id", "left_semi").count()
+        some = not gone.isEmpty()
+        made, failed = self._embedded(chunks, gone if some else None)
+        came, went, kept = self._totals(totals), dict.fromkeys(("chunks", "n", "tokens"), 0), 0
+        if some:
+            ids = few(gone)
+            went = self._totals(self.table("totals").join(ids, "file_id", "left_semi"))
+            kept = self.table("vectors").where(F.col("model_key") == key).join(ids, "file_id", "left_semi").count()
         counters = {f"text_{c}": came[c] - went[c] for c in ("chunks", "n", "tokens")}
         counters[f"vectors:{key}"] = made.count() - kept
         size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        gone = gone if some else None
         out = {
-            "pages": Change(assessed, gone), "chunks": Change(chunks, gone, size=size(chunks)), "totals": Change(totals, gone),
-            "postings": Change(postings, gone, size=size(postings)), "vectors": Change(made, gone, mark=key),
+            "pages": Change(assessed, gone), "chunks": Change(chunks, gone, size=size(chunks)), "totals": self._whole(totals, gone),
+            "postings": Change(postings, gone, size=size(postings)), "vectors": self._whole(made, gone, mark=key),
         }
         return out | ({"embedding_errors": Change(failed, replace=True)} if failed is not None else {}), counters
 
@@ -382,7 +409,7 @@ class Corpus:
         wanted = chunks.select("input_hash", F.col("input_text").alias("text")).dropDuplicates(["input_hash"])
         have = None
         if stale is not None:
-            have = self.table("vectors").where(F.col("model_key") == self.model_key).join(F.broadcast(stale.distinct()), "file_id", "left_semi")
+            have = self.table("vectors").where(F.col("model_key") == self.model_key).join(few(stale), "file_id", "left_semi")
             have = self._keep(have.select("input_hash", "vector").dropDuplicates(["input_hash"]), "have")
             wanted = wanted.join(have, "input_hash", "left_anti")
         asked = self._keep(extract.embed(wanted, self.provider), "embedded")
@@ -406,7 +433,7 @@ class Corpus:
         mine = self.table("vectors").where(F.col("model_key") == key).select("chunk_id")
         chunks = self._keep(self.table("chunks").join(mine, "chunk_id", "left_anti"), "without-vector")
         made, failed = self._embedded(chunks)
-        changes = {"vectors": Change(made, mark=key, only_mark=key)}
+        changes = {"vectors": self._whole(made, mark=key, only_mark=key)}
         if failed is not None:
             changes["embedding_errors"] = Change(failed, replace=True)
         counters = {f"vectors:{key}": made.count()} | {f"vectors:{k}": -head["counters"].get(f"vectors:{k}", 0) for k in others if k}

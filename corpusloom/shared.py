@@ -54,8 +54,8 @@ class Folder:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def make(self) -> None:
-        self._fs.mkdirs(self._path(""))
+    def make(self, name: str = "") -> None:
+        self._fs.mkdirs(self._path(name))
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
