@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from email import policy
 from email.parser import BytesParser
+from html.entities import html5
 from html.parser import HTMLParser
 from pathlib import Path
 from typing import Protocol
@@ -134,9 +135,19 @@ class _Visible(HTMLParser):
             self.out.append(data)
 
 
-def html_to_text(html: str | None) -> str:
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _closed(m: re.Match) -> str:
+    """A character reference with its semicolon as it is; any other ampersand stands for itself."""
+    return m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else f"&amp;{m[1] or ''}"
+
+
+def html_to_text(html: str | None, closed: bool = False) -> str:
+    """Visible text. closed: a character reference without its semicolon, as `&amp` at the end of a title, is text."""
+    html = html or ""
     reader = _Visible()
-    reader.feed(html or "")
+    reader.feed(_REFERENCE.sub(_closed, html) if closed else html)
     reader.close()
     return "".join(reader.out)
 

@@ -6,11 +6,13 @@ import threading
 import time
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scalars as S
 from corpusloom.operators import chat, documents, runs
+from corpusloom.plans.catalog import CATALOG
 from corpusloom.sources import engines, extract, pdf, xls
 from corpusloom.streaming.jobs import EventLog, Jobs
 
@@ -232,3 +234,15 @@ def test_canonical_documents(spark):
     pages = spark.createDataFrame([(d, n, m, "t", ["x"], e) for d, n, m, e in rows], "doc_id long, page_number int, mode string, text string, tags array<string>, error string")
     got = {r["doc_id"]: (len(r["pages"]), r["error"]) for r in documents.canonical_documents(pages).collect()}
     assert got == {1: (2, None), 2: (2, "pages_incomplete"), 3: (1, "no_recognition")}
+
+
+def test_character_references_without_a_semicolon_stay(spark, tmp_path):
+    html = ["<title>x&amp;&amp</title>y&lt;&ltz &ampersand; &#39;&#39 &", "a &amp;lt; b", "", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    q = CATALOG["html_to_text"]
+    got = sorted(map(tuple, q.run(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(q.sql).fetchall())
+    assert got[0][1] == "x&&ampy<&ltz &ampersand; '&#39 &"
+    assert extract.html_to_text("x&ampy") == "x&y"
