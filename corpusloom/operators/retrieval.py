@@ -58,6 +58,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 #: Files of a range of the stored index; ranges that a search reads first, and those that it names one by one.
 SPAN, FIRST_RANGES, LISTED_RANGES = 256, 8, 1024
+#: Stored chunks, in bytes, whose postings a task makes and sorts.
+TASK_BYTES = 16 << 20
 
 
 def _share(average: Column) -> Column:
@@ -87,7 +89,7 @@ def _scored(postings: DataFrame, weights: dict[str, float], average: Column, k:
 class TextIndex:
     """Stored full-text index: postings by token bucket, chunks by file bucket, and the totals that BM25 asks for.
 
-    A token's postings are salted by chunk, so that no token is one task's when the index is written. A query reads the
+    No token is one task's when the index is written, since postings are written where their chunks are. A query reads the
     folders of its tokens' buckets, and citations those of their files' buckets.
     """
 
@@ -122,16 +124,23 @@ class TextIndex:
 
     @staticmethod
     def buckets_for(size: int) -> int:
-        """Folders for so many bytes of text."""
-        return max(8, min(4096, size >> 26))
+        """Folders for so many bytes of text. Every task that makes postings writes a file to each."""
+        return max(8, min(64, size >> 32))
 
     @staticmethod
     def posted(chunks: DataFrame, buckets: int, fold: bool = True) -> DataFrame:
         """token, chunk_id, tf, dl, bucket of chunks (chunk_id, text)."""
+        # Counted where the chunk is, by the places in its sorted words where another word begins: no row is dealt for it.
         words = F.array_sort(S.tokenize("text", fold=fold))
-        t = chunks.select("chunk_id", words.alias("_w")).select("chunk_id", F.size("_w").cast("int").alias("dl"), F.explode("_w").alias("token"))
-        rows = t.groupBy("chunk_id", "dl", "token").agg(F.count("*").cast("int").alias("tf"))
-        return rows.select("token", "chunk_id", "tf", "dl", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("bucket"))
+        t = chunks.select("chunk_id", words.alias("_w")).withColumn("dl", F.size("_w").cast("int"))
+        first = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("_w", i - 1) != F.get("_w", i - 2)))
+        t = t.select("chunk_id", "dl", "_w", F.when(F.col("dl") > 0, first).alias("_first"))
+        counted = F.transform(
+            "_first", lambda i, k: F.struct(F.get("_w", i - 1).alias("token"), (F.coalesce(F.get("_first", k + 1), F.col("dl") + 1) - i).cast("int").alias("tf"))
+        )
+        # Of an outer generator no filter is inferred, which would split the text again.
+        rows = t.select("chunk_id", "dl", F.explode_outer(counted).alias("x")).where("x is not null").select("x.token", "chunk_id", "x.tf", "dl")
+        return rows.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
 
     @staticmethod
     def placed(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -157,20 +166,28 @@ class TextIndex:
     def build(cls, spark: SparkSession, chunks: DataFrame, path: str, buckets: int, span: int = SPAN) -> TextIndex:
         """Write the index of chunks (chunk_id, file_id, text and more) below path, each table once.
 
+        Neither chunks nor postings are dealt: a task writes those of its own files, sorted, so the disk that it takes is what is
+        stored, and readers leave out row groups and pages by their least and largest token or chunk.
         span: files of a range. For each token and range, `ranges` holds the number of postings and the largest share of a score
         that one of them has, so a search reads the ranges that can hold one of its best.
         """
-        cls.placed(chunks, buckets).write.partitionBy("part").parquet(f"{path}/chunks")
-        stored = spark.read.schema(StructType([*chunks.schema.fields, StructField("part", IntegerType())])).parquet(f"{path}/chunks")
-        posted = cls.posted(stored, buckets).withColumn("range", F.expr(f"cast(shiftright(chunk_id, {S.CHUNK_BITS}) div {span} as int)"))
-        dealt = posted.repartition("bucket", F.pmod("range", F.lit(8))).sortWithinPartitions("bucket", "token", "range", "chunk_id")
-        dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+        packed = {"compression": "zstd"}
+        groups = {"parquet.block.size": str(TASK_BYTES)}
+        chunks.sortWithinPartitions("chunk_id").write.options(**packed, **groups).parquet(f"{path}/chunks")
+        # A session of its own, whose scans are split finely enough for a task to sort its postings in memory.
+        fine = spark.newSession()
+        fine.conf.set("spark.sql.files.maxPartitionBytes", str(TASK_BYTES))
+        posted = cls.posted(fine.read.schema(chunks.schema).parquet(f"{path}/chunks"), buckets)
+        posted = posted.withColumn("range", F.expr(f"cast(shiftright(chunk_id, {S.CHUNK_BITS}) div {span} as int)"))
+        sorted_ = posted.sortWithinPartitions("bucket", "token", "range", "chunk_id")
+        sorted_.write.options(**packed).partitionBy("bucket").parquet(f"{path}/postings")
         postings = spark.read.schema(posted.schema).parquet(f"{path}/postings")
         n, tokens = cls.counted(postings).first()
         most = F.max(_share(F.lit(tokens / n if n else 1.0))).alias("most")
         ranges = postings.groupBy("bucket", "token", "range").agg(F.count("*").alias("n"), most)
-        ranges.repartition("bucket").sortWithinPartitions("token", "range").write.partitionBy("bucket").parquet(f"{path}/ranges")
-        made = cls(postings.drop("range"), stored, (n, tokens), buckets)
+        ranges.sortWithinPartitions("bucket", "token", "range").write.options(**packed).partitionBy("bucket").parquet(f"{path}/ranges")
+        stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks").withColumn("part", F.lit(0))
+        made = cls([(postings.drop("range"), buckets)], [(stored, 1)], (n, tokens))
         made._ranged, made._ranges = postings, spark.read.schema(ranges.schema).parquet(f"{path}/ranges")
         return made
 

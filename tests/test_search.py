@@ -76,3 +76,16 @@ def test_pruned_search_finds_the_same(spark, tmp_path, monkeypatch):
     assert read["the"][1] == 300 and read["the"][0] < 100  # the word of all chunks is read in part
     monkeypatch.setattr(R, "LISTED_RANGES", 0)
     assert index.search("the w1 w11", 5).collect() == index.search("the w1 w11", 5, pruned=False).collect()
+
+
+def test_postings_are_made_where_their_chunks_are(spark, tmp_path):
+    texts = ["b a b", "", None, "Caf\u00e9 cafe a", "...", "x " * 300]
+    chunks = spark.createDataFrame([((k << 24) + 1, k, t) for k, t in enumerate(texts)], "chunk_id long, file_id long, text string")
+    posted = R.TextIndex.posted(chunks, 3)
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    want = [("a", 0, 1, 3), ("a", 3, 1, 3), ("b", 0, 2, 3), ("cafe", 3, 2, 3), ("x", 5, 300, 300)]
+    assert sorted((r["token"], r["chunk_id"] >> 24, r["tf"], r["dl"]) for r in posted.collect()) == want
+    index = R.TextIndex.build(spark, chunks, str(tmp_path / "index"), 3)
+    assert sorted((r["token"], r["chunk_id"] >> 24, r["tf"], r["dl"]) for r in index.postings.collect()) == want
+    assert tuple(index.total()) == (3, 306)
+    assert sorted(r["chunk_id"] >> 24 for r in index.rows_of([0, 2, 5, 9]).collect()) == [0, 2, 5]
