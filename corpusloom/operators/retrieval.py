@@ -131,7 +131,7 @@ class TextIndex:
     def posted(chunks: DataFrame, buckets: int, fold: bool = True) -> DataFrame:
         """token, chunk_id, tf, dl, bucket of chunks (chunk_id, text)."""
         # Counted where the chunk is, by the places in its sorted words where another word begins: no row is dealt for it.
-        words = F.array_sort(S.tokenize("text", fold=fold))
+        words = F.sort_array(S.tokenize("text", fold=fold))
         t = chunks.select("chunk_id", words.alias("_w")).withColumn("dl", F.size("_w").cast("int"))
         first = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("_w", i - 1) != F.get("_w", i - 2)))
         t = t.select("chunk_id", "dl", "_w", F.when(F.col("dl") > 0, first).alias("_first"))
@@ -177,18 +177,19 @@ class TextIndex:
         # A session of its own, whose scans are split finely enough for a task to sort its postings in memory.
         fine = spark.newSession()
         fine.conf.set("spark.sql.files.maxPartitionBytes", str(TASK_BYTES))
-        posted = cls.posted(fine.read.schema(chunks.schema).parquet(f"{path}/chunks"), buckets)
+        posted = cls.posted(fine.read.schema(chunks.schema).parquet(f"{path}/chunks"), 1)
         posted = posted.withColumn("range", F.expr(f"cast(shiftright(chunk_id, {S.CHUNK_BITS}) div {span} as int)"))
-        sorted_ = posted.sortWithinPartitions("bucket", "token", "range", "chunk_id")
-        sorted_.write.options(**packed).partitionBy("bucket").parquet(f"{path}/postings")
-        postings = spark.read.schema(posted.schema).parquet(f"{path}/postings")
+        # No buckets: each would be a file of every task, and a token's rows are found by the statistics of its files anyway.
+        rows = posted.drop("bucket").sortWithinPartitions("token", "range", "chunk_id")
+        rows.write.options(**packed).parquet(f"{path}/postings")
+        postings = spark.read.schema(rows.schema).parquet(f"{path}/postings").withColumn("bucket", F.lit(0))
         n, tokens = cls.counted(postings).first()
         most = F.max(_share(F.lit(tokens / n if n else 1.0))).alias("most")
-        ranges = postings.groupBy("bucket", "token", "range").agg(F.count("*").alias("n"), most)
-        ranges.sortWithinPartitions("bucket", "token", "range").write.options(**packed).partitionBy("bucket").parquet(f"{path}/ranges")
+        ranges = postings.groupBy("token", "range").agg(F.count("*").alias("n"), most)
+        ranges.sortWithinPartitions("token", "range").write.options(**packed).parquet(f"{path}/ranges")
         stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks").withColumn("part", F.lit(0))
-        made = cls([(postings.drop("range"), buckets)], [(stored, 1)], (n, tokens))
-        made._ranged, made._ranges = postings, spark.read.schema(ranges.schema).parquet(f"{path}/ranges")
+        made = cls([(postings.drop("range"), 1)], [(stored, 1)], (n, tokens))
+        made._ranged, made._ranges = postings, spark.read.schema(ranges.schema).parquet(f"{path}/ranges").withColumn("bucket", F.lit(0))
         return made
 
     _ranged: DataFrame | None = None
