@@ -178,3 +178,17 @@ def test_failed_embeddings_are_tried_again(spark, tmp_path):
     assert corpus.index(str(one))["skipped"] == 2 and corpus.status().first()["embedded"] == 2
     consistent(corpus)
     assert corpus.remove(str(one)) == 2 and corpus.status().first()["embedded"] == 0
+
+
+def test_texts_of_a_batch_are_not_kept_to_its_end(spark, tmp_path, monkeypatch):
+    corpus = open_corpus(spark, tmp_path)
+    derived, there = Corpus._derived, []
+
+    def seen(self, *args):
+        there.extend(n.rpartition("-")[0] for n in self._staging.names())
+        return derived(self, *args)
+
+    monkeypatch.setattr(Corpus, "_derived", seen)
+    corpus.index(str(folder(tmp_path, "one", 3)))
+    assert "resolved" in there and not {"read", "pages"} & set(there)
+    consistent(corpus)
