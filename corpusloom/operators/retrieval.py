@@ -24,6 +24,9 @@ from corpusloom.functions import scalars as S
 
 POOL, K1, B, LEAST_IDF = 50, 1.2, 0.75, 1e-6
 BASENAME_WEIGHT, FOLDER_WEIGHT, TOKEN_CAP, RRF_K = 3.0, 1.0, 500, 60
+#: File ids of a range of the stored name index.
+NAME_SPAN = 1 << 12
+PLACES = ("basename", "folder_path")
 
 
 def query_tokens(query: str, unicode: bool = False) -> list[str]:
@@ -327,15 +330,17 @@ def _named(hits: DataFrame, total: Column, k: int) -> DataFrame:
     return scored.orderBy(F.col("score").desc(), "file_id").limit(k)
 
 
-def _capped(rows: DataFrame, cap: int) -> DataFrame:
-    """The first `cap` files of each token and place, in order of their ids."""
+def _capped(rows: DataFrame, cap: int | None) -> DataFrame:
+    """All files of each token and place; with a cap, the first so many in order of their ids."""
+    if cap is None:
+        return rows
     first = Window.partitionBy("token", "place").orderBy("file_id")
     return rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= cap).drop("nth")
 
 
-def search_filenames(files: DataFrame | NameIndex, query: str, k: int = POOL, cap: int = TOKEN_CAP) -> DataFrame:
+def search_filenames(files: DataFrame | NameIndex, query: str, k: int = POOL, cap: int | None = None) -> DataFrame:
     """file_id, score over file_id, basename, folder_path: per distinct query token, idf times the weights of the columns that
-    hold it. At most `cap` files a token and column count. A stored index answers from its rows of the query's tokens."""
+    hold it. With a cap, only so many files a token and column count. A stored index answers from its rows of the query's tokens."""
     if not isinstance(files, DataFrame):
         return files.search(query, k)
     wanted = sorted(set(query_tokens(query)))
@@ -353,33 +358,47 @@ def search_filenames(files: DataFrame | NameIndex, query: str, k: int = POOL, ca
 class NameIndex:
     """Stored file name index; a query opens the folders of its tokens' buckets.
 
-    Whole: a row for each token and place, with the token's number of files and the first `cap` of them, so a token that all
-    files have is a row too. In parts that lose files (segments): a row for each file, counted when asked.
+    Whole: a row for each token and range of NAME_SPAN file ids, with the number of its files and their ids by place, so the token
+    of all files is many bounded rows. Whole with a cap: a row for each token and place, with the token's number of files and the
+    first `cap` of them. In parts that lose files (segments): a row for each file, counted when asked.
     """
 
-    def __init__(self, parts: list[tuple[DataFrame, int]], total: int, whole: bool, cap: int = TOKEN_CAP):
+    def __init__(self, parts: list[tuple[DataFrame, int]], total: int, whole: bool, cap: int | None = None):
         self.parts, self.total, self.whole, self.cap = parts, total, whole, cap
 
     @staticmethod
-    def bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-        """rows with the bucket of their token, dealt for writing."""
+    def bucketed(rows: DataFrame, buckets: int, spread: str = "place") -> DataFrame:
+        """rows with the bucket of their token, dealt for writing by token and another column."""
         d = rows.drop("bucket").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        return d.repartition("bucket", F.pmod(F.xxhash64("token", "place"), F.lit(4))).sortWithinPartitions("bucket", "token")
+        return d.repartition("bucket", F.pmod(F.xxhash64("token", spread), F.lit(4))).sortWithinPartitions("bucket", "token")
 
     @classmethod
-    def build(cls, spark: SparkSession, files: DataFrame, path: str, buckets: int, cap: int = TOKEN_CAP) -> NameIndex:
+    def build(cls, spark: SparkSession, files: DataFrame, path: str, buckets: int, cap: int | None = None) -> NameIndex:
         """Write the whole index of files (file_id, basename, folder_path) below path.
 
-        Only the first `cap` of a token and place are gathered, and counted within a task first, so no token is one task's.
+        Gathered are the files of a range, or the first `cap` of a token and place, so no token is one task's.
         """
+        if cap is None:
+            in_name, in_folder = (F.coalesce(S.tokenize(c, fold=True), F.array().cast("array<string>")) for c in PLACES)
+            has = lambda t: F.struct(t.alias("token"), F.array_contains(in_name, t).alias("_name"), F.array_contains(in_folder, t).alias("_folder"))
+            rows = files.select("file_id", F.inline(F.transform(F.array_distinct(F.concat(in_name, in_folder)), has)))
+            ids = lambda flag: F.array_sort(F.collect_list(F.when(F.col(flag), F.col("file_id"))))
+            spans = rows.groupBy("token", F.floor(F.col("file_id") / NAME_SPAN).alias("span")).agg(
+                F.count("*").alias("n"), ids("_name").alias("basename"), ids("_folder").alias("folder_path")
+            )
+            return cls._written(spark, cls.bucketed(spans, buckets, "span"), path, buckets, files.count(), cap)
         rows = name_rows(files)
         either = F.array_distinct(F.concat(S.tokenize("basename", fold=True), S.tokenize("folder_path", fold=True)))
         df = files.select(F.explode(either).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
         heads = _capped(rows, cap).groupBy("token", "place").agg(F.array_sort(F.collect_list("file_id")).alias("file_ids"))
         made = cls.bucketed(heads.join(df, "token").select("token", "place", "df", "file_ids"), buckets)
+        return cls._written(spark, made, path, buckets, files.count(), cap)
+
+    @classmethod
+    def _written(cls, spark: SparkSession, made: DataFrame, path: str, buckets: int, total: int, cap: int | None) -> NameIndex:
         made.write.partitionBy("bucket").parquet(path)
         stored = spark.read.schema(made.schema).parquet(path)
-        return cls([(stored, buckets)], files.count(), True, cap)
+        return cls([(stored, buckets)], total, True, cap)
 
     def search(self, query: str, k: int = POOL) -> DataFrame:
         """file_id, score, as search_filenames."""
@@ -392,7 +411,11 @@ class NameIndex:
             at = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in wanted]
             mine.append(rows.where(F.col("bucket").isin(*at) & F.col("token").isin(*wanted)).drop("bucket"))
         rows = _union(mine)
-        if self.whole:
+        if self.whole and self.cap is None:
+            df = rows.groupBy("token").agg(F.sum("n").alias("df"))
+            at = lambda c: F.transform(c, lambda i: F.struct(F.lit(c).alias("place"), i.alias("file_id")))
+            hits = rows.join(F.broadcast(df), "token").select("token", "df", F.inline(F.concat(*map(at, PLACES))))
+        elif self.whole:
             hits = rows.select("token", "place", "df", F.explode("file_ids").alias("file_id"))
         else:
             df = rows.groupBy("token").agg(F.countDistinct("file_id").alias("df"))
@@ -570,7 +593,7 @@ def keyword_search(
     """Full text and file names (names: their stored index), collapsed to files, fused and cited."""
     text = text_of(chunks)
     channels = {"fts": by_file(text.search(query, pool), text, sure=True)}
-    return cited(channels, held(search_filenames(names or files, query, pool)), text, files, top_k)
+    return cited(channels, held(search_filenames(names or files, query, pool, TOKEN_CAP)), text, files, top_k)
 
 
 def vector_search(

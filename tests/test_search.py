@@ -58,6 +58,34 @@ def test_name_index(spark, tmp_path):
     assert R.NameIndex([], 0, False).search("a").count() == 0
 
 
+def test_names_of_all_files_count(spark, tmp_path, monkeypatch):
+    rows = [(k, f"doc_{k}.txt", "common/rare" if k > 590 else "common/doc") for k in range(600)]
+    files = spark.createDataFrame(rows, "file_id long, basename string, folder_path string").repartition(4)
+    monkeypatch.setattr(R, "NAME_SPAN", 64)
+    whole = R.NameIndex.build(spark, files, str(tmp_path / "names"), 3)
+    parts = [(R.NameIndex.bucketed(R.name_rows(files), 2), 2)]
+    for index in (files, whole, R.NameIndex(parts, 600, False)):
+        got = [(r["file_id"], round(r["score"], 9)) for r in R.search_filenames(index, "common rare", 20).collect()]
+        both = math.log(1 + 600 / 600) + math.log(1 + 600 / 9)
+        assert got == [(k, round(both, 9)) for k in range(591, 600)] + [(k, round(math.log(2), 9)) for k in range(11)]
+        # "doc" is in every basename and in 591 folders; a file counts once.
+        assert {round(r["score"], 9) for r in R.search_filenames(index, "doc", 600).collect()} == {round(math.log(2) * w, 9) for w in (3, 4)}
+    largest = whole.parts[0][0].selectExpr("max(size(basename))", "max(size(folder_path))").first()
+    assert tuple(largest) == (64, 64)
+
+
+@pytest.mark.parametrize("kind", ["hybrid"])
+def test_names_beyond_the_first_500_of_a_token_are_found(spark, kind):
+    # alpha is in files 0 to 549 and 1099, beta in 549 to 1099: those of both are among nobody's first 500.
+    rows = [(k, f"/{k}", f"f{k}.txt", " ".join(["alpha"] * (k < 550 or k == 1099) + ["beta"] * (k >= 549))) for k in range(1100)]
+    files = spark.createDataFrame(rows, "file_id long, path string, basename string, folder_path string")
+    text = [(k << 24, k, 0, 1, "native", "words") for k in (3, 4)]
+    chunks = spark.createDataFrame(text, "chunk_id long, file_id long, chunk_index int, page_number int, source_type string, text string")
+    none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    found = R.keyword_search(chunks, files, "alpha beta", 2) if kind == "keyword" else R.hybrid_search(chunks, files, none, "alpha beta", [1.0], 2)
+    assert sorted(r["file_id"] for r in found.collect()) == [549, 1099]
+
+
 def test_pruned_search_finds_the_same(spark, tmp_path, monkeypatch):
     r = random.Random(4)
     words = [f"w{k}" for k in range(12)]
