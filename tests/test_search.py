@@ -74,7 +74,7 @@ def test_names_of_all_files_count(spark, tmp_path, monkeypatch):
     assert tuple(largest) == (64, 64)
 
 
-@pytest.mark.parametrize("kind", ["hybrid"])
+@pytest.mark.parametrize("kind", ["hybrid", "keyword"])
 def test_names_beyond_the_first_500_of_a_token_are_found(spark, kind):
     # alpha is in files 0 to 549 and 1099, beta in 549 to 1099: those of both are among nobody's first 500.
     rows = [(k, f"/{k}", f"f{k}.txt", " ".join(["alpha"] * (k < 550 or k == 1099) + ["beta"] * (k >= 549))) for k in range(1100)]
