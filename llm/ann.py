@@ -3,14 +3,14 @@
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample
 (SAMPLE vectors, least hashed ids first); every row is then indexed: its cell and one
 byte per subspace. Residuals are measured in units of their cell's own spread, so vectors that lie close
-around one point are told apart as finely as those that lie far apart. A query looks into its nearest cells, sums asymmetric distance tables over
-the codes there, keeps the DEPTH best, and these are reranked by exact distances on the original vectors.
+around one point are told apart as finely as those that lie far apart. A query looks into its nearest cells, takes the asymmetric distances
+of its own residual to the codes there (decoded once a slice, which costs less than a distance table a query and cell), keeps the DEPTH best, and these are reranked by exact distances on the original vectors.
 How many cells a query needs is measured on the sample: the least number with which ASKS of its queries have
 the cells of COVER of their true neighbours, so that a dense region is not paid for by others.
 
-Index rows and queries meet in blocks joined on the cell, so a cell with a third
-of all vectors is many blocks; a task keeps at most DEPTH candidates a query and
-hands on what it has when it holds HELD queries.
+Index rows are dealt into slices by the hash of their ids, so a cell with a third of all vectors is in every slice, and
+each query goes to each slice once. A task holds one slice at a time (some SLICE_ROWS codes) and streams the queries
+past it in blocks, handing on at most DEPTH candidates a query and slice; these are merged in groups of a counted size.
 
 Defined results: vectors that are null, zero, of another than the prevailing length, or hold null or
 non-finite components take no part, nor do rows without id; rows that repeat an id are one candidate
@@ -39,10 +39,10 @@ DEPTH = 64
 ASKS, COVER = 0.95, 0.9
 TOP = 10
 QUERY_EVERY = 100
-#: Rows of one index block before it is handed on, queries of one block, queries whose candidates a task holds.
-INDEX_BLOCK, QUERY_BLOCK, HELD = 1 << 18, 64, 4096
-#: Codes that meet a block of queries at once; candidates that a task gathers before it keeps the best of each query.
-CODE_BLOCK, GATHERED = 1 << 13, 1 << 20
+#: Rows of a slice of the index, about, and queries that are held against a slice at once.
+SLICE_ROWS, ASK_BLOCK = 1 << 18, 1024
+#: Codes that meet a block of queries at once; candidates that a task gathers before it keeps the best of each query; candidates merged at once.
+CODE_BLOCK, GATHERED, MERGED = 1 << 11, 1 << 18, 1 << 20
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -96,10 +96,9 @@ class Quantiser:
         r = ((x - self.coarse[cell]) / self.scale[cell][:, None]).reshape(len(x), self.parts, -1)
         return np.stack([_distances(r[:, m], b).argmin(1) for m, b in enumerate(self.books)], 1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
-        """(queries, subspaces, codes): squared distances of the query's residual in that cell to the codewords."""
-        r = ((q - self.coarse[cell]) / self.scale[cell]).reshape(len(q), self.parts, -1)
-        return np.stack([_distances(r[:, m], b) for m, b in enumerate(self.books)], 1) * self.scale[cell] ** 2
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for, in units of their cell's spread."""
+        return np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
 
 
 def valid_vectors(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -116,60 +115,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(flat).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+#: What is kept of a row of the index.
+KEPT = ["vec_id", "cell", "code"]
+
+
 def _index(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = held.value
-        ids: list[np.ndarray] = []
-        cells: list[np.ndarray] = []
-        codes: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            i, c, k = np.concatenate(ids), np.concatenate(cells), np.concatenate(codes)
-            order = np.argsort(c, kind="stable")
-            i, c, k = i[order], c[order], k[order]
-            step = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            ends = np.append(step[1:], len(c))
-            ids.clear(), cells.clear(), codes.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c[step].astype(np.int32)), pa.array([i[a:b].astype("<i8").tobytes() for a, b in zip(step, ends, strict=True)], pa.binary()), pa.array([k[a:b].tobytes() for a, b in zip(step, ends, strict=True)], pa.binary())],
-                ["cell", "ids", "codes"],
-            )
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column(1))
             cell = q.nearest(x, 1)[:, 0]
-            ids.append(np.asarray(batch.column(0)))
-            cells.append(cell)
-            codes.append(q.encode(x, cell))
-            if sum(map(len, ids)) >= INDEX_BLOCK:
-                yield flush()
-        if ids:
-            yield flush()
-
-    return run
-
-
-def _queries(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: Quantiser = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, ids = _matrix(batch.column(1)), np.asarray(batch.column(0))
-            near = q.nearest(x, q.probes)
-            row, cell = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
-            order = np.argsort(cell, kind="stable")
-            row, cell = row[order], cell[order]
-            out: dict[str, list] = {"cell": [], "asks": [], "vectors": []}
-            for c, lo, hi in zip(*_runs(cell), strict=True):
-                for a in range(lo, hi, QUERY_BLOCK):
-                    r = row[a : min(hi, a + QUERY_BLOCK)]
-                    out["cell"].append(c)
-                    out["asks"].append(ids[r].astype("<i8").tobytes())
-                    out["vectors"].append(x[r].astype("<f8").tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("cell", pa.int32()), ("asks", pa.binary()), ("vectors", pa.binary())]))
+            codes = q.encode(x, cell)
+            blobs = pa.array([c.tobytes() for c in codes], pa.binary())
+            columns = [batch.column(0), pa.array(cell.astype(np.int32)), blobs]
+            yield pa.RecordBatch.from_arrays(columns, KEPT)
 
     return run
 
@@ -216,40 +177,58 @@ class _Gathered:
         return whole
 
 
+def _slice_best(q: Quantiser, index: list[pa.RecordBatch], depth: int):
+    """A function from a block of queries (ids, vectors) to their best in a slice, whose rows come in order of their cells."""
+    ids, cells = (np.concatenate([np.asarray(b.column(c)) for b in index] or [np.zeros(0, np.int64)]) for c in ("vec_id", "cell"))
+    codes = (np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1) for b in index)
+    decoded = np.concatenate([q.decoded(c).astype(np.float32) for c in codes] or [np.zeros((0, q.coarse.shape[1]), np.float32)])
+    spans = list(zip(*_runs(cells), strict=True))
+
+    def best(asks: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        have = _Gathered(depth)
+        looks = np.zeros((len(x), len(q.coarse)), bool)
+        np.put_along_axis(looks, q.nearest(x, q.probes), True, 1)
+        for cell, lo, hi in spans:
+            who = np.flatnonzero(looks[:, cell])
+            if not len(who):
+                continue
+            residual = ((x[who] - q.coarse[cell]) / q.scale[cell]).astype(np.float32)
+            for a in range(lo, hi, CODE_BLOCK):
+                own = ids[a : min(hi, a + CODE_BLOCK)]
+                d = _distances(residual, decoded[a : a + len(own)]) * np.float32(q.scale[cell] ** 2)
+                d[own == asks[who][:, None]] = np.inf
+                have.add(asks[who], d, own)
+        return have.settle()
+
+    return best
+
+
 def _meet(held, depth: int):
+    """Rows in order of slice, kind and cell: a slice's index is held, and then its queries pass by."""
     schema = pa.schema([("query_id", pa.int64()), ("found", pa.binary()), ("distances", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantiser = held.value
-        have = _Gathered(depth)
-        met: set[int] = set()
-
-        def flush() -> pa.RecordBatch:
-            nonlocal have
-            ask, distance, ids = have.settle()
-            have = _Gathered(depth)
-            met.clear()
-            value, lo, hi = _runs(ask)
-            spans = list(zip(lo, hi, strict=True))
-            blobs = [[x[a:b].tobytes() for a, b in spans] for x in (ids.astype("<i8"), distance.astype("<f4"))]
-            return pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], schema=schema)
-
+        at, index, best = None, [], None
         for batch in batches:
-            for cell, ids, codes, asks, vectors in zip(*(batch.column(c).to_pylist() for c in ("cell", "ids", "codes", "asks", "vectors")), strict=True):
-                i, a = np.frombuffer(ids, "<i8"), np.frombuffer(asks, "<i8")
-                k = np.frombuffer(codes, np.uint8).reshape(len(i), -1)
-                tables = q.tables(np.frombuffer(vectors, "<f8").reshape(len(a), -1), cell).astype(np.float32)
-                for lo in range(0, len(i), CODE_BLOCK):
-                    part, own = k[lo : lo + CODE_BLOCK], i[lo : lo + CODE_BLOCK]
-                    d = tables[:, 0][:, part[:, 0]]
-                    for m in range(1, k.shape[1]):
-                        d += tables[:, m][:, part[:, m]]
-                    d[own[None, :] == a[:, None]] = np.inf
-                    have.add(a, d, own)
-                met.update(a.tolist())
-                if len(met) >= HELD:
-                    yield flush()
-        yield flush()
+            part = np.asarray(batch.column("slice")).astype(np.int64) * 2 + np.asarray(batch.column("kind"))
+            for value, lo, hi in zip(*_runs(part), strict=True):
+                rows = batch.slice(lo, hi - lo)
+                if value // 2 != at:
+                    at, index, best = value // 2, [], None
+                if value % 2 == 0:
+                    index.append(rows.select(KEPT))
+                    continue
+                if best is None:
+                    best = _slice_best(q, index, depth)
+                    index = []
+                for a in range(0, rows.num_rows, ASK_BLOCK):
+                    some = rows.slice(a, ASK_BLOCK)
+                    ask, distance, ids = best(np.asarray(some.column("vec_id")), _matrix(some.column("v")))
+                    value_, begin, end = _runs(ask)
+                    spans = list(zip(begin, end, strict=True))
+                    blobs = [[x[i:j].tobytes() for i, j in spans] for x in (ids.astype("<i8"), distance.astype("<f4"))]
+                    yield pa.RecordBatch.from_arrays([pa.array(value_, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], schema=schema)
 
     return run
 
@@ -275,11 +254,16 @@ def search(rows: DataFrame, query_every: int = QUERY_EVERY, top: int = TOP, dept
     total = vectors.count()
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     held = spark.sparkContext.broadcast(Quantiser(_matrix(sample["v"].combine_chunks()), total))
-    index = vectors.mapInArrow(_index(held), "cell int, ids binary, codes binary")
+    index = vectors.mapInArrow(_index(held), "vec_id long, cell int, code binary")
     asked = vectors.where(F.pmod("vec_id", F.lit(query_every)) == 0)
-    blocks = asked.mapInArrow(_queries(held), "cell int, asks binary, vectors binary")
-    met = index.join(blocks.hint("merge"), "cell").mapInArrow(_meet(held, depth), "query_id long, found binary, distances binary")
-    near = met.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(max(8, total // 100_000)))).groupBy("g").applyInArrow(_merge(depth), "query_id long, vec_id long")
+    slices = max(2 * spark.sparkContext.defaultParallelism, -(-total // SLICE_ROWS))
+    mine = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(0).alias("kind"), *KEPT, F.lit(None).cast("array<double>").alias("v"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    asks = asked.select(every, F.lit(1).alias("kind"), "vec_id", F.lit(-1).alias("cell"), F.lit(None).cast("binary").alias("code"), "v")
+    dealt = mine.unionByName(asks).repartition(slices, "slice").sortWithinPartitions("slice", "kind", "cell")
+    met = dealt.mapInArrow(_meet(held, depth), "query_id long, found binary, distances binary")
+    groups = max(8, -(-asked.count() * slices * depth // MERGED))
+    near = met.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").applyInArrow(_merge(depth), "query_id long, vec_id long")
     near = cut(near, "ann-candidates")
     pairs = near.join(vectors.select("vec_id", F.col("v").alias("x")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -353,6 +354,49 @@ def test_ann_tasks_without_candidates():
     assert ask.tolist() == [7] * 4 + [9] * 4 and ids.tolist() == [2, 0, 5, 1] * 2 and distance.tolist() == [0, 1, 1, 2] * 2
 
 
+def test_ann_holds_one_slice_and_one_block_of_queries():
+    """Two slices of one hot cell, and thousands of queries past each: what a task holds does not grow with the queries."""
+    rng = np.random.default_rng(3)
+    q = ann.Quantiser(rng.normal(size=(2000, 16)), 64)
+    q.probes = len(q.coarse)
+    x, asks = rng.normal(size=(3000, 16)), rng.normal(size=(6000, 16))
+
+    class Held:
+        value = q
+
+    def rows(batch, slice_, kind, **columns):
+        n = batch.num_rows
+        given = {"slice": pa.array([slice_] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32())} | {c: batch.column(c) for c in batch.schema.names}
+        types = {"slice": pa.int32(), "kind": pa.int32(), "vec_id": pa.int64(), "cell": pa.int32(), "code": pa.binary(), "v": pa.list_(pa.float64())}
+        return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, t)) for c, t in types.items()], list(types))
+
+    def stream():
+        for k in range(2):
+            ids = np.arange(k, 3000, 2)
+            (coded,) = ann._index(Held)([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x[ids].tolist())], ["vec_id", "v"])])
+            yield rows(coded.take(pa.array(np.argsort(np.asarray(coded.column("cell")), kind="stable"))), k, 0)
+            for a in range(0, 6000, 500):
+                yield rows(pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + 500) + 10_000), pa.array(asks[a : a + 500].tolist(), pa.list_(pa.float64()))], ["vec_id", "v"]), k, 1)
+
+    tracemalloc.start()
+    found, largest = {}, 0
+    for out in ann._meet(Held, 8)(stream()):
+        largest = max(largest, out.num_rows)
+        for ask, ids in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            found.setdefault(ask, []).append(np.frombuffer(ids, "<i8"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert largest <= ann.ASK_BLOCK and len(found) == 6000 and all(len(v) == 2 for v in found.values()) and peak < 100 << 20
+    cell = q.nearest(x, 1)[:, 0]
+    codes = q.encode(x, cell)
+    decoded = q.coarse[cell] + np.concatenate([b[codes[:, m]] for m, b in enumerate(q.books)], 1) * q.scale[cell][:, None]
+    for k in (0, 1, 777, 5999):
+        d = ((decoded - asks[k]) ** 2).sum(1)
+        for half, ids in enumerate(found[10_000 + k]):
+            own = np.arange(half, 3000, 2)
+            assert d[ids] == pytest.approx(np.sort(d[own])[:8])
+
+
 def test_ann_edges(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert ann.search(spark.createDataFrame([], schema)).count() == 0
