@@ -253,3 +253,18 @@ def test_tables_of_part_files_count_once(spark, tmp_path):
         spark.range(20).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
     (tmp_path / "region.parquet").write_bytes(b"x")
     assert sorted(r[0] for r in CATALOG["scan_files"].run(spark, str(tmp_path)).collect()) == ["labels.parquet", "pages.parquet", "region.parquet"]
+
+
+def test_files_of_a_run_are_read_by_all_cores(spark, tmp_path):
+    rows = []
+    for k in range(1100):  # more than are handed on together
+        p = tmp_path / f"f{k}.txt"
+        p.write_text(f"text {k}")
+        rows.append((str(p), "text", False, None, None))
+    rows.append((str(tmp_path / "absent.txt"), "text", False, None, None))
+    files = spark.createDataFrame(rows, "path string, file_type string, known boolean, known_hash string, known_extractor string").coalesce(1)
+    dealt = extract.dealt(files)
+    assert dealt.select(F.spark_partition_id().alias("task")).distinct().count() == spark.sparkContext.defaultParallelism
+    got = {r["path"]: (r["action"], r["page_number"], r["text"], r["error"]) for r in extract.read_changed(dealt).collect()}
+    assert len(got) == 1101 and all(got[str(tmp_path / f"f{k}.txt")] == ("new", 1, f"text {k}", None) for k in range(1100))
+    assert got[str(tmp_path / "absent.txt")][1:3] == (0, None) and "FileNotFoundError" in got[str(tmp_path / "absent.txt")][3]
